@@ -21,15 +21,21 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import chunks, flat, ids_and_texts
 
+#: Bytes of text that are scanned side by side.
+LANES_BYTES = 4 << 20
+
 
 @dataclass(frozen=True)
 class Rule:
     """span: what a match extends over, leftmost and longest; confirm: what it must also match from its start.
 
-    base: whether it counts as one of the rules whose spans are digested apart.
+    sign: what every such match holds, for the combined automaton, which has fewer
+    states the fewer characters signs count.  base: whether the rule is one of
+    those whose spans are digested apart.
     """
 
     kind: str
+    sign: str
     span: str
     confirm: str
     base: bool = True
@@ -39,13 +45,13 @@ _KEY = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][
 _ASSIGN = _KEY + "[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]"
 #: The rules.
 RULES = (
-    Rule("assign", _ASSIGN + "+", _ASSIGN + "{6,}"),
-    Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16,}"),
-    Rule("hex", "[0-9a-f]+", "[0-9a-f]{24,}"),
-    Rule("github", "gh[opsur]_[A-Za-z0-9]+", "gh[opsur]_[A-Za-z0-9]{20,}", False),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}", False),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", False),
-    Rule("pem", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----", False),
+    Rule("assign", _ASSIGN, _ASSIGN + "+", _ASSIGN + "{6,}"),
+    Rule("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16,}"),
+    Rule("hex", "[0-9a-f]{24,}", "[0-9a-f]+", "[0-9a-f]{24,}"),
+    Rule("github", "gh[opsur]_[A-Za-z0-9]", "gh[opsur]_[A-Za-z0-9]+", "gh[opsur]_[A-Za-z0-9]{20,}", False),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}", False),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", False),
+    Rule("pem", "-----BEGIN\\x20", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----", False),
 )
 
 
@@ -233,14 +239,14 @@ def compile_rules(rules: tuple[str, ...], anchored: bool) -> Automaton:
 def _compiled(rules: tuple[Rule, ...]) -> tuple:
     """The combined automaton, and for each rule: its anchored span and confirm automata, as lists."""
     own = [tuple((x.step.tolist(), x.accepts.tolist(), x.dead.tolist()) for x in (compile_rules((r.span,), True), compile_rules((r.confirm,), True))) for r in rules]
-    return compile_rules(tuple(r.confirm for r in rules), False), own
+    return compile_rules(tuple(r.sign for r in rules), False), own
 
 
 # --- scanning -------------------------------------------------------------
 
 
 def hits(data: np.ndarray, at: np.ndarray, automaton: Automaton) -> np.ndarray:
-    """For each text a bit set of the rules that match in it, from one pass.
+    """For each text a bit set of the rules whose sign is in it, from one pass.
 
     Long texts are first: in every step the texts that go on are a prefix.
     """
@@ -327,7 +333,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, _ = _compiled(rules)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=LANES_BYTES):
                 data, at = flat(part.column("text"))
                 found = hits(data, at, automaton)
                 rows = [[] for _ in found]
@@ -362,7 +368,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
         automaton, _ = _compiled(rules)
         sign = mark.encode()
         for batch in batches:
-            for part in chunks(batch, text_col):
+            for part in chunks(batch, text_col, LANES_BYTES):
                 data, at = flat(part.column(text_col))
                 found = np.flatnonzero(hits(data, at, automaton))
                 if len(found):
