@@ -6,10 +6,11 @@ signature.  Equal sets are one node.  Nodes that share a bucket are compared by
 bit counts of their signatures, with the chance agreement of unequal minima
 taken out, and what may be linked is confirmed on the full sets.
 
-No bucket's pairs are listed.  In each round a bucket gives a spanning forest
-only, by the highest estimates, of the pairs that join different components and
-have not been refuted; each node confirms its best one.  Rounds go on until no
-bucket has a pair left, so the components are those of all links.  Buckets are
+No bucket's pairs are listed.  In the first round a bucket gives a spanning
+forest of its pairs by the highest estimates, in later ones the best pair that is
+not refuted of each node outside its largest component; each node confirms the
+best it was given.  Rounds go on until no bucket has a pair left that joins
+different components, so the components are those of all links.  Buckets are
 cut into blocks, and pairs of blocks are separate tasks.
 """
 
@@ -30,7 +31,7 @@ PERMS, BANDS, ROWS, BITS = 128, 32, 4, 4
 MARGIN = 0.18
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
-#: Rounds of forests; if pairs are left then, all of them are confirmed at once.
+#: Rounds of few pairs; if pairs are left then, all of them are confirmed at once.
 ROUNDS = 6
 
 _SEED = mixed(np.arange(1, 2 * PERMS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -132,6 +133,20 @@ def _forest(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: float,
     return out
 
 
+def _nearest(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: float, refuted: dict[int, list[int]]) -> list[tuple[int, int, float]]:
+    """The best pair of each member outside the largest component; every pair between components has such a member."""
+    across, out = side.min() != side.max(), []
+    for k in np.flatnonzero(comp != np.bincount(comp).argmax()).tolist():
+        near = estimates(sigs, sigs[k])
+        near[comp == comp[k]] = -1
+        if across:
+            near[side == side[k]] = -1
+        near[refuted.get(k, [])] = -1
+        if near[best := int(np.argmax(near))] >= floor:
+            out.append((k, best, float(near[best])))
+    return out
+
+
 def _all_pairs(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: float, refuted: dict[int, list[int]]) -> list[tuple[int, int, float]]:
     across, out = side.min() != side.max(), []
     for k in range(len(sigs) - 1):
@@ -141,9 +156,11 @@ def _all_pairs(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: floa
     return out
 
 
-def bucket_pairs(members: DataFrame, floor: float, every: bool) -> DataFrame:
-    """members: key, i, j, side, node, comp, sig, refuted (nodes), a group for each key, i and j.  Returns child, parent, estimate."""
-    work = _all_pairs if every else _forest
+def bucket_pairs(members: DataFrame, floor: float, work) -> DataFrame:
+    """members: key, i, j, side, node, comp, sig, refuted (nodes), a group for each key, i and j; work: what to find in one.
+
+    Returns child, parent, estimate.
+    """
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         n = table.num_rows
@@ -269,7 +286,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     for turn in range(ROUNDS + 1):
         now = members.join(comps, "node")
         now = now.withColumn("refuted", F.lit(None).cast("array<binary>")) if refuted is None else now.join(refuted.groupBy("child").agg(F.collect_set("parent").alias("refuted")).withColumnRenamed("child", "node"), "node", "left")
-        edges = bucket_pairs(now.select("key", "i", "j", "side", "node", "comp", "sig", "refuted"), floor, turn == ROUNDS)
+        edges = bucket_pairs(now.select("key", "i", "j", "side", "node", "comp", "sig", "refuted"), floor, _forest if turn == 0 else _nearest if turn < ROUNDS else _all_pairs)
         if turn == 0:
             edges = stored(edges, "forests")
             ends = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()  # whoever has a pair at all has one here

@@ -353,7 +353,8 @@ def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     base = [r.kind for r in rules if r.base]
     said = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     found = scan(docs, rules)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in base]
     return found.select("doc_id", *counts, F.sha2(said(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
