@@ -9,8 +9,9 @@ taken out, and what may be linked is confirmed on the full sets.
 No bucket's pairs are listed.  In the first round a bucket gives a spanning
 forest of its pairs by the highest estimates, in later ones the best pair that is
 not refuted of each node outside its largest component; each node confirms the
-best it was given.  Rounds go on until no bucket has a pair left that joins
-different components, so the components are those of all links.  Buckets are
+best it was given.  If after ROUNDS rounds some nodes still have pairs to other
+components, they are compared with the full sets of all members of their buckets,
+so the components are those of all links.  Buckets are
 cut into blocks, and pairs of blocks are separate tasks.
 """
 
@@ -31,8 +32,10 @@ PERMS, BANDS, ROWS, BITS = 128, 32, 4, 4
 MARGIN = 0.18
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
-#: Rounds of few pairs; if pairs are left then, all of them are confirmed at once.
-ROUNDS = 6
+#: Rounds of few pairs; members that still have one then are compared with their whole buckets.
+ROUNDS = 3
+#: Members, and open members, of a bucket whose full sets one task holds then.
+EXACT_BLOCK = 256
 
 _SEED = mixed(np.arange(1, 2 * PERMS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _FACTOR, _SHIFT = _SEED[:PERMS] | U64(1), _SEED[PERMS:]
@@ -147,19 +150,15 @@ def _nearest(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: float,
     return out
 
 
-def _all_pairs(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: float, refuted: dict[int, list[int]]) -> list[tuple[int, int, float]]:
-    across, out = side.min() != side.max(), []
-    for k in range(len(sigs) - 1):
-        near = estimates(sigs[k + 1 :], sigs[k])
-        ok = (near >= floor) & (comp[k + 1 :] != comp[k]) & ((side[k + 1 :] != side[k]) | (not across))
-        out += [(j, k, float(near[j - k - 1])) for j in (np.flatnonzero(ok) + k + 1).tolist() if j not in refuted.get(k, ())]
-    return out
+def _open(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: float, refuted: dict[int, list[int]]) -> list[tuple[int, int, float]]:
+    """The members that _nearest() has a pair for, each once."""
+    return [(k, k, e) for k, _, e in _nearest(sigs, comp, side, floor, refuted)]
 
 
 def bucket_pairs(members: DataFrame, floor: float, work) -> DataFrame:
     """members: key, i, j, side, node, comp, sig, refuted (nodes), a group for each key, i and j; work: what to find in one.
 
-    Returns child, parent, estimate.
+    Returns child, parent, estimate, key.
     """
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -179,7 +178,7 @@ def bucket_pairs(members: DataFrame, floor: float, work) -> DataFrame:
         if len(two):
             near = estimates(sigs[two], sigs[two + 1])
             ok = (near >= floor) & (comp[two] != comp[two + 1])
-            found += [(a + 1, a, e) for a, e in zip(two[ok].tolist(), near[ok].tolist()) if nodes[a] not in (lists[a + 1] or ()) and nodes[a + 1] not in (lists[a] or ())]
+            found += [(a + 1, a + (work is _open), e) for a, e in zip(two[ok].tolist(), near[ok].tolist()) if nodes[a] not in (lists[a + 1] or ()) and nodes[a + 1] not in (lists[a] or ())]
         for a, b in zip(begin[size > 2].tolist(), (begin + size)[size > 2].tolist()):
             if (comp[a:b] == comp[a]).all():
                 continue
@@ -194,7 +193,7 @@ def bucket_pairs(members: DataFrame, floor: float, work) -> DataFrame:
             found += [(a + x, a + y, e) for x, y, e in work(sigs[a:b], comp[a:b], side[a:b], floor, bad)]
         if found:
             x, y, e = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in x], pa.binary()), pa.array([nodes[k] for k in y], pa.binary()), pa.array(e, pa.float64())], ["child", "parent", "estimate"])
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in x], pa.binary()), pa.array([nodes[k] for k in y], pa.binary()), pa.array(e, pa.float64()), pa.array(where[list(x), 0])], ["child", "parent", "estimate", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last group may go on in the next batch
@@ -215,7 +214,7 @@ def bucket_pairs(members: DataFrame, floor: float, work) -> DataFrame:
             yield from pairs(held.combine_chunks())
 
     ordered = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return ordered.mapInArrow(run, "child binary, parent binary, estimate double")
+    return ordered.mapInArrow(run, "child binary, parent binary, estimate double, key long")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -235,6 +234,59 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("child", "parent", "a", "b").mapInArrow(run, "child binary, parent binary, linked boolean")
 
 
+def exact_links(members: DataFrame, opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """child, parent: for each open member of a bucket one link to each other component in it, from the full sets of all its members.
+
+    members: key, node, comp; opened: key, node.  A task has EXACT_BLOCK members of a
+    bucket and as many open ones, with their sets; pairs are counted, not listed.
+    """
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.ceil(F.count("*") / EXACT_BLOCK).cast("int").alias(name))
+
+    open_rows = opened.join(members, ["key", "node"])
+    some = members.join(opened.select("key").distinct(), "key", "left_semi")
+    sizes = blocks(some, "n").join(blocks(open_rows, "m"), "key")
+    place = lambda c: F.pmod(F.hash("node", F.lit("place")), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = some.join(sizes, "key").select("key", place("n").alias("i"), every("m").alias("j"), F.lit(0).alias("role"), "node", "comp")
+    two = open_rows.join(sizes, "key").select("key", every("n").alias("i"), place("m").alias("j"), F.lit(1).alias("role"), "node", "comp")
+    rows = one.unionByName(two).join(sets, "node")
+
+    def links(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        own = [r for r in group if not r[0]]
+        if not own or len(own) == len(group):
+            return
+        size = np.array([len(r[3]) for r in own])
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        joined = np.concatenate([r[3] for r in own])
+        for _, node, comp, mine in (r for r in group if r[0]):
+            at = np.minimum(np.searchsorted(mine, joined), len(mine) - 1)
+            both = np.add.reduceat((mine[at] == joined).astype(np.int64), begin)
+            linked = np.flatnonzero(100 * both >= percent * (size + len(mine) - both))
+            yield from {own[k][2]: (node, own[k][1]) for k in linked.tolist() if own[k][2] != comp}.values()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if found := [*links(held)]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["child", "parent"])
+
+        for batch in batches:
+            where = [*zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")))]
+            values = zip(where, batch.column("role").to_pylist(), batch.column("node").to_pylist(), batch.column("comp").to_pylist(), batch.column("shingles"))
+            for at, role, node, comp, x in values:
+                if at != key:
+                    yield from done()
+                    held, key = [], at
+                held.append((role, node, comp, np.frombuffer(x.as_py(), U64)))
+        yield from done()
+
+    ordered = rows.select("key", "i", "j", "role", "node", "comp", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role", "node")
+    return ordered.mapInArrow(run, "child binary, parent binary")
+
+
 # --- components -----------------------------------------------------------
 
 
@@ -286,14 +338,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     for turn in range(ROUNDS + 1):
         now = members.join(comps, "node")
         now = now.withColumn("refuted", F.lit(None).cast("array<binary>")) if refuted is None else now.join(refuted.groupBy("child").agg(F.collect_set("parent").alias("refuted")).withColumnRenamed("child", "node"), "node", "left")
-        edges = bucket_pairs(now.select("key", "i", "j", "side", "node", "comp", "sig", "refuted"), floor, _forest if turn == 0 else _nearest if turn < ROUNDS else _all_pairs)
+        work = _forest if turn == 0 else _nearest if turn < ROUNDS else _open
+        edges = bucket_pairs(now.select("key", "i", "j", "side", "node", "comp", "sig", "refuted"), floor, work)
         if turn == 0:
             edges = stored(edges, "forests")
             ends = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()  # whoever has a pair at all has one here
         if turn < ROUNDS:  # each node's best
             edges = edges.groupBy("child").agg(F.max_by("parent", F.struct("estimate", "parent")).alias("parent"))
         else:
-            edges = edges.select("child", "parent").distinct()
+            edges = edges.select("key", F.col("child").alias("node")).distinct()
         edges = stored(edges, "pairs")
         if edges.isEmpty():
             break
@@ -302,11 +355,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
             nameless = docs.where("doc_id is null")
             sets = stored(full_sets(texts.unionByName(nameless), words).dropDuplicates(["node"]), "sets")
-        judged = stored(confirmed(edges, sets, percent), "judged")
-        wrong = judged.where("not linked").select("child", "parent")
-        refuted = wrong if refuted is None else refuted.unionByName(wrong)
+        if turn < ROUNDS:
+            judged = stored(confirmed(edges, sets, percent), "judged")
+            wrong = judged.where("not linked").select("child", "parent")
+            refuted = wrong if refuted is None else refuted.unionByName(wrong)
+            links = judged.where("linked")
+        else:
+            links = stored(exact_links(members.where("i = j").join(comps, "node").select("key", "node", "comp"), edges, sets, percent), "links")
         named = lambda side, to: comps.select(F.col("node").alias(side), F.col("comp").alias(to))
-        joined = judged.where("linked").join(named("child", "a"), "child").join(named("parent", "b"), "parent").select("a", "b").where("a != b").distinct()
+        joined = links.join(named("child", "a"), "child").join(named("parent", "b"), "parent").select("a", "b").where("a != b").distinct()
         merged = components(joined).withColumnRenamed("comp", "into").withColumnRenamed("node", "comp")
         comps = stored(comps.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "comps")
     of_node = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
