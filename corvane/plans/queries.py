@@ -148,7 +148,7 @@ def judged(spark, sf):
 
 
 for _name, _column in {"ir_recall": "recall", "ir_precision": "precision", "ir_hit_rate": "hit_rate", "ir_rr": "reciprocal_rank", "ir_ap": "average_precision", "ir_dcg": "dcg"}.items():
-    query(_name, f'{IR} SELECT query_id, round("{_column}", 6) AS "{_column}" FROM m')(lambda spark, sf, c=_column: rounded(judged(spark, sf).select("query_id", c), c))
+    query(_name, f'{IR} SELECT query_id, round(CAST("{_column}" AS DOUBLE), 6) AS "{_column}" FROM m')(lambda spark, sf, c=_column: rounded(judged(spark, sf).select("query_id", c), c))
 
 
 @query("ir_ndcg", IR + " SELECT query_id, round(dcg / best, 6) AS ndcg FROM m JOIN ideal USING (query_id)")
@@ -341,7 +341,7 @@ def index_upsert(spark, sf):
     return index.upsert(*versions(spark, sf), "doc_id", "seq")
 
 
-@query("index_count", "SELECT count(*) AS n, sum(n_chars) AS chars FROM documents")
+@query("index_count", "SELECT count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
 def index_count(spark, sf):
     return table(spark, sf, "documents").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 

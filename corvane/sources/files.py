@@ -75,8 +75,10 @@ def line_errors(spark: SparkSession, path: str) -> DataFrame:
 
     The file is read whole, by one task, as lines have no numbers in a split; for reports on small files.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("place", "value"))
-    return whole.where((F.trim("value") != "") & F.from_json("value", CORPUS)["id"].isNull()).select((F.col("place") + 1).alias("line"), F.substring("value", 1, 80).alias("excerpt"))
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("lines")).select(F.posexplode("lines").alias("place", "line_text"))
+    x = F.from_json("line_text", CORPUS)
+    bad = x["id"].isNull() | x["title"].isNull() | x["text"].isNull()
+    return lines.where((F.trim("line_text") != "") & bad).select((F.col("place") + 1).alias("line"), F.substring("line_text", 1, 80).alias("excerpt")).orderBy("line")
 
 
 def number(c: Column) -> Column:
