@@ -9,41 +9,74 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from dataclasses import dataclass
 from functools import lru_cache
 
-import numpy as np
-
 #: The code points with the Unicode property White_Space.
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+@dataclass(frozen=True)
+class Kind:
+    """How a tokenizer cuts texts.
+
+    units: cuts a text into units.  plain: units of Latin letters, digits and signs
+    only, which pieces cuts as the tokenizer would, so that its model alone is
+    needed for them; other units go through the whole tokenizer.
+    """
+
+    units: re.Pattern
+    plain: re.Pattern
+    pieces: re.Pattern
+    lower: bool
+
+
+_LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 #: For byte-level tokenizers, whose pieces hold the white space before a word: a unit is a word with it.
-WITH_SPACE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: For tokenizers that drop white space.
-BLACK = re.compile(f"[^{SPACE}]+")
+WITH_SPACE = Kind(re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"), re.compile(f"[ \\n]?[!-~{_LETTERS}]+"), re.compile(f"{_SHORT}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \\n0-9{_LETTERS}]+|\\n"), False)
+#: For tokenizers that lower-case, take each digit for itself and drop white space.
+BLACK = Kind(re.compile(f"[^{SPACE}]+"), re.compile(f"[!-~{_LETTERS}]+"), re.compile(f"{_SHORT}|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+"), True)
+#: Byte-level tokenizers show bytes by these characters, the first 33 that are not printable from 256 on, and so forth.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Units that a worker keeps; others are encoded each time they come.
 CACHE_UNITS = 400_000
 LONG_UNIT = 64
 
 
 class UnitEncoder:
-    def __init__(self, path: str, units: re.Pattern):
+    def __init__(self, path: str, kind: Kind):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.units = units
+        self.kind, self.model = kind, self.library.model
         self.cache: dict[str, bytes] = {}
 
+    def _new(self, units: list[str]) -> dict[str, bytes]:
+        out, rest = {}, []
+        plain, pieces, lower, tokenize = self.kind.plain.fullmatch, self.kind.pieces.findall, self.kind.lower, self.model.tokenize
+        for u in units:
+            if plain(u):
+                shown = [p.encode().decode("latin-1").translate(_SHOWN) for p in pieces(u.lower() if lower else u)]
+                out[u] = array("I", [t.id for p in shown for t in tokenize(p)]).tobytes()
+            else:
+                rest.append(u)
+        for k in range(0, len(rest), 5000):
+            part = rest[k : k + 5000]
+            for u, x in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                out[u] = array("I", x.ids).tobytes()
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers; null counts as empty."""
-        units = [self.units.findall(x or "") for x in texts]
+        units = [self.kind.units.findall(x or "") for x in texts]
         found = self.cache
         if new := [*{u for x in units for u in x if u not in found}]:
-            fresh = {}
-            for k in range(0, len(new), 5000):
-                part = new[k : k + 5000]
-                for u, x in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                    fresh[u] = np.array(x.ids, "<u4").tobytes()
+            fresh = self._new(new)
             room = max(0, CACHE_UNITS - len(found))
             keep = [u for u in new if len(u) <= LONG_UNIT][:room]
             found.update((u, fresh[u]) for u in keep)
@@ -54,6 +87,6 @@ class UnitEncoder:
 
 
 @lru_cache(4)
-def unit_encoder(path: str, units: re.Pattern) -> UnitEncoder:
+def unit_encoder(path: str, kind: Kind) -> UnitEncoder:
     """One for each worker and file."""
-    return UnitEncoder(path, units)
+    return UnitEncoder(path, kind)

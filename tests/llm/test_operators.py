@@ -1,0 +1,260 @@
+"""The ten operators against brute force, on edge cases and on the smallest tables."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.llm import bpe, chat, fingerprints, langid, licenses, neardup, packing, quality, queries, secrets, token_files
+from corvane.llm.common import shingle_sets
+
+P = pytest.importorskip("public_tokenizers")
+RNG = random.Random(11)
+ALPHABET = list("aa''sstmdrevlXÀß  \n\t　\x1c\x851²Ⅷé中😀.,#́AK#!09")
+ODD = [None, "", " ", "a", "a", "x" * 3000, "ab'" * 200, "中" * 300, "  \n \n", "the the the", "A  b", "it's 'twas I'll"]
+TEXTS = ODD + ["".join(RNG.choice(ALPHABET) for _ in range(RNG.randrange(40))) for _ in range(200)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, null and repeated ids, and columns with names that operators use themselves."""
+    rows = [(None if k == 7 else k // 2 if k < 6 else k, t, "en", "s", len(t or ""), k, "x") for k, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key int, ids string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_bpe_is_tiktoken(odd, docs):
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for table in (odd, docs):
+        wanted = sorted(" ".join(map(str, own.encode_ordinary(r["text"] or ""))) for r in table.collect())
+        assert sorted(" ".join(map(str, r["ids"])) for r in bpe.encode(table, path).collect()) == wanted
+    for r in docs.join(bpe.digests(docs, path), "doc_id").collect():
+        ids = own.encode_ordinary(r["text"])
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def encoder(name):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path(name))
+    library.encode_special_tokens = True
+    return lambda text: library.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_files(odd, docs):
+    encode, path = encoder("byte_bpe_50k.json"), P.path("byte_bpe_50k.json")
+    start = 0
+    for table in (docs, odd):
+        order = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] is not None, r["text"] or "", r["doc_id"]) for r in table.collect()))
+        got = {}
+        for r in token_files.round_trip(table, path, 2).collect():
+            got.setdefault((r["start"], r["n_tokens"]), []).append((r["doc_id"], r["ids_crc32"]))
+        start = 0
+        for _, _, text, doc_id in order:
+            ids = [*encode(text), 2]
+            assert (doc_id, crc(ids)) in got[start, len(ids)]
+            start += len(ids)
+
+
+def test_packing(odd, docs):
+    encode, path = encoder("word_bpe_49k.json"), P.path("word_bpe_49k.json")
+    for table, capacity in ((docs, 2048), (odd, 16)):
+        rows = packing.pack(table.repartition(3), path, capacity, 0).collect()
+        wanted = Counter()
+        for r in table.collect():
+            ids = [*encode(r["text"]), 0]
+            wanted.update((r["doc_id"], k, a, min(capacity, len(ids) - a), crc(ids[a : a + capacity])) for k, a in enumerate(range(0, len(ids), capacity)))
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == wanted
+        bins = defaultdict(list)
+        for r in rows:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in bins.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        at_once = packing.best_fit(np.array([r["length"] for r in rows]), capacity)[2]
+        assert len(bins) <= len(at_once) + 3  # a bin for each partition at most
+
+
+KEY = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+BASE = [("assign", KEY + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
+
+
+def test_secrets(spark, docs):
+    bits = ["token", "secret", "PassWord", "api_key", "apikey", " ", "=", ":", "'", '"', "abc", "0123456789abcdef", "AKIA", "ABCD1234EFGH", "é", "\n", "K"]
+    made = spark.createDataFrame([(k, "".join(RNG.choice(bits) for _ in range(RNG.randrange(14)))) for k in range(800)] + [(800, None), (801, "")], "doc_id long, text string")
+    for table in (made, docs.select("doc_id", "text")):
+        got = by_id(secrets.digests(table))
+        for r in table.collect():
+            found = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(BASE) for m in re.finditer(p, r["text"] or "") if ok(m))
+            said = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in found)
+            assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+            assert got[r["doc_id"]]["n_hex"] == sum(k == 2 for _, k, _ in found)
+    clean = secrets.redact(made.withColumn("n_chars", F.length("text")))
+    assert clean.columns == ["doc_id", "text", "n_chars"] and all(not m for v in by_id(secrets.scan(clean)).values() for m in [[s for s in v["spans"] if s["kind"] != "assign"]])
+    assert by_id(clean)[800]["text"] is None
+
+
+def test_langid(odd, docs):
+    rows = docs.join(langid.digests(docs), "doc_id").where("held_out").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows) > 0
+    found = langid.predict(odd, langid.fit(docs)).collect()
+    lettered = Counter(any(c.isalpha() for c in t or "") for t in TEXTS)
+    assert Counter(r["lang_pred"] != "und" for r in found) == lettered and all(0 <= r["score"] <= 1 for r in found)
+    assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(odd.where("lang is null"))).collect()} == {"und"}
+
+
+def measured(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+    again = {k + j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(5)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(again)
+
+
+def test_quality(spark, odd, docs, sf):
+    for table in (odd, docs):
+        wanted = Counter(measured(r["text"]) for r in table.collect())
+        assert Counter(tuple(r[c] for c in quality.METRICS[:5]) for r in quality.measure(table).collect()) == wanted
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.judge(docs).join(labels, "doc_id").collect()
+    good = [r["kept"] for r in rows if r["quality"] == 1]
+    assert sum(good) >= 0.95 * len(good) and sum(r["kept"] == (r["quality"] == 1) for r in rows) >= 0.85 * len(rows)
+    kept = quality.accepted(odd)
+    assert kept.columns == odd.columns and {r["key"] for r in kept.collect()} <= {*range(len(TEXTS))}
+    assert quality.judge(odd.limit(0)).count() == 0
+
+
+def test_fingerprints(odd, docs):
+    for table in (docs, odd):
+        order = sorted(((r["doc_id"] if r["doc_id"] is not None else -(2**63), r["text"] or "") for r in table.collect()))
+        wanted = Counter()
+        for k, (_, text) in enumerate(order):
+            n, following = len(text) // 4, order[(k + 1) % len(order)][1]
+            wanted[len(text), hashlib.sha256((text[: len(text) - n] + following[:n]).encode()).hexdigest()] += 1
+        rows = fingerprints.digests(table).collect()
+        assert Counter((r["n_chars"], r["edited_sha256"]) for r in rows) == wanted
+    texts = [r["text"] for r in docs.collect()][:60]
+    sets = shingle_sets(pa.array(texts), 5)
+    for a, b in zip(sets, sets[1:]):
+        true = len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b)))
+        assert abs(fingerprints.likeness(fingerprints.sketch(a), fingerprints.sketch(b)) - true) < 0.35
+    assert fingerprints.from_text(fingerprints.as_text(sets[0])).tolist() == sets[0].tolist()
+
+
+def test_licenses(spark, docs):
+    text = "Some words here.\nReleased under the MIT License.\nand on.\n\n" + licenses.TEMPLATES["ISC"].replace(" ", "\n", 3) + "\n\nNo license, none."
+    made = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "license " * 50), (1, text)], "doc_id long, text string")
+    rows = licenses.scan(made).collect()
+    assert len(rows) == 5
+    assert [[x["license"] for x in r["licenses"]] for r in rows if r["doc_id"] == 1] == [["MIT", "ISC"]] * 2 and [r["licenses"] for r in rows if r["doc_id"] in (2, 3, 4)] == [[], [], []]
+    got = by_id(licenses.scan(docs))
+    for r in docs.collect():  # all templates instead of the few that compression ranks first
+        lines = [x for x in r["text"].split("\n") if licenses.SIGNS.search(x)]
+        wanted = [b[0] for x in lines if (b := licenses.best(x, len(licenses.TEMPLATES)))]
+        assert [x["license"] for x in got[r["doc_id"]]["licenses"]] == wanted
+
+
+def components(texts, size):
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    up = [*range(len(sets))]
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return [root(k) for k in range(len(sets))], [*map(len, sets)]
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_neardup(spark, docs, size):
+    words = [RNG.choice("abcdefgh") * RNG.randrange(1, 4) for _ in range(60)]
+    near = [" ".join(w if RNG.random() > 0.04 else "zz" for w in words) for _ in range(60)]
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(120).collect()] + near + [None, "", " ", "one", "ONE", "two words", "Two  words"]
+    made = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").withColumn("node", F.lit("clash"))
+    wanted, sizes = components(texts, size)
+    got = by_id(neardup.near_duplicates(made, size))
+    assert [got[k]["component_id"] for k in range(len(texts))] == wanted and [got[k]["n_shingles"] for k in range(len(texts))] == sizes
+    if size == 5:
+        kept = neardup.deduplicated(made)
+        assert kept.columns == made.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(wanted))
+
+
+def test_neardup_open_members(spark, docs, monkeypatch):
+    """Without rounds of few pairs, full sets alone find the links."""
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    monkeypatch.setattr(neardup, "EXACT_BLOCK", 8)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(w if RNG.random() > 0.05 else f"x{RNG.randrange(99)}" for w in words) for _ in range(80)]
+    made = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = by_id(neardup.near_duplicates(made, 2))
+    assert [got[k]["component_id"] for k in range(len(texts))] == components(texts, 2)[0]
+
+
+def test_chat(spark, sf):
+    lines = ["User: hi", "more", "Assistant: yes", "Q: and?", "A: no"]
+    states, bare = chat.roles(lines)
+    assert [s // 2 for s in states] == [1, 1, 2, 1, 2] and states[1] % 2 == 1 and bare[0] == "hi"
+    talk = spark.read.parquet(f"{sf}/conversations.parquet")
+    true = {r["conv_id"]: r["roles"] for r in talk.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles")).collect()}
+    got = {r["conv_id"]: r["roles"] for r in chat.digests(talk).collect()}
+    assert got.keys() == true.keys() and sum(got[k] == true[k] for k in got) >= 0.7 * len(got)
+    long = spark.createDataFrame([(1, t, "user" if t % 2 else "assistant", f"line {t}\n\nmore") for t in range(100)] + [(2, 0, None, None), (None, 1, "user", "x")], "conv_id long, turn long, role string, text string")
+    rows = chat.parse(chat.transcript_lines(long)).orderBy("line").collect()
+    whole, _ = chat.roles([r["text"] for r in chat.transcript_lines(long).orderBy("line").collect()])
+    assert [r["state"] for r in rows] == whole
+
+
+def test_queries_and_pipeline(spark, sf):
+    import corpus_pipeline
+
+    assert [f"op{k}" for k in range(1, 11)] == [n.split("_")[0] for n in queries.queries()]
+    out = corpus_pipeline.run(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    step = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, sf)
+        assert step.columns == docs.columns
+    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in step.collect()}
+
+
+@pytest.mark.parametrize("name", [f"op{k}" for k in range(1, 10)])
+def test_empty_table(spark, tmp_path, name):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    run = next(f for n, f in queries.queries().items() if n.startswith(name + "_"))
+    assert run(spark, str(tmp_path)).count() == 0
