@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ BLOCK = 1024
 ROUNDS = 3
 #: Members, and open members, of a bucket whose full sets one task holds then.
 EXACT_BLOCK = 256
+#: Edges of a graph that one task contracts.
+EDGES = 1 << 20
 
 _SEED = mixed(np.arange(1, 2 * PERMS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _FACTOR, _SHIFT = _SEED[:PERMS] | U64(1), _SEED[PERMS:]
@@ -290,14 +293,47 @@ def exact_links(members: DataFrame, opened: DataFrame, sets: DataFrame, percent:
 # --- components -----------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least of its component, given edges (a, b): roots hook on lower ones, then paths shrink."""
+    root = np.arange(n)
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """a, b: each partition's edges as stars; b is the least node of a's component among the partition's edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+        ends = pa.chunked_array(table["a"].chunks + table["b"].chunks, pa.binary()).combine_chunks().dictionary_encode()
+        names = ends.dictionary
+        order = pc.sort_indices(names).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = rank[ends.indices.to_numpy()]
+        root = _roots(at[: table.num_rows], at[table.num_rows :], len(order))
+        leaf = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(order[leaf])), names.take(pa.array(order[root[leaf]]))], ["a", "b"])
+
+    return edges.mapInArrow(run, "a binary, b binary")
+
+
+def components(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
     """node, comp: the least node of the connected component, for all nodes of edges (a, b).
 
-    Alternating large and small stars: every round is two joins on nodes with their
-    least neighbours, which has a row for each node, so that a hub's many edges can be split.
+    Tasks of about per_task edges each contract their own to stars.  If there are
+    several, alternating large and small stars join what they found: every round is
+    two joins on nodes with their least neighbours, which has a row for each node, so
+    that a hub's many edges can be split.
     """
-    now, before = edges.where("a != b").select("a", "b"), None
-    while True:
+    edges = stored(edges.where("a != b").select("a", "b"), "edges")
+    tasks = -(-edges.count() // per_task) or 1
+    now, before = stored(contracted(edges.repartition(tasks)), "stars"), None
+    while tasks > 1:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()

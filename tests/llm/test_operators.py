@@ -226,6 +226,22 @@ def test_neardup_open_members(spark, docs, monkeypatch):
     assert [got[k]["component_id"] for k in range(len(texts))] == components(texts, 2)[0]
 
 
+@pytest.mark.parametrize("per_task", [3, 1 << 20])
+def test_neardup_components(spark, per_task):
+    """One task's contraction and stars over several give the same; also without edges."""
+    pairs = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 125)] + [(RNG.randrange(200, 240), RNG.randrange(200, 240)) for _ in range(25)] + [(5, 5), (1, 0)]
+    schema = "a binary, b binary"
+    made = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in pairs], schema)
+    label = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in label:
+        for a, b in pairs:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = neardup.components(made, per_task).collect()
+    assert {r["node"][0]: r["comp"][0] for r in got} == label and len(got) == len(label)
+    assert neardup.components(spark.createDataFrame([], schema), per_task).count() == 0
+
+
 def test_chat(spark, sf):
     lines = ["User: hi", "more", "Assistant: yes", "Q: and?", "A: no"]
     states, bare = chat.roles(lines)
