@@ -7,12 +7,15 @@ of one row, and the filter follows, as it must not move them.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.errors import EmptyIndexError
+from corvane.functions import vectors as vx
 from corvane.operators import filters
 
 #: Ranges below count as none.
@@ -79,6 +82,19 @@ def search_batch(index: DataFrame, queries: DataFrame, scored: Column, query_key
     return top_k_by(pairs, [query_key], k, tie=tie)
 
 
+def maxsim_by(rows: DataFrame, by: list[str], query: list[list[float]], vector: str = "embedding") -> DataFrame:
+    """by and score: MaxSim of a query's vectors with pages whose vectors are rows that share by.
+
+    Each query vector's best product is one partial aggregate, so no page is held as a
+    whole.  A page none of whose vectors fits scores null; a query without vectors is an error.
+    """
+    if not query:
+        raise ValueError("the query has no vectors")
+    best = [F.max(vx.dot(F.col(vector), vx.vector(q))).alias(f"__{k}") for k, q in enumerate(query)]
+    found = rows.groupBy(*by).agg(*best)
+    return found.select(*by, reduce(add, (F.col(f"__{k}") for k in range(len(query)))).alias("score"))
+
+
 def rerank(candidates: DataFrame, scored: Column, n: int = RERANKED, by: list[str] | None = None, tie: str = "rank") -> DataFrame:
     """The n best by another score, kept as rerank_score; equal ones stay in their order."""
     rows = candidates.withColumn("rerank_score", scored).withColumnRenamed("rank", "retrieval_rank")
