@@ -13,7 +13,9 @@ from corvane.functions import text as tx
 from corvane.functions import vectors as vx
 from corvane.operators import chunking, filters, index, metrics, rag, reports, search
 from corvane.operators.embedders import DeterministicEmbedder
+from corvane.session import new_folder
 from corvane.sources import files as sources
+from corvane.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -524,6 +526,29 @@ def row_union(spark, sf):
     return keys.union(spark.createDataFrame([("Aggregated",)], "row_key string")).distinct()
 
 
+# --- streams --------------------------------------------------------------
+
+
+def _streamed(spark, sf) -> tuple[DataFrame, str]:
+    """The events as a stream of files, and a fresh folder that driver and executors share."""
+    rows = table(spark, sf, "events")
+    stream = incremental.stream_of(spark, f"{sf}/events.parquet*", rows.schema)  # a pattern, as a stream cannot name a single file
+    return stream.select("event_id", "user_id", "event_type", "value"), new_folder(spark, "stream")
+
+
+@query("stream_append", "SELECT event_id, user_id, event_type, value FROM events")
+def stream_append(spark, sf):
+    stream, folder = _streamed(spark, sf)
+    incremental.append_available(stream, f"{folder}/index", f"{folder}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/index")
+
+
+@query("stream_upsert", "SELECT user_id, min(event_id) AS ordinal, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def stream_upsert(spark, sf):
+    stream, folder = _streamed(spark, sf)
+    return incremental.upsert_available(stream, f"{folder}/index", f"{folder}/checkpoint", "user_id", "event_id")
+
+
 # --- what SQL has no words for --------------------------------------------
 
 

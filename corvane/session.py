@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
@@ -16,6 +18,12 @@ def build_session(name: str = "corvane", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh name in spark.checkpoint.dir, which driver and executors share; in a local folder only where that is unset, as in tests."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvane-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Settings:
     """What a retrieval job can be told; each also from the environment, as PREFIX_NAME."""

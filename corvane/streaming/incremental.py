@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.operators import index
+
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -22,6 +24,32 @@ def append_available(stream: DataFrame, target: str, checkpoint: str) -> None:
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").outputMode("append").start(target).awaitTermination()
 
 
+def upsert_available(stream: DataFrame, target: str, checkpoint: str, key: str, seq: str) -> DataFrame | None:
+    """Upserts what is there into the index at target, batch by batch, and stops; the index then, or None if no batch ever came.
+
+    Batch n writes the folder n whole, from the one before, so a batch that is run
+    again after a failure overwrites only what it wrote itself.  Its ordinal is the
+    least seq of its key; seq orders the writing.
+    """
+    spark = stream.sparkSession
+    at = lambda n: index.IndexStore(spark, f"{target.rstrip('/')}/{n}")
+
+    def write(rows: DataFrame, n: int) -> None:
+        # a row of the index stands for its key's first writing, at ordinal, and its last, at __last
+        rows = rows.withColumns({"ordinal": F.col(seq), "__last": F.col(seq)}).drop(seq)
+        every = at(n - 1).load().unionByName(rows) if n else rows
+        rest = [c for c in every.columns if c not in (key, "ordinal", "__last")]
+        best = every.groupBy(key).agg(F.min("ordinal").alias("ordinal"), F.max("__last").alias("__last"), F.max_by(F.struct(*rest), "__last").alias("x"))
+        at(n).save(best.select(key, "ordinal", "__last", *(F.col(f"x.{c}").alias(c) for c in rest)))
+
+    run = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    run.awaitTermination()
+    last = 0
+    while at(last + 1).exists():
+        last += 1
+    return at(last).load().drop("__last") if at(last).exists() else None
+
+
 def windowed_latency(stream: DataFrame, ts: str, by: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """window, by, requests and approximate p50, p95, p99."""
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)

@@ -145,6 +145,24 @@ def test_index_store_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
 
 
+def test_stream_upsert_over_several_batches(spark, tmp_path):
+    given = [[(1, 0, "a"), (2, 1, "b"), (1, 2, "c")], [(2, 3, "d"), (None, 4, None)], [(1, 5, None)]]
+    for rows in given:  # a file, then a run, as they come; the last run finds nothing new
+        spark.createDataFrame(rows, "k int, seq int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(2):
+            stream = incremental.stream_of(spark, str(tmp_path / "in"), spark.createDataFrame([], "k int, seq int, v string").schema)
+            found = incremental.upsert_available(stream, str(tmp_path / "out"), str(tmp_path / "check"), "k", "seq")
+    assert {tuple(r) for r in found.select("k", "ordinal", "v").collect()} == {(1, 0, None), (2, 1, "d"), (None, 4, None)}
+
+
+def test_maxsim_by_equals_maxsim_of_whole_pages(spark):
+    rows = spark.createDataFrame([("p", [1.0, 0.0]), ("p", [0.0, 2.0]), ("q", [1.0, 1.0]), ("q", None), ("r", [1.0])], "page string, embedding array<double>")
+    found = {r["page"]: r["score"] for r in search.maxsim_by(rows, ["page"], [[1.0, 3.0], [2.0, 0.0]]).collect()}
+    assert found == {"p": 8.0, "q": 6.0, "r": None}
+    with pytest.raises(ValueError):
+        search.maxsim_by(rows, ["page"], [])
+
+
 def test_reports(spark, tmp_path):
     head = "Type,Name,Request Count,Failure Count,Requests/s,50%,95%,99%\n"
     (tmp_path / "a_stats.csv").write_text(head + "POST,/query,100,2,1.5,10,30,40\nSTAGE,embed,5,0,1,1,2,3\n,Aggregated,105,2,1,1,N/A,3\n")
