@@ -34,6 +34,8 @@ RULES = {
     "word_length": ("word_chars", "n_words", 10.0, 14.0),
     "sameness": ("n_same", "n_words", 0.70, 0.85),
 }
+#: Fixed value: the least share of a rule's bad votes that are right.
+RIGHT = 0.8
 
 
 def _per_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
@@ -118,28 +120,58 @@ def pattern() -> Column:
     return out
 
 
+def _held(score: np.ndarray, weight: np.ndarray, against: np.ndarray, lowered: np.ndarray) -> np.ndarray:
+    """The probabilities of being good, from log odds, closest to them (least relative entropy) so that each rule's bad votes are RIGHT.
+
+    against: which pattern has which rule's bad vote; lowered: how far such a vote lowers the
+    log odds, the last round's values to begin with and this one's afterwards.
+    """
+    chance = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+    for _ in range(20):
+        before = lowered.copy()
+        for k in np.flatnonzero(against.any(0)):
+            has = against[:, k]
+            rest, w = score[has] - against[has] @ lowered + lowered[k], weight[has]
+            most = (1 - RIGHT) * w.sum()
+            low, high = 0.0, max(0.0, rest.max() + 2)
+            if w @ chance(rest) <= most:
+                high = 0.0
+            while high - low > 1e-10:
+                mid = (low + high) / 2
+                low, high = (mid, high) if w @ chance(rest - mid) > most else (low, mid)
+            lowered[k] = high
+        if np.abs(lowered - before).max() < 1e-9:
+            break
+    return chance(score - against @ lowered)
+
+
 def posteriors(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     """The probability of being good for each vote pattern, by expectation-maximisation.
 
     counts: how many documents have which pattern.  It begins from rules that are
     right four times out of five when they vote; one smoothing count an outcome
-    keeps every probability above 0.
+    keeps every probability above 0.  Which class is which kind of junk the votes
+    alone leave open, so in every round at least the share RIGHT of the documents that
+    a rule votes bad on are bad, however many there are (posterior regularisation),
+    and no bad vote counts for good nor a good one for bad.
     """
     if not counts:
         return {}
     codes = np.array(sorted(counts))
     weight = np.array([counts[c] for c in codes.tolist()], float)
     votes = np.array([codes // 3**k % 3 for k in range(len(RULES))]).T
-    odds = ((votes == 2).sum(1) - (votes == 0).sum(1)) * np.log(4) + np.log(4)
-    good = 1 / (1 + np.exp(-odds))
+    against, lowered = votes == 0, np.zeros(len(RULES))
+    odds = ((votes == 2).sum(1) - against.sum(1)) * np.log(4) + np.log(4)
+    good = _held(odds, weight, against, lowered)
     for _ in range(rounds):
         share = (weight @ good + 1) / (weight.sum() + 2)
         score = np.log(share) - np.log1p(-share)
         for k in range(votes.shape[1]):
             tables = [np.bincount(votes[:, k], weights=weight * p, minlength=3) + 1 for p in (good, 1 - good)]
             logs = [np.log(t / t.sum()) for t in tables]
-            score = score + (logs[0] - logs[1])[votes[:, k]]
-        new = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+            gain = logs[0] - logs[1]
+            score = score + np.array([min(gain[0], 0.0), gain[1], max(gain[2], 0.0)])[votes[:, k]]
+        new = _held(score, weight, against, lowered)
         if np.abs(new - good).max() < 1e-9:
             break
         good = new

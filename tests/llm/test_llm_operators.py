@@ -151,6 +151,18 @@ def test_quality(spark, odd, docs, sf):
     assert quality.judge(odd.limit(0)).count() == 0
 
 
+def test_quality_rejects_what_the_base_rule_passes(spark, docs, sf):
+    """Whole junk families that only one rule sees are rejected, at any size; a bad vote never raises a posterior."""
+    number = lambda votes: int("".join(map(str, votes)), 3)
+    fine, symbols, capitals = number([2] * 7), number([0] + [2] * 6), number([2, 0, 0, 0, 0, 2, 1])
+    for times in (1, 1000):
+        found = quality.posteriors({fine: 830 * times, symbols: 68 * times, capitals: 34 * times})
+        assert found[fine] > 0.9 and found[symbols] < 0.5 and found[capitals] < 0.5
+    rows = quality.judge(docs).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    assert not any(r["kept"] for r in rows if r["quality"] == 0)
+    assert all(r["kept"] for r in rows if r["quality"] == 1)
+
+
 def test_fingerprints(odd, docs):
     for table in (docs, odd):
         order = sorted(((r["doc_id"] if r["doc_id"] is not None else -(2**63), r["text"] or "") for r in table.collect()))
