@@ -1,14 +1,18 @@
 """License scans by conditional compression.
 
-A line with a word that licenses use, with what follows up to a blank line or the
-longest template, is a candidate block.  It is compressed alone and with each
-template as raw zstandard dictionary; templates are ranked by the bytes saved,
-and the best are confirmed by the words that differ.
+The words around every word that licenses use, as many before and after as the
+longest template has and 20 more, are a candidate block; blocks that overlap are
+one, and lines do not end it.  A block is cut into overlapping parts, and places are
+confirmed by the words that differ.  What holds them is compressed alone and with
+each template as raw zstandard dictionary, and templates are ranked by the bytes
+saved.  What is left beside the wording found is searched again until nothing more
+is confirmed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -38,8 +42,8 @@ TEMPLATES = {
 #: Fixed value: words of which every template has one.
 SIGNS = re.compile("licen[cs]e|licensed|permission|redistribut", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-#: Winners by compression that are confirmed, as many as save the most; the share of a
-#: template's words that may differ; blocks whose findings a worker keeps.
+#: Templates that are taken at once, those that save the most first; the share of a
+#: template's words that may differ; parts of blocks whose findings a worker keeps.
 RANKED, MAX_DIFFERENT, CACHE_BLOCKS = 4, 0.1, 20_000
 
 
@@ -47,87 +51,136 @@ def words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
+def _allowed(template: list[str]) -> int:
+    return int(MAX_DIFFERENT * len(template))
+
+
+def _pieces(template: list[str]) -> list[tuple[int, tuple[str, ...]]]:
+    """The template cut into 2 * _allowed + 1 pieces, and where they start.
+
+    A confirmed wording lacks at most _allowed words and has at most _allowed others
+    in between, so that one piece at least is whole.
+    """
+    n = 2 * _allowed(template) + 1
+    cuts = [len(template) * k // n for k in range(n + 1)]
+    return [(x, tuple(template[x:y])) for x, y in zip(cuts, cuts[1:])]
+
+
 @lru_cache(1)
 def _prepared() -> tuple:
-    """(name, words, compressor) of each template, a compressor without a dictionary, and the most words."""
+    """(name, words, compressor, pieces) of each template, a compressor without a dictionary, and the most words."""
     import zstandard as z
 
     level = z.ZstdCompressionParameters.from_level(19, write_content_size=False, write_dict_id=False, window_log=17)
     with_ = lambda t: z.ZstdCompressor(compression_params=level, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT))
     own = [(k, [w for w, _, _ in words(t)], with_(t)) for k, t in TEMPLATES.items()]
-    return own, z.ZstdCompressor(compression_params=level), max(len(w) for _, w, _ in own)
+    return [(k, w, c, _pieces(w)) for k, w, c in own], z.ZstdCompressor(compression_params=level), max(len(w) for _, w, _ in own)
 
 
 def different(template: list[str], block: list[str]) -> tuple[int, int, int]:
-    """Words that differ between the template and the part of the block it aligns with, and that part."""
+    """Words that differ between the template and the part of the block it aligns with best, and that part."""
     runs = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
     if not runs:
         return len(template), 0, 0
-    first, last = runs[0].b, runs[-1].b + runs[-1].size
-    same = sum(m.size for m in runs)
-    return max(len(template), last - first) - same, first, last
-
-
-def best(block: str, ranked: int = RANKED) -> tuple[str, int, int, int, int] | None:
+    found = []
+    for k, first in enumerate(runs):
+        same = 0
+        for last in runs[k:]:
+            same += last.size
+            found.append((max(len(template), last.b + last.size - first.b) - same, -same, first.b, last.b + last.size))
+    n, _, a, b = min(found)
+    return n, a, b
+
+
+def placed(template: list[str], pieces: list[tuple[int, tuple[str, ...]]], block: list[str]) -> Iterator[tuple[int, int, int]]:
+    """(words different, start, end) of every place in the block where the template is confirmed."""
+    most, sizes = _allowed(template), {len(p) for _, p in pieces}
+    at: dict[tuple[str, ...], list[int]] = {p: [] for _, p in pieces}
+    for size in sizes:
+        for k in range(len(block) - size + 1):
+            if (hit := at.get(tuple(block[k : k + size]))) is not None:
+                hit.append(k)
+    for place in sorted({k - x for x, p in pieces for k in at[p]}):
+        low = max(0, place - most)
+        n, a, b = different(template, block[low : max(0, place + len(template) + most)])
+        if n <= most:
+            yield n, low + a, low + b
+
+
+def best(block: str, ranked: int = RANKED, before: int | None = None) -> tuple[str, int, int, int, int] | None:
     """(license, start, end, bytes saved, words different) of the block's wording, or None.
 
-    Of the templates confirmed the one with the fewest words different wins, then
-    the longer one, then the first by name.
+    The part of the block from the first confirmed place to the last is compressed, and
+    templates are taken by rank, so many at a time, until one has a place.  Of these the one with the fewest words different wins, then the longer
+    one, then the first by name and place.  before: wordings start before this place.
     """
     own, plain, _ = _prepared()
-    raw = block.encode()
-    alone = len(plain.compress(raw))
-    saved = sorted(((alone - len(c.compress(raw)), k) for k, (_, _, c) in enumerate(own)), key=lambda x: (-x[0], x[1]))
     found = words(block)
-    text, sure = [w for w, _, _ in found], []
-    for gain, k in saved[:ranked]:
-        name, template, _ = own[k]
-        n, a, b = different(template, text)
-        if gain > 0 and n <= MAX_DIFFERENT * len(template):
-            sure.append((n / len(template), -len(template), name, found[a][1], found[b - 1][2], gain, n))
-    if not sure:
+    text = [w for w, _, _ in found]
+    places = {k: p for k, (_, t, _, pieces) in enumerate(own) if (p := [x for x in placed(t, pieces, text) if before is None or found[x[1]][1] < before])}
+    if not places:  # nothing to rank
         return None
-    _, _, name, a, b, gain, n = min(sure)
-    return name, a, b, gain, n
-
-
-def blocks(text: str) -> list[tuple[int, str]]:
-    """Candidate blocks and where they start: from the start of a line with a sign to a blank line, or as many words as the longest template has."""
-    out, limit = [], _prepared()[2] + 20
-    free = -1
+    ends = [(found[a][1], found[b - 1][2]) for p in places.values() for _, a, b in p]
+    raw = block[min(a for a, _ in ends) : max(b for _, b in ends)].encode()
+    alone = len(plain.compress(raw))
+    saved = sorted(((alone - len(c.compress(raw)), k) for k, (_, _, c, _) in enumerate(own)), key=lambda x: (-x[0], x[1]))
+    for start in range(0, len(saved), ranked):
+        sure = [(n / len(own[k][1]), -len(own[k][1]), own[k][0], found[a][1], found[b - 1][2], gain, n) for gain, k in saved[start : start + ranked] for n, a, b in places.get(k, [])]
+        if sure:
+            _, _, name, a, b, gain, n = min(sure)
+            return name, a, b, gain, n
+    return None
+
+
+def blocks(text: str) -> list[list[tuple[int, int]]]:
+    """Candidate blocks: the places of their words, so many before and after every sign."""
+    if not SIGNS.search(text):
+        return []
+    around = _prepared()[2] + 20
+    spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    out: list[list[int]] = []
     for m in SIGNS.finditer(text):
-        if m.start() < free:
-            continue
-        start = text.rfind("\n", 0, m.start()) + 1
-        free = text.find("\n", m.end())
-        free = len(text) if free < 0 else free
-        end = text.find("\n\n", start)
-        rest = text[start : len(text) if end < 0 else end]
-        for k, w in enumerate(WORD.finditer(rest)):
-            if k == limit:
-                rest = rest[: w.start()]
-                break
-        out.append((start, rest))
-    return out
+        k = bisect_right(spans, (m.start(), len(text))) - 1
+        low, high = max(0, k - around), min(len(spans), k + around + 1)
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+    return [spans[low:high] for low, high in out]
 
 
 class _Finder:
     def __init__(self):
-        self.cache: dict[str, tuple | None] = {}
+        self.cache: dict[tuple[str, int | None], tuple | None] = {}
+
+    def best(self, part: str, before: int | None) -> tuple | None:
+        if (part, before) not in self.cache:
+            if len(self.cache) >= CACHE_BLOCKS:
+                self.cache.clear()
+            self.cache[part, before] = best(part, before=before)
+        return self.cache[part, before]
 
     def __call__(self, text: str | None) -> tuple[int, list[dict]]:
-        found, free = [], 0
+        found: list[dict] = []
         candidates = blocks(text) if text else []
-        for start, block in candidates:
-            if block not in self.cache:
-                if len(self.cache) >= CACHE_BLOCKS:
-                    self.cache.clear()
-                line = block.split("\n", 1)[0]
-                self.cache[block] = min((x for x in (best(line), best(block)) if x), key=lambda x: (x[4], x[1] - x[2]), default=None)
-            if (x := self.cache[block]) and start + x[1] >= free:
-                free = start + x[2]
-                found.append({"license": x[0], "start": start + x[1], "end": free, "saved": x[3], "different": x[4]})
-        return len(candidates), found
+        size = _prepared()[2] + 20  # more than a confirmed wording has
+        for spans in candidates:
+            for first in range(0, max(1, len(spans) - size), 2 * size):
+                part = spans[first : first + 3 * size]
+                # a wording that starts in the last third may be cut off here; it is whole in the next part
+                stop = spans[first + 2 * size][0] if first + 3 * size < len(spans) else None
+                low, high = part[0][0], part[-1][1]
+                known = sorted((x["start"], x["end"]) for x in found if x["end"] > low)
+                edges = [low, *(e for span in known for e in span), high]
+                gaps = [*zip(edges[::2], edges[1::2])]
+                while gaps:
+                    a, b = gaps.pop()
+                    if a >= b or stop is not None and a >= stop:
+                        continue
+                    if x := self.best(text[a:b], None if stop is None else min(stop, b) - a):
+                        found.append({"license": x[0], "start": a + x[1], "end": a + x[2], "saved": x[3], "different": x[4]})
+                        gaps += [(a, a + x[1]), (a + x[2], b)]
+        return len(candidates), sorted(found, key=lambda x: x["start"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

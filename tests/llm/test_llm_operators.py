@@ -193,6 +193,30 @@ def test_licenses(spark, docs):
         assert [x["license"] for x in got[r["doc_id"]]["licenses"]] == wanted
 
 
+def test_licenses_within_running_text(spark):
+    """Wordings mid-line, several in a line, wrapped before the first sign word, over a blank line and across parts are found whole."""
+    t = licenses.TEMPLATES
+    fill, signs = " ".join(f"word{k}" for k in range(150)), " ".join(f"license{k}" for k in range(330))
+    wrapped = t["MPL-2.0"].replace("Mozilla Public ", "Mozilla Public\n")
+    cases = [
+        (f"{fill} {t['MIT']} {fill}", ["MIT"]),
+        (f"{t['MIT']} or {t['CC-BY-4.0']} {fill} {t['ISC']}", ["MIT", "CC-BY-4.0", "ISC"]),
+        (f"{fill}\n{wrapped}\n{fill}", ["MPL-2.0"]),
+        (t["Apache-2.0-notice"].replace(" Unless", "\n\nUnless"), ["Apache-2.0-notice"]),
+        (f"license {t['MIT-notice'].replace('deal', 'trade')} permission", ["MIT-notice"]),
+        *((f"{signs[k * 90 :]} {t['Apache-2.0-notice']} {signs}", ["Apache-2.0-notice"]) for k in range(40)),
+        ("*** ".join(fill.split()) + "\n" + " ".join(t.values()), [*t]),
+    ]
+    made = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "doc_id long, text string")
+    got = by_id(licenses.scan(made))
+    for k, (text, wanted) in enumerate(cases):
+        found = got[k]["licenses"]
+        assert [x["license"] for x in found] == wanted
+        for x in found:
+            said = [w for w, _, _ in licenses.words(text[x["start"] : x["end"]])]
+            assert len(said) == len(licenses.words(t[x["license"]])) and x["different"] == ("trade" in said)
+
+
 def components(texts, size):
     sets = []
     for t in texts:
