@@ -43,6 +43,12 @@ class Rule:
 
 _KEY = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 _ASSIGN = _KEY + "[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]"
+_PEM = "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----"
+#: What follows it: all up to the first END line (with no two dashes in between), or without one
+#: header lines, lines of base64 (also with line feeds written as \\n) and a last short one.
+_BREAK = "([\\x09\\x0A\\x0D\\x20>]|\\\\n|\\\\r)"
+_TO_END = "(-?[\\x09\\x0A\\x0D\\x20-,.-~])*-----END\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----"
+_BODY = f"([\\x0D\\x0A]+[A-Z][A-Za-z-]*:\\x20[\\x20-~]*)*({_BREAK}*[A-Za-z0-9+/]{{16,}}=*)+({_BREAK}+[A-Za-z0-9+/]+=*)?"
 #: The rules.
 RULES = (
     Rule("assign", _ASSIGN, _ASSIGN + "+", _ASSIGN + "{6,}"),
@@ -50,8 +56,8 @@ RULES = (
     Rule("hex", "[0-9a-f]{24,}", "[0-9a-f]+", "[0-9a-f]{24,}"),
     Rule("github", "gh[opsur]_[A-Za-z0-9]", "gh[opsur]_[A-Za-z0-9]+", "gh[opsur]_[A-Za-z0-9]{20,}", False),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}", False),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", False),
-    Rule("pem", "-----BEGIN\\x20", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----", False),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+(\\.[A-Za-z0-9_-]+)*", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", False),
+    Rule("pem", "-----BEGIN\\x20", f"{_PEM}({_TO_END}|{_BODY})?", _PEM, False),
 )
 
 
