@@ -17,18 +17,26 @@ from corvane.llm.common import chunks, ids_and_texts
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Fixed value: the n-grams that are held against the background; a word of one letter has one.
+BACKGROUND = 3
 #: Tokens whose scores a worker keeps.
 CACHE_TOKENS = 400_000
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log frequency by language of known words, and of n-grams of words with their ends marked."""
+    """Log frequency by language of known words, and of n-grams of words with their ends marked.
+
+    letters: log frequency of characters in all languages, the background; unseen: log
+    frequency by language of an n-gram of BACKGROUND characters that is not known.
+    """
 
     languages: tuple[str, ...]
     words: dict[str, tuple[float, ...]]
     grams: dict[str, tuple[float, ...]]
     sizes: tuple[int, ...]
+    letters: dict[str, float]
+    unseen: tuple[float, ...]
 
     def word(self, word: str) -> np.ndarray:
         """Scores by language: a known word's, else the mean over its longest n-grams of which any is known."""
@@ -46,6 +54,17 @@ class LanguageModel:
         words = LETTERS.findall(token)
         return np.sum([self.word(w) for w in words], axis=0) if words else None
 
+    def beyond_letters(self, token: str) -> np.ndarray:
+        """By how much each language makes the token's n-grams of BACKGROUND characters likelier than their letters by chance do."""
+        out, rare = np.zeros(len(self.languages)), -math.log(len(self.letters) + 1)
+        for word in LETTERS.findall(token):
+            marked = f"^{word}$"
+            for k in range(len(marked) - BACKGROUND + 1):
+                gram = marked[k : k + BACKGROUND]
+                out += self.grams.get(gram, self.unseen)
+                out -= sum(max(self.letters.get(c, rare), rare) for c in gram)
+        return out
+
 
 def fit(docs: DataFrame, docs_per_language: int = 1500, max_words: int = 20_000, max_grams: int = 60_000, sizes: tuple[int, ...] = (5, 4, 3, 2, 1), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learns from docs that have a text and a language.
@@ -70,6 +89,11 @@ def fit(docs: DataFrame, docs_per_language: int = 1500, max_words: int = 20_000,
         return {w: tuple(math.log((c.get(k, 0) + 0.5) / (sums[k] + 0.5 * len(counts))) for k in range(len(languages))) for w, c in counts.items()}
 
     grams: dict[str, tuple[float, ...]] = {}
+    unseen: tuple[float, ...] = (0.0,) * len(languages)
+    letters: Counter = Counter()
+    for word, by in known.items():
+        for c in f"^{word}$":
+            letters[c] += sum(by.values())
     for n in sizes:
         counts: dict[str, dict[int, float]] = {}
         for word, by in known.items():
@@ -80,15 +104,20 @@ def fit(docs: DataFrame, docs_per_language: int = 1500, max_words: int = 20_000,
                     own[k] = own.get(k, 0) + c * times
         most = sorted(counts, key=lambda g: (-sum(counts[g].values()), g))[: max_grams // len(sizes)]
         grams |= logs({g: counts[g] for g in most})
-    return LanguageModel(languages, logs(known), grams, tuple(sizes))
+        if n == BACKGROUND:
+            unseen = tuple(math.log(0.5 / (sum(counts[g].get(k, 0) for g in most) + 0.5 * max(1, len(most)))) for k in range(len(languages)))
+    return LanguageModel(languages, logs(known), grams, tuple(sizes), {c: math.log(x / letters.total()) for c, x in letters.items()}, unseen)
 
 
 class _Scorer:
-    """Keeps the scores of tokens between batches, in one matrix; row 0 is for tokens without a letter."""
+    """Keeps the scores of tokens between batches, in one matrix; row 0 is for tokens without a letter.
 
-    def __init__(self, model: LanguageModel):
-        self.model, self.rows = model, {}
-        self.matrix, self.used = np.zeros((1024, len(model.languages))), 1
+    background: what beyond_letters() says follows the scores.
+    """
+
+    def __init__(self, model: LanguageModel, background: bool = False):
+        self.model, self.rows, self.background = model, {}, background
+        self.matrix, self.used = np.zeros((1024, len(model.languages) * (1 + background))), 1
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the summed scores, and whether it has a letter."""
@@ -97,6 +126,8 @@ class _Scorer:
         for t in {t for x in tokens for t in x if t not in self.rows}:
             score = self.model.token(t)
             if score is not None:
+                if self.background:
+                    score = np.concatenate([score, self.model.beyond_letters(t)])
                 if self.used == len(self.matrix):
                     self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
                 self.matrix[self.used] = score
@@ -162,7 +193,12 @@ def digests(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The rows whose language is found with a score of at least min_score, with docs' columns.
 
-    A row without lang gets the one found.  The model is learned from docs themselves.
+    The scores of the learned languages say which of them it is, and are near 1 for any
+    long text; so the language found must also make the text's n-grams likelier than the
+    letters by chance do, which foreign and random texts fail.  A row without lang gets
+    the one found.  The model is learned from docs themselves; if none outside the
+    held-out fold has a lang, no language can be told, and all rows are kept unchanged
+    whose text has a letter.
     """
     model = fit(docs.where(~held_out()))
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
@@ -171,15 +207,18 @@ def accepted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
         scorer = None
         for batch in batches:
             for part in chunks(batch):
-                scorer = scorer or _Scorer(shared.value)
+                scorer = scorer or _Scorer(shared.value, background=True)
                 names = scorer.model.languages
+                both, lettered = scorer(part.column("text").to_pylist())
                 if not names:
+                    yield part.filter(pa.array(lettered))
                     continue
-                sums, lettered = scorer(part.column("text").to_pylist())
+                sums, beyond = both[:, : len(names)], both[:, len(names) :]
+                best = sums.argmax(1)
                 score = 1 / np.exp(np.maximum(sums - sums.max(1, keepdims=True), -700)).sum(1)
-                kept = part.filter(pa.array(lettered & (score >= min_score)))
-                found = [names[b] for b in sums.argmax(1)[lettered & (score >= min_score)].tolist()]
-                lang = [x if x is not None else y for x, y in zip(kept.column("lang").to_pylist(), found)]
+                sure = lettered & (score >= min_score) & (beyond[np.arange(len(best)), best] >= 0)
+                kept = part.filter(pa.array(sure))
+                lang = [x if x is not None else names[b] for x, b in zip(kept.column("lang").to_pylist(), best[sure].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(lang, f.type) if f.name == "lang" else kept.column(f.name) for f in kept.schema], schema=kept.schema)
 
     return docs.mapInArrow(run, schema)

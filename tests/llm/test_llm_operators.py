@@ -147,6 +147,20 @@ def test_langid(odd, docs):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(odd.where("lang is null"))).collect()} == {"und"}
 
 
+def test_langid_accepts_learned_languages_only(spark, docs):
+    """Foreign and random texts are dropped however long; without labels all texts with a letter stay as they are."""
+    polish = "Wszyscy ludzie rodz\u0105 si\u0119 wolni i r\u00f3wni pod wzgl\u0119dem swej godno\u015bci i swych praw. "
+    turkish = "B\u00fct\u00fcn insanlar h\u00fcr, haysiyet ve haklar bak\u0131m\u0131ndan e\u015fit do\u011farlar. "
+    noise = " ".join("".join(RNG.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(40))
+    bad = [polish, polish * 40, turkish, turkish * 40, noise, "\u043c\u043e\u0440\u0435 " * 20]
+    made = spark.createDataFrame([(10**6 + k, x, None, "s", len(x)) for k, x in enumerate(bad)], docs.schema)
+    kept = langid.accepted(docs.unionByName(made)).collect()
+    assert not [r for r in kept if r["doc_id"] >= 10**6] and len(kept) >= 0.97 * docs.count()
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    lettered = [r for r in bare.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert sorted(langid.accepted(bare).collect()) == sorted(lettered) and lettered
+
+
 def measured(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
