@@ -52,7 +52,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = True  # units hold none; texts that do go to self.whole
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.kind, self.model = kind, self.library.model
         self.cache: dict[str, bytes] = {}
 
@@ -72,7 +74,16 @@ class UnitEncoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers; null counts as empty."""
+        """The ids of each text as little-endian 32-bit numbers; null counts as empty.
+
+        A text that holds an added token's string goes to the library whole, which gives that token's one id.
+        """
+        if any(a in x for x in texts if x for a in self.added):
+            marked = [k for k, x in enumerate(texts) if x and any(a in x for a in self.added)]
+            out = self.encode([None if x and any(a in x for a in self.added) else x for x in texts])
+            for k in marked:
+                out[k] = array("I", self.whole.encode(texts[k], add_special_tokens=False).ids).tobytes()
+            return out
         units = [self.kind.units.findall(x or "") for x in texts]
         found = self.cache
         if new := [*{u for x in units for u in x if u not in found}]:

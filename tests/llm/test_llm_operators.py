@@ -101,6 +101,20 @@ def test_packing(odd, docs):
         assert len(bins) <= len(at_once) + 3  # a bin for each partition at most
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_texts(name):
+    """A literal added token has the id that the library gives it by default."""
+    from tokenizers import Tokenizer
+
+    from corvane.llm import units
+
+    library = Tokenizer.from_file(P.path(name))
+    kind = units.WITH_SPACE if name.startswith("byte") else units.BLACK
+    texts = ["One<|endoftext|> two", "<|startoftext|>a  b\n<|endoftext|><|endoftext|>", None, "", "plain <|x|> Text", "<|EndOfText|> c"]
+    wanted = [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in units.unit_encoder(P.path(name), kind).encode(texts)] == wanted
+
+
 KEY = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 BASE = [("assign", KEY + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
 
