@@ -10,7 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,73 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         first = last
 
 
+def distinct(data: np.ndarray, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct ones among all data[cuts[k]:cuts[k + 1]], and the number of each among them."""
+    where = pa.py_buffer(np.ascontiguousarray(cuts, np.int64))
+    coded = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, where, pa.py_buffer(data)]).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+class Lists:
+    """A list of numbers for each distinct byte string, kept from chunk to chunk.
+
+    find gives new strings' lists, all in one array, and how long each is.  Beyond
+    limit strings, those that the chunk at hand has not are let go, so that
+    frequent ones stay whatever came first.  Strings longer than LONG bytes are not kept.
+    """
+
+    LONG = 64
+
+    def __init__(self, find: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+        self.find, self.limit = find, limit
+        self.slot: dict[bytes, int] = {}
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.lists = self.numbers = 0
+
+    def _append(self, numbers: np.ndarray, size: np.ndarray) -> np.ndarray:
+        ends = self.numbers + np.cumsum(size)
+        for name, used, more in (("start", self.lists, ends - size), ("size", self.lists, size), ("flat", self.numbers, numbers)):
+            old = getattr(self, name)
+            if used + len(more) > len(old):
+                grown = np.zeros(max(1024, used + len(more), len(old) * 3 // 2), old.dtype)
+                grown[:used] = old[:used]
+                setattr(self, name, grown)
+            getattr(self, name)[used : used + len(more)] = more
+        self.lists, self.numbers = self.lists + len(size), self.numbers + len(numbers)
+        return np.arange(self.lists - len(size), self.lists)
+
+    def _gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[slots]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[slots] - ends + size, size) + np.arange(size.sum())], size
+
+    def _only(self, keys: list[bytes], slots: np.ndarray) -> None:
+        """Lets go of all strings but the known ones among keys."""
+        known = np.flatnonzero(slots >= 0)
+        numbers, size = self._gathered(slots[known])
+        self.lists = self.numbers = 0
+        slots[known] = self._append(numbers, size)
+        self.slot = {keys[k]: s for k, s in zip(known.tolist(), slots[known].tolist())}
+
+    def __call__(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of all data[cuts[k]:cuts[k + 1]] in a row, and how long each is."""
+        keys, codes = distinct(data, cuts)
+        slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(slots < 0).tolist()
+        short, long = [k for k in new if len(keys[k]) <= self.LONG], [k for k in new if len(keys[k]) > self.LONG]
+        if len(self.slot) + len(short) > self.limit:
+            self._only(keys, slots)
+        if short:
+            slots[short] = self._append(*self.find([keys[k] for k in short]))
+            self.slot.update(zip([keys[k] for k in short], slots[short].tolist()))
+        kept = self.lists, self.numbers
+        if long:
+            slots[long] = self._append(*self.find([keys[k] for k in long]))
+        out = self._gathered(slots[codes])
+        self.lists, self.numbers = kept
+        return out
+
+
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

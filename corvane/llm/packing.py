@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import chunks, ids_and_texts, stored
-from corvane.llm.units import BLACK, unit_encoder
+from corvane.llm.units import BLACK, UNITS_BYTES, unit_encoder
 
 FAN_IN = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
@@ -55,22 +55,22 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def pack_local(docs: DataFrame, path: str, capacity: int, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
     """The pieces of all documents, with the bins of their partition.  A task keeps some 50 bytes a piece."""
-    tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-
-    def rows(doc: list, ids: list[bytes]) -> Iterator[tuple]:
-        for d, x in zip(doc, ids):
-            for k, a in enumerate(range(0, len(x), 4 * capacity)):
-                part = x[a : a + 4 * capacity]
-                yield d, k, a // 4, len(part) // 4, zlib.crc32(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for batch in batches:
-            for some in chunks(batch):
-                ids = [x + tail for x in unit_encoder(path, BLACK).encode(some.column("text").to_pylist())]
-                if found := [*rows(some.column("doc_id").to_pylist(), ids)]:
-                    parts.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"]))
-        if parts:
+            for some in chunks(batch, limit=UNITS_BYTES):
+                ids, at = unit_encoder(path, BLACK).encode(some.column("text"), end_id)
+                size = np.diff(at)
+                pieces = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), pieces)
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = number * capacity
+                length = np.minimum(capacity, size[doc] - start)
+                raw, first = memoryview(ids).cast("B"), 4 * (at[doc] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist())]
+                parts.append(pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"]))
+        if sum(p.num_rows for p in parts):
             table = pa.Table.from_batches(parts)
             bins, offsets, fills = best_fit(table["length"].to_numpy(), capacity)
             first = TaskContext.get().partitionId() << 32

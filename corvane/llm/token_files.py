@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import chunks, ids_and_texts, new_path
-from corvane.llm.units import WITH_SPACE, unit_encoder
+from corvane.llm.units import UNITS_BYTES, WITH_SPACE, unit_encoder
 
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 #: How the files are written.
@@ -41,18 +41,15 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int | None = None
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for some in chunks(batch):
-                ids = [x + tail for x in unit_encoder(path, WITH_SPACE).encode(some.column("text").to_pylist())]
-                size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                ends = np.cumsum(size)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(before + ends - size), pa.array(size), lists], ["doc_id", "part", "part_start", "n_tokens", "ids"])
-                before += int(ends[-1])
+            for some in chunks(batch, limit=UNITS_BYTES):
+                ids, at = unit_encoder(path, WITH_SPACE).encode(some.column("text"), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.full(len(some), part, np.int32)), pa.array(before + at[:-1]), pa.array(np.diff(at)), lists], ["doc_id", "part", "part_start", "n_tokens", "ids"])
+                before += int(at[-1])
 
     ordered = ids_and_texts(docs, id_col, text_col).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, FILE_SCHEMA).write.options(**WRITE_OPTIONS).mode("overwrite").parquet(out)

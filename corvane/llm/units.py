@@ -1,8 +1,9 @@
-"""Whole texts to ids with the tokenizers library, which is given each unit of text once.
+"""Whole texts to ids with the tokenizers library, which is given each distinct unit of text once.
 
 A tokenizer cuts a text into pieces before it merges.  A unit is a run of such
 pieces whose cut no neighbour can change, so a text's ids are those of its units
-in a row, and a worker needs to have each unit encoded once only.
+in a row.  Units are cut by classes of bytes, a chunk of texts at once, and
+numbered by their distinct strings; only strings not seen lately are encoded.
 """
 
 from __future__ import annotations
@@ -13,20 +14,33 @@ from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from corvane.llm.common import WHITE, Lists, flat
+
 #: The code points with the Unicode property White_Space.
-SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+
+
+#: Bytes of text whose units are counted at once.
+UNITS_BYTES = 4 << 20
+#: What a unit begins with: white space after other characters, or a sign right after a letter.
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+_SIGN[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
 
 @dataclass(frozen=True)
 class Kind:
     """How a tokenizer cuts texts.
 
-    units: cuts a text into units.  plain: units of Latin letters, digits and signs
-    only, which pieces cuts as the tokenizer would, so that its model alone is
-    needed for them; other units go through the whole tokenizer.
+    plain: units of Latin letters, digits and signs only, which pieces cuts as the
+    tokenizer would, so that its model alone is needed for them; other units go
+    through the whole tokenizer.
     """
 
-    units: re.Pattern
     plain: re.Pattern
     pieces: re.Pattern
     lower: bool
@@ -34,16 +48,37 @@ class Kind:
 
 _LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
-#: For byte-level tokenizers, whose pieces hold the white space before a word: a unit is a word with it.
-WITH_SPACE = Kind(re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"), re.compile(f"[ \\n]?[!-~{_LETTERS}]+"), re.compile(f"{_SHORT}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \\n0-9{_LETTERS}]+|\\n"), False)
+#: For byte-level tokenizers, whose pieces hold the white space before a word.
+WITH_SPACE = Kind(re.compile(f"[ \\n]?[!-~{_LETTERS}]+"), re.compile(f"{_SHORT}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \\n0-9{_LETTERS}]+|\\n"), False)
 #: For tokenizers that lower-case, take each digit for itself and drop white space.
-BLACK = Kind(re.compile(f"[^{SPACE}]+"), re.compile(f"[!-~{_LETTERS}]+"), re.compile(f"{_SHORT}|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+"), True)
+BLACK = Kind(re.compile(f"[ \\n]?[!-~{_LETTERS}]+"), re.compile(f"{_SHORT}|[{_LETTERS}]+|[0-9]|[^ \\n0-9{_LETTERS}]+"), True)
 #: Byte-level tokenizers show bytes by these characters, the first 33 that are not printable from 256 on, and so forth.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-#: Units that a worker keeps; others are encoded each time they come.
-CACHE_UNITS = 400_000
-LONG_UNIT = 64
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of white space, in UTF-8."""
+    out = WHITE[data]
+    for text in (chr(c) for c in SPACES if c >= 0x80):
+        bytes_ = text.encode()
+        at = np.flatnonzero(data[: len(data) - len(bytes_) + 1] == bytes_[0])
+        for k, b in enumerate(bytes_[1:], 1):
+            at = at[data[at + k] == b]
+        for k in range(len(bytes_)):
+            out[at + k] = True
+    return out
+
+
+def unit_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where units begin in the bytes of several texts, and the end; at: where each text begins, and the end."""
+    if not len(data):
+        return np.zeros(1, np.int64)
+    white = _white(data) if (data >= 0x80).any() else WHITE[data]
+    begins = np.empty(len(data) + 1, bool)
+    begins[1:-1] = white[1:] & ~white[:-1] | _LETTER[data[:-1]] & _SIGN[data[1:]]
+    begins[at] = True
+    return np.flatnonzero(begins)
 
 
 class UnitEncoder:
@@ -56,45 +91,51 @@ class UnitEncoder:
         self.whole = Tokenizer.from_file(path)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.kind, self.model = kind, self.library.model
-        self.cache: dict[str, bytes] = {}
+        self.units = Lists(self._new)
 
-    def _new(self, units: list[str]) -> dict[str, bytes]:
-        out, rest = {}, []
+    def _new(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        out, rest = [b""] * len(units), []
         plain, pieces, lower, tokenize = self.kind.plain.fullmatch, self.kind.pieces.findall, self.kind.lower, self.model.tokenize
-        for u in units:
+        for k, u in enumerate(x.decode() for x in units):
             if plain(u):
                 shown = [p.encode().decode("latin-1").translate(_SHOWN) for p in pieces(u.lower() if lower else u)]
-                out[u] = array("I", [t.id for p in shown for t in tokenize(p)]).tobytes()
+                out[k] = array("I", [t.id for p in shown for t in tokenize(p)]).tobytes()
             else:
-                rest.append(u)
-        for k in range(0, len(rest), 5000):
-            part = rest[k : k + 5000]
-            for u, x in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                out[u] = array("I", x.ids).tobytes()
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers; null counts as empty.
-
-        A text that holds an added token's string goes to the library whole, which gives that token's one id.
+                rest.append(k)
+        for a in range(0, len(rest), 5000):
+            part = rest[a : a + 5000]
+            for k, x in zip(part, self.library.encode_batch_fast([units[k].decode() for k in part], add_special_tokens=False)):
+                out[k] = array("I", x.ids).tobytes()
+        return np.frombuffer(b"".join(out), "<i4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by end_id, and where each text's begin (and the end).
+
+        Null counts as empty.  A text that holds an added token's string goes to the
+        library whole, which gives that token's one id.
         """
-        if any(a in x for x in texts if x for a in self.added):
-            marked = [k for k, x in enumerate(texts) if x and any(a in x for a in self.added)]
-            out = self.encode([None if x and any(a in x for a in self.added) else x for x in texts])
-            for k in marked:
-                out[k] = array("I", self.whole.encode(texts[k], add_special_tokens=False).ids).tobytes()
-            return out
-        units = [self.kind.units.findall(x or "") for x in texts]
-        found = self.cache
-        if new := [*{u for x in units for u in x if u not in found}]:
-            fresh = self._new(new)
-            room = max(0, CACHE_UNITS - len(found))
-            keep = [u for u in new if len(u) <= LONG_UNIT][:room]
-            found.update((u, fresh[u]) for u in keep)
-            if len(keep) < len(new):
-                get = found.get
-                return [b"".join([fresh[u] if (i := get(u)) is None else i for u in x]) for x in units]
-        return [b"".join([found[u] for u in x]) for x in units]
+        data, at = flat(texts)
+        raw, marked = data.tobytes(), {}
+        if any(a.encode() in raw for a in self.added):
+            holds = [pc.fill_null(pc.match_substring(texts, a), False).to_numpy(zero_copy_only=False) for a in self.added]
+            for k in np.flatnonzero(np.any(holds, axis=0)).tolist():
+                marked[k] = self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids
+            keep = np.ones(len(texts), bool)
+            keep[[*marked]] = False
+            data = data[np.repeat(keep, np.diff(at))]
+            at = np.append(0, np.cumsum(np.diff(at) * keep))
+        cuts = unit_cuts(data, at)
+        ids, size = self.units(data, cuts)
+        upto = np.append(0, np.cumsum(size))[np.searchsorted(cuts, at)]
+        if marked:
+            ids = np.insert(ids, np.repeat([upto[k] for k in marked], [len(x) for x in marked.values()]), [i for x in marked.values() for i in x])
+            more = np.zeros(len(upto), np.int64)
+            more[[k + 1 for k in marked]] = [len(x) for x in marked.values()]
+            upto = upto + np.cumsum(more)
+        if end_id is not None:
+            ids = np.insert(ids, upto[1:], end_id)
+            upto = upto + np.arange(len(upto))
+        return ids.astype("<i4", copy=False), upto
 
 
 @lru_cache(4)
