@@ -70,11 +70,12 @@ def stable_id(prefix: str, key: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes in steps of 1024: bytes as they are, else with one decimal."""
+    """Bytes in steps of 1024: bytes as they are, else with one decimal; halves go to the even digit."""
     amount = F.abs(size).cast("double")
-    out = F.format_string("%.1f PB", amount / 1024.0**5)
+    said = lambda k: F.format_string(f"%.1f {UNITS[k]}", F.bround(amount / 1024.0**k, 1))
+    out = said(5)
     for k in range(4, 0, -1):
-        out = F.when(amount < 1024.0 ** (k + 1), F.format_string(f"%.1f {UNITS[k]}", amount / 1024.0**k)).otherwise(out)
+        out = F.when(amount < 1024.0 ** (k + 1), said(k)).otherwise(out)
     out = F.when(amount < 1024.0, F.concat(F.abs(size).cast("long").cast("string"), F.lit(" B"))).otherwise(out)
     return F.when(size < 0, F.concat(F.lit("-"), out)).otherwise(out)
 
