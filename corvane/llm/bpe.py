@@ -5,7 +5,8 @@ classes says where a piece begins.  Its transition functions are elements of a
 finite monoid; blocks of a text are reduced in step by products from the
 monoid's table, the blocks' products are scanned associatively, and a last step
 gives each code point the state before it.  No regex is run.  The pieces between
-boundaries go to a cache; new ones are merged together in numpy.
+boundaries are numbered by their distinct strings and looked up in a cache; new
+ones are merged together in numpy.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, flat, ids_and_texts
+from corvane.llm.common import Lists, chunks, flat, ids_and_texts
 
 #: Classes of code points: letter, number, other, white space, and a blank or an
 #: apostrophe that starts a longer piece; WHITE_LAST is white space before a black character.
 LETTER, NUMBER, OTHER, WHITE, WHITE_LAST, BLANK, SHORT_1, SHORT_2, START = range(9)
-#: States: what the piece at hand consists of; AFTER_* wait for the letters of a short form.
-S_LETTER, S_NUMBER, S_OTHER, S_WHITE, S_BLANK, S_AFTER_1, S_AFTER_2 = range(7)
-#: Pieces that a worker keeps; more are still merged, only not kept.
-CACHE_PIECES = 400_000
+#: States: what the piece at hand consists of; AFTER_* wait for the letters of a short
+#: form, and after the last one, DONE, whatever follows begins a piece.
+S_LETTER, S_NUMBER, S_OTHER, S_WHITE, S_BLANK, S_AFTER_1, S_AFTER_2, S_DONE = STATES = range(8)
+#: Bytes of text whose pieces are looked up at once.
+PIECES_BYTES = 2 << 20
 #: Longer pieces are merged one by one, with a heap.
 LONG_PIECE = 200
 BLOCK = 128
@@ -37,9 +39,9 @@ BLOCK = 128
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
     """step[state, class] and, beside it, whether a piece begins there."""
-    step, begins = np.zeros((7, 9), np.uint8), np.zeros((7, 9), bool)
+    step, begins = np.zeros((len(STATES), 9), np.uint8), np.zeros((len(STATES), 9), bool)
     plain = {LETTER: S_LETTER, NUMBER: S_NUMBER, OTHER: S_OTHER}
-    for state in range(7):
+    for state in STATES:
         for kind, same in plain.items():
             step[state, kind], begins[state, kind] = same, state not in (same, S_BLANK)
         step[state, WHITE], begins[state, WHITE] = S_WHITE, state != S_WHITE
@@ -49,9 +51,9 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
         step[state, SHORT_1], begins[state, SHORT_1] = S_OTHER if joined else S_AFTER_1, not joined
         step[state, SHORT_2], begins[state, SHORT_2] = S_OTHER if joined else S_AFTER_2, not joined
         step[state, START] = S_WHITE
-    # the letters of a short form belong to it; what follows begins anew
+    # the letters of a short form belong to it
     step[S_AFTER_2, LETTER], begins[S_AFTER_2, LETTER] = S_AFTER_1, False
-    step[S_AFTER_1, LETTER], begins[S_AFTER_1, LETTER] = S_WHITE, False
+    step[S_AFTER_1, LETTER], begins[S_AFTER_1, LETTER] = S_DONE, False
     return step, begins
 
 
@@ -178,7 +180,7 @@ class Vocabulary:
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.cache: dict[bytes, bytes] = {}
+        self.pieces = Lists(self._found)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge; size where there is none."""
@@ -186,6 +188,10 @@ class Vocabulary:
         k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[k] == key, self.merged[k], self.size)
 
+    def _found(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.merge_all(pieces)
+        return np.frombuffer(b"".join(ids), "<i4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
     def merge_all(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian 32-bit numbers; in each round every piece merges its best pair."""
         out: list[bytes | None] = [None] * len(pieces)
@@ -257,23 +263,12 @@ class Vocabulary:
         byte_at = np.zeros(len(points) + 1, np.int64)
         np.cumsum(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000), out=byte_at[1:])
         starts = piece_starts(points, np.searchsorted(byte_at, at))
-        begin = byte_at[starts]
-        end = np.append(begin[1:], len(raw))
-        pieces = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist())]
-        ids = [*map(self.cache.get, pieces)]
-        if None in ids:
-            new = [*{p for p, x in zip(pieces, ids) if x is None}]
-            found = dict(zip(new, self.merge_all(new)))
-            ids = [found[p] if x is None else x for p, x in zip(pieces, ids)]
-            room = CACHE_PIECES - len(self.cache)
-            self.cache.update((p, found[p]) for p in new[: max(0, room)] if len(p) <= 64)
-        tokens = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        of_piece = np.zeros(len(pieces) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=of_piece[1:])
-        lists = of_piece[np.searchsorted(begin, at)].astype(np.int32)
+        cuts = np.append(byte_at[starts], len(data))
+        tokens, size = self.pieces(data, cuts)
+        lists = np.append(0, np.cumsum(size))[np.searchsorted(cuts, at)]
         ends = np.cumsum(self.lengths[tokens])
         ends -= np.repeat(at[:-1], np.diff(lists))
-        return (pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(x, pa.int32())) for x in (tokens, ends.astype(np.int32)))
+        return tuple(pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(x, pa.int32())) for x in (tokens, ends))
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids; a null list gives none."""
@@ -299,7 +294,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=PIECES_BYTES):
                 ids, ends = vocabulary(path).encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, ends], ["doc_id", "ids", "ends"])
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once.
 CHUNK_BYTES = 1 << 20
+#: The same where the units of texts are counted, most of which come again.
+UNITS_BYTES = 4 << 20
 U64 = np.uint64
 
 
@@ -111,10 +113,10 @@ class Lists:
 
     LONG = 64
 
-    def __init__(self, find: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+    def __init__(self, find: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000, dtype: type = np.int32):
         self.find, self.limit = find, limit
         self.slot: dict[bytes, int] = {}
-        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
         self.lists = self.numbers = 0
 
     def _append(self, numbers: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -167,6 +169,40 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+#: The code points with the Unicode property White_Space.
+SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+
+
+#: What a unit begins with: white space after other characters, or a sign right after a letter.
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+_SIGN[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of white space, in UTF-8."""
+    out = WHITE[data]
+    for text in (chr(c) for c in SPACES if c >= 0x80):
+        bytes_ = text.encode()
+        at = np.flatnonzero(data[: len(data) - len(bytes_) + 1] == bytes_[0])
+        for k, b in enumerate(bytes_[1:], 1):
+            at = at[data[at + k] == b]
+        for k in range(len(bytes_)):
+            out[at + k] = True
+    return out
+
+
+def unit_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where units begin in the bytes of several texts, and the end; at: where each text begins, and the end."""
+    if not len(data):
+        return np.zeros(1, np.int64)
+    white = _white(data) if (data >= 0x80).any() else WHITE[data]
+    begins = np.empty(len(data) + 1, bool)
+    begins[1:-1] = white[1:] & ~white[:-1] | _LETTER[data[:-1]] & _SIGN[data[1:]]
+    begins[at] = True
+    return np.flatnonzero(begins)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> U64(30))

@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, ids_and_texts
+from corvane.llm.common import UNITS_BYTES, Lists, chunks, flat, ids_and_texts, unit_cuts
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words are runs of letters (Unicode category L), in fitting and in scoring alike.
+LETTERS = regex.compile(r"\p{L}+")
 #: Fixed value: the n-grams that are held against the background; a word of one letter has one.
 BACKGROUND = 3
-#: Tokens whose scores a worker keeps.
-CACHE_TOKENS = 400_000
+#: Parts by hashed id that the rows of a language are counted in.
+PARTS = 1024
 
 
 @dataclass(frozen=True)
@@ -70,14 +71,18 @@ def fit(docs: DataFrame, docs_per_language: int = 1500, max_words: int = 20_000,
     """Learns from docs that have a text and a language.
 
     The sample is bounded: docs_per_language whole documents of each language, those
-    whose hashed ids are lowest.  Of their words the max_words most frequent are
+    with the lowest hashes of id and text, equal ones once.  Of their words the max_words most frequent are
     known, ties in alphabetical order, and as many n-grams as max_grams.  Without
     labelled rows the model has no language.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = named.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_language).select("doc_id", "lang").distinct()
-    sample = named.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")  # at most docs_per_language rows a language
+    named = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    # counts by part say which parts hold the lowest; only their rows are put in order
+    placed = named.select("h", "lang", F.pmod("h", F.lit(PARTS)).alias("part"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")
+    lowest = placed.groupBy("lang", "part").agg(F.count("*").alias("n")).withColumn("before", before).where(F.col("before") < docs_per_language).select("lang", "part")
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("part", "h"))
+    picked = placed.join(lowest, ["lang", "part"], "left_semi").withColumn("place", place).where(F.col("place") <= docs_per_language).select("lang", "h").distinct()
+    sample = named.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # at most docs_per_language rows a language
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     top = words.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("total"), "word").limit(max_words).collect()
     languages = tuple(sorted({x["lang"] for row in top for x in row["by"]}))
@@ -110,45 +115,36 @@ def fit(docs: DataFrame, docs_per_language: int = 1500, max_words: int = 20_000,
 
 
 class _Scorer:
-    """Keeps the scores of tokens between batches, in one matrix; row 0 is for tokens without a letter.
+    """Sums up scores by text; those of tokens are kept from chunk to chunk.  A token without a letter has none.
 
     background: what beyond_letters() says follows the scores.
     """
 
     def __init__(self, model: LanguageModel, background: bool = False):
-        self.model, self.rows, self.background = model, {}, background
-        self.matrix, self.used = np.zeros((1024, len(model.languages) * (1 + background))), 1
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.model, self.background = model, background
+        self.width = len(model.languages) * (1 + background)
+        self.tokens = Lists(self._scores, 300_000, np.float64)
+
+    def _scores(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        out, size = [], np.zeros(len(tokens), np.int64)
+        for k, t in enumerate(x.decode().lower() for x in tokens):
+            if (score := self.model.token(t)) is not None:
+                out += [score, self.model.beyond_letters(t)] if self.background else [score]
+                size[k] = self.width
+        return np.concatenate(out) if out else np.zeros(0), size
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text the summed scores, and whether it has a letter."""
-        tokens = [(x or "").lower().split() for x in texts]
-        get, extra = self.rows.get, {}
-        for t in {t for x in tokens for t in x if t not in self.rows}:
-            score = self.model.token(t)
-            if score is not None:
-                if self.background:
-                    score = np.concatenate([score, self.model.beyond_letters(t)])
-                if self.used == len(self.matrix):
-                    self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-                self.matrix[self.used] = score
-            row = 0 if score is None else self.used
-            if len(self.rows) < CACHE_TOKENS and len(t) <= 64:
-                self.rows[t] = row
-                self.used += row > 0
-            elif row:
-                extra[t] = score
-        out, lettered = np.zeros((len(texts), self.matrix.shape[1])), np.zeros(len(texts), bool)
-        for k, x in enumerate(tokens):
-            rows = np.array([get(t, -1) for t in x], np.int64)
-            kept = rows[rows > 0]
-            out[k] = self.matrix[kept].sum(0)
-            lettered[k] = len(kept) > 0
-            if (rows < 0).any():
-                for t in x:
-                    if t in extra:
-                        out[k] += extra[t]
-                        lettered[k] = True
-        return out, lettered
+        data, at = flat(texts)
+        n = len(at) - 1
+        if not self.width:  # no language was learned
+            return np.zeros((n, 0)), np.array([LETTERS.search(x or "") is not None for x in texts.to_pylist()], bool)
+        cuts = unit_cuts(data, at)
+        scores, size = self.tokens(data, cuts)
+        owner = (np.searchsorted(at, cuts[:-1], side="right") - 1)[size > 0]
+        scores = scores.reshape(-1, self.width)
+        sums = np.column_stack([np.bincount(owner, scores[:, k], n) for k in range(self.width)])
+        return sums, np.bincount(owner, minlength=n) > 0
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,10 +159,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=UNITS_BYTES):
                 scorer = scorer or _Scorer(shared.value)
                 names = scorer.model.languages
-                sums, lettered = scorer(part.column("text").to_pylist())
+                sums, lettered = scorer(part.column("text"))
                 if not names:
                     lettered[:] = False
                     best, score = np.zeros(len(sums), int), np.zeros(len(sums))
@@ -206,10 +202,10 @@ def accepted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=UNITS_BYTES):
                 scorer = scorer or _Scorer(shared.value, background=True)
                 names = scorer.model.languages
-                both, lettered = scorer(part.column("text").to_pylist())
+                both, lettered = scorer(part.column("text"))
                 if not names:
                     yield part.filter(pa.array(lettered))
                     continue

@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, ids_and_texts, stored
-from corvane.llm.units import BLACK, UNITS_BYTES, unit_encoder
+from corvane.llm.common import UNITS_BYTES, chunks, ids_and_texts, stored
+from corvane.llm.units import BLACK, unit_encoder
 
 FAN_IN = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"

@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, ids_and_texts, new_path
-from corvane.llm.units import UNITS_BYTES, WITH_SPACE, unit_encoder
+from corvane.llm.common import UNITS_BYTES, chunks, ids_and_texts, new_path
+from corvane.llm.units import WITH_SPACE, unit_encoder
 
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 #: How the files are written.

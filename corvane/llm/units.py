@@ -18,18 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corvane.llm.common import WHITE, Lists, flat
-
-#: The code points with the Unicode property White_Space.
-SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-
-
-#: Bytes of text whose units are counted at once.
-UNITS_BYTES = 4 << 20
-#: What a unit begins with: white space after other characters, or a sign right after a letter.
-_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
-_SIGN[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+from corvane.llm.common import Lists, flat, unit_cuts
 
 
 @dataclass(frozen=True)
@@ -57,30 +46,6 @@ _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-def _white(data: np.ndarray) -> np.ndarray:
-    """Which bytes are of white space, in UTF-8."""
-    out = WHITE[data]
-    for text in (chr(c) for c in SPACES if c >= 0x80):
-        bytes_ = text.encode()
-        at = np.flatnonzero(data[: len(data) - len(bytes_) + 1] == bytes_[0])
-        for k, b in enumerate(bytes_[1:], 1):
-            at = at[data[at + k] == b]
-        for k in range(len(bytes_)):
-            out[at + k] = True
-    return out
-
-
-def unit_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where units begin in the bytes of several texts, and the end; at: where each text begins, and the end."""
-    if not len(data):
-        return np.zeros(1, np.int64)
-    white = _white(data) if (data >= 0x80).any() else WHITE[data]
-    begins = np.empty(len(data) + 1, bool)
-    begins[1:-1] = white[1:] & ~white[:-1] | _LETTER[data[:-1]] & _SIGN[data[1:]]
-    begins[at] = True
-    return np.flatnonzero(begins)
-
-
 class UnitEncoder:
     def __init__(self, path: str, kind: Kind):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -52,6 +53,16 @@ def test_bpe_is_tiktoken(odd, docs):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
 
 
+def test_piece_boundaries_are_the_patterns():
+    """Where pieces begin, not only which ids they have: an unlucky vocabulary could hide a wrong cut."""
+    import regex
+
+    cases = ["it's  x", "we'll\n\n", "'s's 't", "I'm\t 'd  've9", "x'", "''re  "] + [t for t in TEXTS if t]
+    for text in [*cases, *("".join(RNG.choice(["'s", "'ll", "'", " ", "  ", "\n", "a", "9", "!", "\u3000", "\u00e9"]) for _ in range(12)) for _ in range(3000))]:
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        assert bpe.piece_starts(points, np.array([0, len(points)])).tolist() == [m.start() for m in regex.finditer(P.PATTERN, text)], repr(text)
+
+
 def encoder(name):
     from tokenizers import Tokenizer
 
@@ -157,11 +168,25 @@ def test_langid(odd, docs):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows) > 0
     found = langid.predict(odd, langid.fit(docs)).collect()
-    lettered = Counter(any(c.isalpha() for c in t or "") for t in TEXTS)
+    lettered = Counter(any(unicodedata.category(c)[0] == "L" for c in t or "") for t in TEXTS)
     assert Counter(r["lang_pred"] != "und" for r in found) == lettered and all(0 <= r["score"] <= 1 for r in found)
     assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(odd.where("lang is null"))).collect()} == {"und"}
 
 
+def test_langid_without_letters_and_with_repeats(spark, docs):
+    """Figures and numbers are no letters; the sample is bounded however often a row or an id comes."""
+    model = langid.fit(docs)
+    made = spark.createDataFrame([(k, t) for k, t in enumerate(["\u00b2", "\u00bd \u2460", "\u2167 12", "_ #", "\u00e9", "the 12"])], "doc_id long, text string")
+    got = by_id(langid.predict(made, model))
+    assert [got[k]["lang_pred"] == "und" for k in range(6)] == [True] * 4 + [False] * 2 and all(got[k]["score"] == 0 for k in range(4))
+    again = docs.unionByName(docs).unionByName(docs)
+    assert langid.fit(again) == model
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert langid.fit(nameless).languages == model.languages
+    one = docs.where("lang = 'en'").limit(1)
+    assert sum(len(x) for x in [langid.fit(docs, docs_per_language=1).words]) < len(model.words) and langid.fit(one).languages == ("en",)
+
+
 def test_langid_accepts_learned_languages_only(spark, docs):
     """Foreign and random texts are dropped however long; without labels all texts with a letter stay as they are."""
     polish = "Wszyscy ludzie rodz\u0105 si\u0119 wolni i r\u00f3wni pod wzgl\u0119dem swej godno\u015bci i swych praw. "
