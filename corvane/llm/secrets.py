@@ -1,11 +1,12 @@
-"""Secret scans: all rules in one pass over the bytes, by a combined deterministic automaton.
+"""Secret scans: all rules in one pass over the bytes, by combined deterministic automata.
 
 Rules are regular expressions over bytes.  Each becomes an automaton with
 empty moves; subset construction over their union and minimisation give one
-transition array.  Texts of a chunk are scanned side by side, one byte of each
-at a time, and an accepting state says which rules have a match that ends there.
-Only texts with such a hit are looked at further: the rule's own automaton,
-anchored, finds the leftmost longest matches from the places where one can begin.
+transition array.  The rules read backwards make the automaton that passes over
+every text once, from its end, the texts of a chunk side by side: an accepting
+state says which rules' matches begin at that byte.  From these places alone a second
+automaton, of all rules read forwards, goes to the matches' ends.  No place is
+read twice in vain: a state and place from which no end was reached is remembered.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ LANES_BYTES = 4 << 20
 class Rule:
     """span: what a match extends over, leftmost and longest; confirm: what it must also match from its start.
 
-    sign: what every such match holds, for the combined automaton, which has fewer
-    states the fewer characters signs count.  base: whether the rule is one of
-    those whose spans are digested apart.
+    head: what begins exactly where spans that can be confirmed do, that is, the span
+    without all that may follow.  base: whether the rule is one of those whose spans
+    are digested apart.
     """
 
     kind: str
-    sign: str
+    head: str
     span: str
     confirm: str
     base: bool = True
@@ -56,8 +57,8 @@ RULES = (
     Rule("hex", "[0-9a-f]{24,}", "[0-9a-f]+", "[0-9a-f]{24,}"),
     Rule("github", "gh[opsur]_[A-Za-z0-9]", "gh[opsur]_[A-Za-z0-9]+", "gh[opsur]_[A-Za-z0-9]{20,}", False),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}", False),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+(\\.[A-Za-z0-9_-]+)*", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", False),
-    Rule("pem", "-----BEGIN\\x20", f"{_PEM}({_TO_END}|{_BODY})?", _PEM, False),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+(\\.[A-Za-z0-9_-]+)*", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", False),
+    Rule("pem", _PEM, f"{_PEM}({_TO_END}|{_BODY})?", _PEM, False),
 )
 
 
@@ -76,12 +77,20 @@ class _Machine:
         self.moves.append(None)
         return len(self.empty) - 1
 
-    def add(self, rule: str) -> tuple[int, int]:
+    def add(self, rule: str, backward: bool) -> tuple[int, int]:
         self.rule, self.at = rule, 0
         tree = self._choice()
         if self.at != len(rule):
             raise ValueError(f"rule not understood at {self.at}: {rule}")
-        return self._build(tree)
+        return self._build(self._backward(tree) if backward else tree)
+
+    def _backward(self, tree):
+        kind, inner = tree
+        if kind == "set":
+            return tree
+        if kind in "?*":
+            return kind, self._backward(inner)
+        return kind, [self._backward(x) for x in (reversed(inner) if kind == "row" else inner)]
 
     def _peek(self) -> str:
         return self.rule[self.at : self.at + 1]
@@ -180,24 +189,24 @@ class _Machine:
 
 @dataclass(frozen=True)
 class Automaton:
-    """step[state * 256 + byte]; accepts: a bit for each rule; the first state is 0; dead: no match from there on."""
+    """step[state * 256 + byte]; accepts: a bit for each rule; the first state is 0; live: the rules that can accept further on."""
 
     step: np.ndarray
     accepts: np.ndarray
-    dead: np.ndarray
+    live: np.ndarray
 
 
-def compile_rules(rules: tuple[str, ...], anchored: bool) -> Automaton:
+def compile_rules(rules: tuple[str, ...], anchored: bool, backward: bool = False) -> Automaton:
     """Subset construction over the union of the rules, then minimisation by splitting blocks of states.
 
     Unanchored, the first state's moves stay open at every byte, so that a state
-    accepts wherever a match ends.
+    accepts wherever a match ends (or, if rules are read backwards, begins).
     """
     machine = _Machine()
     ends = {}
     firsts = []
     for k, rule in enumerate(rules):
-        a, b = machine.add(rule)
+        a, b = machine.add(rule, backward)
         firsts.append(a)
         ends[b] = k
     # bytes that no set tells apart form one class
@@ -237,54 +246,57 @@ def compile_rules(rules: tuple[str, ...], anchored: bool) -> Automaton:
     block = order[block]
     picked = np.unique(block, return_index=True)[1]
     small, kinds = block[step[picked]], accepts[picked]
-    dead = (small == np.arange(len(small))[:, None]).all(1) & (kinds == 0)
-    return Automaton(small[:, of_byte].astype(np.int32).ravel(), kinds.astype(np.int64), dead)
+    live = np.zeros(len(small), np.int64)
+    while ((more := np.bitwise_or.reduce((kinds | live)[small], axis=1)) != live).any():
+        live = more
+    return Automaton(small[:, of_byte].astype(np.int32).ravel(), kinds.astype(np.int64), live)
 
 
 @lru_cache(8)
-def _compiled(rules: tuple[Rule, ...]) -> tuple:
-    """The combined automaton, and for each rule: its anchored span and confirm automata, as lists."""
-    own = [tuple((x.step.tolist(), x.accepts.tolist(), x.dead.tolist()) for x in (compile_rules((r.span,), True), compile_rules((r.confirm,), True))) for r in rules]
-    return compile_rules(tuple(r.sign for r in rules), False), own
+def _compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, tuple[list, list, list]]:
+    """The automaton that passes over texts from their ends, and the one that finds ends; of it, rule k's span has bit 2k and its confirm bit 2k + 1."""
+    ends = compile_rules(tuple(x for r in rules for x in (r.span, r.confirm)), True)
+    return compile_rules(tuple(r.head for r in rules), False, True), (ends.step.tolist(), ends.accepts.tolist(), ends.live.tolist())
 
 
 # --- scanning -------------------------------------------------------------
 
 
-def hits(data: np.ndarray, at: np.ndarray, automaton: Automaton) -> np.ndarray:
-    """For each text a bit set of the rules whose sign is in it, from one pass.
+def starts(data: np.ndarray, at: np.ndarray, automaton: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where matches begin: text, place in data and the rules' bits, in ascending order, from one pass backwards.
 
     Long texts are first: in every step the texts that go on are a prefix.
     """
     size = np.diff(at)
     order = np.argsort(-size, kind="stable")
-    size, begin = size[order], at[:-1][order]
-    found = np.zeros(len(size), np.int64)
+    size, end = size[order], at[1:][order] - 1
     state = np.zeros(len(size), np.int32)
     step, accepts = automaton.step, automaton.accepts
-    some = np.flatnonzero(accepts)
-    plain = np.ones(len(accepts), bool)
-    plain[some] = False
+    marks = accepts != 0
     longest = int(size[0]) if len(size) else 0
     alive = np.searchsorted(-size, -np.arange(longest), side="left")
     few = int(np.searchsorted(-alive, -8, side="left"))  # from there on too few texts go on for array steps to pay
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
     for k in range(few):
         n = alive[k]
         if n < len(state):
-            state, begin = state[:n], begin[:n]
-        state = step[(state << 8) + data[begin + k]]
-        if not plain[state].all():
-            found[:n] |= accepts[state]
+            state, end = state[:n], end[:n]
+        state = step[(state << 8) + data[end - k]]
+        if marks[state].any():
+            here = np.flatnonzero(marks[state])
+            found.append((order[here], end[here] - k, accepts[state[here]]))
     for t in range(int(alive[few]) if few < longest else 0):
-        s, kinds = int(state[t]), 0
-        steps, marks = _lists(automaton)
-        for c in data[begin[t] + few : begin[t] + size[t]].tobytes():
+        s, steps, kinds = int(state[t]), *_lists(automaton)
+        first, own = int(end[t] - size[t] + 1), []
+        for place, c in zip(range(int(end[t]) - few, first - 1, -1), reversed(data[first : end[t] + 1 - few].tobytes())):
             s = steps[(s << 8) + c]
-            kinds |= marks[s]
-        found[t] |= kinds
-    out = np.zeros(len(found), np.int64)
-    out[order] = found
-    return out
+            if kinds[s]:
+                own.append((order[t], place, kinds[s]))
+        if own:
+            found.append(tuple(np.array(x, np.int64) for x in zip(*own)))
+    text, place, kinds = (np.concatenate(x) for x in zip(*found))
+    up = np.argsort(place)
+    return text[up], place[up], kinds[up]
 
 
 _AS_LISTS: dict[int, tuple] = {}
@@ -296,37 +308,49 @@ def _lists(automaton: Automaton) -> tuple:
     return _AS_LISTS[id(automaton)][:2]
 
 
-def _longest(machine: tuple, text: bytes, at: int) -> int:
-    """The end of the longest match from at, or -1."""
-    step, accepts, dead = machine
-    state, end = 0, -1
-    for k in range(at, len(text)):
-        state = step[(state << 8) + text[k]]
-        if accepts[state]:
-            end = k + 1
-        elif dead[state]:
-            break
-    return end
+#: Places at which a state that led nowhere is remembered.
+EVERY = 64
 
 
-def spans(text: bytes, mask: int, rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
-    """(start, rule, end) in bytes, by start and then rule, of the rules in mask: leftmost, longest, not overlapping."""
-    _, own = _compiled(rules)
-    out = []
-    for k, rule in enumerate(rules):
-        if not mask >> k & 1:
-            continue
-        span, confirm = own[k]
-        begins = [c for c in range(256) if not span[2][span[0][c]]]
-        can = np.zeros(256, bool)
-        can[begins] = True
-        free = 0
-        for a in np.flatnonzero(can[np.frombuffer(text, np.uint8)]).tolist():
-            if a >= free and (end := _longest(span, text, a)) > a:
-                free = end
-                if _longest(confirm, text, a) > a:
-                    out.append((a, k, end))
-    return sorted(out)
+def spans(text: bytes, found: list[tuple[int, int]], rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
+    """(start, rule, end) in bytes, by start and then rule: leftmost, longest, not overlapping within a rule.
+
+    found: (place, rules' bits) where matches begin, ascending.
+    """
+    step, accepts, live = _compiled(rules)[1]
+    states = len(accepts)
+    out, free, nowhere = [], [0] * len(rules), [set() for _ in rules]
+    for a, kinds in found:
+        for k in range(len(rules)):
+            if not kinds >> k & 1 or a < free[k]:
+                continue
+            bit, state, end, sure, passed = 1 << 2 * k, 0, a, False, []
+            for j in range(a, len(text)):
+                state = step[(state << 8) + text[j]]
+                if (hit := accepts[state]) & bit:
+                    end, passed = j + 1, []
+                    sure = sure or hit & bit << 1 != 0
+                if not live[state] & bit:
+                    break
+                if not j % EVERY:
+                    if (here := j * states + state) in nowhere[k]:
+                        break
+                    passed.append(here)
+            nowhere[k].update(passed)
+            free[k] = end
+            if sure:
+                out.append((a, k, end))
+    return out
+
+
+def spans_by_text(data: np.ndarray, at: np.ndarray, rules: tuple[Rule, ...]) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """The spans of every text that has any, in bytes of the text."""
+    text, place, kinds = starts(data, at, _compiled(rules)[0])
+    edges = np.flatnonzero(np.diff(text, prepend=-1, append=-1)) if len(text) else np.zeros(0, int)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        t = int(text[a])
+        if found := spans(data[at[t] : at[t + 1]].tobytes(), [*zip((place[a:b] - at[t]).tolist(), kinds[a:b].tolist())], rules):
+            yield t, found
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,17 +361,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, _ = _compiled(rules)
         for batch in batches:
             for part in chunks(batch, limit=LANES_BYTES):
                 data, at = flat(part.column("text"))
-                found = hits(data, at, automaton)
-                rows = [[] for _ in found]
-                for t in np.flatnonzero(found).tolist():
-                    own = data[at[t] : at[t + 1]]
-                    point = np.zeros(len(own) + 1, np.int64)
-                    np.cumsum((own & 0xC0) != 0x80, out=point[1:])
-                    rows[t] = [{"kind": rules[k].kind, "start": int(point[a]), "end": int(point[b])} for a, k, b in spans(own.tobytes(), int(found[t]), rules)]
+                rows: list[list[dict]] = [[] for _ in range(part.num_rows)]
+                for t, found in spans_by_text(data, at, rules):
+                    point = np.zeros(at[t + 1] - at[t] + 1, np.int64)
+                    np.cumsum((data[at[t] : at[t + 1]] & 0xC0) != 0x80, out=point[1:])
+                    rows[t] = [{"kind": rules[k].kind, "start": int(point[a]), "end": int(point[b])} for a, k, b in found]
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, kind)], ["doc_id", "spans"])
 
@@ -372,17 +393,15 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, _ = _compiled(rules)
         sign = mark.encode()
         for batch in batches:
             for part in chunks(batch, text_col, LANES_BYTES):
                 data, at = flat(part.column(text_col))
-                found = np.flatnonzero(hits(data, at, automaton))
-                if len(found):
+                if found := [*spans_by_text(data, at, rules)]:
                     texts = part.column(text_col).to_pylist()
-                    for t in found.tolist():
+                    for t, own_spans in found:
                         own, pieces, free = data[at[t] : at[t + 1]].tobytes(), [], 0
-                        for a, _, b in spans(own, (1 << len(rules)) - 1, rules):
+                        for a, _, b in own_spans:
                             if a > free or not pieces:
                                 pieces += [own[free:a], sign]
                             free = max(free, b)
