@@ -400,17 +400,48 @@ def test_neardup_components(spark, per_task):
 def test_chat(spark, sf):
     lines = ["User: hi", "more", "Assistant: yes", "Q: and?", "A: no"]
     states, bare = chat.roles(lines)
-    assert [s // 2 for s in states] == [1, 1, 2, 1, 2] and states[1] % 2 == 1 and bare[0] == "hi"
+    assert [chat.role_of(s) for s in states] == [1, 1, 2, 1, 2] and states[1] % 2 == 1 and bare[0] == "hi"
+    states, bare = chat.roles(["User: hi", "\nHello there.", "How are you?", "\nFine."])  # turns apart by blank lines
+    assert [chat.role_of(s) for s in states] == [1, 2, 2, 1] and [s % 2 for s in states] == [0, 0, 1, 0] and bare[1] == "Hello there."
+    states, bare = chat.roles(["User: hi", "\nAnd more.", "Assistant: yes", "\nindeed", "User: no"])  # paragraphs of marked turns
+    assert [chat.role_of(s) for s in states] == [1, 1, 2, 2, 1] and bare[3] == "\nindeed"
     talk = spark.read.parquet(f"{sf}/conversations.parquet")
     true = {r["conv_id"]: r["roles"] for r in talk.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles")).collect()}
     got = {r["conv_id"]: r["roles"] for r in chat.digests(talk).collect()}
     assert got.keys() == true.keys() and sum(got[k] == true[k] for k in got) >= 0.7 * len(got)
     long = spark.createDataFrame([(1, t, "user" if t % 2 else "assistant", f"line {t}\n\nmore") for t in range(100)] + [(2, 0, None, None), (None, 1, "user", "x")], "conv_id long, turn long, role string, text string")
     rows = chat.parse(chat.transcript_lines(long)).orderBy("line").collect()
-    whole, _ = chat.roles([r["text"] for r in chat.transcript_lines(long).orderBy("line").collect()])
+    whole, text = chat.roles([r["text"] for r in chat.transcript_lines(long).orderBy("line").collect()])
+    assert [r["text"] for r in rows] == text
     assert [r["state"] for r in rows] == whole
 
 
+def test_chat_rows_of_one_turn_and_edge_cases(spark):
+    """Rows of a turn follow each other by text; repeated rows, negative turns, blank lines, nulls and an empty table."""
+    schema = "conv_id long, turn long, role string, text string, segment string, line int"
+    rows = [(5, 0, "user", "b1\nb2"), (5, 0, "user", "a1\n\na2"), (5, 0, "user", "a1\n\na2"), (5, -40, "system", "s"), (5, 1, "assistant", None), (5, 2, "user", " \n "), (6, 0, None, ""), (None, 0, "user", "x"), (7, None, "user", "x"), (8, 3, "user", "only")]
+    made = spark.createDataFrame([(*r, "clash", k) for k, r in enumerate(rows)], schema)
+    lines = [r["text"] for r in chat.transcript_lines(made).where("conv_id = 5").orderBy("segment", "line").collect()]
+    bare = [re.sub(r"^(\S+: |- )", "", x) for x in lines]
+    assert bare[0].endswith("s") and [x.strip("\n") for x in bare[1:]] == ["a1", "a2", "a1", "a2", "b1", "b2"] and bare[2] == "\na2"
+    found = chat.digests(made).collect()
+    assert {(r["conv_id"], r["segment"]) for r in found} == {(5, -2), (5, 0), (8, 0)} and sum(r["n_lines"] for r in found) == 8
+    assert chat.digests(made.limit(0)).count() == 0
+
+
+def test_chat_against_every_way(spark):
+    """Viterbi's states are the best of all ways through a short transcript."""
+    from itertools import product
+
+    for _ in range(40):
+        seen = np.array([RNG.randrange(6) for _ in range(4)])
+        score = lambda way: chat.FIRST[way[0]] + chat.SEE[way[0], seen[0]] + sum(chat.MOVE[a, b] + chat.SEE[b, x] for a, b, x in zip(way, way[1:], seen[1:]))
+        best = max(map(score, product(range(chat.STATES), repeat=4)))
+        assert score(chat.decode(seen, None, None)) == pytest.approx(best)
+        ends = chat._cuts([chat.transfer(seen[:2]), chat.transfer(seen[2:])])
+        assert score([*chat.decode(seen[:2], None, ends[0]), *chat.decode(seen[2:], ends[0], ends[1])]) == pytest.approx(best)
+
+
 def test_queries_and_pipeline(spark, sf):
     import corpus_pipeline
 
