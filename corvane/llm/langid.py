@@ -39,32 +39,32 @@ class LanguageModel:
     letters: dict[str, float]
     unseen: tuple[float, ...]
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> tuple[float, ...]:
         """Scores by language: a known word's, else the mean over its longest n-grams of which any is known."""
         if (known := self.words.get(word)) is not None:
-            return np.array(known)
+            return known
         marked = f"^{word}$"
         for n in self.sizes:
             found = [x for k in range(len(marked) - n + 1) if (x := self.grams.get(marked[k : k + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+                return tuple(sum(x) / len(found) for x in zip(*found))
+        return (0.0,) * len(self.languages)
 
-    def token(self, token: str) -> np.ndarray | None:
+    def token(self, token: str) -> tuple[float, ...] | None:
         """The sum over the token's words; None if it has no letter."""
         words = LETTERS.findall(token)
-        return np.sum([self.word(w) for w in words], axis=0) if words else None
+        return tuple(map(sum, zip(*map(self.word, words)))) if words else None
 
-    def beyond_letters(self, token: str) -> np.ndarray:
+    def beyond_letters(self, token: str) -> tuple[float, ...]:
         """By how much each language makes the token's n-grams of BACKGROUND characters likelier than their letters by chance do."""
-        out, rare = np.zeros(len(self.languages)), -math.log(len(self.letters) + 1)
+        rare, chance, grams = -math.log(len(self.letters) + 1), 0.0, []
         for word in LETTERS.findall(token):
             marked = f"^{word}$"
+            alone = [max(self.letters.get(c, rare), rare) for c in marked]
             for k in range(len(marked) - BACKGROUND + 1):
-                gram = marked[k : k + BACKGROUND]
-                out += self.grams.get(gram, self.unseen)
-                out -= sum(max(self.letters.get(c, rare), rare) for c in gram)
-        return out
+                grams.append(self.grams.get(marked[k : k + BACKGROUND], self.unseen))
+                chance += sum(alone[k : k + BACKGROUND])
+        return tuple(sum(x) - chance for x in zip(*grams)) if grams else (0.0,) * len(self.languages)
 
 
 def fit(docs: DataFrame, docs_per_language: int = 1500, max_words: int = 20_000, max_grams: int = 60_000, sizes: tuple[int, ...] = (5, 4, 3, 2, 1), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -129,9 +129,9 @@ class _Scorer:
         out, size = [], np.zeros(len(tokens), np.int64)
         for k, t in enumerate(x.decode().lower() for x in tokens):
             if (score := self.model.token(t)) is not None:
-                out += [score, self.model.beyond_letters(t)] if self.background else [score]
+                out += score + self.model.beyond_letters(t) if self.background else score
                 size[k] = self.width
-        return np.concatenate(out) if out else np.zeros(0), size
+        return np.array(out), size
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text the summed scores, and whether it has a letter."""
