@@ -291,12 +291,69 @@ def test_fingerprints(odd, docs):
             wanted[len(text), hashlib.sha256((text[: len(text) - n] + following[:n]).encode()).hexdigest()] += 1
         rows = fingerprints.digests(table).collect()
         assert Counter((r["n_chars"], r["edited_sha256"]) for r in rows) == wanted
-    texts = [r["text"] for r in docs.collect()][:60]
-    sets = shingle_sets(pa.array(texts), 5)
-    for a, b in zip(sets, sets[1:]):
-        true = len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b)))
-        assert abs(fingerprints.likeness(fingerprints.sketch(a), fingerprints.sketch(b)) - true) < 0.35
-    assert fingerprints.from_text(fingerprints.as_text(sets[0])).tolist() == sets[0].tolist()
+
+
+def five_words(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def share(a, b, of=None):
+    return len(a & b) / len(of if of is not None else a | b) if a or b else 1.0
+
+
+def test_fingerprints_against_full_sets(odd, docs):
+    """Likeness and containment are exact for short texts and within five standard errors for others; equal texts have equal fingerprints."""
+    for table in (docs, odd):
+        order = sorted(((r["doc_id"] if r["doc_id"] is not None else -(2**63), r["text"] or "") for r in table.collect()))
+        got = defaultdict(list)
+        for r in fingerprints.digests(table).collect():
+            got[r["doc_id"] if r["doc_id"] is not None else -(2**63), r["n_chars"], r["edited_sha256"]].append(r)
+        by_text = defaultdict(set)
+        for k, (doc_id, text) in enumerate(order):
+            n, following = len(text) // 4, order[(k + 1) % len(order)][1]
+            edited = text[: len(text) - n] + following[:n]
+            own, new, after = map(five_words, (text, edited, following))
+            rows = got[doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest()]
+            by_text[text].update(r["fingerprint"] for r in rows)
+            whole = len(own) <= fingerprints.FEW and len(new) <= fingerprints.FEW
+            true, few = share(own, new), max(1, len(own | new) * fingerprints.FRACTION)
+            assert any(abs(r["near_edited"] - true) <= (1e-9 if whole else 5 * (true * (1 - true) / few) ** 0.5 + 0.05) for r in rows)
+            if len(own) <= fingerprints.FEW and len(after) <= fingerprints.FEW:
+                assert any(abs(r["near_next"] - share(own, after)) < 1e-9 and abs(r["in_next"] - (share(own, after, own) if own else 1.0)) < 1e-9 for r in rows)
+        assert all(len(x) == 1 for x in by_text.values())
+        assert len({x for s in by_text.values() for x in s}) == len({frozenset(five_words(t)) for t in by_text})
+
+
+def test_fingerprints_contain_and_merge():
+    """A passage's containment in a much longer text that holds some of it; merging is exact; the text form is read back."""
+    sets = lambda *texts: [fingerprints.sketch(x) for x in shingle_sets(pa.array(texts), 5)]
+    words = [f"w{RNG.randrange(10**6)}" for _ in range(40000)]
+    for size, held in ((1500, 1500), (1500, 700), (1500, 0), (40, 40)):
+        passage = words[100 : 100 + held] + [f"x{k}" for k in range(size - held)]
+        a, b = sets(" ".join(passage), " ".join(words))
+        true = max(0, held - 4) / (size - 4)
+        if (found := fingerprints.containment(a, b)) is None:
+            assert size == 40 and not len(a.below())
+        else:
+            assert abs(found - true) <= 5 * (true * (1 - true) / max(1, len(a.below()))) ** 0.5 + 1e-9
+    for one, two in ((20, 20), (20, 60), (60, 600), (5000, 4000), (0, 30), (0, 0)):
+        x, y = shingle_sets(pa.array([" ".join(words[:one]), " ".join(words[one // 2 : one // 2 + two])]), 5)
+        a, b, both = fingerprints.sketch(x), fingerprints.sketch(y), fingerprints.sketch(np.union1d(x, y))
+        got = fingerprints.merged(a, b)
+        assert got.whole == both.whole and got.hashes.tolist() == both.hashes.tolist()
+        again = fingerprints.from_text(fingerprints.as_text(a))
+        assert again.whole == a.whole and again.hashes.tolist() == a.hashes.tolist()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 10, 100])
+def test_ranges(spark, n):
+    """The range of a key is the number of edges up to it."""
+    from bisect import bisect_right
+
+    edges = sorted(RNG.sample(range(1000), n))
+    rows = spark.range(-1, 1001, 7).select("id", fingerprints._range_of(F.col("id"), edges).alias("part")).collect()
+    assert all(r["part"] == bisect_right(edges, r["id"]) for r in rows)
 
 
 def test_licenses(spark, docs):
