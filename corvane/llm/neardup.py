@@ -6,13 +6,14 @@ signature.  Equal sets are one node.  Nodes that share a bucket are compared by
 bit counts of their signatures, with the chance agreement of unequal minima
 taken out, and what may be linked is confirmed on the full sets.
 
-No bucket's pairs are listed.  In the first round a bucket gives a spanning
-forest of its pairs by the highest estimates, in later ones the best pair that is
-not refuted of each node outside its largest component; each node confirms the
-best it was given.  If after ROUNDS rounds some nodes still have pairs to other
-components, they are compared with the full sets of all members of their buckets,
-so the components are those of all links.  Buckets are
-cut into blocks, and pairs of blocks are separate tasks.
+No bucket's pairs are listed.  Members of a large bucket are dealt to blocks, anew in
+every round, and compared within their block only, so that a round has a row a
+member.  In the first round a block gives a spanning forest of its pairs by the highest
+estimates, in later ones the best pair that is not refuted of each node outside its
+largest component; each node confirms the best it was given.  Then all members outside
+their bucket's largest component, the open ones, are compared with all other members of the
+bucket, block by block, and where an estimate allows a link, with their full sets.  So
+the components are those of all links.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import U64, chunks, ids_and_texts, mixed, shingle_sets, stored
@@ -31,14 +32,12 @@ from corvane.llm.common import U64, chunks, ids_and_texts, mixed, shingle_sets,
 PERMS, BANDS, ROWS, BITS = 128, 32, 4, 4
 #: Pairs at the threshold whose estimate falls by as much are five standard deviations off.
 MARGIN = 0.18
-#: Members of a bucket that one task compares with as many others.
+#: Members of a bucket that one task compares with each other.
 BLOCK = 1024
-#: Rounds of few pairs; members that still have one then are compared with their whole buckets.
+#: Rounds of few pairs, before open members are compared with their whole buckets.
 ROUNDS = 3
 #: Members, and open members, of a bucket whose full sets one task holds then.
 EXACT_BLOCK = 256
-#: Edges of a graph that one task contracts.
-EDGES = 1 << 20
 
 _SEED = mixed(np.arange(1, 2 * PERMS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _FACTOR, _SHIFT = _SEED[:PERMS] | U64(1), _SEED[PERMS:]
@@ -84,7 +83,9 @@ def node_of(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node, sig, bands; the last three are null for a text without words."""
+    """docs: doc_id, text, and any further columns, kept.  Instead of text: n_shingles, node, sig, bands; the last three are null for a text without words."""
+    keep = [f for f in docs.schema if f.name != "text"]
+    names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,9 +97,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     least = minima([sets[k] for k in full])
                     for k, s, b in zip(full, packed(least), band_keys(least)):
                         nodes[k], sigs[k], bands[k] = node_of(sets[k]), s.tobytes(), b
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "sig", "bands"])
+                made = [pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], [*names, "n_shingles", "node", "sig", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary, bands array<long>")
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in keep)
+    return docs.mapInArrow(run, kept + "n_shingles long, node binary, sig binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -114,13 +117,9 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 # --- pairs within buckets -------------------------------------------------
 
 
-def _forest(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: float, refuted: dict[int, list[int]]) -> list[tuple[int, int, float]]:
-    """(child, parent, estimate) of a spanning forest by highest estimates; members of one component hang together at no cost.
-
-    side: the block; in a pair of blocks only pairs across are compared.
-    """
+def _forest(sigs: np.ndarray, comp: np.ndarray, floor: float, refuted: dict[int, list[int]]) -> list[tuple[int, int, float]]:
+    """(child, parent, estimate) of a spanning forest by highest estimates; members of one component hang together at no cost."""
     n = len(sigs)
-    across = side.min() != side.max()
     best, parent, todo = np.full(n, -1.0), np.full(n, -1), np.ones(n, bool)
     out = []
     for _ in range(n):
@@ -130,8 +129,6 @@ def _forest(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: float,
             out.append((k, int(parent[k]), float(best[k])))
         near = estimates(sigs, sigs[k])
         near[near < floor] = -1
-        if across:
-            near[side == side[k]] = -1
         near[refuted.get(k, [])] = -1
         near[comp == comp[k]] = 2
         better = todo & (near > best)
@@ -139,27 +136,31 @@ def _forest(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: float,
     return out
 
 
-def _nearest(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: float, refuted: dict[int, list[int]]) -> list[tuple[int, int, float]]:
+def _nearest(sigs: np.ndarray, comp: np.ndarray, floor: float, refuted: dict[int, list[int]]) -> list[tuple[int, int, float]]:
     """The best pair of each member outside the largest component; every pair between components has such a member."""
-    across, out = side.min() != side.max(), []
+    out = []
     for k in np.flatnonzero(comp != np.bincount(comp).argmax()).tolist():
         near = estimates(sigs, sigs[k])
         near[comp == comp[k]] = -1
-        if across:
-            near[side == side[k]] = -1
         near[refuted.get(k, [])] = -1
         if near[best := int(np.argmax(near))] >= floor:
             out.append((k, best, float(near[best])))
     return out
 
 
-def _open(sigs: np.ndarray, comp: np.ndarray, side: np.ndarray, floor: float, refuted: dict[int, list[int]]) -> list[tuple[int, int, float]]:
-    """The members that _nearest() has a pair for, each once."""
-    return [(k, k, e) for k, _, e in _nearest(sigs, comp, side, floor, refuted)]
+def _open(sigs: np.ndarray, comp: np.ndarray, floor: float, refuted: dict[int, list[int]], asked: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """(member, member, 1) of those that _nearest() has a pair for, and (member, member, 0) of all others in such pairs; asked: instead of those outside the largest component."""
+    open_, others = np.zeros(len(sigs), bool), np.zeros(len(sigs), bool)
+    for k in np.flatnonzero(comp != np.bincount(comp).argmax() if asked is None else asked).tolist():
+        may = (estimates(sigs, sigs[k]) >= floor) & (comp != comp[k])
+        may[refuted.get(k, [])] = False
+        open_[k] = may.any()
+        others |= may
+    return [(k, k, float(open_[k])) for k in np.flatnonzero(open_ | others).tolist()]
 
 
-def bucket_pairs(members: DataFrame, floor: float, work) -> DataFrame:
-    """members: key, i, j, side, node, comp, sig, refuted (nodes), a group for each key, i and j; work: what to find in one.
+def bucket_pairs(members: DataFrame, floor: float, work, by: tuple[str, ...] = ("key", "block")) -> DataFrame:
+    """members: key, the other columns in by, node, comp, sig, refuted (nodes), and if by has more than a block, asked; work: what to find in a group.
 
     Returns child, parent, estimate, key.
     """
@@ -167,22 +168,26 @@ def bucket_pairs(members: DataFrame, floor: float, work) -> DataFrame:
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         n = table.num_rows
         nodes, comps = table["node"].to_pylist(), table["comp"].to_pylist()
-        where = np.column_stack([table[c].to_numpy() for c in ("key", "i", "j")])
+        where = np.column_stack([table[c].to_numpy() for c in by])
         cut = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
         bounds = [0, *cut.tolist(), n]
         sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), U64).reshape(n, -1)
-        side, refuted = table["side"].to_numpy(), table["refuted"]
+        refuted = table["refuted"]
         lists = refuted.to_pylist() if refuted.null_count < n else [None] * n
+        asked = table["asked"].to_numpy() if "asked" in table.column_names else None
         number = {c: k for k, c in enumerate(dict.fromkeys(comps))}
         comp = np.array([number[c] for c in comps])
         found = []
         begin, size = np.array(bounds[:-1]), np.diff(bounds)
-        two = begin[size == 2]  # most groups; done at once
+        two = begin[size == 2] if asked is None else begin[:0]  # most groups; done at once
         if len(two):
             near = estimates(sigs[two], sigs[two + 1])
             ok = (near >= floor) & (comp[two] != comp[two + 1])
-            found += [(a + 1, a + (work is _open), e) for a, e in zip(two[ok].tolist(), near[ok].tolist()) if nodes[a] not in (lists[a + 1] or ()) and nodes[a + 1] not in (lists[a] or ())]
-        for a, b in zip(begin[size > 2].tolist(), (begin + size)[size > 2].tolist()):
+            for a, e in zip(two[ok].tolist(), near[ok].tolist()):
+                if nodes[a] not in (lists[a + 1] or ()) and nodes[a + 1] not in (lists[a] or ()):
+                    found += [(a + 1, a + 1, 1.0), (a, a, 0.0)] if work is _open else [(a + 1, a, e)]
+        many = size > (1 if asked is not None else 2)
+        for a, b in zip(begin[many].tolist(), (begin + size)[many].tolist()):
             if (comp[a:b] == comp[a]).all():
                 continue
             bad: dict[int, list[int]] = {}
@@ -193,7 +198,8 @@ def bucket_pairs(members: DataFrame, floor: float, work) -> DataFrame:
                         if (o := at.get(x)) is not None:
                             bad.setdefault(k, []).append(o)
                             bad.setdefault(o, []).append(k)
-            found += [(a + x, a + y, e) for x, y, e in work(sigs[a:b], comp[a:b], side[a:b], floor, bad)]
+            more = () if asked is None else (asked[a:b],)
+            found += [(a + x, a + y, e) for x, y, e in work(sigs[a:b], comp[a:b], floor, bad, *more)]
         if found:
             x, y, e = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in x], pa.binary()), pa.array([nodes[k] for k in y], pa.binary()), pa.array(e, pa.float64()), pa.array(where[list(x), 0])], ["child", "parent", "estimate", "key"])
@@ -206,7 +212,7 @@ def bucket_pairs(members: DataFrame, floor: float, work) -> DataFrame:
             if not table.num_rows:
                 continue
             last = np.ones(table.num_rows, bool)
-            for c in ("key", "i", "j"):
+            for c in by:
                 x = table[c].to_numpy()
                 last &= x == x[-1]
             first = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
@@ -216,10 +222,35 @@ def bucket_pairs(members: DataFrame, floor: float, work) -> DataFrame:
         if held is not None and held.num_rows:
             yield from pairs(held.combine_chunks())
 
-    ordered = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    ordered = members.repartition(*by).sortWithinPartitions(*by, "node")
     return ordered.mapInArrow(run, "child binary, parent binary, estimate double, key long")
 
 
+def _dealt(node: str, salt: str, parts: Column | str) -> Column:
+    """One of so many blocks, by the node's hash."""
+    return F.pmod(F.xxhash64(node, F.lit(salt)), F.col(parts) if isinstance(parts, str) else parts).cast("int")
+
+
+def _each(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def open_across(large: DataFrame, floor: float) -> DataFrame:
+    """What _open() says of buckets with more than BLOCK members, as bucket_pairs() returns it.
+
+    large: key, n, node, comp, sig, refuted.  The members outside the bucket's largest
+    component are dealt to blocks, as are all members; a task has a block of either.
+    Where the rounds have left few open members, that is about a row a member.
+    """
+    top = large.groupBy("key", "comp").agg(F.count("*").alias("size"), F.max("n").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), (F.max("n") - F.max("size")).alias("m"), F.max("n").alias("n"))
+    top = stored(top.where("m > 0").select("key", "top", F.ceil(F.col("m") / BLOCK).cast("int").alias("ms"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ns")), "largest")
+    both = large.drop("n").join(top, "key")
+    columns = ["node", "comp", "sig", "refuted"]
+    all_ = both.select("key", _dealt("node", "all", "ns").alias("i"), _each("ms").alias("j"), *columns, F.lit(False).alias("asked"))
+    open_ = both.where("comp != top").select("key", _each("ns").alias("i"), _dealt("node", "open", "ms").alias("j"), *columns, F.lit(True).alias("asked"))
+    return bucket_pairs(all_.unionByName(open_), floor, _open, ("key", "i", "j"))
+
+
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """child, parent, linked: whether 100 * intersection >= percent * union of the full sets."""
 
@@ -237,23 +268,16 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("child", "parent", "a", "b").mapInArrow(run, "child binary, parent binary, linked boolean")
 
 
-def exact_links(members: DataFrame, opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """child, parent: for each open member of a bucket one link to each other component in it, from the full sets of all its members.
+def exact_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """child, parent: for each open member of a bucket one link to each other component among the rest, from full sets.
 
-    members: key, node, comp; opened: key, node.  A task has EXACT_BLOCK members of a
-    bucket and as many open ones, with their sets; pairs are counted, not listed.
+    members: key, node, comp, open.  A task has EXACT_BLOCK members of a bucket and as
+    many open ones, with their sets; pairs are counted, not listed.
     """
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("key").agg(F.ceil(F.count("*") / EXACT_BLOCK).cast("int").alias(name))
-
-    open_rows = opened.join(members, ["key", "node"])
-    some = members.join(opened.select("key").distinct(), "key", "left_semi")
-    sizes = blocks(some, "n").join(blocks(open_rows, "m"), "key")
-    place = lambda c: F.pmod(F.hash("node", F.lit("place")), F.col(c))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    one = some.join(sizes, "key").select("key", place("n").alias("i"), every("m").alias("j"), F.lit(0).alias("role"), "node", "comp")
-    two = open_rows.join(sizes, "key").select("key", every("n").alias("i"), place("m").alias("j"), F.lit(1).alias("role"), "node", "comp")
+    sizes = stored(members.groupBy("key").agg(F.ceil(F.count("*") / EXACT_BLOCK).cast("int").alias("n"), F.ceil(F.sum(F.col("open").cast("int")) / EXACT_BLOCK).cast("int").alias("m")), "sizes")
+    both = members.join(sizes, "key")
+    one = both.select("key", _dealt("node", "all", "n").alias("i"), _each("m").alias("j"), F.lit(0).alias("role"), "node", "comp")
+    two = both.where("open").select("key", _each("n").alias("i"), _dealt("node", "open", "m").alias("j"), F.lit(1).alias("role"), "node", "comp")
     rows = one.unionByName(two).join(sets, "node")
 
     def links(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
@@ -308,7 +332,9 @@ def contracted(edges: DataFrame) -> DataFrame:
     """a, b: each partition's edges as stars; b is the least node of a's component among the partition's edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+        if not (found := [*batches]):
+            return
+        table = pa.Table.from_batches(found)
         ends = pa.chunked_array(table["a"].chunks + table["b"].chunks, pa.binary()).combine_chunks().dictionary_encode()
         names = ends.dictionary
         order = pc.sort_indices(names).to_numpy()
@@ -322,96 +348,122 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a binary, b binary")
 
 
-def components(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, comp: the least node of the connected component, for all nodes of edges (a, b).
 
-    Tasks of about per_task edges each contract their own to stars.  If there are
-    several, alternating large and small stars join what they found: every round is
-    two joins on nodes with their least neighbours, which has a row for each node, so
-    that a hub's many edges can be split.
+    Each task contracts its own edges to stars.  Alternating large and small stars join
+    what the tasks found, until a round changes nothing: every round is two joins on
+    nodes with their least neighbours, which has a row for each node, so that a hub's many
+    edges can be split.
     """
-    edges = stored(edges.where("a != b").select("a", "b"), "edges")
-    tasks = -(-edges.count() // per_task) or 1
-    now, before = stored(contracted(edges.repartition(tasks)), "stars"), None
-    while tasks > 1:
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    now = stored(contracted(edges.where("a != b").select("a", "b")), "stars")
+    before, after = None, state(now)
+    while after != before:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(small, "a")
         now = stored(linked.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "stars")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        before, after = after, state(now)
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row in.
-
-    Words are lower-cased in A-Z.  A document's set is its distinct shingles of so
-    many words; a shorter text's whole sequence is one shingle.  Documents are linked
-    if 100 * intersection >= percent * union.  component_id is the least doc_id that
-    links reach, kept whether it is the row's own.  A text without words (null, empty,
-    white space) has n_shingles 0 and is linked with nothing.  Rows that share a doc_id
-    are compared like others.  A row whose doc_id is null is kept unless another is in its component.
-    """
-    docs = ids_and_texts(docs, id_col, text_col)
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text and what else is to be kept.  Rows with n_shingles and node, and of each node the least doc_id and comp, the component."""
     sigs = stored(signatures(docs, words), "signatures")
     own = sigs.where("node is not null")
     nodes = stored(own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = keys.join(shared, "key").withColumn("side", F.pmod(F.hash("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    member = member.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node")
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")  # stored, so that the join can split a large bucket
+    member = keys.join(shared, "key").select("key", "n", "node")
     members = stored(member.join(nodes.select("node", "sig"), "node"), "members")
+    large = members.where(F.col("n") > BLOCK)
+    some_large = not large.isEmpty()
     comps = stored(members.select("node").distinct().withColumn("comp", F.col("node")), "comps")
     floor = percent / 100 - MARGIN
     sets = refuted = None
-    for turn in range(ROUNDS + 1):
-        now = members.join(comps, "node")
-        now = now.withColumn("refuted", F.lit(None).cast("array<binary>")) if refuted is None else now.join(refuted.groupBy("child").agg(F.collect_set("parent").alias("refuted")).withColumnRenamed("child", "node"), "node", "left")
-        work = _forest if turn == 0 else _nearest if turn < ROUNDS else _open
-        edges = bucket_pairs(now.select("key", "i", "j", "side", "node", "comp", "sig", "refuted"), floor, work)
-        if turn == 0:
-            edges = stored(edges, "forests")
-            ends = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()  # whoever has a pair at all has one here
-        if turn < ROUNDS:  # each node's best
-            edges = edges.groupBy("child").agg(F.max_by("parent", F.struct("estimate", "parent")).alias("parent"))
-        else:
-            edges = edges.select("key", F.col("child").alias("node")).distinct()
-        edges = stored(edges, "pairs")
-        if edges.isEmpty():
-            break
-        if sets is None:
-            wanted = nodes.join(ends, "node", "left_semi").select("node", "doc_id")
-            texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-            nameless = docs.where("doc_id is null")
-            sets = stored(full_sets(texts.unionByName(nameless), words).dropDuplicates(["node"]), "sets")
-        if turn < ROUNDS:
-            judged = stored(confirmed(edges, sets, percent), "judged")
-            wrong = judged.where("not linked").select("child", "parent")
-            refuted = wrong if refuted is None else refuted.unionByName(wrong)
-            links = judged.where("linked")
-        else:
-            links = stored(exact_links(members.where("i = j").join(comps, "node").select("key", "node", "comp"), edges, sets, percent), "links")
+
+    def with_comps(rows: DataFrame) -> DataFrame:
+        now = rows.join(comps, "node")
+        if refuted is None:
+            return now.withColumn("refuted", F.lit(None).cast("array<binary>"))
+        return now.join(refuted.groupBy("child").agg(F.collect_set("parent").alias("refuted")).withColumnRenamed("child", "node"), "node", "left")
+
+    def after(links: DataFrame) -> DataFrame:
+        """The components once these links are joined."""
         named = lambda side, to: comps.select(F.col("node").alias(side), F.col("comp").alias(to))
         joined = links.join(named("child", "a"), "child").join(named("parent", "b"), "parent").select("a", "b").where("a != b").distinct()
         merged = components(joined).withColumnRenamed("comp", "into").withColumnRenamed("node", "comp")
-        comps = stored(comps.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "comps")
+        return stored(comps.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "comps")
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        wanted = nodes.join(ends, "node", "left_semi").select("doc_id").distinct()
+        texts = docs.select("doc_id", "text")
+        found = texts.join(wanted, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
+        return stored(full_sets(found, words).join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    for turn in range(ROUNDS):
+        dealt = with_comps(members).withColumn("block", _dealt("node", f"round {turn}", F.ceil(F.col("n") / BLOCK)))
+        found = bucket_pairs(dealt.select("key", "block", "node", "comp", "sig", "refuted"), floor, _nearest if turn else _forest)
+        if turn == 0:  # whoever has a pair within its block has one here
+            found = stored(found, "forests")
+            ends = found.select(F.col("child").alias("node")).union(found.select("parent")).union(large.select("node")).distinct()
+        edges = stored(found.groupBy("child").agg(F.max_by("parent", F.struct("estimate", "parent")).alias("parent")), "pairs")  # each node's best
+        if edges.isEmpty():
+            break
+        sets = sets if sets is not None else sets_of(ends)
+        judged = stored(confirmed(edges, sets, percent), "judged")
+        wrong = judged.where("not linked").select("child", "parent")
+        refuted = wrong if refuted is None else refuted.unionByName(wrong)
+        comps = after(judged.where("linked"))
+    left = with_comps(members.where(F.col("n") <= BLOCK)).select("key", F.lit(0).alias("block"), "node", "comp", "sig", "refuted")
+    opened = bucket_pairs(left, floor, _open)
+    if some_large:
+        opened = opened.unionByName(open_across(with_comps(large), floor))
+    opened = stored(opened.groupBy("key", F.col("child").alias("node")).agg((F.max("estimate") > 0).alias("open")), "open")
+    if not opened.isEmpty():
+        sets = sets if sets is not None else sets_of(ends)
+        comps = after(stored(exact_links(opened.join(comps, "node"), sets, percent), "links"))
     of_node = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return sigs.drop("sig", "bands"), of_node
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row in, of its whole text, however long.
+
+    Words are lower-cased in A-Z.  A document's set is its distinct shingles of so
+    many words; a shorter text's whole sequence is one shingle.  Documents are linked
+    if 100 * intersection >= percent * union.  component_id is the least doc_id that
+    links reach, kept whether it is the row's own.  A text without words (null, empty,
+    white space) has n_shingles 0 and is linked with nothing.  Rows that share a doc_id
+    are compared like others.  A row whose doc_id is null is kept unless another is in its
+    component.  An empty table gives an empty one; other columns are not read.
+    """
+    rows, of_node = _classes(ids_and_texts(docs, id_col, text_col), words, percent)
     lowest = of_node.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    found = sigs.select("doc_id", "n_shingles", "node").join(of_node.join(lowest, "comp").select("node", "component_id"), "node", "left")
+    found = rows.join(of_node.join(lowest, "comp").select("node", "component_id"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, the one with the least doc_id, with docs' columns; of equal rows with one doc_id one stays."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return rows.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with docs' columns: of the rows with the least doc_id (null is greatest) one.
+
+    Rows are told apart by id and text, so rows that share a doc_id are judged each for
+    itself, and of rows equal in both one stays, whatever their other columns hold.  Rows
+    whose text has no words are linked with nothing and all stay, unless equal in both.
+    """
+    one, two = F.xxhash64(id_col, text_col), F.xxhash64(text_col, id_col)
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), one.alias("one"), two.alias("two"))
+    rows, of_node = _classes(named, words, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), "one", "two")
+    classed = rows.where("node is not null").join(of_node.select("node", "comp"), "node").groupBy("comp").agg(F.min(place).alias("least"))
+    kept = classed.select("least.one", "least.two").unionByName(rows.where("node is null").select("one", "two")).distinct()
+    kept = kept.select(F.col("one").alias("__one"), F.col("two").alias("__two"))
+    wide = docs.withColumns({"__one": one, "__two": two}).join(kept, ["__one", "__two"], "left_semi")
+    plain = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    first = F.row_number().over(Window.partitionBy("__one", "__two").orderBy(F.xxhash64(*plain)))
+    return wide.withColumn("__row", first).where("__row = 1").select(*docs.columns)

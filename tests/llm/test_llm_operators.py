@@ -438,9 +438,46 @@ def test_neardup_open_members(spark, docs, monkeypatch):
     assert [got[k]["component_id"] for k in range(len(texts))] == components(texts, 2)[0]
 
 
-@pytest.mark.parametrize("per_task", [3, 1 << 20])
-def test_neardup_components(spark, per_task):
-    """One task's contraction and stars over several give the same; also without edges."""
+def test_neardup_large_buckets(spark, monkeypatch):
+    """Buckets of many blocks: thousands of near copies of a few texts, and members that no round links."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "EXACT_BLOCK", 8)
+    texts = []
+    for family in range(3):
+        words = [f"{family}w{k}" for k in range(60)]
+        texts += [" ".join(w if RNG.random() > 0.03 else f"x{RNG.randrange(99)}" for w in words) for _ in range(150)]
+        texts += [" ".join(w if RNG.random() > 0.10 else f"x{RNG.randrange(99)}" for w in words) for _ in range(60)]
+    made = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    wanted = components(texts, 2)[0]
+    for rounds in (1, 3):
+        monkeypatch.setattr(neardup, "ROUNDS", rounds)
+        got = by_id(neardup.near_duplicates(made, 2))
+        assert [got[k]["component_id"] for k in range(len(texts))] == wanted
+
+
+def test_neardup_thousands_of_near_copies(spark):
+    """More near copies in one bucket than a block has."""
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*words[:-1], f"x{k}"]) for k in range(3000)] + [" ".join(f"y{k}" for k in range(120))]
+    made = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = by_id(neardup.near_duplicates(made, 5))
+    assert {got[k]["component_id"] for k in range(3000)} == {0} and got[3000]["kept"]
+
+
+def test_deduplicated_keeps_rows_not_ids(spark):
+    """A row is judged by its own text even if another with its id is kept; equal rows stay once; rows without words stay."""
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(3, b, 1), (5, a, 2), (5, b, 3), (None, a, 4), (7, a.upper(), 5), (5, a, 6), (8, None, 7), (9, "", 8), (None, " ", 9), (None, "one text", 10)]
+    made = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, extra int, node string, one string")
+    kept = neardup.deduplicated(made)
+    assert kept.columns == made.columns
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert found == sorted([(False, 3, b), (False, 5, a), (False, 8, ""), (False, 9, ""), (True, 0, " "), (True, 0, "one text")])
+    assert neardup.deduplicated(made.limit(0)).count() == 0
+
+
+def test_neardup_components(spark):
+    """Chains, hubs, loops and repeated edges, over several tasks; also without edges."""
     pairs = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 125)] + [(RNG.randrange(200, 240), RNG.randrange(200, 240)) for _ in range(25)] + [(5, 5), (1, 0)]
     schema = "a binary, b binary"
     made = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in pairs], schema)
@@ -449,9 +486,13 @@ def test_neardup_components(spark, per_task):
         for a, b in pairs:
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
-    got = neardup.components(made, per_task).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = neardup.components(made).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r["node"][0]: r["comp"][0] for r in got} == label and len(got) == len(label)
-    assert neardup.components(spark.createDataFrame([], schema), per_task).count() == 0
+    assert neardup.components(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_chat(spark, sf):
