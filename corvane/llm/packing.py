@@ -4,9 +4,10 @@ Hierarchical residual packing: each partition packs its pieces by best fit,
 longest first, and emits the bins that are nearly full.  Underfull bins are
 items of the next round, in which groups of partitions merge, and so on up a
 tree.  After best fit two bins of a group never fit together, so at most one is
-half full or less.  Above, then, at most as many bins can vanish as the group
-has members, and the emptiest bins take them whenever any do: one bin up to half
-full and FAN_IN of the emptiest others are all that a group hands up.
+half full or less.  At a level above, then, at most FAN_IN - 1 bins can vanish in a group,
+each into one that is more than half full, and an emptier one can take whatever a fuller
+one can.  So a group hands up its bin up to half full, and FAN_IN of the emptiest
+others for every level still to come.
 """
 
 from __future__ import annotations
@@ -81,16 +82,16 @@ def pack_local(docs: DataFrame, path: str, capacity: int, end_id: int | None, id
     return ids_and_texts(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
-def handed_up(fills: np.ndarray, capacity: int, nearly_full: int) -> np.ndarray:
-    """Which bins of a group go to the next round: those up to half full, and the emptiest of the others."""
+def handed_up(fills: np.ndarray, capacity: int, nearly_full: int, levels: int) -> np.ndarray:
+    """Which bins of a group go to the next round, of so many to come: those up to half full, and the emptiest of the others."""
     up = fills <= capacity // 2
     rest = np.flatnonzero(~up & (fills < nearly_full))
-    up[rest[np.argsort(fills[rest], kind="stable")[:FAN_IN]]] = True
+    up[rest[np.argsort(fills[rest], kind="stable")[: FAN_IN * levels]]] = True
     return up
 
 
-def merge_round(items: DataFrame, capacity: int, nearly_full: int, shift: int) -> DataFrame:
-    """One round over bins as items (bin, fill): groups of 8**shift partitions pack theirs together."""
+def merge_round(items: DataFrame, capacity: int, nearly_full: int, shift: int, levels: int) -> DataFrame:
+    """One round over bins as items (bin, fill): groups of 8**shift partitions pack theirs together; levels: rounds to come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]
@@ -104,7 +105,7 @@ def merge_round(items: DataFrame, capacity: int, nearly_full: int, shift: int) -
             parent, offset, total = best_fit(fills[own], capacity)
             first = np.zeros(len(total), np.int64)
             first[parent[::-1]] = bins[own][::-1]  # a parent is called after its first bin
-            up = handed_up(total, capacity, nearly_full)
+            up = handed_up(total, capacity, nearly_full, levels)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bins[own], first[parent], offset, total[parent], up[parent])], ["bin", "parent", "shift", "fill", "up"])
 
     items = items.select(F.shiftright("bin", 32 + 3 * shift).alias("group"), "bin", "fill")
@@ -118,22 +119,22 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int | None =
     end_id make one piece, or, if longer than capacity, pieces of that size and a
     rest.  Null and empty texts have end_id alone (no piece where there is none).
     Rows that share a doc_id are separate documents.  An empty table gives no rows.
-    nearly_full: bins with as many tokens stay as they are; by default only full ones.
+    nearly_full: bins with as many tokens stay as they are, by default 63 of 64 parts of
+    capacity; the tokens that such bins lack are all that this can cost.
     """
-    nearly_full = nearly_full or capacity
+    nearly_full = nearly_full or capacity - capacity // 64
     pieces = stored(pack_local(docs, path, capacity, end_id, id_col, text_col), "pieces")
     bins = pieces.where("offset = 0").select("bin", "fill")
     last = bins.agg(F.max(F.shiftright("bin", 32))).first()[0] or 0
-    moves, items, shift = None, bins.where(F.col("fill") < nearly_full), 0
-    while True:
-        done = stored(merge_round(items, capacity, nearly_full, shift), "merges")
+    levels = -(-int(last).bit_length() // 3)
+    moves, items = None, bins.where(F.col("fill") < nearly_full)
+    for shift in range(levels + 1):
+        done = stored(merge_round(items, capacity, nearly_full, shift, levels - shift), "merges")
         step = done.select("bin", F.col("parent").alias("new"), F.col("shift").alias("more"))
         if moves is None:
             moves = done.where("bin != parent").select("bin", "parent", "shift")
         else:
             both = moves.join(step.withColumnRenamed("bin", "parent"), "parent", "left").select("bin", F.coalesce("new", "parent").alias("parent"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
             moves = both.unionByName(done.where("bin != parent").select("bin", "parent", "shift"))
-        if last >> (3 * shift) == 0:
-            break
-        items, shift = done.where("up and shift = 0 and bin = parent").select("bin", "fill"), shift + 1
+        items = done.where("up and shift = 0 and bin = parent").select("bin", "fill")
     return pieces.join(moves, "bin", "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("parent", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
