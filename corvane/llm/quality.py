@@ -202,9 +202,9 @@ def accepted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 found = measured(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[c].astype(np.int64)) for c in METRICS)], [*part.schema.names, *metrics])
 
-    counts = {r["pattern"]: r["n"] for r in measure(docs).groupBy(pattern().alias("pattern")).agg(F.count("*").alias("n")).collect()}
-    model = docs.sparkSession.createDataFrame([*posteriors(counts).items()], "__pattern int, __posterior double")
     wide = docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"{c} long" for c in metrics]))
     plain = wide.select(F.struct(*schema.names).alias("__row"), *(F.col(m).alias(c) for m, c in zip(metrics, METRICS)))
-    judged = plain.select("__row", base_failed().alias("__failed"), pattern().alias("__pattern")).where("not __failed").join(F.broadcast(model), "__pattern")
-    return judged.where(F.col("__posterior") >= threshold).select("__row.*")
+    judged = stored(plain.select("__row", base_failed().alias("__failed"), pattern().alias("__pattern")), "judged")  # texts are measured once
+    counts = {r["__pattern"]: r["n"] for r in judged.groupBy("__pattern").agg(F.count("*").alias("n")).collect()}  # at most 3 ** len(RULES) rows
+    model = docs.sparkSession.createDataFrame([*posteriors(counts).items()], "__pattern int, __posterior double")
+    return judged.where("not __failed").join(F.broadcast(model), "__pattern").where(F.col("__posterior") >= threshold).select("__row.*")
