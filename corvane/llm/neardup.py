@@ -428,7 +428,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         sets = sets if sets is not None else sets_of(ends)
         comps = after(stored(exact_links(opened.join(comps, "node"), sets, percent), "links"))
     of_node = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return sigs.drop("sig", "bands"), of_node
+    return sigs.drop("sig", "bands"), stored(of_node, "classes")  # stored, so that joins with large classes can be split
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -443,7 +443,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     component.  An empty table gives an empty one; other columns are not read.
     """
     rows, of_node = _classes(ids_and_texts(docs, id_col, text_col), words, percent)
-    lowest = of_node.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    lowest = stored(of_node.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "lowest")
     found = rows.join(of_node.join(lowest, "comp").select("node", "component_id"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
