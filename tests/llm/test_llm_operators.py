@@ -112,6 +112,66 @@ def test_packing(odd, docs):
         assert len(bins) <= len(at_once) + 3  # a bin for each partition at most
 
 
+def tree(parts, capacity, nearly_full, everything):
+    """How many bins a tree of merges ends with; everything: all underfull bins go up, not only those that handed_up() names."""
+    done, groups, levels = 0, [packing.best_fit(np.array(p), capacity)[2] for p in parts], -(-(len(parts) - 1).bit_length() // 3)
+    for level in range(levels + 1):
+        out = []
+        for fills in groups:
+            done += int((fills >= nearly_full).sum())
+            total = packing.best_fit(-np.sort(-fills[fills < nearly_full]), capacity)[2]
+            up = np.ones(len(total), bool) if everything else packing.handed_up(total, capacity, nearly_full, levels - level)
+            up &= level < levels
+            done += int((~up).sum())
+            out.append(total[up])
+        groups = [np.concatenate(out[k : k + packing.FAN_IN]) for k in range(0, len(out), packing.FAN_IN)]
+    return done
+
+
+def test_packing_hands_up_enough():
+    """Handing up every underfull bin saves no sequence, or one in a hundred."""
+    capacity = 2048
+    cases = [[[1100] * 16] + [[500]] * 7 + [x for _ in range(7) for x in [[900]] + [[]] * 7]]
+    for _ in range(60):
+        sizes = RNG.choice([[700, 900, 1100], [1030, 1200, 300, 17], [*range(1, 2049, 97)], [1400], [1300, 600, 650]])
+        cases.append([[RNG.choice(sizes) for _ in range(RNG.randrange(RNG.choice([3, 40])))] for _ in range(RNG.choice([1, 7, 8, 64, 100]))])
+    for parts in cases:
+        for nearly_full in (capacity, capacity - capacity // 64):
+            some, every = tree(parts, capacity, nearly_full, False), tree(parts, capacity, nearly_full, True)
+            at_once = len(packing.best_fit(np.array([x for p in parts for x in p]), capacity)[2])
+            assert some <= every + every / 100, (some, every)
+            assert some <= at_once * 1.1 + 1, (some, at_once)  # partitions of a few pieces; with thousands it is far less
+    assert tree(cases[0], capacity, capacity, False) == tree(cases[0], capacity, capacity, True) == 16
+
+
+def test_token_files_as_written(spark, docs, tmp_path):
+    """Row groups and pages of the set sizes, dictionary or delta encoding, page indexes; one document is read by few pages."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    many = docs.crossJoin(spark.range(12)).select((F.col("doc_id") * 12 + F.col("id")).alias("doc_id"), "text")
+    token_files.write_tokens(many, P.path("byte_bpe_50k.json"), str(tmp_path / "t"), 2, parts=2)
+    rows = 0
+    for path in sorted(glob.glob(f"{tmp_path}/t/*.parquet")):
+        meta = pq.ParquetFile(path).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            rows += group.num_rows
+            columns = {group.column(c).path_in_schema.split(".")[0]: group.column(c) for c in range(group.num_columns)}
+            assert {"RLE_DICTIONARY"} & {*columns["ids"].encodings} and columns["ids"].has_dictionary_page
+            for name, column in columns.items():
+                assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED", "PLAIN_DICTIONARY"} & {*column.encodings}, (name, column.encodings)
+                assert column.has_offset_index and column.has_column_index and column.compression == "ZSTD"
+            assert columns["ids"].total_compressed_size < 4 * columns["ids"].num_values
+    assert rows == many.count()
+    tokens = token_files.read_tokens(spark, str(tmp_path / "t"))
+    plan = tokens.where("doc_id = 1000").select("doc_id", "n_tokens")._jdf.queryExecution().toString()
+    scan = plan[plan.index("== Physical Plan ==") :]
+    assert "EqualTo(doc_id,1000)" in scan and "ids" not in re.findall(r"ReadSchema: struct<([^>]*)", scan)[0]
+    assert tokens.where("doc_id = 1000").count() == 1
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_added_tokens_in_texts(name):
     """A literal added token has the id that the library gives it by default."""
