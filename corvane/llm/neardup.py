@@ -35,9 +35,11 @@ MARGIN = 0.18
 #: Members of a bucket that one task compares with each other.
 BLOCK = 1024
 #: Rounds of few pairs, before open members are compared with their whole buckets.
-ROUNDS = 3
+ROUNDS = 2
 #: Members, and open members, of a bucket whose full sets one task holds then.
 EXACT_BLOCK = 256
+#: Edges that a task contracts; a graph has so many tasks.
+EDGES = 1 << 20
 
 _SEED = mixed(np.arange(1, 2 * PERMS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _FACTOR, _SHIFT = _SEED[:PERMS] | U64(1), _SEED[PERMS:]
@@ -348,25 +350,28 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
     """node, comp: the least node of the connected component, for all nodes of edges (a, b).
 
-    Each task contracts its own edges to stars.  Alternating large and small stars join
-    what the tasks found, until a round changes nothing: every round is two joins on
-    nodes with their least neighbours, which has a row for each node, so that a hub's many
-    edges can be split.
+    Each task contracts about per_task edges to stars.  What several tasks found is joined
+    by alternating large and small stars, until a round changes nothing: every round is two
+    joins on nodes with their least neighbours, which has a row for each node, so that a
+    hub's many edges can be split.
     """
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    now = stored(contracted(edges.where("a != b").select("a", "b")), "stars")
-    before, after = None, state(now)
-    while after != before:
+    edges = stored(edges.where("a != b").select("a", "b"), "edges")
+    tasks = -(-edges.count() // per_task) or 1
+    now = stored(contracted(edges.repartition(tasks)), "stars")
+    before, changed = None, tasks > 1  # one task sees all edges: nothing is left to join
+    while changed:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(small, "a")
         now = stored(linked.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "stars")
-        before, after = after, state(now)
+        after = state(now)
+        before, changed = after, after != before
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
 

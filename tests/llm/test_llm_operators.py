@@ -509,7 +509,7 @@ def test_neardup_large_buckets(spark, monkeypatch):
         texts += [" ".join(w if RNG.random() > 0.10 else f"x{RNG.randrange(99)}" for w in words) for _ in range(60)]
     made = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     wanted = components(texts, 2)[0]
-    for rounds in (1, 3):
+    for rounds in (1, 2):
         monkeypatch.setattr(neardup, "ROUNDS", rounds)
         got = by_id(neardup.near_duplicates(made, 2))
         assert [got[k]["component_id"] for k in range(len(texts))] == wanted
@@ -536,8 +536,9 @@ def test_deduplicated_keeps_rows_not_ids(spark):
     assert neardup.deduplicated(made.limit(0)).count() == 0
 
 
-def test_neardup_components(spark):
-    """Chains, hubs, loops and repeated edges, over several tasks; also without edges."""
+@pytest.mark.parametrize("per_task", [3, 1 << 20])
+def test_neardup_components(spark, per_task):
+    """Chains, hubs, loops and repeated edges, in one task and over several; also without edges."""
     pairs = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 125)] + [(RNG.randrange(200, 240), RNG.randrange(200, 240)) for _ in range(25)] + [(5, 5), (1, 0)]
     schema = "a binary, b binary"
     made = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in pairs], schema)
@@ -546,13 +547,9 @@ def test_neardup_components(spark):
         for a, b in pairs:
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = neardup.components(made).collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = neardup.components(made, per_task).collect()
     assert {r["node"][0]: r["comp"][0] for r in got} == label and len(got) == len(label)
-    assert neardup.components(spark.createDataFrame([], schema)).count() == 0
+    assert neardup.components(spark.createDataFrame([], schema), per_task).count() == 0
 
 
 def test_chat(spark, sf):
