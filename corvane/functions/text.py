@@ -57,6 +57,11 @@ def user_message(question: Column, passages: Column) -> Column:
     return F.concat(F.lit("Context:\n"), context(passages), F.lit("\n\nQuestion: "), question)
 
 
+def messages(question: Column, passages: Column) -> Column:
+    """What a model is sent: array<struct<role, content>>, the system's message first."""
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content")), F.struct(F.lit("user").alias("role"), user_message(question, passages).alias("content")))
+
+
 def echo_answer(message: Column) -> Column:
     """What the stand-in for a language model says."""
     return F.concat(F.lit("[fake-llm] "), F.substring(message, 1, 200))

@@ -5,6 +5,9 @@ Sums are over doubles.  Vectors of unequal lengths have a null product.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,18 +28,22 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
-def dot(a: Column, b: Column) -> Column:
-    product = _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    return F.when(F.size(a) == F.size(b), product)
+def dot(a: Column, b: Column, dim: int | None = None) -> Column:
+    """dim: the length of both, if it is known; the sum is then compiled instead of interpreted, and null for other lengths."""
+    if dim is None:
+        product = _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+        return F.when(F.size(a) == F.size(b), product)
+    at = lambda v, k: F.get(v, F.lit(k)).cast("double")
+    return F.when((F.size(a) == dim) & (F.size(b) == dim), reduce(add, (at(a, k) * at(b, k) for k in range(dim)), F.lit(0.0)))
 
 
 def norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
 
 
-def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None, dim: int | None = None) -> Column:
     """norm_a, norm_b: norms that are stored already."""
-    return dot(a, b) / ((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b) + EPS)
+    return dot(a, b, dim) / ((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b) + EPS)
 
 
 def unit(a: Column) -> Column:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from abc import ABC, abstractmethod
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,6 +64,41 @@ class DeterministicEmbedder(Embedder):
         return self._vectors(b"query:" + text.encode(), n)
 
 
+@lru_cache(200_000)
+def _token_vector(token: str, dim: int) -> np.ndarray:
+    digest = hashlib.sha256(token.encode()).digest()
+    raw = np.array([digest[k % 32] / 127.5 - 1.0 for k in range(dim)])
+    return raw / (np.linalg.norm(raw) or 1.0)
+
+
+class BagEmbedder(Embedder):
+    """One unit vector a text: the sum of its tokens' vectors; a query is embedded as a page is."""
+
+    multi_vector = False
+
+    def __init__(self, dim: int = 16):
+        if dim < 1:
+            raise ValueError("dim must be positive")
+        self.dim = dim
+
+    def embed(self, values: list[bytes]) -> list[np.ndarray]:
+        return [self.embed_query(x.decode()) for x in values]
+
+    def embed_query(self, text: str) -> np.ndarray:
+        total = sum(n * _token_vector(t, self.dim) for t, n in Counter(re.findall("[a-z0-9]+", text.lower()) or ["<empty>"]).items())
+        return total / (np.linalg.norm(total) or 1.0)
+
+    def column(self, values: Column) -> Column:
+        """array<double> of a binary column."""
+        own = self
+
+        @F.pandas_udf("array<double>")
+        def run(xs: pd.Series) -> pd.Series:
+            return pd.Series(own.embed([bytes(x or b"") for x in xs]))
+
+        return run(values)
+
+
 class ColourEmbedder(Embedder):
     """Patches of an RGB image as their colours, and words for colours as theirs: a model small enough to check by eye."""
 
@@ -88,4 +126,6 @@ def get_embedder(name: str, **options) -> Embedder:
         return DeterministicEmbedder(**options)
     if name.strip().lower() == "colours":
         return ColourEmbedder()
+    if name.strip().lower() == "bag":
+        return BagEmbedder(**options)
     raise BackendUnavailableError(f"{model_name(name)}: its weights are not installed")

@@ -21,10 +21,10 @@ def payload(df: DataFrame, metadata: list[str]) -> DataFrame:
     return df.select(*out, *(F.col(f"meta_{m}").alias(m) for m in metadata if m not in df.columns))
 
 
-def input_documents(paths: DataFrame, path: str = "path") -> DataFrame:
-    """doc_id, version_id, file, filename, title, format of each path; ids follow from the path."""
+def input_documents(paths: DataFrame, path: str = "path", keep: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, version_id, file, filename, title, format of each path, and what is to be kept; ids follow from the path."""
     p = F.col(path)
-    return paths.select(fx.stable_id("doc", p).alias("doc_id"), fx.stable_id("ver", p).alias("version_id"), p.alias("file"), fx.filename(p).alias("filename"), fx.stem(p).alias("title"), fx.format_of(p).alias("format"))
+    return paths.select(*(c.alias(n) for n, c in (keep or {}).items()), fx.stable_id("doc", p).alias("doc_id"), fx.stable_id("ver", p).alias("version_id"), p.alias("file"), fx.filename(p).alias("filename"), fx.stem(p).alias("title"), fx.format_of(p).alias("format"))
 
 
 def append(index: DataFrame, rows: DataFrame) -> DataFrame:

@@ -25,14 +25,27 @@ def ideal_dcg(n: Column, k: int) -> Column:
 
 
 def per_query(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: int = 10, query: str = "query_id", item: str = "item") -> DataFrame:
-    """recall, precision, hit_rate, reciprocal_rank, average_precision, dcg and ndcg of each of queries, at k where it applies.
+    """per_judged() of ranked, judged by the pairs in relevant, which may repeat."""
+    counts = relevant.select(query, item).dropDuplicates().groupBy(query).agg(F.count("*").alias("n"))
+    return per_judged(judged(ranked, relevant, query, item), counts, queries, k, query)
+
+
+def with_hits(ranked: DataFrame, hit: Column, query: str = "query_id") -> DataFrame:
+    """ranked with hit, where a row says itself whether it is relevant, and running hits."""
+    up_to = Window.partitionBy(query).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranked.withColumn("hit", F.coalesce(hit.cast("int"), F.lit(0))).withColumn("hits", F.sum("hit").over(up_to))
+
+
+def per_judged(rows: DataFrame, counts: DataFrame, queries: DataFrame, k: int = 10, query: str = "query_id") -> DataFrame:
+    """rows: ranked with hit and hits; counts: n, how many relevant items a query has.
+
+    recall, precision, hit_rate, reciprocal_rank, average_precision, dcg and ndcg of each of queries, at k where it applies.
 
     A query without relevant items has 0 throughout, as has one without results.
     precision divides by k.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    rows = judged(ranked, relevant, query, item)
     near = F.col("rank") <= k
     hit = F.col("hit") == 1
     sums = rows.groupBy(query).agg(
@@ -41,7 +54,6 @@ def per_query(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: int
         F.sum(F.when(hit, F.col("hits") / F.col("rank"))).alias("precisions"),
         F.sum(F.when(near & hit, _gain(F.col("rank")))).alias("gains"),
     )
-    counts = relevant.select(query, item).dropDuplicates().groupBy(query).agg(F.count("*").alias("n"))
     every = queries.select(query).dropDuplicates().join(counts, query, "left").join(sums, query, "left").fillna({"n": 0, "hits_at_k": 0, "precisions": 0.0, "gains": 0.0})
     some = F.col("n") > 0
     zero = lambda x: F.coalesce(F.when(some, x), F.lit(0.0))

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions import vectors as vx
 from corvane.operators import search
+from corvane.operators.engine import Timings
 
 #: Stages in their order.
 STAGES = ("embed", "retrieve", "rerank", "generate")
 
 
-def retrieve(questions: DataFrame, passages: DataFrame, retrieved: int = search.RETRIEVED, reranked: int = search.RERANKED) -> DataFrame:
+def retrieve(questions: DataFrame, passages: DataFrame, retrieved: int = search.RETRIEVED, reranked: int = search.RERANKED, scored: Column | None = None) -> DataFrame:
     """question_id, passage_id, rank, retrieval_rank, score, rerank_score, text and question.
 
     questions: question_id, question, q_embedding; passages: passage_id, text, embedding.
-    Retrieval is by the product of the embeddings, reranking by shared tokens.
+    Retrieval is by the product of the embeddings, or by scored, reranking by shared tokens.
     """
-    found = search.search_batch(passages, questions, vx.dot(F.col("embedding"), F.col("q_embedding")), "question_id", retrieved, tie=["passage_id"])
+    scored = vx.dot(F.col("embedding"), F.col("q_embedding")) if scored is None else scored
+    found = search.search_batch(passages, questions, scored, "question_id", retrieved, tie=["passage_id"])
     near = tx.jaccard(F.array_distinct(tx.tokens(F.col("question"))), F.array_distinct(tx.tokens(F.col("text"))))
     best = search.rerank(found, F.round(near, 9), reranked, by=["question_id"])
     return best.select("question_id", "question", "passage_id", "text", "rank", "retrieval_rank", "score", "rerank_score")
@@ -34,6 +38,30 @@ def answer(hits: DataFrame, mode: str = "query") -> DataFrame:
     return rows.select("question_id", F.lit(mode).alias("mode"), (said if mode == "query" else F.lit(None).cast("string")).alias("answer"), F.transform("passages", lambda p: p["passage_id"]).alias("passages"))
 
 
+def workflow(questions: DataFrame, passages: DataFrame, mode: str, folder: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """answer() of retrieve(), stage by stage, with the milliseconds that each took.
+
+    questions: question_id, question, and q_embedding, which embed() adds if it is given.
+    A stage's rows are written to folder, so that its time is its own; in mode retrieve
+    nothing is generated.
+    """
+    spark, timings = questions.sparkSession, Timings({})
+
+    def staged(df: DataFrame, stage: str) -> DataFrame:
+        with timings.measure(stage):
+            df.write.mode("overwrite").parquet(f"{folder}/{stage}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{stage}")
+
+    asked = staged(embed(questions) if embed else questions, "embed")
+    found = staged(search.search_batch(passages, asked, vx.dot(F.col("embedding"), F.col("q_embedding")), "question_id", search.RETRIEVED, tie=["passage_id"]), "retrieve")
+    near = tx.jaccard(F.array_distinct(tx.tokens(F.col("question"))), F.array_distinct(tx.tokens(F.col("text"))))
+    best = staged(search.rerank(found, F.round(near, 9), search.RERANKED, by=["question_id"]), "rerank")
+    answers = answer(best, mode)
+    if mode == "query":
+        answers = staged(answers, "generate")
+    return answers, timings.stages
+
+
 def merged_timings(left: Column, right: Column) -> Column:
     """Both maps; the right one wins."""
     return F.map_concat(F.map_filter(left, lambda k, v: ~F.array_contains(F.map_keys(right), k)), right)

@@ -11,9 +11,12 @@ def fail_percent(failures: Column, requests: Column) -> Column:
     return F.when(requests > 0, 100.0 * failures / requests)
 
 
-def row_order(key: Column) -> Column:
-    """Endpoints first, then stages, then the sum of all."""
-    return F.when(key == "Aggregated", 2).when(key.startswith("STAGE "), 1).otherwise(0)
+#: How rows of a report follow each other, by how their keys begin; others come first.
+LATER = {"STAGE ": 1, "Aggregated": 2}
+
+
+def row_rank(key: Column) -> Column:
+    return F.coalesce(*(F.when(key.startswith(prefix), rank) for prefix, rank in LATER.items()), F.lit(0))
 
 
 def compared(runs: DataFrame, baseline: str) -> DataFrame:
@@ -26,36 +29,37 @@ def compared(runs: DataFrame, baseline: str) -> DataFrame:
     base = runs.where(F.col("run") == baseline).select("row_key", F.col("p95").alias("base_p95"))
     rows = keys.crossJoin(F.broadcast(labels)).join(runs, ["run", "row_key"], "left").join(base, "row_key", "left")
     change = F.when(F.col("run") != baseline, F.col("p95") - F.col("base_p95"))
-    return rows.select("run", "row_key", row_order(F.col("row_key")).alias("row_rank"), "requests", fail_percent(F.col("failures"), F.col("requests")).alias("fail_percent"), "rps", "p50", "p95", "p99", change.alias("delta_p95"), (100.0 * F.try_divide(change, F.col("base_p95"))).alias("delta_percent"))
+    return rows.select("run", "row_key", row_rank(F.col("row_key")).alias("row_rank"), "requests", fail_percent(F.col("failures"), F.col("requests")).alias("fail_percent"), "rps", "p50", "p95", "p99", change.alias("delta_p95"), (100.0 * F.try_divide(change, F.col("base_p95"))).alias("delta_percent"))
 
 
-def delta_text(change: Column, percent: Column, is_baseline: Column) -> Column:
-    share = F.coalesce(F.format_string("%+.1f%%", percent), F.lit("n/a"))
-    share = F.when(percent.isNull(), "n/a").otherwise(share)
-    return F.when(is_baseline, "—").when(change.isNull(), "n/a").otherwise(F.concat(F.format_string("%+.1f ms (", change), share, F.lit(")")))
+#: A report's columns, what they show, and how.
+COLUMNS = {"requests": ("requests", "%.0f"), "fail %": ("fail_percent", "%.1f%%"), "RPS": ("rps", "%.1f"), "p50": ("p50", "%.0f"), "p95": ("p95", "%.0f"), "p99": ("p99", "%.0f")}
+MISSING, SELF = "n/a", "—"
 
 
-def cell_text(df: DataFrame) -> Column:
-    row = F.concat_ws(" | ", F.format_string("%d", F.col("requests").cast("long")), F.when(F.col("fail_percent").isNull(), "n/a").otherwise(F.format_string("%.1f%%", "fail_percent")), F.format_string("%.1f", "rps"), *(F.format_string("%.0f", c) for c in ("p50", "p95", "p99")))
-    return F.when(F.col("requests").isNull(), " | ".join(["n/a"] * 6)).otherwise(row)
+def cells(is_baseline: Column) -> Column:
+    """What a row of compared() shows, as an array: COLUMNS, then the change; figures that are missing say so."""
+    shown = lambda name, form: F.coalesce(F.when(F.col(name).isNotNull(), F.format_string(form, F.col(name).cast("double"))), F.lit(MISSING))
+    change = F.concat(shown("delta_p95", "%+.1f ms"), F.lit(" ("), shown("delta_percent", "%+.1f%%"), F.lit(")"))
+    told = F.when(is_baseline, SELF).when(F.col("delta_p95").isNotNull(), change).otherwise(MISSING)
+    return F.array(*(shown(*x) for x in COLUMNS.values()), told)
 
 
 def markdown(compared_rows: DataFrame, baseline: str) -> str:
     """A table for each row key.  The rows are those of a report, few."""
-    said = compared_rows.select("run", "row_key", "row_rank", cell_text(compared_rows).alias("cells"), delta_text(F.col("delta_p95"), F.col("delta_percent"), F.col("run") == baseline).alias("delta"))
-    rows = said.orderBy("row_rank", "row_key", F.col("run") != baseline, "run").collect()
-    runs = [baseline, *sorted({r["run"] for r in rows} - {baseline})]
-    out = ["# Run comparison", "", f"Runs: {', '.join(runs)}. Changes of p95 are against `{baseline}`.", ""]
-    key = None
-    for r in rows:
-        if r["row_key"] != key:
-            key = r["row_key"]
-            out += ["", f"### {key}", "", f"| run | requests | fail % | RPS | p50 | p95 | p99 | Δp95 vs {baseline} |", "| --- |" + " ---: |" * 7]
-        out.append(f"| {r['run']} | {r['cells']} | {r['delta']} |")
-    return "\n".join(out) + "\n"
-
-
-def latencies(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, requests, p50, p95, p99, exact."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    said = compared_rows.select("run", "row_key", "row_rank", cells(F.col("run") == baseline).alias("cells"))
+    tables: dict[str, list[str]] = {}
+    labels: dict[str, None] = {baseline: None}
+    for r in said.orderBy("row_rank", "row_key", F.col("run") != baseline, "run").collect():
+        tables.setdefault(r["row_key"], []).append("| " + " | ".join([r["run"], *r["cells"]]) + " |")
+        labels[r["run"]] = None
+    head = "| run | " + " | ".join(COLUMNS) + f" | Δp95 vs {baseline} |\n| --- |" + " ---: |" * (len(COLUMNS) + 1)
+    parts = [f"# Run comparison\n\nRuns: {', '.join(sorted(labels, key=lambda x: (x != baseline, x)))}. Changes of p95 are against `{baseline}`.\n"]
+    return "\n\n".join([*parts, *(f"### {key}\n\n{head}\n" + "\n".join(rows) for key, rows in tables.items())]) + "\n"
+
+
+def latencies(df: DataFrame, by: list[str], value: str, accuracy: int | None = None) -> DataFrame:
+    """by, requests, p50, p95, p99: exact, which keeps all distinct values of a key in one task; with accuracy from a sketch whose rank is off by 1 / accuracy at most."""
+    at = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
+    p = F.percentile(value, at) if accuracy is None else F.percentile_approx(value, at, accuracy)
     return df.groupBy(*by).agg(F.count("*").alias("requests"), p.alias("p")).select(*by, "requests", *(F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("p50", "p95", "p99"))))

@@ -76,10 +76,35 @@ def search(index: DataFrame, scored: Column, k: int = 10, spec: Any = None, norm
 def search_batch(index: DataFrame, queries: DataFrame, scored: Column, query_key: str, k: int = 10, spec: Any = None, tie: list[str] | None = None) -> DataFrame:
     """search() for a stated set of queries, whose columns must not clash with the index's.
 
-    The queries are sent to every task if they are few; each keeps its own k best.
+    The queries are counted.  Up to QUERIES are sent to every task; more are dealt to
+    blocks of about as many, each against the whole index.
     """
-    pairs = filters.apply(index, spec).crossJoin(queries).withColumn("score", scored).where(finite(F.col("score")))
-    return top_k_by(pairs, [query_key], k, tie=tie)
+    rows, blocks = filters.apply(index, spec), max(1, -(-queries.count() // QUERIES))
+    parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b) for b in range(blocks)]
+    pairs = (rows.crossJoin(F.broadcast(q)).withColumn("score", scored).where(finite(F.col("score"))) for q in parts)
+    return reduce(DataFrame.unionByName, (top_k_by(p, [query_key], k, tie=tie) for p in pairs))
+
+
+#: Up to how many queries, their rows are sent to every task; more go in blocks of as many.
+QUERIES = 10_000
+
+
+def token_topk(asked: DataFrame, docs: DataFrame, k: int, query: str, key: str, digits: int = 9) -> DataFrame:
+    """query, key, score, rank: for each of a stated set of queries the k documents with the greatest Jaccard similarity of tokens, ties by key.
+
+    asked: query, tokens; docs: key, tokens, each without repeats.  Shared tokens are
+    counted by an equi-join; the union follows from sizes.  Documents that share nothing
+    count only where fewer than k share something: then those with the least keys.
+    """
+    ours = asked.select(query, F.size("tokens").alias("__a"), F.explode("tokens").alias("__token"))
+    theirs = docs.select(key, F.size("tokens").alias("__b"), F.explode("tokens").alias("__token"))
+    both = theirs.join(ours, "__token").groupBy(query, key, "__a", "__b").agg(F.count("*").alias("__n"))
+    score = F.round(F.col("__n") / (F.col("__a") + F.col("__b") - F.col("__n")), digits)
+    found = top_k_by(both.select(query, key, score.alias("score")), [query], k, tie=[key]).select(query, key, "score")
+    fewer = asked.select(query).join(found.groupBy(query).agg(F.count("*").alias("__n")), query, "left").where(F.coalesce("__n", F.lit(0)) < k).select(query)
+    least = docs.select(key).orderBy(key).limit(2 * k)  # of 2 k least keys, fewer than k are found already
+    rest = fewer.crossJoin(F.broadcast(least)).join(found, [query, key], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k_by(found.unionByName(rest), [query], k, tie=[key])
 
 
 def maxsim_by(rows: DataFrame, by: list[str], query: list[list[float]], vector: str = "embedding") -> DataFrame:

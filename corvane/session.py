@@ -19,8 +19,12 @@ def build_session(name: str = "corvane", **conf: str) -> SparkSession:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh name in spark.checkpoint.dir, which driver and executors share; in a local folder only where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvane-")
+    """A fresh name in spark.checkpoint.dir, which driver and executors share; where that is unset, as in tests, in a local folder, which needs a local master."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="corvane-")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -197,3 +197,95 @@ def test_settings():
     assert Settings.from_env("T", {"T_TOP_K": "3"}).top_k == 3
     with pytest.raises(ValueError):
         Settings(dpi=0)
+
+
+def test_human_size_halves(spark):
+    from corvane.functions import files as fx
+
+    rows = spark.createDataFrame([(n,) for n in (1280, 1792, 2304, 1023, 1024, -1280, 1024**5 * 3)], "n long").select(fx.human_size(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in rows] == ["1.2 KB", "1.8 KB", "2.2 KB", "1023 B", "1.0 KB", "-1.2 KB", "3.0 PB"]
+
+
+@pytest.fixture
+def corpus(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("red apples\fgreen pears and plums\f \fblue berries")
+    (tmp_path / "in" / "b.txt").write_text("motor cars")
+    return str(tmp_path / "in")
+
+
+def test_engine(spark, tmp_path, corpus):
+    """Files to pages to an index to ranked results; adding, replacing, filters, unknown formats and an empty index."""
+    from corvane import cli
+    from corvane.operators import engine, index
+    from corvane.operators.filters import Query
+
+    docs = cli.documents(spark, corpus, None).withColumn("meta_topic", F.when(F.col("title") == "b", "cars").otherwise("fruit"))
+    own = engine.Engine(embedders.get_embedder("bag"), index.IndexStore(spark, str(tmp_path / "index"))).index(docs)
+    assert len(own) == 4 and len(own.index(docs, reinit=False)) == 8 and len(own.index(docs)) == 4
+    hits = own.search("green pears and plums", 2).collect()
+    assert [(r["filename"], r["page"], r["rank"]) for r in hits][0] == ("a.txt", 2, 1) and hits[0]["normalized_score"] == 1.0 and len(hits) == 2
+    only = own.search(Query("green pears").with_filter("topic", "eq", "cars"))
+    assert [r["filename"] for r in only.collect()] == ["b.txt"]
+    assert {r["score"] for r in engine.annotation(only).collect()} == {r["normalized_score"] for r in only.collect()}
+    with pytest.raises(UnsupportedFormatError):
+        own.index(docs.withColumn("format", F.lit("pdf")))
+    with pytest.raises(EmptyIndexError):
+        own.index(docs.limit(0)).search("x")
+    multi = engine.Engine(embedders.get_embedder("deterministic", dim=4, num_tokens=2), index.IndexStore(spark, str(tmp_path / "multi"))).index(docs)
+    assert [r["rank"] for r in multi.search("anything", 3).collect()] == [1, 2, 3]
+
+
+def test_ingest_and_manifest(spark, tmp_path, corpus):
+    from corvane.operators import engine, index
+    from corvane.sources import files
+
+    store = index.IndexStore(spark, str(tmp_path / "passages"))
+    rows = lambda *xs: spark.createDataFrame(xs, "passage_id string, text string")
+    assert engine.ingest(rows(("a", "one"), ("b", "two")), embedders.BagEmbedder(), store) == 2
+    assert engine.ingest(rows(("b", "new"), ("c", "three")), embedders.BagEmbedder(), store) == 2
+    assert {(r["passage_id"], r["text"]) for r in store.load().collect()} == {("a", "one"), ("b", "new"), ("c", "three")}
+    entries = engine.discovered_entries(files.discover(spark, corpus, with_checksum=True))
+    engine.export_manifest(entries, str(tmp_path / "m"), ["checksum"])
+    got = engine.load_manifest(spark, str(tmp_path / "m")).collect()
+    assert {(r["file"].rsplit("/")[-1], r["pages"], len(r["metadata"]["checksum"])) for r in got} == {("a.txt", 0, 64), ("b.txt", 0, 64)}
+
+
+def test_command_line(spark, tmp_path, corpus, capsys):
+    from corvane import cli
+
+    assert any("colpali" in x for x in cli.main(["list"]))
+    assert cli.main(["index", "--root", corpus, "--index", str(tmp_path / "i")], spark) == ["4 pages"]
+    found = cli.main(["search", "--index", str(tmp_path / "i"), "--top-k", "1", "motor cars"], spark)
+    assert len(found) == 1 and found[0].startswith("1. [") and "b.txt" in found[0] and found[0] in capsys.readouterr().out
+    assert cli.main(["manifest", "--root", corpus, "--out", str(tmp_path / "m")], spark) == ["2 files"]
+    (tmp_path / "c.jsonl").write_text(json.dumps({"id": "x", "title": "t", "text": "some words here"}) + "\n")
+    assert cli.main(["ingest", "--corpus", str(tmp_path / "c.jsonl"), "--index", str(tmp_path / "p")], spark) == ["1 passages"]
+    with pytest.raises(SystemExit):
+        cli.main(["unknown"])
+
+
+def test_workflow_with_timings(spark, tmp_path):
+    questions = spark.createDataFrame([(1, "red apples", [1.0, 0.0])], "question_id int, question string, q_embedding array<double>")
+    passages = spark.createDataFrame([("a", "red apples grow", [0.9, 0.1]), ("b", "cars", [0.1, 0.9])], "passage_id string, text string, embedding array<double>")
+    answers, timings = rag.workflow(questions, passages, "query", str(tmp_path / "w"))
+    row = answers.first()
+    assert row["answer"].startswith("[fake-llm] Context:") and row["passages"] == ["a", "b"] and [*timings] == ["embed", "retrieve", "rerank", "generate"] and all(x > 0 for x in timings.values())
+    answers, timings = rag.workflow(questions, passages, "retrieve", str(tmp_path / "w"))
+    assert answers.first()["answer"] is None and "generate" not in timings
+
+
+def test_small_parts(spark):
+    from corvane.operators import engine
+
+    maps = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"})], "x map<string,string>, y map<string,string>")
+    assert maps.select(engine.merged_metadata(F.col("x"), F.col("y"))).first()[0] == {"a": "1", "b": "3"}
+    asked = spark.createDataFrame([(0, "x"), (1, "y")], "index int, text string")
+    said = spark.createDataFrame([(1, 0.5), (0, 0.9)], "index int, score double")
+    assert [(r["text"], r["score"]) for r in engine.in_input_order(said, asked).collect()] == [("x", 0.9), ("y", 0.5)]
+    checks = spark.createDataFrame([("store", True), ("model", False)], "name string, ok boolean")
+    assert engine.ready(checks).first().asDict() == {"ready": False, "failing": ["model"]} and engine.ready(checks.limit(0)).first()["ready"]
+    assert json.loads(spark.range(1).select(engine.log_line("search", n=F.col("id"))).first()[0]) == {"event": "search", "n": 0}
+    assert engine.Timings({"index": 500.0}).throughput("index", 100) == 200 and engine.Timings({}).throughput("x", 1) == 0
+    one = spark.createDataFrame([(bytes(range(9)), 3, 1)], "p binary, w int, h int").select(engine.image_key(F.col("p"), F.col("w"), F.col("h"))).first()[0]
+    assert bytes(one) == b"img:3x1:" + bytes(range(9))
