@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +29,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / every)
 
 
-def token_vector(token: Column, dim: int) -> Column:
-    """A unit vector from the token's SHA-256: bytes over 127.5, less 1, repeated to dim."""
-    digest = F.sha2(token, 256)
-    raw = F.array(*((F.conv(F.substring(digest, 2 * (k % 32) + 1, 2), 16, 10).cast("double") / 127.5 - 1.0) for k in range(dim)))
-    n = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+def _normalised(df: DataFrame, parts: list[str], into: str) -> DataFrame:
+    """df with the array of parts over their norm instead of parts.  The norm is a column of its own, so that it is made once a row."""
+    df = df.withColumn("__norm", F.sqrt(reduce(add, (F.col(c) * F.col(c) for c in parts))))
+    whole = F.array(*(F.col(c) / F.when(F.col("__norm") == 0, 1.0).otherwise(F.col("__norm")) for c in parts))
+    return df.withColumn(into, whole).drop("__norm", *parts)
+
+
+def token_vectors(tokens_: DataFrame, dim: int, into: str = "v") -> DataFrame:
+    """tokens_ (token) with a unit vector from the token's SHA-256: bytes over 127.5, less 1, repeated to dim."""
+    raw = {f"__{k}": F.get("__bytes", F.lit(k % 32)) for k in range(dim)}
+    digest = tokens_.withColumn("__digest", F.sha2("token", 256))
+    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(min(dim, 32) - 1)), lambda k: F.conv(F.substring(F.col("__digest"), 2 * k + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0)
+    return _normalised(digest.withColumn("__bytes", bytes_).withColumns(raw).drop("__digest", "__bytes"), [*raw], into)
 
 
 def bag_embeddings(texts: DataFrame, key: str, text_col: str = "text", dim: int = 16) -> DataFrame:
@@ -41,11 +51,9 @@ def bag_embeddings(texts: DataFrame, key: str, text_col: str = "text", dim: int
     """
     found = tokens(F.coalesce(F.col(text_col), F.lit("")))
     each = texts.select(key, F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("<empty>")))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    vectors = each.select("token").distinct().withColumn("v", token_vector(F.col("token"), dim))
+    vectors = token_vectors(each.select("token").distinct(), dim)
     sums = each.join(vectors, "token").groupBy(key).agg(*(F.sum(F.col("n") * F.get("v", F.lit(k))).alias(f"v{k}") for k in range(dim)))
-    total = F.array(*(f"v{k}" for k in range(dim)))
-    length = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x))
-    return sums.select(key, F.transform(total, lambda x: x / F.when(length == 0, 1.0).otherwise(length)).alias("embedding"))
+    return _normalised(sums, [f"v{k}" for k in range(dim)], "embedding")
 
 
 def context(passages: Column) -> Column:
