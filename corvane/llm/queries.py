@@ -36,8 +36,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": lambda s, d: licenses.digests(_documents(s, d)),
         "op9_neardup": lambda s, d: neardup.near_duplicates(_documents(s, d), words=2, percent=80),
         "op10_chat": lambda s, d: chat.digests(s.read.parquet(f"{d}/conversations.parquet")),
+        "quality_counts": quality_counts,
+        "edited_texts": edited_texts,
     }
 
 
+#: Words of a text, as the operators take them.
+WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+#: The contract of op9, without its method: every pair whose sizes allow a link is compared in full.
+NEARDUP_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) ELSE w END AS s FROM w),
+u AS (SELECT s, len(s) AS n, min(doc_id) AS node FROM (SELECT doc_id, list_sort(s) AS s FROM s) WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.node < b.node AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n WHERE 180 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(a, b) AS (SELECT node, node FROM u UNION SELECT r.a, ways.b FROM reach r JOIN ways ON ways.a = r.b),
+lowest AS (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(l.component_id, s.doc_id) AS kept FROM s LEFT JOIN u ON u.s = list_sort(s.s) LEFT JOIN lowest l ON l.node = u.node"""
+
+QUALITY_SQL = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, k, list_slice(w, k, k + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS k FROM t)),
+again AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM again, range(5) x(j) GROUP BY doc_id),
+l AS (SELECT doc_id, len(x) - len(list_distinct(x)) AS n FROM (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS x FROM t)),
+c AS (SELECT t.doc_id, len(t.w) AS n_words, length(array_to_string(t.w, '')) AS word_chars, length(regexp_replace(t.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, l.n AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c"""
+
+EDITED_SQL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id), '') AS f FROM documents)
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 4) || left(f, length(t) // 4)) AS edited_sha256 FROM t"""
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6's model starts from."""
+    return quality.judge(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts that op7 fingerprints."""
+    return fingerprints.digests(_documents(spark, sf_dir)).select("doc_id", "n_chars", "edited_sha256")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For op9 in full; for op6 and op7 as far as SQL goes, under names of their own."""
+    return {"op9_neardup": NEARDUP_SQL, "quality_counts": QUALITY_SQL, "edited_texts": EDITED_SQL}

@@ -600,7 +600,7 @@ def test_chat_against_every_way(spark):
 def test_queries_and_pipeline(spark, sf):
     import corpus_pipeline
 
-    assert [f"op{k}" for k in range(1, 11)] == [n.split("_")[0] for n in queries.queries()]
+    assert [f"op{k}" for k in range(1, 11)] == [n.split("_")[0] for n in queries.queries() if n.startswith("op")]
     out = corpus_pipeline.run(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     step = docs
@@ -610,6 +610,45 @@ def test_queries_and_pipeline(spark, sf):
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in step.collect()}
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_agree_with_sql(spark, sf, name):
+    from oracle import comparable, sql_rows
+
+    df = queries.queries()[name](spark, sf)
+    names, wanted = sql_rows(sf, queries.oracle_sql()[name])
+    assert comparable(df.columns, [tuple(r) for r in df.collect()]) == comparable(names, wanted)
+
+
+def test_very_long_text(spark):
+    """One text of several MB, more than a chunk, beside short ones, through every operator on documents."""
+    long = " ".join(f"word{k % 977} token=abcdef{k}" for k in range(120_000)) + " AKIA" + "B" * 20
+    assert len(long) > 2_900_000
+    made = spark.createDataFrame([(0, long, "en"), (1, "short text", "en"), (2, long, "en")], "doc_id long, text string, lang string").repartition(1)
+    spans = by_id(secrets.digests(made))
+    assert spans[0]["n_assign"] == 120_000 and spans[0]["n_access"] == 1 and spans[0]["base_sha256"] == spans[2]["base_sha256"]
+    sizes = by_id(bpe.digests(made, P.path("byte_bpe_50k.tiktoken")))
+    assert sizes[0]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    files = by_id(token_files.round_trip(made, P.path("byte_bpe_50k.json"), 2))
+    assert files[0]["n_tokens"] == files[2]["n_tokens"] == sizes[0]["n_tokens"] + 1 and files[2]["ids_crc32"] == files[0]["ids_crc32"]
+    packed = packing.pack(made, P.path("word_bpe_49k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
+    assert {(r["n"], r["pieces"] == -(-r["n"] // 2048)) for r in packed if r["doc_id"] != 1} == {(next(r["n"] for r in packed if r["doc_id"] == 0), True)}
+    assert by_id(quality.measure(made))[0]["n_words"] == 240_001
+    assert {r["component_id"] for r in neardup.near_duplicates(made, 2).where("doc_id != 1").collect()} == {0}
+    found = by_id(fingerprints.digests(made))
+    assert found[0]["fingerprint"] == found[2]["fingerprint"]
+    assert by_id(licenses.scan(made))[0]["licenses"] == []
+    assert by_id(langid.predict(made, langid.fit(made)))[0]["lang_pred"] == "en"
+
+
+@pytest.mark.parametrize("name", ["op10", "pipeline"])
+def test_empty_tables_of_others(spark, tmp_path, name):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert (corpus_pipeline.run if name == "pipeline" else queries.queries()["op10_chat"])(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", [f"op{k}" for k in range(1, 10)])
 def test_empty_table(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
