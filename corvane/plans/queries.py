@@ -92,8 +92,7 @@ def batch(spark, sf, k=10):
     """Norms are made once a row, not once a pair."""
     rows = index_rows(spark, sf).withColumn("norm", vx.norm(F.col("embedding")))
     asked = query_rows(spark, sf).withColumn("q_norm", vx.norm(F.col("q")))
-    dim = len(rows.first()["embedding"])
-    scored = F.round(vx.cosine(F.col("embedding"), F.col("q"), F.col("norm"), F.col("q_norm"), dim), 6)
+    scored = F.round(vx.cosine(F.col("embedding"), F.col("q"), F.col("norm"), F.col("q_norm")), 6)
     return search.search_batch(rows, asked, scored, "query_id", k, tie=["vec_id"])
 
 
@@ -316,7 +315,7 @@ PROMPT = "'Context:' || chr(10) || string_agg('[' || rank || '] ' || text, chr(1
 
 def retrieved(spark, sf):
     questions, passages = _asked(spark, sf)
-    return rag.retrieve(questions, passages, scored=F.round(vx.dot(F.col("embedding"), F.col("q_embedding"), 16), 6))
+    return rag.retrieve(questions, passages, scored=F.round(vx.dot(F.col("embedding"), F.col("q_embedding")), 6))
 
 
 @query("rag_retrieve", PASSAGES + " SELECT question_id, passage_id, rank, retrieval_rank, score, rerank_score FROM best")
@@ -353,7 +352,7 @@ WHOLE = f"WITH q AS (SELECT text FROM benchmark WHERE item_id = 0), x AS (SELECT
 def engine_index_search(spark, sf):
     """From files to ranked pages: every document is embedded, written to an index and searched."""
     asked = table(spark, sf, "benchmark").where("item_id = 0").first()["text"]
-    near = lambda a, b: F.round(vx.cosine(a, b, dim=16), 6)
+    near = lambda a, b: F.round(vx.cosine(a, b), 6)
     whole = engine.Engine(BagEmbedder(16), index.IndexStore(spark, new_folder(spark, "index")), near).index(corpus(spark, sf))
     found = whole.search(Query(asked).with_filter("lang", "in", ["en", "fr"]), 10)
     return rounded(found, "normalized_score").select("file", "page", "lang", "source", "score", "normalized_score", "rank")
