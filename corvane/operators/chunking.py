@@ -15,10 +15,12 @@ def chunk(docs: DataFrame, size: int = 120, overlap: int = 20, id_col: str = "do
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
-    words = docs.select(F.col(id_col).alias("doc_id"), tx.words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - overlap, F.lit(1)) - 1, F.lit(size - overlap))
-    passage = lambda w, s: F.struct(F.array_join(F.slice(w, s + 1, size), " ").alias("text"), F.least(F.size(w) - s, F.lit(size)).alias("n_words"))
-    cut = words.select("doc_id", F.posexplode(F.transform(starts, lambda s: passage(F.col("w"), s))).alias("chunk", "x"))  # only finished passages leave the row
+    words = docs.select(F.col(id_col).alias("doc_id"), tx.words(F.col(text_col)).alias("w"))
+    w, n = F.col("w"), F.size("w")
+    # null without words, which explodes to nothing; a filter on n would move below and split each text again
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - overlap, F.lit(1)) - 1, F.lit(size - overlap)))
+    passage = lambda s: F.struct(F.array_join(F.slice(w, s + 1, size), " ").alias("text"), F.least(n - s, F.lit(size)).alias("n_words"))
+    cut = words.select("doc_id", F.posexplode(F.transform(starts, passage)).alias("chunk", "x"))  # only finished passages leave the row
     return cut.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("passage_id"), "doc_id", "chunk", F.col("x.text").alias("text"), F.col("x.n_words").alias("n_words"))
 
 

@@ -96,8 +96,9 @@ def token_topk(asked: DataFrame, docs: DataFrame, k: int, query: str, key: str,
     counted by an equi-join; the union follows from sizes.  Documents that share nothing
     count only where fewer than k share something: then those with the least keys.
     """
-    ours = asked.select(query, F.size("tokens").alias("__a"), F.explode("tokens").alias("__token"))
-    theirs = docs.select(key, F.size("tokens").alias("__b"), F.explode("tokens").alias("__token"))
+    # outer, as explode() has a filter on its array inferred, which moves below and makes every array again; null joins nothing
+    ours = asked.select(query, F.size("tokens").alias("__a"), F.explode_outer("tokens").alias("__token"))
+    theirs = docs.select(key, F.size("tokens").alias("__b"), F.explode_outer("tokens").alias("__token"))
     both = theirs.join(ours, "__token").groupBy(query, key, "__a", "__b").agg(F.count("*").alias("__n"))
     score = F.round(F.col("__n") / (F.col("__a") + F.col("__b") - F.col("__n")), digits)
     found = top_k_by(both.select(query, key, score.alias("score")), [query], k, tie=[key]).select(query, key, "score")
