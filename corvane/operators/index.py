@@ -88,16 +88,19 @@ def manifest(index: DataFrame) -> DataFrame:
 
 
 def manifest_json(entries: DataFrame, created_at: Column | None = None) -> DataFrame:
-    """One row with json: the time and all entries, ordered by file.  A manifest is a list of files, small beside the index."""
-    one = entries.groupBy().agg(F.array_sort(F.collect_list(F.struct("file", "format", "pages"))).alias("entries"))
+    """One row with json: the time and all entries (file, format, pages, and metadata as a map if there is one), by file and format.  A manifest is a list of files, small beside the index."""
+    parts = ["file", "format", "pages", *(["metadata"] if "metadata" in entries.columns else [])]
+    place = lambda x: F.struct(x["file"], x["format"])  # noqa: E731  maps have no order
+    by_file = F.array_sort(F.collect_list(F.struct(*parts)), lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0))
     at = created_at if created_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return one.select(F.to_json(F.struct(at.alias("created_at"), "entries")).alias("json"))
+    return entries.groupBy().agg(by_file.alias("entries")).select(F.to_json(F.struct(at.alias("created_at"), "entries")).alias("json"))
 
 
 def parsed_manifest(rows: DataFrame, col: str = "json") -> DataFrame:
-    """file, format, pages from manifests as JSON."""
+    """file, format, pages, metadata (empty if there is none) from manifests as JSON."""
     kind = "created_at string, entries array<struct<file: string, format: string, pages: long, metadata: map<string,string>>>"
-    return rows.select(F.explode(F.from_json(col, kind)["entries"]).alias("x")).select("x.file", "x.format", "x.pages")
+    entries = rows.select(F.explode(F.from_json(col, kind)["entries"]).alias("x"))
+    return entries.select("x.file", "x.format", "x.pages", F.coalesce("x.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
 
 
 def shown(results: DataFrame, metadata: list[str]) -> DataFrame:

@@ -229,11 +229,11 @@ def payload_projection(spark, sf):
     return index.payload(base, ["file", "page", "lang"])
 
 
-@query("schema_validation", f"SELECT doc_id, CAST((quality IS NULL) AS INT) + CAST(coalesce(lang NOT IN ('en', 'fr'), false) AS INT) + CAST(n_chars IS NOT NULL AS INT) AS errors FROM ({LABELLED})")
+@query("schema_validation", f"SELECT doc_id, concat_ws('; ', CASE WHEN quality IS NULL THEN 'missing required field: quality' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'field lang not in choices: ' || lang END, CASE WHEN n_chars IS NOT NULL THEN 'field n_chars expected type str, got bigint' END) AS errors FROM ({LABELLED})")
 def schema_validation(spark, sf):
-    rows = labelled(spark, sf)
+    rows = labelled(spark, sf).withColumn("n_chars", F.col("n_chars").cast("long"))
     rules = [{"name": "quality", "type": "int", "required": True}, {"name": "lang", "type": "str", "choices": ["en", "fr"]}, {"name": "n_chars", "type": "str"}]
-    return rows.select("doc_id", F.size(index.validated(rows, rules)).alias("errors"))
+    return rows.select("doc_id", F.array_join(index.validated(rows, rules), "; ").alias("errors"))
 
 
 # --- text -----------------------------------------------------------------
@@ -414,9 +414,15 @@ def index_upsert(spark, sf):
     return index.upsert(*versions(spark, sf), "doc_id", "seq")
 
 
-@query("index_count", "SELECT count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
+@query("index_count", "SELECT count(*) AS n, 0::BIGINT AS missing, 0::BIGINT AS cleared FROM documents")
 def index_count(spark, sf):
-    return table(spark, sf, "documents").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    """An index is counted before it is saved, then saved, and cleared."""
+    rows, store = table(spark, sf, "documents").select("doc_id", "n_chars"), index.IndexStore(spark, new_folder(spark, "counted"))
+    missing = store.count()
+    store.save(rows)
+    n = store.count()
+    store.clear(rows.schema)
+    return spark.createDataFrame([(n, missing, store.count())], "n long, missing long, cleared long")
 
 
 @query("index_zip", E_SQL + " SELECT e.vec_id AS ordinal, e.label, d.source FROM e JOIN documents d ON d.doc_id = e.vec_id")
@@ -431,14 +437,24 @@ def paths(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("path"))
 
 
-@query("discover_pages", f"SELECT page_id, path, regexp_extract(lower(path), '[^/]\\.([^./]+)$', 1) AS format FROM ({URL}) WHERE regexp_extract(lower(path), '[^/]\\.([^./]+)$', 1) IN ('html')")
+#: Endings of the pages' files in turn: formats, other spellings of them, and none.
+ENDINGS = {".html": "html", ".HTM": "html", ".pdf": "pdf", ".tif": "tiff", ".markdown": "md", ".Text": "txt", ".bin": None, "": None, ".tar.gz": None, ".docx": "docx", ".mdown": "md"}
+FILES = "SELECT page_id, path || '/file' || e[k] AS path, f[k] AS format FROM (SELECT *, page_id % {n} + 1 AS k, {e} AS e, {f} AS f FROM ({url}))".format(n=len(ENDINGS), e=[*ENDINGS], f="[" + ", ".join(f"'{x}'" if x else "NULL" for x in ENDINGS.values()) + "]", url=URL)
+
+
+def page_files(spark, sf):
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("page_id") % len(ENDINGS) + 1).cast("int"))
+    return paths(spark, sf).select("page_id", F.concat("path", F.lit("/file"), ending).alias("path"))
+
+
+@query("discover_pages", f"SELECT * FROM ({FILES}) WHERE format IN ('html', 'tiff', 'md', 'docx')")
 def discover_pages(spark, sf):
-    return paths(spark, sf).withColumn("format", fx.format_of(F.col("path"))).where(F.col("format") == "html")
+    return sources.known(page_files(spark, sf), ["htm", ".TIF", "md", " Docx "])
 
 
-@query("count_by_extension", f"SELECT 'html' AS format, count(*) AS files FROM ({URL}) WHERE regexp_extract(lower(path), '[^/]\\.([^./]+)$', 1) IN ('html', 'htm') HAVING count(*) > 0")
+@query("count_by_extension", f"SELECT format, count(*) AS files FROM ({FILES}) WHERE format IS NOT NULL GROUP BY format")
 def count_by_extension(spark, sf):
-    return sources.count_by_format(paths(spark, sf).withColumn("format", fx.format_of(F.col("path"))).where("format is not null"))
+    return sources.count_by_format(sources.known(page_files(spark, sf)))
 
 
 @query("path_parts", f"SELECT page_id, split_part(path, '/', -1) AS filename, 'doc_' || substr(sha256(path), 1, 12) AS doc_id FROM ({URL})")
@@ -453,9 +469,11 @@ def entries(spark, sf):
     return index.manifest(table(spark, sf, "documents").select(F.col("source").alias("file"), F.lit("txt").alias("format")))
 
 
-@query("manifest_json", MANIFEST)
+@query("manifest_json", f"SELECT *, 'made from ' || file AS origin FROM ({MANIFEST})")
 def manifest_json(spark, sf):
-    return index.parsed_manifest(index.manifest_json(entries(spark, sf)))
+    rows = entries(spark, sf).withColumn("metadata", F.create_map(F.lit("origin"), F.concat(F.lit("made from "), "file")))
+    found = index.parsed_manifest(index.manifest_json(rows))
+    return found.select("file", "format", "pages", F.col("metadata")["origin"].alias("origin"))
 
 
 @query("manifest_total_pages", f"SELECT count(*) AS files, CAST(sum(pages) AS BIGINT) AS pages FROM ({MANIFEST})")

@@ -38,11 +38,15 @@ def iter_files(spark: SparkSession, root: str, suffixes: Iterable[str] | None =
     return files.orderBy("path")
 
 
+def known(files: DataFrame, suffixes: Iterable[str] | None = None) -> DataFrame:
+    """files (path) with format, those of known formats; both sides of an allow-list are made canonical."""
+    files = files.withColumn("format", fx.format_of(F.col("path"))).where("format is not null")
+    return files if suffixes is None else files.where(F.col("format").isin([fx.canonical(s) for s in suffixes]))
+
+
 def discover(spark: SparkSession, root: str, suffixes: Iterable[str] | None = None, with_checksum: bool = False) -> DataFrame:
-    """path, format, length (and checksum) of documents of known formats; both sides of an allow-list are made canonical."""
-    files = listed(spark, root, with_checksum).withColumn("format", fx.format_of(F.col("path"))).where("format is not null")
-    if suffixes is not None:
-        files = files.where(F.col("format").isin([fx.canonical(s) for s in suffixes]))
+    """path, format, length (and checksum) of documents below root, as known() takes them; by path."""
+    files = known(listed(spark, root, with_checksum), suffixes)
     if with_checksum:
         files = files.withColumn("checksum", fx.checksum(F.col("content"))).drop("content")
     return files.orderBy("path")
@@ -62,11 +66,12 @@ def renderers(files: DataFrame, table: dict[str, str]) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """id, title, text, metadata of each line that is not blank; strict: a bad line is an error that quotes it."""
+    """id, title, text, metadata of each line that is not blank; strict: a bad line is an error that gives its number and quotes it."""
     lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", CORPUS).alias("x"))
     bad = F.col("x.id").isNull() | F.col("x.title").isNull() | F.col("x.text").isNull()
-    if strict and (first := lines.where(bad).select("value", F.input_file_name().alias("file")).first()):
-        raise CorpusError(f"{first['file']}: cannot read {first['value'][:80]!r}")
+    if strict and (first := lines.where(bad).select(F.input_file_name().alias("file")).first()):
+        at = line_errors(spark, first["file"]).first()  # only now the file is numbered
+        raise CorpusError(f"{first['file']}, line {at['line']}: cannot read {at['excerpt']!r}")
     return lines.where(~bad).select("x.id", "x.title", "x.text", F.coalesce("x.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
 
 

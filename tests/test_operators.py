@@ -123,7 +123,7 @@ def test_files_and_corpora(spark, tmp_path):
         sources.renderers(found, {"pdf": "x"})
     lines = tmp_path / "c.jsonl"
     lines.write_text('{"id": "1", "title": "t", "text": "x"}\n\n{"id": 2\n')
-    with pytest.raises(CorpusError):
+    with pytest.raises(CorpusError, match=r"c\.jsonl, line 3: cannot read '{\"id\": 2'"):
         sources.read_jsonl(spark, str(lines))
     assert sources.read_jsonl(spark, str(lines), strict=False).count() == 1
     assert sources.line_errors(spark, str(lines)).first()["line"] == 3
