@@ -94,4 +94,5 @@ def last_turn(turns: DataFrame) -> DataFrame:
 
 
 def first_turns(turns: DataFrame, n: int = 1) -> DataFrame:
-    return turns.withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where(F.col("k") <= n).drop("k")
+    """The first n rows of each conversation, by turn; those of one turn by role and text."""
+    return turns.withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).where(F.col("k") <= n).drop("k")

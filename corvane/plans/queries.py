@@ -101,6 +101,11 @@ def dense_topk_batch(spark, sf):
     return batch(spark, sf).select("query_id", "vec_id", "score", "rank")
 
 
+@query("identity_rerank", SCORED + " SELECT vec_id, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank, score, NULL::DOUBLE AS rerank_score FROM s ORDER BY score DESC, vec_id LIMIT 5")
+def identity_rerank(spark, sf):
+    return search.not_reranked(dense_topk(spark, sf)).select("vec_id", "rank", "score", "rerank_score")
+
+
 @query("dot_topk", E_SQL + " SELECT e.vec_id, round(list_dot_product(e.embedding, q.embedding), 6) AS score FROM e, e AS q WHERE q.vec_id = 1 ORDER BY score DESC, e.vec_id LIMIT 20")
 def dot_topk(spark, sf):
     scored = F.round(vx.dot(F.col("embedding"), vx.vector(query_vector(spark, sf, 1))), 6)
@@ -457,6 +462,23 @@ def count_by_extension(spark, sf):
     return sources.count_by_format(sources.known(page_files(spark, sf)))
 
 
+@query("file_kinds", f"SELECT page_id, format, format = 'tiff' AS image, format IN ('tiff', 'pdf', 'docx') AS renderable FROM ({FILES}) WHERE format IS NOT NULL")
+def file_kinds(spark, sf):
+    kind = F.col("format")
+    return sources.known(page_files(spark, sf)).select("page_id", "format", fx.is_image(kind).alias("image"), fx.is_renderable(kind).alias("renderable"))
+
+
+@query("page_ordinals", "SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page FROM documents")
+def page_ordinals(spark, sf):
+    return index.row_numbered(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
+@query("filled_templates", "SELECT doc_id, lang || ': ' || n_chars || ' characters from ' || source AS said FROM documents")
+def filled_templates(spark, sf):
+    said = tx.filled(F.lit("{lang}: {n} characters from {source}"), lang=F.col("lang"), n=F.col("n_chars"), source=F.col("source"))
+    return table(spark, sf, "documents").select("doc_id", said.alias("said"))
+
+
 @query("path_parts", f"SELECT page_id, split_part(path, '/', -1) AS filename, 'doc_' || substr(sha256(path), 1, 12) AS doc_id FROM ({URL})")
 def path_parts(spark, sf):
     return paths(spark, sf).select("page_id", fx.filename(F.col("path")).alias("filename"), fx.stable_id("doc", F.col("path")).alias("doc_id"))
@@ -511,6 +533,11 @@ def conversation_last_turn(spark, sf):
     return rag.last_turn(table(spark, sf, "conversations"))
 
 
+@query("conversation_first_turns", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations) WHERE k <= 2")
+def conversation_first_turns(spark, sf):
+    return rag.first_turns(table(spark, sf, "conversations"), 2).select("conv_id", "turn", "role", "text")
+
+
 @query("paginate", "SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 10 OFFSET 30")
 def paginate(spark, sf):
     return search.page_of(table(spark, sf, "documents").select("doc_id", "source"), ["source", "doc_id"], 30, 10)
@@ -595,6 +622,14 @@ def stage_events(spark, sf):
     return rag.stage_events(rows, "event_type", "timings", ["event_id"])
 
 
+@query("merged_timings", f"SELECT event_id, CAST(event_id % 5 AS DOUBLE) AS embed, retrieve, generate FROM ({EVENT})")
+def merged_timings(spark, sf):
+    value = lambda **x: F.create_map(*(y for n, c in x.items() for y in (F.lit(n), c.cast("double"))))
+    old = value(embed=F.col("event_id") % 3, retrieve=F.round("value", 3))
+    both = rag.merged_timings(old, value(embed=F.col("event_id") % 5, generate=F.col("event_id") % 2)).alias("t")
+    return table(spark, sf, "events").select("event_id", both).select("event_id", *(F.col("t")[s].alias(s) for s in ("embed", "retrieve", "generate")))
+
+
 @query("semi_hits", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def semi_hits(spark, sf):
     return table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "source")
@@ -640,6 +675,25 @@ def stream_upsert(spark, sf):
     return incremental.upsert_available(stream, f"{folder}/index", f"{folder}/checkpoint", "user_id", "event_id")
 
 
+@query("stream_once", "SELECT event_id, user_id, event_type FROM events")
+def stream_once(spark, sf):
+    """Every event comes twice and stays once."""
+    schema, folder = table(spark, sf, "events").schema, new_folder(spark, "stream")
+    stream = incremental.stream_of(spark, f"{sf}/events.parquet*", schema)
+    once = incremental.once_by(stream.union(incremental.stream_of(spark, f"{sf}/events.parquet*", schema)), "event_id", "ts")
+    incremental.append_available(once.select("event_id", "user_id", "event_type"), f"{folder}/index", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/index")
+
+
+@query("stream_latency", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS requests, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95 FROM events GROUP BY ALL")
+def stream_latency(spark, sf):
+    rows, folder = table(spark, sf, "events"), new_folder(spark, "stream")
+    stream = incremental.stream_of(spark, f"{sf}/events.parquet*", rows.schema)
+    incremental.whole_available(incremental.windowed_latency(stream, "ts", "event_type", "value", "1 day"), f"{folder}/index", f"{folder}/checkpoint")
+    found = spark.read.parquet(f"{folder}/index")
+    return found.select(F.col("window.start").cast(rows.schema["ts"].dataType).alias("day"), "event_type", "requests", F.round(F.get("p", F.lit(0)), 6).alias("p50"), F.round(F.get("p", F.lit(1)), 6).alias("p95"))
+
+
 # --- what SQL has no words for --------------------------------------------
 
 

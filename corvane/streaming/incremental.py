@@ -24,15 +24,28 @@ def append_available(stream: DataFrame, target: str, checkpoint: str) -> None:
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").outputMode("append").start(target).awaitTermination()
 
 
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """The numbers of the folders in target, ascending."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def upsert_available(stream: DataFrame, target: str, checkpoint: str, key: str, seq: str) -> DataFrame | None:
     """Upserts what is there into the index at target, batch by batch, and stops; the index then, or None if no batch ever came.
 
     Batch n writes the folder n whole, from the one before, so a batch that is run
-    again after a failure overwrites only what it wrote itself.  Its ordinal is the
-    least seq of its key; seq orders the writing.
+    again after a failure overwrites only what it wrote itself; folders older than that
+    are removed.  Its ordinal is the least seq of its key; seq orders the writing.
     """
-    spark = stream.sparkSession
-    at = lambda n: index.IndexStore(spark, f"{target.rstrip('/')}/{n}")
+    spark, folder = stream.sparkSession, target.rstrip("/")
+    at = lambda n: index.IndexStore(spark, f"{folder}/{n}")
 
     def write(rows: DataFrame, n: int) -> None:
         # a row of the index stands for its key's first writing, at ordinal, and its last, at __last
@@ -41,16 +54,24 @@ def upsert_available(stream: DataFrame, target: str, checkpoint: str, key: str,
         rest = [c for c in every.columns if c not in (key, "ordinal", "__last")]
         best = every.groupBy(key).agg(F.min("ordinal").alias("ordinal"), F.max("__last").alias("__last"), F.max_by(F.struct(*rest), "__last").alias("x"))
         at(n).save(best.select(key, "ordinal", "__last", *(F.col(f"x.{c}").alias(c) for c in rest)))
+        for old in _versions(spark, folder):
+            if old < n - 1:
+                _remove(spark, f"{folder}/{old}")
 
     run = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     run.awaitTermination()
-    last = 0
-    while at(last + 1).exists():
-        last += 1
-    return at(last).load().drop("__last") if at(last).exists() else None
+    written = _versions(spark, folder)
+    return at(written[-1]).load().drop("__last") if written else None
 
 
 def windowed_latency(stream: DataFrame, ts: str, by: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """window, by, requests and approximate p50, p95, p99."""
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return rows.groupBy(F.window(ts, width), by).agg(F.count("*").alias("requests"), F.percentile_approx(value, [0.5, 0.95, 0.99]).alias("p"))
+
+
+def whole_available(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Writes an aggregated stream's result over all that is there to target and stops."""
+    store = index.IndexStore(stream.sparkSession, target)
+    run = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("complete").foreachBatch(lambda rows, n: store.save(rows)).start()
+    run.awaitTermination()

@@ -1,4 +1,5 @@
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -289,3 +290,34 @@ def test_small_parts(spark):
     assert engine.Timings({"index": 500.0}).throughput("index", 100) == 200 and engine.Timings({}).throughput("x", 1) == 0
     one = spark.createDataFrame([(bytes(range(9)), 3, 1)], "p binary, w int, h int").select(engine.image_key(F.col("p"), F.col("w"), F.col("h"))).first()[0]
     assert bytes(one) == b"img:3x1:" + bytes(range(9))
+
+
+def bitmap(width, height, colour):
+    """A BMP of one colour (red, green, blue)."""
+    row = bytes(colour[::-1]) * width + bytes(-3 * width % 4)
+    head = struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(row) * height, 0, 0, 0, 0)
+    return b"BM" + struct.pack("<IHHI", 54 + len(row) * height, 0, 0, 54) + head + row * height
+
+
+def test_images_and_gold(spark, tmp_path):
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "a.bmp").write_bytes(bitmap(3, 2, (255, 51, 0)))
+    (tmp_path / "images" / "broken.bmp").write_bytes(b"BM nothing")
+    pages = sources.read_images(spark, str(tmp_path / "images"))
+    row = pages.select("file", "page", "width", "height", sources.mean_colour(F.col("pixels")).alias("c")).collect()
+    assert [(r["file"].rsplit("/")[-1], r["page"], r["width"], r["height"], [round(x, 6) for x in r["c"]]) for r in row] == [("a.bmp", 1, 3, 2, [1.0, 0.2, 0.0])]
+    (tmp_path / "gold.json").write_text(json.dumps([{"ranked": ["a", "b"], "relevant": ["b"]}, {"ranked": [], "relevant": ["c"]}]))
+    ranked, relevant, queries = metrics.from_gold(sources.read_gold(spark, str(tmp_path / "gold.json")))
+    report = metrics.macro(metrics.per_query(ranked, relevant, queries, 5)).first()
+    assert report["queries"] == 2 and report["recall"] == 0.5 and report["mrr"] == 0.25
+
+
+def test_strict_zip_scorers_and_questions(spark):
+    rows = lambda *xs: spark.createDataFrame([(x,) for x in xs], "ordinal int")
+    assert index.zipped(rows(0, 1), rows(1, 0), strict=True).count() == 2
+    with pytest.raises(Exception, match="differ in length"):
+        index.zipped(rows(0, 1), rows(0), strict=True).collect()
+    assert vx.scorer() is vx.cosine and vx.scorer(multi=True) is vx.maxsim and vx.scorer("dot") is vx.dot
+    assert one(spark, fx.zoom(F.lit(144))) == 2.0
+    asked = sources.synthetic_questions(spark, 12).orderBy("question_id").collect()
+    assert asked[0]["question"] == asked[10]["question"] == f"What is the rule on {sources.TOPICS[0]}?" and len({r["question"] for r in asked}) == 10
