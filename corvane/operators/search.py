@@ -7,12 +7,17 @@ of one row, and the filter follows, as it must not move them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.errors import EmptyIndexError
 from corvane.functions import vectors as vx
@@ -89,6 +94,81 @@ def search_batch(index: DataFrame, queries: DataFrame, scored: Column, query_key
 QUERIES = 10_000
 
 
+#: Up to how many bytes of query vectors are sent to every task, and how many queries are multiplied at once.
+QUERY_BYTES, AT_ONCE = 1 << 26, 256
+
+
+def product_topk(index: DataFrame, queries: DataFrame, query_key: str, vector: str, q_vector: str, k: int = 10, spec: Any = None, tie: list[str] | None = None, cosine: bool = False, digits: int | None = None) -> DataFrame:
+    """search_batch() by products (or cosines) of vectors: query_key, the index's columns but vector, score and rank.
+
+    queries: query_key and q_vector, a stated set.  Its vectors, in blocks of up to
+    QUERY_BYTES, go to every task, which multiplies them with an Arrow batch of the index
+    at once and hands on the batch's k best for each query only, so no pair beyond these
+    leaves the task.  Scores are rounded to digits, halves away from zero, before they are
+    compared.  Vectors of unequal lengths, null ones and those with nulls have no score.
+    """
+    if k < 0:
+        raise ValueError("k must not be negative")
+    rows = filters.apply(index, spec)
+    kept = [f for f in rows.schema if f.name != vector]
+    schema = T.StructType([queries.schema[query_key], *kept, T.StructField("score", T.DoubleType())])
+    asked = queries.where(F.col(q_vector).isNotNull()).select(query_key, F.col(q_vector).cast("array<double>").alias(q_vector), F.size(q_vector).alias("__dim"))
+    dims = asked.groupBy("__dim").agg(F.count("*").alias("n")).collect()  # a row for each length of vectors
+    parts = []
+    for dim, n in sorted((r["__dim"], r["n"]) for r in dims):
+        blocks = max(1, -(-n * 8 * max(dim, 1) // QUERY_BYTES))
+        some = asked.where(F.col("__dim") == dim)
+        fit = rows.where(F.size(vector) == dim).select(*(f.name for f in kept), F.col(vector).cast("array<double>").alias(vector))
+        for b in range(blocks):
+            block = (some if blocks == 1 else some.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)).select(query_key, q_vector).toArrow()
+            parts.append(fit.mapInArrow(_best_of_batches(block, query_key, q_vector, vector, dim, k, tie or [], cosine, digits), schema))
+    found = reduce(DataFrame.unionByName, parts) if parts else index.sparkSession.createDataFrame([], schema)
+    return top_k_by(found, [query_key], k, tie=tie)
+
+
+def _best_of_batches(block: pa.Table, query_key: str, q_vector: str, vector: str, dim: int, k: int, tie: list[str], cosine: bool, digits: int | None):
+    """For each Arrow batch the k best rows of each query of block, best by score, then tie."""
+    keys = block[query_key].combine_chunks()
+    asked = _matrix(block[q_vector].combine_chunks(), dim)
+    asked_norms = np.sqrt((asked * asked).sum(1))
+
+    def scores(own: np.ndarray, a: int) -> np.ndarray:
+        """queries x rows; minus infinity for those that don't count."""
+        with np.errstate(all="ignore"):
+            out = asked[a : a + AT_ONCE] @ own.T
+            if cosine:
+                out /= asked_norms[a : a + AT_ONCE, None] * np.sqrt((own * own).sum(1)) + EPS
+            if digits is not None:
+                out = np.copysign(np.floor(np.abs(out) * 10.0**digits + 0.5) / 10.0**digits, out) + 0.0
+        return np.where(np.isnan(out), -np.inf, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch) or not k:
+                continue
+            if tie:  # so that of equal scores the first are taken
+                batch = batch.take(pc.sort_indices(batch.select(tie), [(t, "ascending") for t in tie], null_placement="at_start"))
+            own = _matrix(batch.column(vector), dim)
+            rest = batch.drop_columns([vector])
+            for a in range(0, len(asked), AT_ONCE):
+                found = scores(own, a)
+                least = np.partition(found, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else -np.inf
+                query, row = np.nonzero((found >= least) & (found > -np.inf))
+                order = np.lexsort((row, -found[query, row], query))
+                query, row = query[order], row[order]
+                near = np.arange(len(query)) - np.searchsorted(query, query) < k
+                query, row = query[near], row[near]
+                mine = rest.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(query + a)), *mine.columns, pa.array(found[query, row])], [query_key, *mine.schema.names, "score"])
+
+    return run
+
+
+def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of dim numbers, one a row; nulls are NaN."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
+
+
 def token_topk(asked: DataFrame, docs: DataFrame, k: int, query: str, key: str, digits: int = 9) -> DataFrame:
     """query, key, score, rank: for each of a stated set of queries the k documents with the greatest Jaccard similarity of tokens, ties by key.
 

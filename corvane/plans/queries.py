@@ -89,11 +89,7 @@ BATCH = E_SQL + f", s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, q.labe
 
 
 def batch(spark, sf, k=10):
-    """Norms are made once a row, not once a pair."""
-    rows = index_rows(spark, sf).withColumn("norm", vx.norm(F.col("embedding")))
-    asked = query_rows(spark, sf).withColumn("q_norm", vx.norm(F.col("q")))
-    scored = F.round(vx.cosine(F.col("embedding"), F.col("q"), F.col("norm"), F.col("q_norm")), 6)
-    return search.search_batch(rows, asked, scored, "query_id", k, tie=["vec_id"])
+    return search.product_topk(index_rows(spark, sf), query_rows(spark, sf), "query_id", "embedding", "q", k, tie=["vec_id"], cosine=True, digits=6)
 
 
 @query("dense_topk_batch", BATCH + " SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10")

@@ -321,3 +321,20 @@ def test_strict_zip_scorers_and_questions(spark):
     assert one(spark, fx.zoom(F.lit(144))) == 2.0
     asked = sources.synthetic_questions(spark, 12).orderBy("question_id").collect()
     assert asked[0]["question"] == asked[10]["question"] == f"What is the rule on {sources.TOPICS[0]}?" and len({r["question"] for r in asked}) == 10
+
+
+@pytest.mark.parametrize("cosine", [False, True])
+def test_product_topk_is_search_batch(spark, cosine, monkeypatch):
+    """Ties, equal and null vectors, unequal lengths, empty tables, several blocks and batches."""
+    vectors = [[1.0, 0.0], [1.0, 0.0], [0.5, 0.5], [-1.0, 2.0], [0.0, 0.0], None, [1.0, None], [1.0, float("nan")], [3.0], [1.0, 0.0]]
+    rows = spark.createDataFrame([(k % 9, f"t{k}", v) for k, v in enumerate(vectors)], "id int, tag string, v array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.3, 0.7]), (3, [2.0]), (4, None), (5, [1.0, 2.0, 3.0])], "query int, q array<double>")
+    scored = F.round((vx.cosine if cosine else vx.dot)(F.col("v"), F.col("q")), 6)
+    ways = lambda df: {tuple(r) for r in df.select("query", "id", "tag", "score", "rank").collect()}
+    for at_once, size in ((1, 1 << 26), (256, 8)):
+        monkeypatch.setattr(search, "AT_ONCE", at_once)
+        monkeypatch.setattr(search, "QUERY_BYTES", size)
+        for k in (0, 2, 20):
+            got = search.product_topk(rows, asked, "query", "v", "q", k, {"id": {"lt": 8}}, ["id", "tag"], cosine, 6)
+            assert ways(got) == ways(search.search_batch(rows, asked, scored, "query", k, {"id": {"lt": 8}}, ["id", "tag"]))
+    assert search.product_topk(rows.limit(0), asked, "query", "v", "q").count() == search.product_topk(rows, asked.limit(0), "query", "v", "q").count() == 0
