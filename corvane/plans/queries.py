@@ -690,21 +690,27 @@ def stream_latency(spark, sf):
     return found.select(F.col("window.start").cast(rows.schema["ts"].dataType).alias("day"), "event_type", "requests", F.round(F.get("p", F.lit(0)), 6).alias("p50"), F.round(F.get("p", F.lit(1)), 6).alias("p95"))
 
 
-# --- what SQL has no words for --------------------------------------------
-
+# --- made-up rows: their number is what is asked for ------------------------
 
-@query("deterministic_embed")
-def deterministic_embed(spark, sf):
-    rows = table(spark, sf, "benchmark")
-    return rows.select("item_id", DeterministicEmbedder(dim=8, num_tokens=4).column(F.col("text").cast("binary")).alias("embedding"))
+PICKED = "('0x' || substr(sha256(id || ':{name}:1234'), 1, 8))::BIGINT % {n} + {low}"
+FIGURES = ", ".join(PICKED.format(name=name, n=high - low + 1, low=low) + f" AS {name}" for name, low, high in (("days", 2, 30), ("amount", 50, 900), ("hours", 4, 72)))
 
 
-@query("image_pages")
+@query("image_pages", "SELECT printf('page_%05d.png', i) AS file, i % 10 AS bucket, round(i * 37 % 256 / 255, 6) AS red, round(i * 59 % 256 / 255, 6) AS green, round(i * 83 % 256 / 255, 6) AS blue FROM range(200) t(i)")
 def image_pages(spark, sf):
-    rows = sources.synthetic_pages(spark, 200)
-    return rows.select("file", "bucket", F.transform(sources.mean_colour(F.col("pixels")), lambda x: F.round(x, 6)).alias("colour"))
+    rows = sources.synthetic_pages(spark, 200).withColumn("colour", sources.mean_colour(F.col("pixels")))
+    return rows.select("file", "bucket", *(F.round(F.get("colour", F.lit(k)), 6).alias(c) for k, c in enumerate(("red", "green", "blue"))))
 
 
-@query("synthetic_corpus")
+@query("synthetic_corpus", f"SELECT printf('doc-%04d', id) AS id, topic AS title, 'Rule ' || id || ' on ' || topic || ': ask within ' || days || ' days, up to ' || amount || ' euros, and expect an answer in ' || hours || ' hours.' AS text FROM (SELECT id, {list(sources.TOPICS)}[id % {len(sources.TOPICS)} + 1] AS topic, {FIGURES} FROM range(200) t(id))")
 def synthetic_corpus(spark, sf):
     return sources.synthetic_corpus(spark, 200).select("id", "title", "text")
+
+
+# --- what SQL has no words for --------------------------------------------
+
+
+@query("deterministic_embed")
+def deterministic_embed(spark, sf):
+    rows = table(spark, sf, "benchmark")
+    return rows.select("item_id", DeterministicEmbedder(dim=8, num_tokens=4).column(F.col("text").cast("binary")).alias("embedding"))

@@ -114,8 +114,12 @@ SENTENCE = "Rule {n} on {topic}: ask within {days} days, up to {amount} euros, a
 
 
 def synthetic_corpus(spark: SparkSession, n: int, seed: int = 1234) -> DataFrame:
-    """id, title, text, metadata of n documents that go through the topics in turn; the same seed gives the same."""
-    pick = lambda name, low, high: (F.pmod(F.xxhash64(F.col("id"), F.lit(name), F.lit(seed)), F.lit(high - low + 1)) + low)
+    """id, title, text, metadata of n documents that go through the topics in turn; the same seed gives the same.
+
+    A figure is taken from the first 8 hexadecimal digits of the SHA-256 of id, its name and the seed, joined by colons.
+    """
+    digest = lambda name: F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(name), F.lit(str(seed))), 256)
+    pick = lambda name, low, high: F.conv(F.substring(digest(name), 1, 8), 16, 10).cast("long") % (high - low + 1) + low
     topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.pmod("id", F.lit(len(TOPICS))) + 1).cast("int"))
     text = F.lit(SENTENCE)
     for slot, value in {"topic": topic, "n": F.col("id"), "days": pick("days", 2, 30), "amount": pick("amount", 50, 900), "hours": pick("hours", 4, 72)}.items():
