@@ -38,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_chat": lambda s, d: chat.digests(s.read.parquet(f"{d}/conversations.parquet")),
         "quality_counts": quality_counts,
         "edited_texts": edited_texts,
+        "secret_bases": secret_bases,
     }
 
 
@@ -66,6 +67,29 @@ EDITED_SQL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead
 SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 4) || left(f, length(t) // 4)) AS edited_sha256 FROM t"""
 
 
+def _any_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+#: The base kinds of op4 in the contract's order: pattern, the group that is measured, its least length.
+BASE_KINDS = {
+    "assign": ("(" + _any_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "access": ("AKIA[A-Z0-9]+", 0, 20),
+    "hex": ("[0-9a-f]+", 0, 24),
+}
+_MATCHES = " UNION ALL ".join(f"SELECT doc_id, {place} AS place, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS g, regexp_split_to_array(t, '{p}') AS gaps FROM t" for place, (kind, (p, group, least)) in enumerate((k, (p.replace("'", "''"), *rest)) for k, (p, *rest) in BASE_KINDS.items()))
+#: A match begins after the gaps up to it and the matches before it.
+SECRETS_SQL = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({_MATCHES}),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM found),
+spans AS (SELECT doc_id, place, kind, len(m[k]) AS n, CAST(list_sum(list_transform(gaps[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: len(x))), 0) AS BIGINT) AS s FROM each WHERE len(g[k]) >= least)
+SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, sha256(coalesce(string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, place), '')) AS base_sha256 FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id"""
+
+
+def secret_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 says of the base kinds."""
+    return secrets.digests(_documents(spark, sf_dir)).drop("spans")
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op6's model starts from."""
     return quality.judge(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -77,5 +101,5 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    """For op9 in full; for op6 and op7 as far as SQL goes, under names of their own."""
-    return {"op9_neardup": NEARDUP_SQL, "quality_counts": QUALITY_SQL, "edited_texts": EDITED_SQL}
+    """For op9 in full; for op4, op6 and op7 as far as SQL goes, under names of their own."""
+    return {"op9_neardup": NEARDUP_SQL, "secret_bases": SECRETS_SQL, "quality_counts": QUALITY_SQL, "edited_texts": EDITED_SQL}
