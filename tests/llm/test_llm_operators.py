@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -12,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, chat, fingerprints, langid, licenses, neardup, packing, quality, queries, secrets, token_files
@@ -281,6 +283,62 @@ def test_langid(odd, docs):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(odd.where("lang is null"))).collect()} == {"und"}
 
 
+def test_langid_against_brute_force(spark, odd, docs):
+    """Counts of the sample word by word, and each text's score as the plain sum over its words, known or backed off."""
+    rows = [r for r in docs.collect() if r["lang"] and r["text"]]
+    model = langid.fit(docs)
+    counts = defaultdict(Counter)
+    for text, lang in {(r["text"], r["lang"], r["doc_id"]): (r["text"], r["lang"]) for r in rows}.values():
+        for word in regex.findall(r"\p{L}+", text.lower()):
+            counts[word][lang] += 1
+    top = sorted(counts, key=lambda w: (-counts[w].total(), w))[:20_000]
+    sums = [sum(counts[w][x] for w in top) for x in model.languages]
+    frequency = lambda c, total, kinds: math.log((c + 0.5) / (total + 0.5 * kinds))
+    assert model.words.keys() == set(top)
+    for word in top[:: max(1, len(top) // 300)]:
+        assert model.words[word] == pytest.approx([frequency(counts[word][x], n, len(top)) for x, n in zip(model.languages, sums)])
+
+    def scored(word, k):
+        if word in model.words:
+            return model.words[word][k]
+        marked = f"^{word}$"
+        for n in (5, 4, 3, 2, 1):
+            known = [model.grams[marked[i : i + n]][k] for i in range(len(marked) - n + 1) if marked[i : i + n] in model.grams]
+            if known:
+                return sum(known) / len(known)
+        return 0.0
+
+    texts = TEXTS + [r["text"] for r in rows[:40]] + ["Zzyzx qwertz überzählig 中文", "ΟΔΟΣ Σ xΣ", "word" * 500]
+    made = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = by_id(langid.predict(made, model))
+    for k, text in enumerate(texts):
+        words = regex.findall(r"\p{L}+", (text or "").lower())
+        if not words:
+            assert (got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0)
+            continue
+        every = [sum(scored(w, x) for w in words) for x in range(len(model.languages))]
+        best = max(every)
+        assert got[k]["score"] == pytest.approx(1 / sum(math.exp(max(x - best, -700)) for x in every), abs=1e-6)
+        assert every[model.languages.index(got[k]["lang_pred"])] == pytest.approx(best)
+
+
+def test_quality_posteriors_hold_what_they_promise():
+    """Four fifths of each rule's bad votes are right, and a good vote turned bad never raises a posterior, even if the votes are noise (what an abstention says is left to the data)."""
+    for _ in range(12):
+        seen = Counter(int("".join(RNG.choice("0112222") for _ in quality.RULES), 3) for _ in range(RNG.choice([5, 200, 3000])))
+        found = quality.posteriors(dict(seen))
+        votes = lambda code: [code // 3**k % 3 for k in range(len(quality.RULES))]
+        for k in range(len(quality.RULES)):
+            against = {c: n for c, n in seen.items() if votes(c)[k] == 0}
+            if against:
+                assert sum(n * found[c] for c, n in against.items()) <= (1 - quality.RIGHT) * sum(against.values()) * (1 + 1e-6) + 1e-6
+        for code in seen:
+            for k in range(len(quality.RULES)):
+                if votes(code)[k] == 2 and (bad := code - 2 * 3**k) in found:
+                    assert found[bad] <= found[code] + 1e-9
+    assert quality.posteriors({}) == {}
+
+
 def test_langid_without_letters_and_with_repeats(spark, docs):
     """Figures and numbers are no letters; the sample is bounded however often a row or an id comes."""
     model = langid.fit(docs)
