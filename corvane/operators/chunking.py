@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.operators.numbering import numbered
 
 
 def chunk(docs: DataFrame, size: int = 120, overlap: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,8 +34,7 @@ def passage_metadata(metadata, doc_id, title, chunk):
 
 def batch_numbers(df: DataFrame, size: int, order: str, by: str) -> DataFrame:
     """df with batch: consecutive rows of each by, in that order, size at a time."""
-    from pyspark.sql import Window
-
     if size < 1:
         raise ValueError("size must be positive")
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
+    rows = numbered(df, by, order, "batch")
+    return rows.withColumn("batch", F.floor((F.col("batch") - 1) / size))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.errors import IndexStoreError
 from corvane.functions import files as fx
+from corvane.operators.numbering import numbered
 
 #: Payload columns that metadata may override, and those it may not.
 OVERRIDABLE, RESERVED = ("file", "format", "page"), ("document", "document_version")
@@ -132,4 +133,4 @@ def validated(df: DataFrame, rules: list[dict]) -> Column:
 
 def row_numbered(pages: DataFrame, by: str, order: str) -> DataFrame:
     """pages with page: the place within by, from 1."""
-    return pages.withColumn("page", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    return numbered(pages, by, order, "page").withColumn("page", F.col("page").cast("int"))

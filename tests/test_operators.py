@@ -338,3 +338,22 @@ def test_product_topk_is_search_batch(spark, cosine, monkeypatch):
             got = search.product_topk(rows, asked, "query", "v", "q", k, {"id": {"lt": 8}}, ["id", "tag"], cosine, 6)
             assert ways(got) == ways(search.search_batch(rows, asked, scored, "query", k, {"id": {"lt": 8}}, ["id", "tag"]))
     assert search.product_topk(rows.limit(0), asked, "query", "v", "q").count() == search.product_topk(rows, asked.limit(0), "query", "v", "q").count() == 0
+
+
+def test_numbered_is_a_window(spark, monkeypatch):
+    """A group with most rows, null groups and keys, repeated keys, strings and dates, an empty table."""
+    from pyspark.sql import Window
+
+    from corvane.operators import numbering
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.concat(F.lit("s"), F.col("id") % 7)).alias("s"), F.when(F.col("id") % 500 > 0, F.col("id") * 7919 % 3001).alias("k"))
+    typed = rows.withColumns({"name": F.concat(F.lit("n"), F.col("k").cast("string")), "day": F.date_add(F.lit("2020-01-01").cast("date"), (F.col("k") % 900).cast("int"))})
+    for sampled in (numbering.SAMPLED, 2):
+        monkeypatch.setattr(numbering, "SAMPLED", sampled)
+        for order in ("k", "name", "day"):
+            found = numbering.numbered(typed, "s", order, "n").select("s", order, "n")
+            window = F.row_number().over(Window.partitionBy("s").orderBy(order)).cast("long").alias("n")
+            assert sorted(map(repr, found.collect())) == sorted(map(repr, typed.select("s", order, window).collect()))
+    assert numbering.numbered(typed.limit(0), "s", "k", "n").count() == 0
+    hot = typed.where("s = 'hot'").withColumn("part", numbering._part(typed, "k")).groupBy("part").count().collect()
+    assert len(hot) > 20 and max(r["count"] for r in hot) < 400
