@@ -105,6 +105,34 @@ def distinct(data: np.ndarray, cuts: np.ndarray) -> tuple[list[bytes], np.ndarra
     return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
+class Sums:
+    """Counts by keys, summed up within a task; tables of partial sums leave it when there are too many keys."""
+
+    def __init__(self, keys: list[str], value: str, limit: int = 400_000):
+        self.keys, self.value, self.limit = keys, value, limit
+        self.parts: list[pa.Table] = []
+        self.rows = 0
+
+    def _summed(self) -> pa.Table:
+        found = pa.concat_tables(self.parts).group_by(self.keys).aggregate([(self.value, "sum")])
+        return found.rename_columns([*self.keys, self.value]) if found.column_names[0] == self.keys[0] else found.rename_columns([self.value, *self.keys]).select([*self.keys, self.value])
+
+    def add(self, part: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Yields what leaves the task."""
+        self.parts.append(part.select([*self.keys, self.value]))
+        self.rows += part.num_rows
+        if self.rows > 2 * self.limit:
+            self.parts = [self._summed()]
+            self.rows = self.parts[0].num_rows
+            if self.rows > self.limit:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield from self._summed().combine_chunks().to_batches(max_chunksize=50_000)
+        self.parts, self.rows = [], 0
+
+
 class Lists:
     """A list of numbers for each distinct byte string, kept from chunk to chunk.
 
@@ -244,13 +272,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text of each word."""
-    if not len(data):
+    return runs_of(~WHITE[data], at)
+
+
+def runs_of(black: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of each run of bytes that are marked; none crosses texts."""
+    if not len(black):
         return (np.zeros(0, np.int64),) * 3
-    black = ~WHITE[data]
-    before = np.empty(len(data), bool)
+    before = np.empty(len(black), bool)
     before[0], before[1:] = True, ~black[:-1]
-    before[at[:-1][at[:-1] < len(data)]] = True
-    after = np.empty(len(data), bool)
+    before[at[:-1][at[:-1] < len(black)]] = True
+    after = np.empty(len(black), bool)
     after[-1], after[:-1] = True, ~black[1:]
     after[at[1:][at[1:] > 0] - 1] = True
     starts = np.flatnonzero(black & before)

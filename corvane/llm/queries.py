@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, chat, fingerprints, langid, licenses, neardup, packing, quality, secrets, token_files
+from corvane.llm import bpe, chat, divergence, fingerprints, langid, licenses, neardup, packing, quality, secrets, token_files
 
 
 def vocabulary_path(name: str) -> str:
@@ -36,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": lambda s, d: licenses.digests(_documents(s, d)),
         "op9_neardup": lambda s, d: neardup.near_duplicates(_documents(s, d), words=2, percent=80),
         "op10_chat": lambda s, d: chat.digests(s.read.parquet(f"{d}/conversations.parquet")),
+        "op12_divergence": lambda s, d: divergence.audit(_documents(s, d)),
         "quality_counts": quality_counts,
         "edited_texts": edited_texts,
         "secret_bases": secret_bases,
@@ -85,6 +86,21 @@ spans AS (SELECT doc_id, place, kind, len(m[k]) AS n, CAST(list_sum(list_transfo
 SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, sha256(coalesce(string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, place), '')) AS base_sha256 FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id"""
 
 
+#: The contract of op12 by dense sums over every kept term of every group.
+DIVERGENCE_SQL = r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT lang, n, unnest(w) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+every AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0)::HUGEINT AS c FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (SELECT lang, source, term, c, 1 + 1000000000 * (c + 2) // (sum(c) OVER (PARTITION BY lang, source)::HUGEINT + 2 * v) AS p FROM every JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + 1000000000 * (c + 2) // (sum(c) OVER (PARTITION BY lang)::HUGEINT + 2 * v) AS q FROM (SELECT lang, term, sum(c)::HUGEINT AS c FROM every GROUP BY lang, term) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 10"""
+
+
 def secret_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4 says of the base kinds."""
     return secrets.digests(_documents(spark, sf_dir)).drop("spans")
@@ -101,5 +117,5 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    """For op9 in full; for op4, op6 and op7 as far as SQL goes, under names of their own."""
-    return {"op9_neardup": NEARDUP_SQL, "secret_bases": SECRETS_SQL, "quality_counts": QUALITY_SQL, "edited_texts": EDITED_SQL}
+    """For op9 and op12 in full; for op4, op6 and op7 as far as SQL goes, under names of their own."""
+    return {"op9_neardup": NEARDUP_SQL, "op12_divergence": DIVERGENCE_SQL, "secret_bases": SECRETS_SQL, "quality_counts": QUALITY_SQL, "edited_texts": EDITED_SQL}
