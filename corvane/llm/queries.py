@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, divergence, fingerprints, langid, licenses, neardup, packing, quality, secrets, token_files
+from corvane.llm import bpe, chat, divergence, fingerprints, langid, licenses, lm, neardup, packing, quality, secrets, token_files
 
 
 def vocabulary_path(name: str) -> str:
@@ -37,6 +38,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_neardup": lambda s, d: neardup.near_duplicates(_documents(s, d), words=2, percent=80),
         "op10_chat": lambda s, d: chat.digests(s.read.parquet(f"{d}/conversations.parquet")),
         "op12_divergence": lambda s, d: divergence.audit(_documents(s, d)),
+        "op13_lm_scoring": lambda s, d: lm.score(_documents(s, d)),
+        "lm_base": lm_base,
         "quality_counts": quality_counts,
         "edited_texts": edited_texts,
         "secret_bases": secret_bases,
@@ -101,6 +104,19 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.valu
 SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 10"""
 
 
+#: CRC-32 of an id as text, a bit at a time: after each byte, eight shifts (-1).
+_CRC = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"
+
+LM_BASE_SQL = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS n, {_CRC} % 10 = 0 AS held_out, list_append({WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, '') AS w FROM documents),
+t AS (SELECT doc_id, n, held_out, unnest(w) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), s AS (SELECT coalesce(sum(c), 0)::BIGINT AS total, count(*) AS kinds FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, total AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (total + 0.1::DOUBLE * (kinds + 1)))), 4) AS base_score FROM t LEFT JOIN c USING (w), s GROUP BY doc_id, n, held_out, total"""
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op13 says without its model."""
+    return lm.score(_documents(spark, sf_dir)).withColumn("base_score", F.round("base_score", 4)).drop("score")
+
+
 def secret_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4 says of the base kinds."""
     return secrets.digests(_documents(spark, sf_dir)).drop("spans")
@@ -117,5 +133,5 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    """For op9 and op12 in full; for op4, op6 and op7 as far as SQL goes, under names of their own."""
-    return {"op9_neardup": NEARDUP_SQL, "op12_divergence": DIVERGENCE_SQL, "secret_bases": SECRETS_SQL, "quality_counts": QUALITY_SQL, "edited_texts": EDITED_SQL}
+    """For op9 and op12 in full; for op4, op6, op7 and op13 as far as SQL goes, under names of their own."""
+    return {"op9_neardup": NEARDUP_SQL, "op12_divergence": DIVERGENCE_SQL, "lm_base": LM_BASE_SQL, "secret_bases": SECRETS_SQL, "quality_counts": QUALITY_SQL, "edited_texts": EDITED_SQL}
