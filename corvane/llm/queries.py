@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, divergence, fingerprints, langid, licenses, lm, neardup, packing, quality, secrets, token_files
+from corvane.llm import bpe, chat, divergence, fingerprints, langid, licenses, lm, negatives, neardup, packing, quality, secrets, token_files
 
 
 def vocabulary_path(name: str) -> str:
@@ -37,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": lambda s, d: licenses.digests(_documents(s, d)),
         "op9_neardup": lambda s, d: neardup.near_duplicates(_documents(s, d), words=2, percent=80),
         "op10_chat": lambda s, d: chat.digests(s.read.parquet(f"{d}/conversations.parquet")),
+        "op11_hard_negatives": lambda s, d: negatives.mined(s.read.parquet(f"{d}/embeddings.parquet")),
         "op12_divergence": lambda s, d: divergence.audit(_documents(s, d)),
         "op13_lm_scoring": lambda s, d: lm.score(_documents(s, d)),
         "lm_base": lm_base,
@@ -89,6 +90,13 @@ spans AS (SELECT doc_id, place, kind, len(m[k]) AS n, CAST(list_sum(list_transfo
 SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, sha256(coalesce(string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, place), '')) AS base_sha256 FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id"""
 
 
+#: The contract of op11 by all products with the anchors.
+NEGATIVES_SQL = """WITH r AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.n, a.vec_id AS anchor_id, b.n AS other, b.vec_id, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * b.v[k])), 0) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.n != b.n AND len(a.v) = len(b.v)),
+p AS (SELECT n, anchor_id, other, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) <= 5),
+w AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.n, p.other ORDER BY s.score DESC, s.vec_id) AS rank FROM p JOIN s ON s.n = p.n WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 5"""
+
 #: The contract of op12 by dense sums over every kept term of every group.
 DIVERGENCE_SQL = r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 kept AS (SELECT lang, term FROM (SELECT DISTINCT lang, n, unnest(w) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 10),
@@ -133,5 +141,5 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    """For op9 and op12 in full; for op4, op6, op7 and op13 as far as SQL goes, under names of their own."""
-    return {"op9_neardup": NEARDUP_SQL, "op12_divergence": DIVERGENCE_SQL, "lm_base": LM_BASE_SQL, "secret_bases": SECRETS_SQL, "quality_counts": QUALITY_SQL, "edited_texts": EDITED_SQL}
+    """For op9, op11 and op12 in full; for op4, op6, op7 and op13 as far as SQL goes, under names of their own."""
+    return {"op9_neardup": NEARDUP_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_divergence": DIVERGENCE_SQL, "lm_base": LM_BASE_SQL, "secret_bases": SECRETS_SQL, "quality_counts": QUALITY_SQL, "edited_texts": EDITED_SQL}
