@@ -480,11 +480,68 @@ def test_licenses(spark, docs):
     rows = licenses.scan(made).collect()
     assert len(rows) == 5
     assert [[x["license"] for x in r["licenses"]] for r in rows if r["doc_id"] == 1] == [["MIT", "ISC"]] * 2 and [r["licenses"] for r in rows if r["doc_id"] in (2, 3, 4)] == [[], [], []]
-    got = by_id(licenses.scan(docs))
-    for r in docs.collect():  # all templates instead of the few that compression ranks first
-        lines = [x for x in r["text"].split("\n") if licenses.SIGNS.search(x)]
-        wanted = [b[0] for x in lines if (b := licenses.best(x, len(licenses.TEMPLATES)))]
-        assert [x["license"] for x in got[r["doc_id"]]["licenses"]] == wanted
+
+
+def every_place(text):
+    """(share different, -words, name, first word, end) of every template at every word, by edit distance of whole words; no compression."""
+    said = [m[0].lower() for m in re.finditer(r"[^\W_]+(?:[.-][^\W_]+)*", text)]
+    out = []
+    for name, template in licenses.TEMPLATES.items():
+        wanted = [m[0].lower() for m in re.finditer(r"[^\W_]+(?:[.-][^\W_]+)*", template)]
+        most = len(wanted) // 10
+        for start in range(len(said)):
+            if said[start] not in wanted[: most + 1]:
+                continue
+            row = list(range(len(wanted) + 1))
+            for n, w in enumerate(said[start : start + len(wanted) + most], 1):
+                last, row = row, [n]
+                for j, x in enumerate(wanted, 1):
+                    row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (w != x)))
+                if row[-1] <= most:
+                    out.append((row[-1] / len(wanted), -len(wanted), name, start, start + n))
+    return said, out
+
+
+def places_taken(text):
+    """Names in the order of the text: the best place first, then those that do not overlap it."""
+    taken = []
+    for p in sorted(every_place(text)[1]):
+        if all(p[4] <= q[3] or p[3] >= q[4] for q in taken):
+            taken.append(p)
+    return [p[2] for p in sorted(taken, key=lambda p: p[3])]
+
+
+def test_licenses_against_every_template_at_every_word(spark, docs):
+    rng, fill = random.Random(6), [w for r in docs.limit(60).collect() for w in (r["text"] or "").split()]
+    texts = []
+    for k in range(150):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            wording = rng.choice(list(licenses.TEMPLATES.values())).split()
+            if rng.random() < 0.4 and len(wording) > 20:
+                wording[rng.randrange(len(wording))] = "other"
+            words += rng.choices(fill, k=rng.choice([0, 3, 30, 150])) + wording
+        texts.append(rng.choice([" ", "\n"]).join(words + rng.choices(fill, k=20)))
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(docs.select(F.col("doc_id") + 1000, "text"))
+    wanted = {r["doc_id"]: places_taken(r["text"] or "") if re.search("(?i)licen[cs]e|permission|redistribut", r["text"] or "") else [] for r in made.collect()}
+    got = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in licenses.scan(made).collect()}
+    assert sum(map(len, wanted.values())) > 250
+    assert got == wanted
+
+
+def test_licenses_are_what_compression_ranks(monkeypatch):
+    """Another compressor changes what is found, and what saves too little is not looked at."""
+    text = "words before " + licenses.TEMPLATES["GPL-3.0"] + " and after"
+    assert licenses.best(text)[0] == "GPL-3.0"
+    looked = []
+    placed = licenses.placed
+    monkeypatch.setattr(licenses, "placed", lambda template, *rest: (looked.append(template), placed(template, *rest))[1])
+    assert licenses.best(text)[0] == "GPL-3.0" and 0 < len(looked) < len(licenses.TEMPLATES)
+    monkeypatch.setattr(licenses, "saved", lambda k, window: 0)
+    assert licenses.best(text) is None
+    names = [*licenses.TEMPLATES]
+    monkeypatch.setattr(licenses, "saved", lambda k, window: 1000 if names[k] == "GPL-2.0" else 0)
+    assert licenses.best(text)[0] == "GPL-2.0"  # one word of twelve differs
 
 
 def test_licenses_within_running_text(spark):
