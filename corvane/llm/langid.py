@@ -67,13 +67,14 @@ class LanguageModel:
         return tuple(sum(x) - chance for x in zip(*grams)) if grams else (0.0,) * len(self.languages)
 
 
-def fit(docs: DataFrame, docs_per_language: int = 1500, max_words: int = 20_000, max_grams: int = 60_000, sizes: tuple[int, ...] = (5, 4, 3, 2, 1), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit(docs: DataFrame, docs_per_language: int = 1500, max_words: int = 20_000, max_grams: int = 12_000, sizes: tuple[int, ...] = (5, 4, 3, 2, 1), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learns from docs that have a text and a language.
 
     The sample is bounded: docs_per_language whole documents of each language, those
-    with the lowest hashes of id and text, equal ones once.  Of their words the max_words most frequent are
-    known, ties in alphabetical order, and as many n-grams as max_grams.  Without
-    labelled rows the model has no language.
+    with the lowest hashes of id and text, equal ones once.  Every language of the sample
+    that has a word is learned.  Of each language's words the max_words most frequent are
+    known, ties in alphabetical order, and of its n-grams of each size as many as
+    max_grams.  Without labelled rows, or without a letter in them, the model has no language.
     """
     named = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     # counts by part say which parts hold the lowest; only their rows are put in order
@@ -84,7 +85,9 @@ def fit(docs: DataFrame, docs_per_language: int = 1500, max_words: int = 20_000,
     picked = placed.join(lowest, ["lang", "part"], "left_semi").withColumn("place", place).where(F.col("place") <= docs_per_language).select("lang", "h").distinct()
     sample = named.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # at most docs_per_language rows a language
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = words.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("total"), "word").limit(max_words).collect()
+    most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")) <= max_words
+    by_word = words.withColumn("most", most).groupBy("word").agg(F.max("most").alias("most"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    top = by_word.where("most").orderBy("word").collect()  # max_words a language
     languages = tuple(sorted({x["lang"] for row in top for x in row["by"]}))
     at = {x: k for k, x in enumerate(languages)}
     known = {row["word"]: {at[x["lang"]]: x["n"] for x in row["by"]} for row in top}
@@ -93,6 +96,13 @@ def fit(docs: DataFrame, docs_per_language: int = 1500, max_words: int = 20_000,
         sums = [sum(c.get(k, 0) for c in counts.values()) for k in range(len(languages))]
         return {w: tuple(math.log((c.get(k, 0) + 0.5) / (sums[k] + 0.5 * len(counts))) for k in range(len(languages))) for w, c in counts.items()}
 
+    def frequent(counts: dict[str, dict[int, float]]) -> dict[str, dict[int, float]]:
+        """Those that are among the max_grams most frequent of a language."""
+        out: set[str] = set()
+        for k in range(len(languages)):
+            out.update(sorted((g for g, c in counts.items() if k in c), key=lambda g: (-counts[g][k], g))[:max_grams])
+        return {g: counts[g] for g in sorted(out)}
+
     grams: dict[str, tuple[float, ...]] = {}
     unseen: tuple[float, ...] = (0.0,) * len(languages)
     letters: Counter = Counter()
@@ -107,10 +117,10 @@ def fit(docs: DataFrame, docs_per_language: int = 1500, max_words: int = 20_000,
                 own = counts.setdefault(gram, {})
                 for k, c in by.items():
                     own[k] = own.get(k, 0) + c * times
-        most = sorted(counts, key=lambda g: (-sum(counts[g].values()), g))[: max_grams // len(sizes)]
-        grams |= logs({g: counts[g] for g in most})
+        kept = frequent(counts)
+        grams |= logs(kept)
         if n == BACKGROUND:
-            unseen = tuple(math.log(0.5 / (sum(counts[g].get(k, 0) for g in most) + 0.5 * max(1, len(most)))) for k in range(len(languages)))
+            unseen = tuple(math.log(0.5 / (sum(c.get(k, 0) for c in kept.values()) + 0.5 * max(1, len(kept)))) for k in range(len(languages)))
     return LanguageModel(languages, logs(known), grams, tuple(sizes), {c: math.log(x / letters.total()) for c, x in letters.items()}, unseen)
 
 
@@ -151,10 +161,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     """doc_id, lang_pred, score: the likeliest learned language of each whole text and its posterior, all languages being equally likely before.
 
     A null or empty text and one without a letter have UNKNOWN and 0.0, as have all
-    texts if no language was learned.  Ties go to the first in alphabetical order.
+    texts if no language was learned; an empty table gives no rows, and very long texts are
+    read whole.  Ties go to the first in alphabetical order.
     One row for each row in; only the text has a say in it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()'s max_words and max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()'s max_words and max_grams a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
@@ -189,7 +200,8 @@ def digests(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The rows whose language is found with a score of at least min_score, with docs' columns.
 
-    The scores of the learned languages say which of them it is, and are near 1 for any
+    docs has a column lang; without it Spark says that there is none.  The scores of the
+    learned languages say which of them it is, and are near 1 for any
     long text; so the language found must also make the text's n-grams likelier than the
     letters by chance do, which foreign and random texts fail.  A row without lang gets
     the one found.  The model is learned from docs themselves; if none outside the

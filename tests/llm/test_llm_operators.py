@@ -291,19 +291,32 @@ def test_langid_against_brute_force(spark, odd, docs):
     for text, lang in {(r["text"], r["lang"], r["doc_id"]): (r["text"], r["lang"]) for r in rows}.values():
         for word in regex.findall(r"\p{L}+", text.lower()):
             counts[word][lang] += 1
-    top = sorted(counts, key=lambda w: (-counts[w].total(), w))[:20_000]
+    first = lambda table, x, n: sorted((w for w in table if table[w][x]), key=lambda w: (-table[w][x], w))[:n]
+    top = sorted({w for x in model.languages for w in first(counts, x, 20_000)})
     sums = [sum(counts[w][x] for w in top) for x in model.languages]
     frequency = lambda c, total, kinds: math.log((c + 0.5) / (total + 0.5 * kinds))
     assert model.words.keys() == set(top)
     for word in top[:: max(1, len(top) // 300)]:
         assert model.words[word] == pytest.approx([frequency(counts[word][x], n, len(top)) for x, n in zip(model.languages, sums)])
 
+    grams = {}
+    for n in (5, 4, 3, 2, 1):
+        table = defaultdict(Counter)
+        for word in top:
+            for i in range(len(word) + 3 - n):
+                for x, c in counts[word].items():
+                    table[f"^{word}$"[i : i + n]][x] += c
+        some = {g for x in model.languages for g in first(table, x, 12_000)}
+        total = [sum(table[g][x] for g in some) for x in model.languages]
+        grams |= {g: [frequency(table[g][x], c, len(some)) for x, c in zip(model.languages, total)] for g in some}
+    assert model.grams.keys() == grams.keys()
+
     def scored(word, k):
         if word in model.words:
-            return model.words[word][k]
+            return frequency(counts[word][model.languages[k]], sums[k], len(top))
         marked = f"^{word}$"
         for n in (5, 4, 3, 2, 1):
-            known = [model.grams[marked[i : i + n]][k] for i in range(len(marked) - n + 1) if marked[i : i + n] in model.grams]
+            known = [grams[marked[i : i + n]][k] for i in range(len(marked) - n + 1) if marked[i : i + n] in grams]
             if known:
                 return sum(known) / len(known)
         return 0.0
@@ -353,6 +366,19 @@ def test_langid_without_letters_and_with_repeats(spark, docs):
     assert sum(len(x) for x in [langid.fit(docs, docs_per_language=1).words]) < len(model.words) and langid.fit(one).languages == ("en",)
 
 
+def test_langid_learns_rare_languages(spark):
+    """However many words the others have: each language has its own most frequent words."""
+    many = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + j)}en" for k in range(1000)) for j in range(21)]
+    rare = " ".join(f"ksz{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(k, t, "en") for k, t in enumerate(many * 2)] + [(100, rare, "xx"), (101, "12 !", "yy"), (102, None, "zz"), (103, "", "zz")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ("en", "xx")
+    made = spark.createDataFrame([(0, rare), (1, rare.upper() + " kszzz"), (2, many[0])], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.predict(made, model).orderBy("doc_id").collect()] == ["xx", "xx", "en"]
+    few = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_words=50, max_grams=20)
+    assert few.languages == ("en", "xx") and len(few.words) == 100
+
+
 def test_langid_accepts_learned_languages_only(spark, docs):
     """Foreign and random texts are dropped however long; without labels all texts with a letter stay as they are."""
     polish = "Wszyscy ludzie rodz\u0105 si\u0119 wolni i r\u00f3wni pod wzgl\u0119dem swej godno\u015bci i swych praw. "
