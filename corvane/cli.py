@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import chunking, engine, index, reports
+from corvane.operators import chunking, engine, index, keyed, reports
 from corvane.operators.embedders import MODEL_ALIASES, MODELS, get_embedder
 from corvane.session import build_session
 from corvane.sources import files
@@ -37,11 +37,10 @@ def parser() -> argparse.ArgumentParser:
 
 
 def documents(spark: SparkSession, root: str, suffixes: Sequence[str] | None):
-    """Files below root as the engine takes them."""
-    found = files.listed(spark, root, content=True)
-    if suffixes:
-        found = found.where(F.coalesce(files.fx.suffix(F.col("path")).isin([s.lower().lstrip(".") for s in suffixes]), F.lit(False)))
-    named = index.input_documents(found.where(files.fx.format_of(F.col("path")).isNotNull()))
+    """Files below root as the engine takes them; what counts is the suffix as it is spelled, in any case, and without suffixes those that name a format by themselves."""
+    found, suffix = files.listed(spark, root, content=True), files.fx.suffix(F.col("path"))
+    wanted = [s.lower().lstrip(".") for s in suffixes] if suffixes else list(files.fx.FORMATS)
+    named = index.input_documents(found.where(F.coalesce(suffix.isin(wanted) & files.fx.format_of(F.col("path")).isNotNull(), F.lit(False))))
     return named.join(found.select(F.col("path").alias("file"), "content"), "file")
 
 
@@ -58,7 +57,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
 
 
 def _engine(spark: SparkSession, args: argparse.Namespace) -> engine.Engine:
-    return engine.Engine(get_embedder(args.model), index.IndexStore(spark, args.index))
+    return engine.Engine(get_embedder(args.model), keyed.open_index(spark, args.index))
 
 
 def _index(spark: SparkSession, args: argparse.Namespace) -> list[str]:
@@ -79,7 +78,7 @@ def _manifest(spark: SparkSession, args: argparse.Namespace) -> list[str]:
 def _ingest(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     corpus = files.read_jsonl(spark, args.corpus)
     passages = chunking.chunk(corpus, id_col="id").select("passage_id", "doc_id", "chunk", "text")
-    return [f"{engine.ingest(passages, get_embedder(args.model), index.IndexStore(spark, args.index))} passages"]
+    return [f"{engine.ingest(passages, get_embedder(args.model), keyed.KeyedIndex(spark, args.index, "passage_id"))} passages"]
 
 
 def _compare(spark: SparkSession, args: argparse.Namespace) -> list[str]:

@@ -20,6 +20,7 @@ from corvane.operators import search as sx
 from corvane.operators.embedders import Embedder
 from corvane.operators.filters import FilterSpec, Query
 from corvane.operators.index import IndexStore
+from corvane.operators.keyed import KeyedIndex
 
 
 class PageExtractor(Protocol):
@@ -140,20 +141,14 @@ def in_input_order(responses: DataFrame, inputs: DataFrame, on: str = "index") -
     return both.where(whole.isNull()).drop("__found").orderBy(on)
 
 
-def ingest(passages: DataFrame, embedder: Embedder, store: IndexStore, key: str = "passage_id", text: str = "text") -> int:
-    """Embeds passages in Arrow batches and upserts them by key; returns how many came in.
+def ingest(passages: DataFrame, embedder: Embedder, store: KeyedIndex, text: str = "text") -> int:
+    """Embeds passages in Arrow batches and upserts them by the store's key; returns how many came in.
 
-    With the same passages again the index stays as it is.
+    Of passages with one key the last counts, within a call and between calls; the buckets
+    that have none of them are not touched.  With the same passages again the index says
+    the same.
     """
-    rows = passages.withColumn("embedding", embedder.column(F.col(text).cast("binary"))).withColumn("ordinal", F.xxhash64(key))
-    if store.exists():
-        rows = store.load().join(rows.select(key), key, "left_anti").unionByName(rows)
-    path = store.path
-    staged = IndexStore(store.spark, f"{path}.next", store.compression)
-    staged.save(rows)  # the old index is read while the new one is written
-    store.save(staged.load())
-    staged.clear(rows.schema)
-    return passages.count()
+    return store.upsert(passages.withColumn("embedding", embedder.column(F.col(text).cast("binary"))))
 
 
 def export_manifest(pages: DataFrame, path: str, metadata: list[str] | None = None) -> None:

@@ -14,6 +14,7 @@ from corvane.functions import vectors as vx
 from corvane.operators import chunking, engine, filters, index, metrics, rag, reports, search
 from corvane.operators.embedders import BagEmbedder, DeterministicEmbedder
 from corvane.operators.filters import Query
+from corvane.operators.keyed import KeyedIndex
 from corvane.session import new_folder
 from corvane.sources import files as sources
 from corvane.streaming import incremental
@@ -362,11 +363,21 @@ def engine_index_search(spark, sf):
 @query("ingest_count", CHUNKS + " SELECT count(*) AS ingested, count(*) AS stored FROM p")
 def ingest_count(spark, sf):
     """Passages of all documents, written twice: the second time replaces the first."""
-    passages, store = chunking.chunk(table(spark, sf, "documents")), index.IndexStore(spark, new_folder(spark, "passages"))
+    passages, store = chunking.chunk(table(spark, sf, "documents")), KeyedIndex(spark, new_folder(spark, "passages"), "passage_id")
     n = [engine.ingest(passages, BagEmbedder(16), store) for _ in range(2)]
     return store.load().agg(F.lit(n[1]).cast("long").alias("ingested"), F.count("*").alias("stored"))
 
 
+@query("ingest_repeated_keys", CHUNKS + " SELECT passage_id, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS text, CAST(1 AS BIGINT) AS ordinal, 2 * count(*) OVER () AS ingested FROM p JOIN documents d USING (doc_id)".replace("text ||", "p.text ||").replace("ELSE text", "ELSE p.text"))
+def ingest_repeated_keys(spark, sf):
+    """Every passage comes twice in one call, the second time as it should be; those of one language come once more, changed."""
+    passages, store = chunking.chunk(table(spark, sf, "documents")), KeyedIndex(spark, new_folder(spark, "passages"), "passage_id")
+    n = engine.ingest(passages.withColumn("text", F.lit("an old text")).unionByName(passages), BagEmbedder(16), store)
+    french = table(spark, sf, "documents").where("lang = 'fr'").select("doc_id")
+    engine.ingest(passages.join(french, "doc_id", "left_semi").select(*passages.columns).withColumn("text", F.concat("text", F.lit("!"))), BagEmbedder(16), store)
+    return store.load().select("passage_id", "text", "ordinal", F.lit(n).cast("long").alias("ingested"))
+
+
 @query("manifest_export", "SELECT 'corpus/' || doc_id || '.txt' AS file, 'txt' AS format, CAST(1 AS BIGINT) AS pages, lang, source, sha256(text) AS checksum FROM documents")
 def manifest_export(spark, sf):
     """A manifest with metadata, written as JSON lines and read again."""
@@ -671,6 +682,16 @@ def stream_upsert(spark, sf):
     return incremental.upsert_available(stream, f"{folder}/index", f"{folder}/checkpoint", "user_id", "event_id")
 
 
+@query("keyed_upsert", "SELECT user_id, min(event_id) AS ordinal, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def keyed_upsert(spark, sf):
+    """The events of a month a week at a time, the last week first; parts are merged as they become many."""
+    events = table(spark, sf, "events")
+    store = KeyedIndex(spark, new_folder(spark, "keyed"), "user_id", buckets=16, max_parts=3)
+    for n, week in enumerate((4, 3, 2, 1, 0)):
+        store.upsert(events.where(F.floor((F.dayofmonth("ts") - 1) / 7) == week).select("user_id", "event_id", "event_type", "value"), "event_id", n)
+    return store.load()
+
+
 @query("stream_once", "SELECT event_id, user_id, event_type FROM events")
 def stream_once(spark, sf):
     """Every event comes twice and stays once."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.operators import index
+from corvane.operators.keyed import KeyedIndex
 
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,44 +25,23 @@ def append_available(stream: DataFrame, target: str, checkpoint: str) -> None:
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").outputMode("append").start(target).awaitTermination()
 
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    """The numbers of the folders in target, ascending."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-    return sorted(int(n) for n in names if n.isdigit())
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def upsert_available(stream: DataFrame, target: str, checkpoint: str, key: str, seq: str) -> DataFrame | None:
+def upsert_available(stream: DataFrame, target: str, checkpoint: str, key: str, seq: str, buckets: int = 64) -> DataFrame | None:
     """Upserts what is there into the index at target, batch by batch, and stops; the index then, or None if no batch ever came.
 
-    Batch n writes the folder n whole, from the one before, so a batch that is run
-    again after a failure overwrites only what it wrote itself; folders older than that
-    are removed.  Its ordinal is the least seq of its key; seq orders the writing.
+    A batch adds a part to the buckets of its keys and leaves the others as they are; one
+    that is run again after a failure is known by its number and written once.  Its ordinal
+    is the least seq of its key; the values are those of the greatest.  Of older versions
+    the last stays.
     """
-    spark, folder = stream.sparkSession, target.rstrip("/")
-    at = lambda n: index.IndexStore(spark, f"{folder}/{n}")
+    store = KeyedIndex(stream.sparkSession, target, key, buckets)
 
     def write(rows: DataFrame, n: int) -> None:
-        # a row of the index stands for its key's first writing, at ordinal, and its last, at __last
-        rows = rows.withColumns({"ordinal": F.col(seq), "__last": F.col(seq)}).drop(seq)
-        every = at(n - 1).load().unionByName(rows) if n else rows
-        rest = [c for c in every.columns if c not in (key, "ordinal", "__last")]
-        best = every.groupBy(key).agg(F.min("ordinal").alias("ordinal"), F.max("__last").alias("__last"), F.max_by(F.struct(*rest), "__last").alias("x"))
-        at(n).save(best.select(key, "ordinal", "__last", *(F.col(f"x.{c}").alias(c) for c in rest)))
-        for old in _versions(spark, folder):
-            if old < n - 1:
-                _remove(spark, f"{folder}/{old}")
+        store.upsert(rows, seq, n)
+        store.vacuum()
 
     run = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     run.awaitTermination()
-    written = _versions(spark, folder)
-    return at(written[-1]).load().drop("__last") if written else None
+    return store.load() if store.exists() else None
 
 
 def windowed_latency(stream: DataFrame, ts: str, by: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import pathlib
 import struct
 
 import pytest
@@ -238,10 +239,10 @@ def test_engine(spark, tmp_path, corpus):
 
 
 def test_ingest_and_manifest(spark, tmp_path, corpus):
-    from corvane.operators import engine, index
+    from corvane.operators import engine, keyed
     from corvane.sources import files
 
-    store = index.IndexStore(spark, str(tmp_path / "passages"))
+    store = keyed.KeyedIndex(spark, str(tmp_path / "passages"), "passage_id")
     rows = lambda *xs: spark.createDataFrame(xs, "passage_id string, text string")
     assert engine.ingest(rows(("a", "one"), ("b", "two")), embedders.BagEmbedder(), store) == 2
     assert engine.ingest(rows(("b", "new"), ("c", "three")), embedders.BagEmbedder(), store) == 2
@@ -254,14 +255,22 @@ def test_ingest_and_manifest(spark, tmp_path, corpus):
 
 def test_command_line(spark, tmp_path, corpus, capsys):
     from corvane import cli
+    from corvane.operators import keyed
 
     assert any("colpali" in x for x in cli.main(["list"]))
     assert cli.main(["index", "--root", corpus, "--index", str(tmp_path / "i")], spark) == ["4 pages"]
     found = cli.main(["search", "--index", str(tmp_path / "i"), "--top-k", "1", "motor cars"], spark)
     assert len(found) == 1 and found[0].startswith("1. [") and "b.txt" in found[0] and found[0] in capsys.readouterr().out
+    for name in ("c.TIF", "d.text", "e.TXT", "f"):  # what counts is the suffix, in any case; aliases don't
+        (pathlib.Path(corpus) / name).write_text("bicycles")
+    assert {r["filename"] for r in cli.documents(spark, corpus, None).collect()} == {"a.txt", "b.txt", "e.TXT"}
+    assert {r["filename"] for r in cli.documents(spark, corpus, [".Text"]).collect()} == {"d.text"}
+    for name in ("c.TIF", "d.text", "e.TXT", "f"):
+        (pathlib.Path(corpus) / name).unlink()
     assert cli.main(["manifest", "--root", corpus, "--out", str(tmp_path / "m")], spark) == ["2 files"]
     (tmp_path / "c.jsonl").write_text(json.dumps({"id": "x", "title": "t", "text": "some words here"}) + "\n")
     assert cli.main(["ingest", "--corpus", str(tmp_path / "c.jsonl"), "--index", str(tmp_path / "p")], spark) == ["1 passages"]
+    assert keyed.open_index(spark, str(tmp_path / "p")).count() == 1 and keyed.open_index(spark, str(tmp_path / "i")).count() == 4
     with pytest.raises(SystemExit):
         cli.main(["unknown"])
 
