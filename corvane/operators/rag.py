@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.functions import vectors as vx
 from corvane.operators import search
 from corvane.operators.engine import Timings
 
@@ -16,19 +15,27 @@ from corvane.operators.engine import Timings
 STAGES = ("embed", "retrieve", "rerank", "generate")
 
 
-def retrieve(questions: DataFrame, passages: DataFrame, retrieved: int = search.RETRIEVED, reranked: int = search.RERANKED, scored: Column | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, passages: DataFrame, retrieved: int = search.RETRIEVED, reranked: int = search.RERANKED, scored: Column | None = None, digits: int | None = None) -> DataFrame:
     """question_id, passage_id, rank, retrieval_rank, score, rerank_score, text and question.
 
     questions: question_id, question, q_embedding; passages: passage_id, text, embedding.
-    Retrieval is by the product of the embeddings, or by scored, reranking by shared tokens.
+    Retrieval is by the product of the embeddings, as matrices and rounded to digits, or by
+    scored, pair by pair; reranking is by shared tokens.
     """
-    scored = vx.dot(F.col("embedding"), F.col("q_embedding")) if scored is None else scored
-    found = search.search_batch(passages, questions, scored, "question_id", retrieved, tie=["passage_id"])
+    found = candidates(questions, passages, retrieved, scored, digits)
     near = tx.jaccard(F.array_distinct(tx.tokens(F.col("question"))), F.array_distinct(tx.tokens(F.col("text"))))
     best = search.rerank(found, F.round(near, 9), reranked, by=["question_id"])
     return best.select("question_id", "question", "passage_id", "text", "rank", "retrieval_rank", "score", "rerank_score")
 
 
+def candidates(questions: DataFrame, passages: DataFrame, k: int, scored: Column | None = None, digits: int | None = None) -> DataFrame:
+    """The k best passages of each question, with its text."""
+    if scored is not None:
+        return search.search_batch(passages, questions, scored, "question_id", k, tie=["passage_id"])
+    found = search.product_topk(passages, questions, "question_id", "embedding", "q_embedding", k, tie=["passage_id"], digits=digits)
+    return found.join(questions.drop("q_embedding"), "question_id")
+
+
 def answer(hits: DataFrame, mode: str = "query") -> DataFrame:
     """question_id, mode, answer, passages: one row a question; in mode retrieve there is no answer."""
     if mode not in ("query", "retrieve"):
@@ -42,8 +49,8 @@ def workflow(questions: DataFrame, passages: DataFrame, mode: str, folder: str,
     """answer() of retrieve(), stage by stage, with the milliseconds that each took.
 
     questions: question_id, question, and q_embedding, which embed() adds if it is given.
-    A stage's rows are written to folder, so that its time is its own; in mode retrieve
-    nothing is generated.
+    A stage's rows are written to folder, so that its time is its own.  All STAGES are
+    told, 0.0 for one that did not run, as generate in mode retrieve, and total, their sum.
     """
     spark, timings = questions.sparkSession, Timings({})
 
@@ -53,13 +60,14 @@ def workflow(questions: DataFrame, passages: DataFrame, mode: str, folder: str,
         return spark.read.schema(df.schema).parquet(f"{folder}/{stage}")
 
     asked = staged(embed(questions) if embed else questions, "embed")
-    found = staged(search.search_batch(passages, asked, vx.dot(F.col("embedding"), F.col("q_embedding")), "question_id", search.RETRIEVED, tie=["passage_id"]), "retrieve")
+    found = staged(candidates(asked, passages, search.RETRIEVED), "retrieve")
     near = tx.jaccard(F.array_distinct(tx.tokens(F.col("question"))), F.array_distinct(tx.tokens(F.col("text"))))
     best = staged(search.rerank(found, F.round(near, 9), search.RERANKED, by=["question_id"]), "rerank")
     answers = answer(best, mode)
     if mode == "query":
         answers = staged(answers, "generate")
-    return answers, timings.stages
+    told = {stage: timings.stages.get(stage, 0.0) for stage in STAGES}
+    return answers, {**told, "total": sum(told.values())}
 
 
 def merged_timings(left: Column, right: Column) -> Column:

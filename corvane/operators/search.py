@@ -94,11 +94,11 @@ def search_batch(index: DataFrame, queries: DataFrame, scored: Column, query_key
 QUERIES = 10_000
 
 
-#: Up to how many bytes of query vectors are sent to every task, and how many queries are multiplied at once.
-QUERY_BYTES, AT_ONCE = 1 << 26, 256
+#: Up to how many bytes of query vectors are sent to every task, how many queries are multiplied at once, and how many products are held at once.
+QUERY_BYTES, AT_ONCE, PRODUCTS = 1 << 26, 256, 1 << 22
 
 
-def product_topk(index: DataFrame, queries: DataFrame, query_key: str, vector: str, q_vector: str, k: int = 10, spec: Any = None, tie: list[str] | None = None, cosine: bool = False, digits: int | None = None) -> DataFrame:
+def product_topk(index: DataFrame, queries: DataFrame, query_key: str, vector: str, q_vector: str, k: int = 10, spec: Any = None, tie: list[str] | None = None, cosine: bool = False, digits: int | None = None, normalized: bool = False) -> DataFrame:
     """search_batch() by products (or cosines) of vectors: query_key, the index's columns but vector, score and rank.
 
     queries: query_key and q_vector, a stated set.  Its vectors, in blocks of up to
@@ -106,64 +106,190 @@ def product_topk(index: DataFrame, queries: DataFrame, query_key: str, vector: s
     at once and hands on the batch's k best for each query only, so no pair beyond these
     leaves the task.  Scores are rounded to digits, halves away from zero, before they are
     compared.  Vectors of unequal lengths, null ones and those with nulls have no score.
+
+    normalized: normalized_score as well, over all rows of the index whatever spec says;
+    the same pass takes each query's least and greatest score, a row a task.
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    rows = filters.apply(index, spec)
-    kept = [f for f in rows.schema if f.name != vector]
-    schema = T.StructType([queries.schema[query_key], *kept, T.StructField("score", T.DoubleType())])
     asked = queries.where(F.col(q_vector).isNotNull()).select(query_key, F.col(q_vector).cast("array<double>").alias(q_vector), F.size(q_vector).alias("__dim"))
     dims = asked.groupBy("__dim").agg(F.count("*").alias("n")).collect()  # a row for each length of vectors
+    rows, schema = _marked(index, vector, spec, normalized, queries.schema[query_key])
     parts = []
     for dim, n in sorted((r["__dim"], r["n"]) for r in dims):
-        blocks = max(1, -(-n * 8 * max(dim, 1) // QUERY_BYTES))
-        some = asked.where(F.col("__dim") == dim)
-        fit = rows.where(F.size(vector) == dim).select(*(f.name for f in kept), F.col(vector).cast("array<double>").alias(vector))
-        for b in range(blocks):
-            block = (some if blocks == 1 else some.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)).select(query_key, q_vector).toArrow()
-            parts.append(fit.mapInArrow(_best_of_batches(block, query_key, q_vector, vector, dim, k, tie or [], cosine, digits), schema))
+        fit = rows.where(F.size(vector) == dim).withColumn(vector, F.col(vector).cast("array<double>"))
+        for block in _blocks(asked.where(F.col("__dim") == dim).select(query_key, q_vector), query_key, n * 8 * max(dim, 1)):
+            parts.append(fit.mapInArrow(_best_of_batches(block, query_key, _products(block, q_vector, vector, dim, cosine), vector, k, tie or [], digits, normalized), schema))
+    return _of_all(parts, index, schema, query_key, k, tie, normalized)
+
+
+def maxsim_topk(index: DataFrame, queries: DataFrame, query_key: str, vector: str, q_vector: str, k: int = 10, spec: Any = None, tie: list[str] | None = None, digits: int | None = None, normalized: bool = False) -> DataFrame:
+    """product_topk() by MaxSim of multi-vectors, arrays of arrays.
+
+    A task multiplies the vectors of a block of queries with those of a slice of pages,
+    takes for each query vector the greatest product of each page, and sums up over a
+    query's vectors; PRODUCTS bounds what it holds, and a page with more vectors is a slice
+    of its own.  A page scores only if each of the query's vectors has one of its length
+    there; null vectors and those with nulls are passed over, in a query they leave it without a score.
+    """
+    if k < 0:
+        raise ValueError("k must not be negative")
+    kind = "array<array<double>>"
+    asked = queries.where(F.col(q_vector).isNotNull()).select(query_key, F.col(q_vector).cast(kind).alias(q_vector))
+    size = asked.agg(F.sum(F.aggregate(q_vector, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.size(x), F.lit(0)))).alias("n")).first()["n"]
+    rows, schema = _marked(index, vector, spec, normalized, queries.schema[query_key])
+    fit = rows.withColumn(vector, F.col(vector).cast(kind))
+    parts = []
+    if size is not None:
+        for block in _blocks(asked, query_key, 8 * size):
+            parts.append(fit.mapInArrow(_best_of_batches(block, query_key, _maxsims(block[q_vector].combine_chunks(), vector), vector, k, tie or [], digits, normalized), schema))
+    return _of_all(parts, index, schema, query_key, k, tie, normalized)
+
+
+def _marked(index: DataFrame, vector: str, spec: Any, normalized: bool, key: T.StructField) -> tuple[DataFrame, T.StructType]:
+    """The rows to look at, and what tasks hand on; if scores are normalised, __fits says which rows spec lets through."""
+    rows = index.withColumn("__fits", F.coalesce(filters.compiled(spec, index.schema), F.lit(False))) if normalized else filters.apply(index, spec)
+    kept = [f for f in index.schema if f.name != vector]
+    ends = [T.StructField("__low", T.DoubleType()), T.StructField("__high", T.DoubleType())] if normalized else []
+    free = [T.StructField(f.name, f.dataType, True) for f in kept]
+    return rows.select(*(f.name for f in kept), *(["__fits"] if normalized else []), vector), T.StructType([key, *free, T.StructField("score", T.DoubleType()), *ends])
+
+
+def _blocks(asked: DataFrame, query_key: str, size: int) -> Iterator[pa.Table]:
+    """The queries in blocks of about QUERY_BYTES."""
+    blocks = max(1, -(-size // QUERY_BYTES))
+    for b in range(blocks):
+        yield (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)).toArrow()
+
+
+def _of_all(parts: list[DataFrame], index: DataFrame, schema: T.StructType, query_key: str, k: int, tie: list[str] | None, normalized: bool) -> DataFrame:
+    """The k best of what all tasks handed on."""
     found = reduce(DataFrame.unionByName, parts) if parts else index.sparkSession.createDataFrame([], schema)
-    return top_k_by(found, [query_key], k, tie=tie)
+    if not normalized:
+        return top_k_by(found, [query_key], k, tie=tie)
+    every = Window.partitionBy(query_key)
+    ends = found.withColumns({"__low": F.min("__low").over(every), "__high": F.max("__high").over(every)}).where(F.col("score").isNotNull())
+    return top_k_by(ends.withColumn("normalized_score", minmax_column(F.col("score"), F.col("__low"), F.col("__high"))).drop("__low", "__high"), [query_key], k, tie=tie)
 
 
-def _best_of_batches(block: pa.Table, query_key: str, q_vector: str, vector: str, dim: int, k: int, tie: list[str], cosine: bool, digits: int | None):
-    """For each Arrow batch the k best rows of each query of block, best by score, then tie."""
-    keys = block[query_key].combine_chunks()
+def _products(block: pa.Table, q_vector: str, vector: str, dim: int, cosine: bool):
+    """Scores of queries a:b with the rows of a batch, NaN for those that don't count."""
     asked = _matrix(block[q_vector].combine_chunks(), dim)
     asked_norms = np.sqrt((asked * asked).sum(1))
 
-    def scores(own: np.ndarray, a: int) -> np.ndarray:
-        """queries x rows; minus infinity for those that don't count."""
-        with np.errstate(all="ignore"):
-            out = asked[a : a + AT_ONCE] @ own.T
-            if cosine:
-                out /= asked_norms[a : a + AT_ONCE, None] * np.sqrt((own * own).sum(1)) + EPS
-            if digits is not None:
-                out = np.copysign(np.floor(np.abs(out) * 10.0**digits + 0.5) / 10.0**digits, out) + 0.0
-        return np.where(np.isnan(out), -np.inf, out)
+    def scores(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        own = _matrix(batch.column(vector), dim)
+        for a in range(0, len(asked), AT_ONCE):
+            with np.errstate(all="ignore"):
+                out = asked[a : a + AT_ONCE] @ own.T
+                if cosine:
+                    out /= asked_norms[a : a + AT_ONCE, None] * np.sqrt((own * own).sum(1)) + EPS
+            yield a, out
+
+    return scores
+
+
+def _maxsims(asked: pa.Array, vector: str):
+    """Scores as _products() has them, by MaxSim of multi-vectors."""
+    n, vectors = len(asked), _by_length(asked)
+    whole = np.ones(n, bool)  # queries none of whose vectors is null or has a null
+    seen = np.zeros(n, np.int64)
+    for _, owner in vectors.values():
+        seen += np.bincount(owner, minlength=n)
+    whole &= seen == pc.fill_null(pc.list_value_length(asked), 0).to_numpy(zero_copy_only=False)
+
+    def scores(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        pages = _by_length(batch.column(vector))
+        for a in range(0, n, AT_ONCE):
+            b = min(n, a + AT_ONCE)
+            out = np.zeros((b - a, len(batch)))
+            out[~whole[a:b]] = np.nan
+            with np.errstate(all="ignore"):
+                for dim, (queries, owner) in vectors.items():
+                    mine = slice(*np.searchsorted(owner, [a, b]))
+                    _add_best(out, queries[mine], owner[mine] - a, *pages.get(dim, (np.zeros((0, dim)), np.zeros(0, np.int64))))
+            yield a, out
+
+    return scores
+
+
+def _add_best(out: np.ndarray, queries: np.ndarray, asker: np.ndarray, own: np.ndarray, page: np.ndarray) -> None:
+    """Adds to out[asker, page] each query vector's greatest product with a page's vectors; where a page has none, NaN."""
+    have, starts = np.unique(page, return_index=True)
+    lacking = np.setdiff1d(np.arange(out.shape[1]), have)
+    if len(lacking):
+        out[np.ix_(np.unique(asker), lacking)] = np.nan
+    ends = np.append(starts[1:], len(page))
+    first = 0
+    while first < len(have):  # slices of whole pages
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + PRODUCTS // AT_ONCE, side="right")))
+        some = own[starts[first] : ends[last - 1]]
+        step = max(1, PRODUCTS // len(some))
+        for k in range(0, len(queries), step):
+            best = np.maximum.reduceat(queries[k : k + step] @ some.T, starts[first:last] - starts[first], axis=1)
+            askers, begins = np.unique(asker[k : k + step], return_index=True)
+            out[np.ix_(askers, have[first:last])] += np.add.reduceat(best, begins, axis=0)
+        first = last
+
+
+def _by_length(multi: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of multi-vectors: for each length of vectors these, one a row, and which multi-vector has each; those that are null or have a null are left out."""
+    owner = pc.list_parent_indices(multi).to_numpy(zero_copy_only=False)
+    each = multi.flatten()
+    lengths = pc.fill_null(pc.list_value_length(each), -1).to_numpy(zero_copy_only=False)
+    numbers = each.flatten()
+    if numbers.null_count:
+        holed = np.unique(pc.list_parent_indices(each).to_numpy(zero_copy_only=False)[pc.is_null(numbers).to_numpy(zero_copy_only=False)])
+        lengths = lengths.copy()
+        lengths[holed] = -1
+    return {int(dim): (_matrix(each.take(pa.array(at)), int(dim)), owner[at]) for dim in np.unique(lengths[lengths >= 0]) for at in [np.flatnonzero(lengths == dim)]}
+
+
+def _best_of_batches(block: pa.Table, query_key: str, scores, vector: str, k: int, tie: list[str], digits: int | None, normalized: bool):
+    """For each Arrow batch the k best rows of each query, best by score, then tie; if normalised, at the end each query's least and greatest score."""
+    keys = block[query_key].combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, rest = np.full(len(keys), np.inf), np.full(len(keys), -np.inf), None
         for batch in batches:
-            if not len(batch) or not k:
+            if not len(batch) or not (k or normalized):
                 continue
             if tie:  # so that of equal scores the first are taken
                 batch = batch.take(pc.sort_indices(batch.select(tie), [(t, "ascending") for t in tie], null_placement="at_start"))
-            own = _matrix(batch.column(vector), dim)
-            rest = batch.drop_columns([vector])
-            for a in range(0, len(asked), AT_ONCE):
-                found = scores(own, a)
-                least = np.partition(found, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else -np.inf
-                query, row = np.nonzero((found >= least) & (found > -np.inf))
-                order = np.lexsort((row, -found[query, row], query))
-                query, row = query[order], row[order]
-                near = np.arange(len(query)) - np.searchsorted(query, query) < k
-                query, row = query[near], row[near]
-                mine = rest.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(query + a)), *mine.columns, pa.array(found[query, row])], [query_key, *mine.schema.names, "score"])
+            rest = batch.drop_columns([vector, "__fits"] if normalized else [vector])
+            for a, found in scores(batch):
+                if digits is not None:
+                    found = np.copysign(np.floor(np.abs(found) * 10.0**digits + 0.5) / 10.0**digits, found) + 0.0
+                found = np.where(np.isnan(found), -np.inf, found)
+                if normalized:
+                    b = a + len(found)
+                    low[a:b] = np.minimum(low[a:b], np.where(found > -np.inf, found, np.inf).min(1))
+                    high[a:b] = np.maximum(high[a:b], found.max(1))
+                    found = np.where(batch.column("__fits").to_numpy(zero_copy_only=False), found, -np.inf)
+                query, row = _first(found, k)
+                ends = [pa.nulls(len(row), pa.float64())] * 2 if normalized else []
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(query + a)), *rest.take(pa.array(row)).columns, pa.array(found[query, row]), *ends], [query_key, *rest.schema.names, "score", *(["__low", "__high"] if normalized else [])])
+        some = np.flatnonzero(high > -np.inf)
+        if normalized and len(some):
+            nothing = [pa.nulls(len(some), f.type) for f in rest.schema]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(some)), *nothing, pa.nulls(len(some), pa.float64()), pa.array(low[some]), pa.array(high[some])], [query_key, *rest.schema.names, "score", "__low", "__high"])
 
     return run
 
 
+def _first(found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and rows of the k best of each query, the first of equal ones; minus infinity doesn't count."""
+    if not k:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = found.shape[1]
+    least = np.partition(found, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+    query, row = np.nonzero((found >= least) & (found > -np.inf))
+    order = np.lexsort((row, -found[query, row], query))
+    query, row = query[order], row[order]
+    near = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[near], row[near]
+
+
 def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     """Vectors of dim numbers, one a row; nulls are NaN."""
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)

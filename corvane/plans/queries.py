@@ -98,6 +98,37 @@ def dense_topk_batch(spark, sf):
     return batch(spark, sf).select("query_id", "vec_id", "score", "rank")
 
 
+@query("dense_topk_batch_norm", BATCH + ", n AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 0.0 ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END AS normalized_score FROM r WINDOW w AS (PARTITION BY query_id)), f AS (SELECT query_id, vec_id, score, normalized_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM n WHERE label = 3) SELECT * FROM f WHERE rank <= 10")
+def dense_topk_batch_norm(spark, sf):
+    """The ten best of one label for each query, scores normalised over all rows by the same pass."""
+    found = search.product_topk(index_rows(spark, sf), query_rows(spark, sf), "query_id", "embedding", "q", 10, {"label": 3}, ["vec_id"], cosine=True, digits=6, normalized=True)
+    return rounded(found, "normalized_score").select("query_id", "vec_id", "score", "normalized_score", "rank")
+
+
+def multi_pages(spark, sf) -> DataFrame:
+    """Pages of up to eight vectors, those of ids that share all but the last three bits."""
+    rows = index_rows(spark, sf).withColumn("page_id", F.floor(F.col("vec_id") / 8))
+    return rows.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("multi"))  # eight rows at most
+
+
+MULTI = E_SQL + ", m AS (SELECT vec_id // 8 AS page_id, embedding FROM e), d AS (SELECT q.page_id AS query_id, q.embedding AS q, p.page_id, max(list_dot_product(p.embedding, q.embedding)) AS best FROM m p, m AS q WHERE q.page_id % 50 = 0 GROUP BY ALL), s AS (SELECT query_id, page_id, round(sum(best), 6) AS score FROM d GROUP BY ALL)"
+
+
+@query("maxsim_topk_batch", MULTI + ", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
+def maxsim_topk_batch(spark, sf):
+    pages = multi_pages(spark, sf)
+    asked = pages.where("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), F.col("multi").alias("q"))
+    return search.maxsim_topk(pages, asked, "query_id", "multi", "q", 10, tie=["page_id"], digits=6).select("query_id", "page_id", "score", "rank")
+
+
+@query("maxsim_topk_batch_norm", MULTI + ", n AS (SELECT query_id, page_id, score, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) AS normalized_score FROM s WINDOW w AS (PARTITION BY query_id)), f AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS INT) AS rank FROM n WHERE page_id >= 20) SELECT * FROM f WHERE rank <= 5")
+def maxsim_topk_batch_norm(spark, sf):
+    pages = multi_pages(spark, sf)
+    asked = pages.where("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), F.col("multi").alias("q"))
+    found = search.maxsim_topk(pages, asked, "query_id", "multi", "q", 5, {"page_id": {"gte": 20}}, ["page_id"], digits=6, normalized=True)
+    return rounded(found, "normalized_score").select("query_id", "page_id", "score", "normalized_score", "rank")
+
+
 @query("identity_rerank", SCORED + " SELECT vec_id, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank, score, NULL::DOUBLE AS rerank_score FROM s ORDER BY score DESC, vec_id LIMIT 5")
 def identity_rerank(spark, sf):
     return search.not_reranked(dense_topk(spark, sf)).select("vec_id", "rank", "score", "rerank_score")
@@ -317,7 +348,7 @@ PROMPT = "'Context:' || chr(10) || string_agg('[' || rank || '] ' || text, chr(1
 
 def retrieved(spark, sf):
     questions, passages = _asked(spark, sf)
-    return rag.retrieve(questions, passages, scored=F.round(vx.dot(F.col("embedding"), F.col("q_embedding")), 6))
+    return rag.retrieve(questions, passages, digits=6)
 
 
 @query("rag_retrieve", PASSAGES + " SELECT question_id, passage_id, rank, retrieval_rank, score, rerank_score FROM best")

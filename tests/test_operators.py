@@ -280,9 +280,10 @@ def test_workflow_with_timings(spark, tmp_path):
     passages = spark.createDataFrame([("a", "red apples grow", [0.9, 0.1]), ("b", "cars", [0.1, 0.9])], "passage_id string, text string, embedding array<double>")
     answers, timings = rag.workflow(questions, passages, "query", str(tmp_path / "w"))
     row = answers.first()
-    assert row["answer"].startswith("[fake-llm] Context:") and row["passages"] == ["a", "b"] and [*timings] == ["embed", "retrieve", "rerank", "generate"] and all(x > 0 for x in timings.values())
+    assert row["answer"].startswith("[fake-llm] Context:") and row["passages"] == ["a", "b"] and [*timings] == ["embed", "retrieve", "rerank", "generate", "total"] and all(x > 0 for x in timings.values())
+    assert timings["total"] == pytest.approx(sum(x for k, x in timings.items() if k != "total"))
     answers, timings = rag.workflow(questions, passages, "retrieve", str(tmp_path / "w"))
-    assert answers.first()["answer"] is None and "generate" not in timings
+    assert answers.first()["answer"] is None and timings["generate"] == 0.0 and [*timings][-1] == "total"
 
 
 def test_small_parts(spark):
@@ -349,6 +350,40 @@ def test_product_topk_is_search_batch(spark, cosine, monkeypatch):
     assert search.product_topk(rows.limit(0), asked, "query", "v", "q").count() == search.product_topk(rows, asked.limit(0), "query", "v", "q").count() == 0
 
 
+def test_maxsim_topk_is_maxsim_of_pairs(spark, monkeypatch):
+    """Ragged pages, null and odd vectors, several lengths, queries without vectors, small slices."""
+    pages = [[[1.0, 0.0], [0.0, 2.0]], [[0.5, 0.5]], [], None, [None, [3.0, 1.0]], [[1.0, None], [1.0, 1.0]], [[2.0]], [[2.0], [1.0, 1.0], [-1.0, -1.0]], [[float("nan"), 1.0]], [[1.0, 0.0]] * 7, [[-5.0, -5.0]]]
+    rows = spark.createDataFrame([(k % 10, f"t{k}", v) for k, v in enumerate(pages)], "id int, tag string, d array<array<double>>").repartition(3)
+    asked = spark.createDataFrame([(1, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]), (2, [[1.0, 1.0], [2.0]]), (3, []), (4, None), (5, [None, [1.0, 1.0]]), (6, [[1.0, None]]), (7, [[-1.0, 0.5]]), (8, [[1.0, 2.0, 3.0]])], "query int, q array<array<double>>")
+    scored = F.round(vx.maxsim(F.col("q"), F.col("d")), 6)
+    ways = lambda df, *more: {tuple(r) for r in df.select("query", "id", "tag", "score", "rank", *more).collect()}
+    for products, at_once, size in ((1 << 22, 256, 1 << 26), (4, 2, 16)):
+        monkeypatch.setattr(search, "PRODUCTS", products)
+        monkeypatch.setattr(search, "AT_ONCE", at_once)
+        monkeypatch.setattr(search, "QUERY_BYTES", size)
+        for k in (2, 20):
+            got = search.maxsim_topk(rows, asked, "query", "d", "q", k, {"id": {"lt": 9}}, ["id", "tag"], 6)
+            assert ways(got) == ways(search.search_batch(rows, asked, scored, "query", k, {"id": {"lt": 9}}, ["id", "tag"]))
+    assert search.maxsim_topk(rows.limit(0), asked, "query", "d", "q").count() == search.maxsim_topk(rows, asked.limit(0), "query", "d", "q").count() == 0
+    every = {q: sorted((r for r in search.search_batch(rows, asked.where(f"query = {q}"), scored, "query", 99).collect()), key=lambda r: (-r["score"], r["id"], r["tag"])) for q in range(1, 9)}
+    got = search.maxsim_topk(rows, asked, "query", "d", "q", 3, {"id": {"lt": 6}}, ["id", "tag"], 6, normalized=True).collect()
+    for q, all_ in every.items():
+        low, high = (min(x["score"] for x in all_), max(x["score"] for x in all_)) if all_ else (0, 0)
+        wanted = [(r["id"], r["tag"], pytest.approx((r["score"] - low) / (high - low) if high > low else 0)) for r in all_ if r["id"] < 6][:3]
+        assert [(r["id"], r["tag"], r["normalized_score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == q] == wanted
+
+
+def test_normalised_batch_search_reads_the_index_once(spark, tmp_path):
+    spark.createDataFrame([(k, k % 3, [float(k), 1.0]) for k in range(50)], "id int, label int, v array<double>").write.parquet(str(tmp_path / "i"))
+    rows = spark.read.parquet(str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "query int, q array<double>")
+    found = search.product_topk(rows, asked, "query", "v", "q", 2, {"label": 1}, ["id"], normalized=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert [(r["query"], r["id"], round(r["normalized_score"], 6)) for r in found.orderBy("query", "rank").collect()] == [(1, 49, 1.0), (1, 46, round(46 / 49, 6)), (2, 1, round(48 / 49, 6)), (2, 4, round(45 / 49, 6))]
+    none = search.product_topk(rows, asked, "query", "v", "q", 0, normalized=True)
+    assert none.count() == 0
+
+
 def test_numbered_is_a_window(spark, monkeypatch):
     """A group with most rows, null groups and keys, repeated keys, strings and dates, an empty table."""
     from pyspark.sql import Window
