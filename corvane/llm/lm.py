@@ -53,7 +53,7 @@ def pack(*columns: np.ndarray) -> bytes:
         width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
         widths.append(width)
         body.append(np.ascontiguousarray(c).astype(f"<u{width}").view(np.uint8).reshape(n, width).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(columns), n, *widths], np.int64).tobytes(), *body]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(columns), n, *widths], np.int64).tobytes(), *body]))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -71,7 +71,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def _text(words: list[bytes]) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words))
 
 
 def _words(blob: bytes) -> list[bytes]:
@@ -203,6 +203,10 @@ def _answers_words(buckets: int):
         if (start := pc.index(all_words.dictionary, pa.scalar(START, pa.large_binary())).as_py()) >= 0:
             known -= int(kept[start] + deleted[start] > 0)
         bucket, at = rows[0]["bucket"], np.append(0, np.cumsum(size))
+        place = np.empty(len(kept), np.int64)
+        place[np.argsort(-np.bincount(code, times), kind="stable")] = np.arange(len(kept))
+        code = place[code]  # frequent words have small numbers, which pack better
+        kept, deleted = (np.bincount(place, c, len(place)).astype(np.int64) for c in (kept, deleted))
         out = [(1, bucket, r["block"], pack(c * buckets + bucket, kept[c], deleted[c]), 0) for r, c in ((r, code[a:b]) for r, a, b in zip(rows, at, at[1:]))]
         return pa.Table.from_batches([_batch([*out, (1, bucket, -1, None, known)], _ANSWERED)])
 
@@ -372,7 +376,7 @@ class Counted:
         self.blocks = stored(blocks(docs, folds, block_bytes, id_col, text_col), "blocks")
         totals = {r["cls"]: r["n"] for r in self.blocks.groupBy("cls").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}
         self.kept, self.total = totals.get(KEPT, 0), totals.get(KEPT, 0) + totals.get(DELETED, 0)
-        self.buckets = max(1, -(-sum(totals.values()) // bucket_tokens))
+        self.buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-sum(totals.values()) // bucket_tokens))
         words = stored(_asked_words(self.blocks, self.buckets).groupBy("bucket").applyInArrow(_answers_words(self.buckets), _ANSWERED), "words")
         self.kinds = words.agg(F.sum("known").alias("n")).first()["n"] or 0
         words = words.where("block >= 0")
