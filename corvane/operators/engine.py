@@ -21,6 +21,7 @@ from corvane.operators.embedders import Embedder
 from corvane.operators.filters import FilterSpec, Query
 from corvane.operators.index import IndexStore
 from corvane.operators.keyed import KeyedIndex
+from corvane.sources.files import framed
 
 
 class PageExtractor(Protocol):
@@ -46,8 +47,13 @@ def rgb_page(documents: DataFrame) -> DataFrame:
     return documents.where((F.length("content") > 0) & (F.length("content") % 3 == 0)).select(*rest, F.lit(1).alias("page"), F.col("content").alias("image"))
 
 
+def frame_pages(documents: DataFrame) -> DataFrame:
+    """TIFF and GIF images, a page a frame, embedded by its RGB bytes."""
+    return framed(documents).withColumnRenamed("pixels", "image").drop("width", "height")
+
+
 #: Extractors by format.
-EXTRACTORS: dict[str, PageExtractor] = {"txt": text_pages, "rgb": rgb_page}
+EXTRACTORS: dict[str, PageExtractor] = {"txt": text_pages, "rgb": rgb_page, "tiff": frame_pages, "gif": frame_pages}
 
 
 def image_key(pixels: Column, width: Column, height: Column) -> Column:
@@ -152,12 +158,12 @@ def ingest(passages: DataFrame, embedder: Embedder, store: KeyedIndex, text: str
 
 
 def export_manifest(pages: DataFrame, path: str, metadata: list[str] | None = None) -> None:
-    """Writes a manifest: a JSON line for each file with file, format, pages, and metadata as a map of strings.
+    """Writes a manifest: a JSON line for each file with file, format, pages, and metadata as a map of strings, the least where a file's pages differ.
 
     pages: file, format, a row a page (or with pages 0 none yet), and the metadata columns.
     """
     names = metadata or []
-    values = F.create_map(*(x for n in names for x in (F.lit(n), F.first(F.col(n).cast("string"))))) if names else F.create_map().cast("map<string,string>")
+    values = F.create_map(*(x for n in names for x in (F.lit(n), F.min(F.col(n).cast("string"))))) if names else F.create_map().cast("map<string,string>")
     pages.groupBy("file", "format").agg(F.sum("pages").cast("long").alias("pages") if "pages" in pages.columns else F.count("*").alias("pages"), values.alias("metadata")).write.mode("overwrite").json(path)
 
 

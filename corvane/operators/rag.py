@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators import search
-from corvane.operators.engine import Timings
+from corvane.operators.engine import Timings, merged_metadata
 
 #: Stages in their order.
 STAGES = ("embed", "retrieve", "rerank", "generate")
@@ -72,7 +72,7 @@ def workflow(questions: DataFrame, passages: DataFrame, mode: str, folder: str,
 
 def merged_timings(left: Column, right: Column) -> Column:
     """Both maps; the right one wins."""
-    return F.map_concat(F.map_filter(left, lambda k, v: ~F.array_contains(F.map_keys(right), k)), right)
+    return merged_metadata(left, right)
 
 
 def parsed_timings(body: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -742,21 +743,61 @@ def stream_latency(spark, sf):
     return found.select(F.col("window.start").cast(rows.schema["ts"].dataType).alias("day"), "event_type", "requests", F.round(F.get("p", F.lit(0)), 6).alias("p50"), F.round(F.get("p", F.lit(1)), 6).alias("p95"))
 
 
-# --- made-up rows: their number is what is asked for ------------------------
+# --- made-up rows and images, from the keys of given tables -----------------
 
 PICKED = "('0x' || substr(sha256(id || ':{name}:1234'), 1, 8))::BIGINT % {n} + {low}"
 FIGURES = ", ".join(PICKED.format(name=name, n=high - low + 1, low=low) + f" AS {name}" for name, low, high in (("days", 2, 30), ("amount", 50, 900), ("hours", 4, 72)))
 
 
-@query("image_pages", "SELECT printf('page_%05d.png', i) AS file, i % 10 AS bucket, round(i * 37 % 256 / 255, 6) AS red, round(i * 59 % 256 / 255, 6) AS green, round(i * 83 % 256 / 255, 6) AS blue FROM range(200) t(i)")
+@query("image_pages", "SELECT printf('page_%05d.png', i) AS file, i % 10 AS bucket, round(i * 37 % 256 / 255, 6) AS red, round(i * 59 % 256 / 255, 6) AS green, round(i * 83 % 256 / 255, 6) AS blue FROM (SELECT p_partkey AS i FROM part)")
 def image_pages(spark, sf):
-    rows = sources.synthetic_pages(spark, 200).withColumn("colour", sources.mean_colour(F.col("pixels")))
+    """A page for every part, coloured by its key."""
+    pages = sources.coloured_pages(table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id")), 8, 10)
+    rows = pages.withColumn("colour", sources.mean_colour(F.col("pixels")))
     return rows.select("file", "bucket", *(F.round(F.get("colour", F.lit(k)), 6).alias(c) for k, c in enumerate(("red", "green", "blue"))))
 
 
-@query("synthetic_corpus", f"SELECT printf('doc-%04d', id) AS id, topic AS title, 'Rule ' || id || ' on ' || topic || ': ask within ' || days || ' days, up to ' || amount || ' euros, and expect an answer in ' || hours || ' hours.' AS text FROM (SELECT id, {list(sources.TOPICS)}[id % {len(sources.TOPICS)} + 1] AS topic, {FIGURES} FROM range(200) t(id))")
+@query("synthetic_corpus", f"SELECT printf('doc-%04d', id) AS id, topic AS title, 'Rule ' || id || ' on ' || topic || ': ask within ' || days || ' days, up to ' || amount || ' euros, and expect an answer in ' || hours || ' hours.' AS text FROM (SELECT id, {list(sources.TOPICS)}[id % {len(sources.TOPICS)} + 1] AS topic, {FIGURES} FROM (SELECT c_custkey AS id FROM customer))")
 def synthetic_corpus(spark, sf):
-    return sources.synthetic_corpus(spark, 200).select("id", "title", "text")
+    """A document for every customer."""
+    return sources.synthetic_documents(table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"))).select("id", "title", "text")
+
+
+def colour(k: int, of: str = "p_partkey"):
+    return F.pmod(F.col(of) * k, F.lit(256))
+
+
+def two_frames(spark, sf) -> DataFrame:
+    """For every part a TIFF of two frames, of 4 by 2 and of 1 by 1 pixels, each of one colour that follows from its key."""
+
+    def directory(at: int, width: int, height: int, following: int) -> str:
+        tags = ((256, 3, 1, width), (257, 3, 1, height), (258, 3, 3, at + 114), (259, 3, 1, 1), (262, 3, 1, 2), (273, 4, 1, at + 120), (277, 3, 1, 3), (278, 3, 1, height), (279, 4, 1, 3 * width * height))
+        return (struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", following) + struct.pack("<HHH", 8, 8, 8)).hex()
+
+    # a directory has 2 + 9 * 12 + 4 bytes, then 6 of bit sizes, then its pixels
+    pixels = lambda *ks, n: F.repeat(F.concat(*(F.lpad(F.hex(colour(k)), 2, "0") for k in ks)), n)
+    content = F.unhex(F.concat(F.lit((b"II*\0" + struct.pack("<I", 8)).hex() + directory(8, 4, 2, 152)), pixels(37, 59, 83, n=8), F.lit(directory(152, 1, 1, 0)), pixels(11, 13, 17, n=1)))
+    return table(spark, sf, "part").select("p_partkey", content.alias("content"))
+
+
+FRAME_COLOURS = "SELECT p_partkey, page, width, height, round(p_partkey * r % 256 / 255, 6) AS red, round(p_partkey * g % 256 / 255, 6) AS green, round(p_partkey * b % 256 / 255, 6) AS blue FROM part, (VALUES (1, {first}, 37, 59, 83), (2, 1, 1, 11, 13, 17)) t(page, width, height, r, g, b)"
+
+
+def coloured(pages):
+    rows = pages.withColumn("colour", sources.mean_colour(F.col("pixels")))
+    return rows.select("p_partkey", "page", "width", "height", *(F.round(F.get("colour", F.lit(k)), 6).alias(c) for k, c in enumerate(("red", "green", "blue"))))
+
+
+@query("frame_pages", FRAME_COLOURS.format(first="4, 2"))
+def frame_pages(spark, sf):
+    """A row for each frame of images of two."""
+    return coloured(sources.framed(two_frames(spark, sf)))
+
+
+@query("resized_pages", FRAME_COLOURS.format(first="2, 1"))
+def resized_pages(spark, sf):
+    """Frames scaled down to two pixels on the longer side keep their mean colour."""
+    return coloured(sources.resized(sources.framed(two_frames(spark, sf)), 2))
 
 
 # --- what SQL has no words for --------------------------------------------

@@ -118,13 +118,18 @@ def synthetic_corpus(spark: SparkSession, n: int, seed: int = 1234) -> DataFrame
 
     A figure is taken from the first 8 hexadecimal digits of the SHA-256 of id, its name and the seed, joined by colons.
     """
+    return synthetic_documents(spark.range(n), seed)
+
+
+def synthetic_documents(ids: DataFrame, seed: int = 1234) -> DataFrame:
+    """synthetic_corpus() for the numbers in ids (id), a document each."""
     digest = lambda name: F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(name), F.lit(str(seed))), 256)
     pick = lambda name, low, high: F.conv(F.substring(digest(name), 1, 8), 16, 10).cast("long") % (high - low + 1) + low
     topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.pmod("id", F.lit(len(TOPICS))) + 1).cast("int"))
     text = F.lit(SENTENCE)
     for slot, value in {"topic": topic, "n": F.col("id"), "days": pick("days", 2, 30), "amount": pick("amount", 50, 900), "hours": pick("hours", 4, 72)}.items():
         text = F.replace(text, F.lit("{" + slot + "}"), value.cast("string"))
-    return spark.range(n).select(F.format_string("doc-%04d", "id").alias("id"), topic.alias("title"), text.alias("text"), F.create_map(F.lit("topic"), topic).alias("metadata"))
+    return ids.select(F.format_string("doc-%04d", "id").alias("id"), topic.alias("title"), text.alias("text"), F.create_map(F.lit("topic"), topic).alias("metadata"))
 
 
 def synthetic_questions(spark: SparkSession, n: int = 50) -> DataFrame:
@@ -134,13 +139,48 @@ def synthetic_questions(spark: SparkSession, n: int = 50) -> DataFrame:
 
 def synthetic_pages(spark: SparkSession, n: int, width: int = 64, height: int = 80) -> DataFrame:
     """file, page, bucket, width, height, pixels: pages of one colour each, as RGB bytes."""
+    return coloured_pages(spark.range(n), width, height)
+
+
+def coloured_pages(ids: DataFrame, width: int = 64, height: int = 80) -> DataFrame:
+    """synthetic_pages() for the numbers in ids (id), a page each."""
     colour = F.concat(*(F.lpad(F.hex(F.pmod(F.col("id") * F.lit(k), F.lit(256))), 2, "0") for k in (37, 59, 83)))
-    return spark.range(n).select(F.format_string("page_%05d.png", "id").alias("file"), F.lit(1).alias("page"), F.pmod("id", F.lit(10)).alias("bucket"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.unhex(F.repeat(colour, width * height)).alias("pixels"))
+    return ids.select(F.format_string("page_%05d.png", "id").alias("file"), F.lit(1).alias("page"), F.pmod("id", F.lit(10)).alias("bucket"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.unhex(F.repeat(colour, width * height)).alias("pixels"))
+
+
+#: Suffixes of images that can have several frames; Spark's own reader takes the others, of one frame.
+FRAMED = ("tiff", "tif", "gif")
+
+
+def framed(files: DataFrame, content: str = "content") -> DataFrame:
+    """files without content, and page (from 1), width, height, pixels (RGB bytes): a row for each frame of each image.
+
+    content: bytes of TIFF or GIF images.  One that cannot be read whole has no row.
+    """
+
+    @F.pandas_udf("array<struct<width: int, height: int, pixels: binary>>")
+    def read(images: pd.Series) -> pd.Series:
+        from corvane.sources.frames import frames
+
+        def one(image: bytes | None) -> list[dict]:
+            try:
+                return [{"width": w, "height": h, "pixels": p} for w, h, p in frames(image or b"")]
+            except ValueError:
+                return []
+
+        return pd.Series([one(x) for x in images])
+
+    rest = [c for c in files.columns if c != content]
+    each = files.select(*rest, F.posexplode(read(content)).alias("__place", "__frame"))
+    return each.select(*rest, (F.col("__place") + 1).alias("page"), "__frame.width", "__frame.height", "__frame.pixels")
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """file, page, width, height, pixels: the first frame of each image as RGB bytes; files that cannot be read are left out."""
-    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root).select("image.*")
+    """file, page, width, height, pixels: each image as RGB bytes, those of several frames a row for each; files that cannot be read are left out."""
+    any_case = lambda names: "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in n) for n in names) + "}"
+    single = any_case(n for n in (*fx.IMAGES, "jfif") if n not in FRAMED)
+    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).option("pathGlobFilter", single).load(root).select("image.*")
+    chains = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", any_case(FRAMED)).load(root).select(F.col("path").alias("file"), "content")
 
     @F.pandas_udf("binary")
     def rgb(data: pd.Series, channels: pd.Series) -> pd.Series:
@@ -152,7 +192,39 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
 
         return pd.Series([turned(x, int(n)) for x, n in zip(data, channels)])
 
-    return images.select(F.col("origin").alias("file"), F.lit(1).alias("page"), "width", "height", rgb("data", "nChannels").alias("pixels"))
+    one = images.select(F.col("origin").alias("file"), F.lit(1).alias("page"), "width", "height", rgb("data", "nChannels").alias("pixels"))
+    return one.unionByName(framed(chains))
+
+
+def resized(pages: DataFrame, longest: int) -> DataFrame:
+    """pages (width, height, pixels as RGB bytes) with the longer side at most longest: each new pixel is the mean of the area that it stands for.
+
+    Sizes are those of fitted(); smaller pages stay as they are.  Pixels of other length than
+    width and height say have none after it.
+    """
+    size = F.struct(*(fx.fitted(F.col("width").cast("int"), F.col("height").cast("int"), longest)[c].alias(c) for c in ("width", "height")))
+
+    @F.pandas_udf("binary")
+    def scaled(pixels: pd.Series, width: pd.Series, height: pd.Series, to: pd.DataFrame) -> pd.Series:
+        import numpy as np
+
+        def weights(old: int, new: int) -> np.ndarray:
+            """new x old: the share of each old row in each new one."""
+            edges = np.arange(new + 1) * old / new
+            low, high = np.maximum(edges[:-1, None], np.arange(old)), np.minimum(edges[1:, None], np.arange(1, old + 1))
+            return np.maximum(high - low, 0) * new / old
+
+        def one(x: bytes | None, w: int, h: int, new_w: int, new_h: int) -> bytes | None:
+            if x is None or len(x) != w * h * 3 or (w, h) == (new_w, new_h):
+                return x if x is not None and len(x) == w * h * 3 else None
+            rows = weights(h, new_h) @ np.frombuffer(x, np.uint8).reshape(h, w * 3).astype(np.float64)
+            whole = np.einsum("vw,hwc->hvc", weights(w, new_w), rows.reshape(new_h, w, 3), optimize=True)
+            return np.floor(whole + 0.5).clip(0, 255).astype(np.uint8).tobytes()
+
+        return pd.Series([one(x, int(w), int(h), int(a), int(b)) for x, w, h, a, b in zip(pixels, width, height, to["width"], to["height"])])
+
+    fitted = pages.withColumn("__to", size).withColumn("pixels", scaled("pixels", "width", "height", "__to"))
+    return fitted.withColumns({"width": F.col("__to.width"), "height": F.col("__to.height")}).drop("__to")
 
 
 def mean_colour(pixels: Column) -> Column:
