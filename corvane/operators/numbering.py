@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 PARTS, SAMPLED = 64, 32
 
 
+def sampled_keys(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """Up to n distinct keys, evenly from all distinct ones: of each of n classes by hash the one of the least hash.  Tasks hand on n keys each at most."""
+    h = F.xxhash64(*order)
+    return df.groupBy(F.pmod(h, F.lit(n)).alias("__class")).agg(F.min_by(F.struct(*order), h).alias("__key")).select("__key.*")
+
+
 def _part(df: DataFrame, order: str) -> Column:
-    """Which range of order a row is in; the edges are of PARTS * SAMPLED keys at most, those with the least hashes."""
-    keys = df.select(F.col(order).alias("key")).where("key is not null")
-    least = keys.orderBy(F.xxhash64("key")).limit(PARTS * SAMPLED).collect()
-    edges = sorted({r["key"] for r in least})[SAMPLED::SAMPLED]
+    """Which range of order a row is in; the edges are of PARTS * SAMPLED keys at most."""
+    some = sampled_keys(df.select(order).where(F.col(order).isNotNull()), [order], PARTS * SAMPLED).collect()
+    edges = sorted(r[order] for r in some)[SAMPLED::SAMPLED]
     if not edges:
         return F.lit(0)
     kind = df.schema[order].dataType

@@ -58,8 +58,30 @@ def markdown(compared_rows: DataFrame, baseline: str) -> str:
     return "\n\n".join([*parts, *(f"### {key}\n\n{head}\n" + "\n".join(rows) for key, rows in tables.items())]) + "\n"
 
 
-def latencies(df: DataFrame, by: list[str], value: str, accuracy: int | None = None) -> DataFrame:
-    """by, requests, p50, p95, p99: exact, which keeps all distinct values of a key in one task; with accuracy from a sketch whose rank is off by 1 / accuracy at most."""
-    at = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
-    p = F.percentile(value, at) if accuracy is None else F.percentile_approx(value, at, accuracy)
-    return df.groupBy(*by).agg(F.count("*").alias("requests"), p.alias("p")).select(*by, "requests", *(F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
+#: Numbers that a quantile sketch keeps at most; up to as many values it is exact, beyond that a rank is off by 0.13 % or less in 99 of 100 cases.
+SKETCH = 4096
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def sketched(df: DataFrame, by: list[str], value: str, k: int = SKETCH) -> DataFrame:
+    """by, requests, sketch: quantile sketches as a column, which merged() puts together; tasks hand on sketches, not values."""
+    return df.groupBy(*by).agg(F.count("*").alias("requests"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches over larger groups or longer windows, from those of smaller ones."""
+    return sketches.groupBy(*by).agg(F.sum("requests").alias("requests"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def quantiles(sketches: DataFrame) -> DataFrame:
+    """sketches with p50, p95, p99 instead of sketch: values that were there; null without any."""
+    some = F.kll_sketch_get_n_double("sketch") > 0
+    return sketches.select(*(c for c in sketches.columns if c != "sketch"), *(F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(q))).alias(n) for n, q in QUANTILES.items()))
+
+
+def latencies(df: DataFrame, by: list[str], value: str, exact: bool = False, k: int = SKETCH) -> DataFrame:
+    """by, requests, p50, p95, p99, from sketches of size k; or exact, between values where need be, which keeps all distinct values of a key in one task."""
+    if not exact:
+        return quantiles(sketched(df, by, value, k))
+    p = F.percentile(value, F.array(*map(F.lit, QUANTILES.values())))
+    return df.groupBy(*by).agg(F.count("*").alias("requests"), p.alias("p")).select(*by, "requests", *(F.get("p", F.lit(k)).alias(n) for k, n in enumerate(QUANTILES)))

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from corvane.errors import EmptyIndexError
 from corvane.functions import vectors as vx
 from corvane.operators import filters
+from corvane.operators.numbering import sampled_keys
 
 #: Ranges below count as none.
 EPS = 1e-9
@@ -347,11 +348,53 @@ def from_arrays(df: DataFrame, key: str, pages: str, raw: str) -> DataFrame:
     return rows.select(key, F.row_number().over(order).alias("rank"), "page", "score", minmax_column(F.col("score"), F.col("low"), F.col("high"), 0).alias("normalized_score"))
 
 
-def page_of(df: DataFrame, order: list[str], offset: int = 0, limit: int = 10) -> DataFrame:
-    """Rows offset to offset + limit in that order."""
+#: Up to which offset and limit together a page is taken from a sort of the first rows; ranges that a deeper one is looked for in, and sampled keys for each.
+SHALLOW, RANGES, SAMPLED = 100_000, 64, 32
+
+
+def page_of(df: DataFrame, order: list[str], offset: int = 0, limit: int = 10, shallow: int = SHALLOW) -> DataFrame:
+    """Rows offset to offset + limit in that order, nulls first.
+
+    The first offset + limit rows are sorted by one task if these are shallow at most.
+    Deeper pages are looked for range by range: the rows in RANGES of the order are counted,
+    and only the ranges that hold the page are looked at again, until shallow rows are
+    before it.  Rows that are equal in order are told apart by a hash of all columns.
+    """
     if offset < 0 or limit < 1:
         raise ValueError("offset must not be negative, limit must be positive")
-    return df.orderBy(*order).offset(offset).limit(limit)
+    if offset + limit <= shallow:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    rows, order = df.withColumn("__tie", F.xxhash64(*df.columns)), [*order, "__tie"]
+    key = F.struct(*order)
+    while offset + limit > shallow:
+        edges = _edges(rows, order)
+        at = [F.struct(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, e))) for e in edges]
+        part = F.size(F.filter(F.array(*at), lambda e: e <= key)) if at else F.lit(0)
+        counts = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # RANGES at most
+        before, held = 0, []
+        for k in range(len(edges) + 1):
+            if before + counts.get(k, 0) > offset and before < offset + limit:
+                held.append((k, before))
+            before += counts.get(k, 0)
+        if not held or len(held) > len(edges):
+            break  # no rows there, or no range is narrower: all rows are alike, or the page has them all
+        low, high = held[0][0], held[-1][0]
+        rows = rows.where(_from(order, edges[low - 1], at[low - 1], key) if low else F.lit(True)).where(key < at[high] if high < len(at) else F.lit(True))
+        offset -= held[0][1]
+    return rows.orderBy(*order).offset(offset).limit(limit).drop("__tie")
+
+
+def _edges(rows: DataFrame, order: list[str]) -> list[tuple]:
+    """Keys that part the rows into RANGES or a few more, evenly from the distinct ones."""
+    keys = [tuple(r) for r in sampled_keys(rows, order, RANGES * SAMPLED).orderBy(*order).collect()]
+    step = max(1, len(keys) // RANGES)
+    return keys[step::step]
+
+
+def _from(order: list[str], edge: tuple, at: Column, key: Column) -> Column:
+    """Keys from an edge on; the first column alone, which a scan can use, says nearly as much."""
+    first = F.col(order[0]) >= F.lit(edge[0]) if edge[0] is not None and edge[0] == edge[0] else F.lit(True)
+    return first & (key >= at)
 
 
 def page_info(df: DataFrame, offset: int = 0, limit: int = 10) -> DataFrame:

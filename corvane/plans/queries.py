@@ -559,6 +559,33 @@ def result_lines(spark, sf):
     return index.shown(hits, ["label"]).select("vec_id", "line")
 
 
+def written_lines(spark, sf) -> str:
+    """A folder of JSON lines, a file for each source, in the order of doc_id; those of one language lack their title, and others are followed by a blank line."""
+    lacking = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "text"))
+    whole = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), "text"))
+    rows = table(spark, sf, "documents").where("text is not null and source is not null")
+    line = F.when(F.col("lang") == "es", lacking).when(F.col("lang") == "fr", F.concat(whole, F.lit("\n"))).otherwise(whole)
+    folder = new_folder(spark, "lines")
+    rows.select("source", "doc_id", line.alias("value")).repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(folder)
+    return folder
+
+
+LINES = "WITH l AS (SELECT doc_id, lang, source, sum(CASE WHEN lang = 'fr' THEN 2 ELSE 1 END) OVER (PARTITION BY source ORDER BY doc_id) - CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS line FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)"
+
+
+@query("jsonl_lines", LINES + " SELECT source, CAST(line AS BIGINT) AS line, CAST(doc_id AS VARCHAR) AS id FROM l WHERE lang IS DISTINCT FROM 'es'")
+def jsonl_lines(spark, sf):
+    """Numbers of the lines that can be read, by splits of their files."""
+    found = sources.read_jsonl(spark, written_lines(spark, sf), strict=False, numbered=True)
+    return found.select(F.regexp_extract("file", "source=([^/]*)/", 1).alias("source"), "line", "id")
+
+
+@query("jsonl_errors", LINES + " SELECT source, CAST(line AS BIGINT) AS line FROM l WHERE lang = 'es'")
+def jsonl_errors(spark, sf):
+    found = sources.line_errors(spark, written_lines(spark, sf))
+    return found.select(F.regexp_extract("file", "source=([^/]*)/", 1).alias("source"), "line")
+
+
 # --- conversations, pages, boxes ------------------------------------------
 
 
@@ -582,6 +609,13 @@ def paginate(spark, sf):
     return search.page_of(table(spark, sf, "documents").select("doc_id", "source"), ["source", "doc_id"], 30, 10)
 
 
+@query("paginate_deep", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 25 OFFSET 50000")
+def paginate_deep(spark, sf):
+    """A page beyond which most rows lie: ranges that don't hold it are counted, not sorted."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return search.page_of(rows, ["l_extendedprice", "l_orderkey", "l_linenumber"], 50_000, 25, shallow=2_000)
+
+
 @query("page_info", "SELECT count(*) AS total, 4 AS page_number, CAST(ceil(count(*) / 10.0) AS BIGINT) AS num_pages, 40 < count(*) AS has_next, true AS has_previous FROM documents")
 def page_info(spark, sf):
     return search.page_info(table(spark, sf, "documents"), 30, 10)
@@ -628,7 +662,7 @@ def fitted_sizes(spark, sf):
 
 def runs(spark, sf):
     rows = table(spark, sf, "events").withColumn("run", F.when(F.dayofmonth("ts") <= 15, "first").otherwise("second")).withColumn("event_type", F.when((F.col("event_type") == "view") & (F.col("run") == "second"), "view again").otherwise(F.col("event_type")))
-    figures = reports.latencies(rows, ["run", "event_type"], "value")
+    figures = reports.latencies(rows, ["run", "event_type"], "value", exact=True)
     failed = rows.groupBy("run", "event_type").agg(F.sum(F.when(F.col("user_id") % 10 == 0, 1).otherwise(0)).alias("failures"))
     return figures.join(failed, ["run", "event_type"]).withColumn("rps", F.col("requests") / 60.0).withColumnRenamed("event_type", "row_key")
 
@@ -648,7 +682,18 @@ def fail_pct(spark, sf):
 
 @query("latency_percentiles", "SELECT event_type, count(*) AS requests, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf):
-    return rounded(reports.latencies(table(spark, sf, "events"), ["event_type"], "value"), "p50", "p95", "p99")
+    return rounded(reports.latencies(table(spark, sf, "events"), ["event_type"], "value", exact=True), "p50", "p95", "p99")
+
+
+DISC = ", ".join(f"round(quantile_disc(value, {q}), 6) AS {n}" for n, q in reports.QUANTILES.items())
+
+
+@query("latency_sketches", f"SELECT event_type, day(ts) <= 15 AS first_half, count(*) AS requests, {DISC} FROM events GROUP BY ALL")
+def latency_sketches(spark, sf):
+    """Sketches of days, merged to those of half months; exact as long as a half has no more values than a sketch."""
+    days = reports.sketched(table(spark, sf, "events").withColumn("day", F.dayofmonth("ts")), ["event_type", "day"], "value")
+    halves = reports.merged(days.withColumn("first_half", F.col("day") <= 15), ["event_type", "first_half"])
+    return rounded(reports.quantiles(halves), "p50", "p95", "p99")
 
 
 EVENT = "SELECT event_id, event_type, CAST(event_id % 3 AS DOUBLE) AS embed, round(value, 3) AS retrieve, CAST(event_id % 2 AS DOUBLE) AS generate FROM events"
@@ -743,6 +788,15 @@ def stream_latency(spark, sf):
     return found.select(F.col("window.start").cast(rows.schema["ts"].dataType).alias("day"), "event_type", "requests", F.round(F.get("p", F.lit(0)), 6).alias("p50"), F.round(F.get("p", F.lit(1)), 6).alias("p95"))
 
 
+@query("stream_sketches", f"SELECT event_type, count(*) AS requests, {DISC} FROM events GROUP BY event_type")
+def stream_sketches(spark, sf):
+    """Sketches of a stream's days, merged over all of them."""
+    rows, folder = table(spark, sf, "events"), new_folder(spark, "stream")
+    stream = incremental.stream_of(spark, f"{sf}/events.parquet*", rows.schema)
+    incremental.whole_available(incremental.windowed_sketches(stream, "ts", "event_type", "value", "1 day"), f"{folder}/index", f"{folder}/checkpoint")
+    return rounded(reports.quantiles(reports.merged(spark.read.parquet(f"{folder}/index"), ["event_type"])), "p50", "p95", "p99")
+
+
 # --- made-up rows and images, from the keys of given tables -----------------
 
 PICKED = "('0x' || substr(sha256(id || ':{name}:1234'), 1, 8))::BIGINT % {n} + {low}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.errors import CorpusError, UnsupportedFormatError
@@ -65,25 +65,42 @@ def renderers(files: DataFrame, table: dict[str, str]) -> DataFrame:
     return files.join(F.broadcast(known), "format")
 
 
-def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """id, title, text, metadata of each line that is not blank; strict: a bad line is an error that gives its number and quotes it."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", CORPUS).alias("x"))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of every line of text files.
+
+    Splits of a file are read by tasks of their own, each in order; a line's number is its
+    place in the split, after the lines of the splits before, which a first pass counts.
+    """
+    place = F.monotonically_increasing_id()  # goes up by one from line to line of a split
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__split"), place.alias("__place"))
+    splits = lines.groupBy("file", "__split").agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "__split", (before - F.col("__first") + 1).alias("__shift"))  # a row a split
+    return lines.join(starts, ["file", "__split"]).select("file", (F.col("__place") + F.col("__shift")).alias("line"), "value")
+
+
+def _entries(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """Lines that are not blank with x, what they say, and which of them cannot be read."""
     bad = F.col("x.id").isNull() | F.col("x.title").isNull() | F.col("x.text").isNull()
-    if strict and (first := lines.where(bad).select(F.input_file_name().alias("file")).first()):
-        at = line_errors(spark, first["file"]).first()  # only now the file is numbered
-        raise CorpusError(f"{first['file']}, line {at['line']}: cannot read {at['excerpt']!r}")
-    return lines.where(~bad).select("x.id", "x.title", "x.text", F.coalesce("x.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+    return lines.where(F.trim("value") != "").withColumn("x", F.from_json("value", CORPUS)), bad
 
 
-def line_errors(spark: SparkSession, path: str) -> DataFrame:
-    """line, excerpt of the lines of one file that cannot be read; lines count from 1.
+def read_jsonl(spark: SparkSession, path: str, strict: bool = True, numbered: bool = False) -> DataFrame:
+    """id, title, text, metadata of each line that is not blank, and file and line if numbered; strict: a bad line is an error that gives its number and quotes it."""
+    lines, bad = _entries(spark.read.text(path))
+    if strict and not lines.where(bad).isEmpty():
+        at = line_errors(spark, path).orderBy("file", "line").first()  # only now lines are numbered
+        raise CorpusError(f"{at['file']}, line {at['line']}: cannot read {at['excerpt']!r}")
+    if numbered:
+        lines, bad = _entries(numbered_lines(spark, path))
+    metadata = F.coalesce("x.metadata", F.create_map().cast("map<string,string>")).alias("metadata")
+    return lines.where(~bad).select(*(["file", "line"] if numbered else []), "x.id", "x.title", "x.text", metadata)
 
-    The file is read whole, by one task, as lines have no numbers in a split; for reports on small files.
-    """
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("lines")).select(F.posexplode("lines").alias("place", "line_text"))
-    x = F.from_json("line_text", CORPUS)
-    bad = x["id"].isNull() | x["title"].isNull() | x["text"].isNull()
-    return lines.where((F.trim("line_text") != "") & bad).select((F.col("place") + 1).alias("line"), F.substring("line_text", 1, 80).alias("excerpt")).orderBy("line")
+
+def line_errors(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, excerpt of the lines that cannot be read; lines count from 1 in each file."""
+    lines, bad = _entries(numbered_lines(spark, path))
+    return lines.where(bad).select("file", "line", F.substring("value", 1, 80).alias("excerpt"))
 
 
 def number(c: Column) -> Column:

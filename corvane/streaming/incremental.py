@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.operators import index
+from corvane.operators import index, reports
 from corvane.operators.keyed import KeyedIndex
 
 
@@ -50,6 +50,12 @@ def windowed_latency(stream: DataFrame, ts: str, by: str, value: str, width: str
     return rows.groupBy(F.window(ts, width), by).agg(F.count("*").alias("requests"), F.percentile_approx(value, [0.5, 0.95, 0.99]).alias("p"))
 
 
+def windowed_sketches(stream: DataFrame, ts: str, by: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """window, by, requests and sketch, which reports.merged() puts together over longer windows."""
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return reports.sketched(rows.withColumn("window", F.window(ts, width)), ["window", by], value)
+
+
 def whole_available(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Writes an aggregated stream's result over all that is there to target and stops."""
     store = index.IndexStore(stream.sparkSession, target)

@@ -1,5 +1,6 @@
 import json
 import pathlib
+import re
 import struct
 
 import pytest
@@ -384,6 +385,81 @@ def test_normalised_batch_search_reads_the_index_once(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_sketches_merge_and_keep_their_rank_error(spark):
+    import random
+
+    rng = random.Random(9)
+    values = [(k % 7, k % 2, rng.lognormvariate(0, 2)) for k in range(60_000)]
+    df = spark.createDataFrame(values, "part int, side int, v double").repartition(5)
+    small = reports.sketched(df, ["side", "part"], "v", 1024)
+    rows = reports.quantiles(reports.merged(small, ["side"])).collect()
+    for r in rows:
+        own = sorted(v for _, s, v in values if s == r["side"])
+        assert r["requests"] == len(own)
+        for name, q in reports.QUANTILES.items():
+            at = sum(v <= r[name] for v in own) / len(own)
+            assert abs(at - q) <= 0.01 and r[name] in own
+    odd = spark.createDataFrame([("a", None), ("b", 1.0), ("b", None), ("b", 3.0)], "k string, v double")
+    assert {tuple(r) for r in reports.latencies(odd, ["k"], "v").collect()} == {("a", 1, None, None, None), ("b", 3, 1.0, 3.0, 3.0)}
+    assert {tuple(r)[:3] for r in reports.latencies(odd, ["k"], "v", exact=True).collect()} == {("a", 1, None), ("b", 3, 2.0)}
+    assert reports.latencies(odd.limit(0), ["k"], "v").count() == 0
+
+
+def test_lines_are_numbered_by_split(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    texts = {"a.jsonl": [json.dumps({"id": str(k), "title": "t", "text": "x" * (k % 50)}) if k % 97 else "broken" for k in range(1, 3000)], "b.jsonl": ["", "{}", "", json.dumps({"id": "z", "title": "t", "text": ""})]}
+    for name, lines in texts.items():
+        (tmp_path / "in" / name).write_text("\n".join(lines) + "\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4096", was):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = sources.numbered_lines(spark, str(tmp_path / "in"))
+            splits = spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions()
+            assert splits > 20 if size == "4096" else splits < 5
+            assert {(r["file"].rsplit("/")[-1], r["line"], r["value"]) for r in rows.collect()} == {(n, k, x) for n, xs in texts.items() for k, x in enumerate(xs, 1)}
+            bad = sources.line_errors(spark, str(tmp_path / "in")).collect()
+            assert sorted((r["file"].rsplit("/")[-1], r["line"]) for r in bad) == [*(("a.jsonl", k) for k in range(97, 3000, 97)), ("b.jsonl", 2)]
+            good = sources.read_jsonl(spark, str(tmp_path / "in"), strict=False, numbered=True).where("id = 'z' or id = '2998'").collect()
+            assert sorted((r["file"].rsplit("/")[-1], r["line"]) for r in good) == [("a.jsonl", 2998), ("b.jsonl", 4)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    with pytest.raises(CorpusError, match="a.jsonl, line 97: cannot read 'broken'"):
+        sources.read_jsonl(spark, str(tmp_path / "in"))
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_deep_pages(spark, ties):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 5.0, 5.0, float(rng.randrange(4000)), float("nan")]) if ties else float(k * 7919 % 5003), k) for k in range(5000)]
+    df = spark.createDataFrame(rows, "a double, b int").repartition(4)
+    key = lambda r: (r[0] is not None, r[0] is not None and r[0] != r[0], r[0] if r[0] is not None and r[0] == r[0] else 0, r[1])
+    wanted = sorted(rows, key=key)
+    for offset, limit in ((0, 5), (1700, 20), (2500, 7), (4990, 40), (6000, 3)):
+        got = [tuple(r) for r in search.page_of(df, ["a", "b"], offset, limit, shallow=100).collect()]
+        assert repr(got) == repr(wanted[offset : offset + limit])
+    held = search.page_of(df, ["a", "b"], 4000, 10, shallow=100)
+    limits = re.findall(r"TakeOrderedAndProject\(limit=(\d+)", held._jdf.queryExecution().executedPlan().toString())
+    assert limits and max(map(int, limits)) <= 110
+    same = spark.createDataFrame([(1.0, 1)] * 900, "a double, b int")
+    assert len(search.page_of(same, ["a"], 700, 5, shallow=50).collect()) == 5
+
+
+def test_numbered_with_a_repeated_key(spark, monkeypatch):
+    """A key that most rows have still leaves edges between the others."""
+    from corvane.operators import numbering
+
+    monkeypatch.setattr(numbering, "SAMPLED", 2)
+    rows = [("g", 50)] * 3000 + [("g", k) for k in range(100)]
+    df = spark.createDataFrame(rows, "g string, k int")
+    got = numbering.numbered(df, "g", "k", "n").collect()
+    assert sorted(r["n"] for r in got) == [*range(1, 3101)]
+    assert [r["k"] for r in sorted(got, key=lambda r: r["n"])] == sorted(k for _, k in rows)
+    assert df.select(numbering._part(df, "k").alias("p")).distinct().count() > 10
+
+
 def test_numbered_is_a_window(spark, monkeypatch):
     """A group with most rows, null groups and keys, repeated keys, strings and dates, an empty table."""
     from pyspark.sql import Window
