@@ -72,7 +72,7 @@ def _recounted(texts: DataFrame, terms: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        scan, names, sums = ahocorasick.Automaton(), pa.array(shared.value, pa.string()), Sums(["lang", "source", "term"], "n")
+        scan, sums = ahocorasick.Automaton(), Sums(["lang", "source", "place"], "n")
         for k, term in enumerate(shared.value):
             scan.add_word(f" {term} ", k)
         scan.make_automaton()
@@ -87,10 +87,15 @@ def _recounted(texts: DataFrame, terms: list[str]) -> DataFrame:
                     found, times = np.unique(np.fromiter(map(itemgetter(1), scan.iter(joined)), np.int64), return_counts=True)
                     if len(found):
                         same = lambda d, k: pa.repeat(d[k], len(found))
-                        yield from sums.add(pa.table({"lang": same(lang.dictionary, g // len(source.dictionary)), "source": same(source.dictionary, g % len(source.dictionary)), "term": names.take(pa.array(found)), "n": times.astype(np.int64)}))
+                        yield from sums.add(pa.table({"lang": same(lang.dictionary, g // len(source.dictionary)), "source": same(source.dictionary, g % len(source.dictionary)), "place": found, "n": times.astype(np.int64)}))
         yield from sums.rest()
 
-    return texts.mapInArrow(run, "lang string, source string, term string, n long")
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(shared.value, pa.string())
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], names.take(batch.column("place")), batch.column("n")], ["lang", "source", "term", "n"])
+
+    return texts.mapInArrow(named, "lang string, source string, term string, n long")
 
 
 def occurrences(texts: DataFrame, kept: DataFrame, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
