@@ -9,7 +9,7 @@ from functools import reduce
 from time import perf_counter
 from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from corvane.errors import UnsupportedFormatError
@@ -125,6 +125,42 @@ class Engine:
         return self.store.count()
 
 
+@dataclass(frozen=True)
+class SearchResult:
+    """hits: as many rows as were asked for at most; took_ms: until they were there."""
+
+    query: Query
+    hits: list[Row]
+    took_ms: float
+
+
+class SearchService:
+    """Searches that say how long they took; a Query for nothing but white space is an EmptyQueryError."""
+
+    def __init__(self, engine: Engine):
+        self.engine = engine
+
+    def execute(self, query: Query | str, top_k: int | None = None) -> SearchResult:
+        query = query if isinstance(query, Query) else Query(query)
+        timings = Timings({})
+        with timings.measure("search"):
+            hits = self.engine.search(query, top_k).orderBy("rank").collect()
+        return SearchResult(query, hits, timings.stages["search"])
+
+
+class IndexService:
+    """Indexing that says how many pages there are then, and how long it took."""
+
+    def __init__(self, engine: Engine):
+        self.engine = engine
+
+    def execute(self, documents: DataFrame, reinit: bool = True) -> tuple[int, float]:
+        timings = Timings({})
+        with timings.measure("index"):
+            pages = len(self.engine.index(documents, reinit))
+        return pages, timings.stages["index"]
+
+
 def display_value(score: Column, normalized: Column) -> Column:
     """What is shown of a result: the normalised score if there is one."""
     return F.coalesce(normalized, score)
@@ -182,6 +218,20 @@ def ready(checks: DataFrame) -> DataFrame:
     return checks.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ready"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("name")))).alias("failing"))
 
 
+def event(kind: str, **fields: Column) -> Column:
+    """A struct of event_type, occurred_at (UTC, ISO 8601) and the fields."""
+    at = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    return F.struct(F.lit(kind).alias("event_type"), at.alias("occurred_at"), *(c.alias(n) for n, c in fields.items()))
+
+
+def document_versions(files: DataFrame) -> DataFrame:
+    """doc_id, version_id, document_path, filename, title, checksum, document_metadata (format): a document and its version for each file.  files: path, format, and checksum if there is one."""
+    checksum = F.col("checksum") if "checksum" in files.columns else F.lit(None).cast("string")
+    kept = {"checksum": checksum, "document_metadata": F.create_map(F.lit("format"), F.col("format"))}
+    rows = ix.input_documents(files, keep=kept).withColumnRenamed("file", "document_path")
+    return rows.select("doc_id", "version_id", "document_path", "filename", "title", "checksum", "document_metadata")
+
+
 def log_line(event: str, **fields: Column) -> Column:
     """A JSON line: the event's name, then the fields."""
     return F.to_json(F.struct(F.lit(event).alias("event"), *(c.alias(n) for n, c in fields.items())))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.errors import EmptyQueryError
+
 #: The operators.
 OPERATORS = ("eq", "ne", "in", "nin", "gt", "gte", "lt", "lte", "contains", "exists", "regex")
 
@@ -91,7 +93,7 @@ class Query:
 
     def __post_init__(self):
         if not self.text.strip():
-            raise ValueError("a query needs text")
+            raise EmptyQueryError("a query needs text")
         if isinstance(self.filters, dict):
             object.__setattr__(self, "filters", FilterSpec.of(self.filters))
 

@@ -12,7 +12,7 @@ from corvane.functions import files as fx
 from corvane.functions import geometry as gx
 from corvane.functions import text as tx
 from corvane.functions import vectors as vx
-from corvane.operators import chunking, engine, filters, index, metrics, rag, reports, search
+from corvane.operators import chunking, engine, filters, index, metrics, ports, rag, reports, search
 from corvane.operators.embedders import BagEmbedder, DeterministicEmbedder
 from corvane.operators.filters import Query
 from corvane.operators.keyed import KeyedIndex
@@ -382,6 +382,47 @@ def corpus(spark, sf) -> DataFrame:
 WHOLE = f"WITH q AS (SELECT text FROM benchmark WHERE item_id = 0), x AS (SELECT doc_id, lang, source, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS x FROM documents WHERE trim(text) <> ''), t AS (SELECT doc_id, unnest(CASE WHEN len(x) > 0 THEN x ELSE ['<empty>'] END) AS token FROM (SELECT doc_id, x FROM x UNION ALL SELECT -1, regexp_extract_all(lower(text), '[a-z0-9]+') FROM q)){BAG.format(key='doc_id')}, v AS (SELECT doc_id, list(v ORDER BY i) AS e FROM z GROUP BY 1), near AS (SELECT v.doc_id, round(list_dot_product(v.e, q.e) / (1 + 1e-9), 6) AS score FROM v, v AS q WHERE q.doc_id = -1 AND v.doc_id >= 0), ranked AS (SELECT *, CASE WHEN max(score) OVER () - min(score) OVER () < 1e-9 THEN 0.0 ELSE round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) END AS normalized_score FROM near)"
 
 
+class LongestShared:
+    """A stand-in for a cross-encoder: the share of a text's first hundred characters that the query has; answers come backwards."""
+
+    def score(self, pairs):
+        for k in reversed(range(len(pairs))):
+            query, text = pairs[k]
+            yield k, round(sum(c in query for c in text[:100]) / 100, 6)
+
+
+class Counting:
+    """A stand-in for a chat model: the length of what it was sent; answers come backwards."""
+
+    def generate(self, chats):
+        for k in reversed(range(len(chats))):
+            yield k, f"{len(chats[k])} messages, {sum(len(m['content']) for m in chats[k])} characters"
+
+
+@query("port_rerank", "WITH p AS (SELECT d.doc_id, b.item_id, d.text, round(len(list_filter(string_split(left(coalesce(d.text, ''), 100), ''), lambda c: contains(b.text, c))) / 100, 6) AS rerank_score, CAST(row_number() OVER (PARTITION BY b.item_id ORDER BY d.n_chars DESC, d.doc_id) AS INT) AS retrieval_rank FROM documents d, benchmark b WHERE b.item_id % 50 = 0), k AS (SELECT * FROM p WHERE retrieval_rank <= 20), r AS (SELECT item_id, doc_id, retrieval_rank, rerank_score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, retrieval_rank) AS INT) AS rank FROM k) SELECT * FROM r WHERE rank <= 5")
+def port_rerank(spark, sf):
+    """The twenty longest documents for each question, reranked by a model that is called."""
+    items = table(spark, sf, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("question"))
+    longest = search.top_k(table(spark, sf, "documents").select("doc_id", "text", F.col("n_chars").alias("score")), 20, tie=["doc_id"])
+    best = ports.reranked(items.crossJoin(F.broadcast(longest)), LongestShared(), by=["item_id"], calls=ports.Calls(7))  # twenty rows
+    return best.select("item_id", "doc_id", "retrieval_rank", "rerank_score", "rank")
+
+
+@query("port_generate", PASSAGES + f", m AS (SELECT question_id, length({tx.SYSTEM_PROMPT!r}) AS a, length({PROMPT}) AS b FROM best GROUP BY question_id) SELECT question_id, '2 messages, ' || (a + b) || ' characters' AS answer FROM m")
+def port_generate(spark, sf):
+    """What a chat model that is called says to each question and its passages."""
+    return ports.generated(ports.conversation(retrieved(spark, sf)), Counting(), calls=ports.Calls(3)).select("question_id", "answer")
+
+
+@query("port_store", E_SQL + " SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding, q.embedding), 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.embedding, q.embedding), 6) DESC, e.vec_id) AS INT) AS rank FROM e, e AS q WHERE q.vec_id % 50 = 0) WHERE rank <= 5")
+def port_store(spark, sf):
+    """All vectors upserted into a store, twice, and searched there."""
+    store = ports.SparkStore(KeyedIndex(spark, new_folder(spark, "store"), "vec_id"))
+    for _ in range(2):
+        store.upsert(index_rows(spark, sf))
+    return store.query(query_rows(spark, sf), 5, q_vector="q", digits=6).select("query_id", "vec_id", "score", "rank")
+
+
 @query("engine_index_search", WHOLE + " SELECT 'corpus/' || n.doc_id || '.txt' AS file, 1 AS page, x.lang, x.source, n.score, n.normalized_score, CAST(row_number() OVER (ORDER BY n.score DESC, 'corpus/' || n.doc_id || '.txt') AS INT) AS rank FROM ranked n JOIN x USING (doc_id) WHERE x.lang IN ('en', 'fr') ORDER BY rank LIMIT 10")
 def engine_index_search(spark, sf):
     """From files to ranked pages: every document is embedded, written to an index and searched."""
@@ -518,6 +559,15 @@ def filled_templates(spark, sf):
     return table(spark, sf, "documents").select("doc_id", said.alias("said"))
 
 
+@query("document_versions", f"SELECT page_id, 'doc_' || substr(sha256(path), 1, 12) AS doc_id, 'ver_' || substr(sha256(path), 1, 12) AS version_id, path AS document_path, sha256(html) AS checksum, 'html' AS format FROM ({URL}) JOIN pages USING (page_id) WHERE lower(path) LIKE '%.html'")
+def document_versions(spark, sf):
+    """A document and a version for every page whose path names a format."""
+    html = table(spark, sf, "pages").select("page_id", fx.checksum(F.col("html").cast("binary")).alias("checksum"))
+    files = sources.known(paths(spark, sf).join(html, "page_id"))
+    rows = engine.document_versions(files).join(files.select("page_id", F.col("path").alias("document_path")), "document_path")
+    return rows.select("page_id", "doc_id", "version_id", "document_path", "checksum", F.col("document_metadata")["format"].alias("format"))
+
+
 @query("path_parts", f"SELECT page_id, split_part(path, '/', -1) AS filename, 'doc_' || substr(sha256(path), 1, 12) AS doc_id FROM ({URL})")
 def path_parts(spark, sf):
     return paths(spark, sf).select("page_id", fx.filename(F.col("path")).alias("filename"), fx.stable_id("doc", F.col("path")).alias("doc_id"))
