@@ -8,6 +8,7 @@ bytes, taken for a whole chunk of texts at once from one cumulative sum.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.session import is_local
+
 #: Bytes of text that are worked on at once.
 CHUNK_BYTES = 1 << 20
 #: The same where the units of texts are counted, most of which come again.
@@ -32,7 +35,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, as in tests, an own one, which needs a local master."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", where)
@@ -60,6 +63,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage, on which Spark removes the shuffle files of queries that are done."""
+    gc.collect()  # what Python still points to isn't garbage there
+    spark.sparkContext._jvm.System.gc()
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that are needed, under fixed names; others can be called as they like."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER, chunks, flat, ids_and_texts, mixed, span_hashes, stored, word_spans
+from corvane.llm.common import LOWER, chunks, flat, ids_and_texts, let_go, mixed, span_hashes, stored, word_spans
 
 #: Bytes of text in a block, and tokens in a bucket; on executors with more memory both can be larger, which makes fewer and larger answers.
-BLOCK_BYTES, BUCKET_TOKENS = 4 << 20, 2_000_000
+BLOCK_BYTES, BUCKET_TOKENS = 4 << 20, 1_500_000
 #: What a document's first words follow, and what ends it; no word is like these.
 START, END = b" ", b""
 #: Classes of documents: held out from training, deleted while weights are learned, and the rest of training.
@@ -94,8 +94,12 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         cuts = np.column_stack([starts, ends]).ravel()  # words, and between them white space
         where = pa.py_buffer(np.ascontiguousarray(cuts, np.int64))
         found = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, where, pa.py_buffer(data)]).dictionary_encode()
-        used, codes = np.unique(found.indices.to_numpy()[::2], return_inverse=True)
-        words = found.dictionary.take(pa.array(used)).to_pylist()
+        used, codes, times = np.unique(found.indices.to_numpy()[::2], return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # frequent words have small codes, which pack better
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        codes = place[codes]
+        words = found.dictionary.take(pa.array(used[order])).to_pylist()
     size = np.bincount(text, minlength=len(at) - 1)
     first = np.cumsum(size + 3) - size - 3
     out = np.full(int((size + 3).sum()), len(words), np.int64)
@@ -287,18 +291,16 @@ def _in_order(answers: list[dict], n: int, order: np.ndarray) -> list[np.ndarray
     return out
 
 
-def _asked_grams(buckets: int):
+def _asked_grams(n: int, buckets: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         rows, said = block.to_pylist(), answers.to_pylist()
         out = []
         for r in rows:
-            own = _Block.of(r, said, buckets)
-            for n in (2, 3):
-                columns, times, order, at = own.dealt(n, buckets)
-                for k in range(buckets):
-                    mine = order[at[k] : at[k + 1]]
-                    if len(mine):
-                        out.append((n, k, r["block"], r["cls"], pack(np.diff(columns[0][mine], prepend=0), *(c[mine] for c in columns[1:])), pack(times[mine])))
+            columns, times, order, at = _Block.of(r, said, buckets).dealt(n, buckets)
+            for k in range(buckets):
+                mine = order[at[k] : at[k + 1]]
+                if len(mine):
+                    out.append((n, k, r["block"], r["cls"], pack(np.diff(columns[0][mine], prepend=0), *(c[mine] for c in columns[1:])), pack(times[mine])))
         return pa.Table.from_batches([_batch(out, _ASKED)])
 
     return run
@@ -379,9 +381,12 @@ class Counted:
         self.buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-sum(totals.values()) // bucket_tokens))
         words = stored(_asked_words(self.blocks, self.buckets).groupBy("bucket").applyInArrow(_answers_words(self.buckets), _ANSWERED), "words")
         self.kinds = words.agg(F.sum("known").alias("n")).first()["n"] or 0
-        words = words.where("block >= 0")
-        asked = self.blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_asked_grams(self.buckets), _ASKED)
-        self.answers = words.unionByName(stored(asked.groupBy("n", "bucket").applyInArrow(_answers_grams, _ANSWERED), "grams"))
+        self.answers = words = words.where("block >= 0")
+        for n in (2, 3):  # one after the other, as what is asked takes more room than what is answered
+            let_go(docs.sparkSession)
+            asked = self.blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_asked_grams(n, self.buckets), _ASKED)
+            self.answers = self.answers.unionByName(stored(asked.groupBy("bucket").applyInArrow(_answers_grams, _ANSWERED), f"grams{n}"))
+        let_go(docs.sparkSession)
 
     def _each(self, table: DataFrame, run, schema: str) -> DataFrame:
         return table.groupBy("block").cogroup(self.answers.join(table.select("block"), "block", "left_semi").groupBy("block")).applyInArrow(run, schema)
