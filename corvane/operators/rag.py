@@ -90,10 +90,25 @@ def stage_events(df: DataFrame, endpoint: str, timings: str, keep: list[str]) ->
     return df.select(*keep, F.explode(F.filter(pairs, lambda x: x["ms"] > 0)).alias("x")).select(*keep, "x.*")
 
 
+#: Turns that are put together before conversations are.
+SEGMENT = 1024
+
+
 def history(turns: DataFrame, roles: tuple[str, ...] = ("user",)) -> DataFrame:
-    """conv_id, history: the texts of a conversation's queries in order, joined by line feeds."""
-    rows = turns.where(F.col("role").isin(*roles)).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    return rows.select("conv_id", F.array_join(F.transform("x", lambda t: t["text"]), "\n").alias("history"))
+    """conv_id, history: the texts of a conversation's queries in order, joined by line feeds; null texts are passed over.
+
+    Texts are sorted and joined in segments of turns, then these, so that no task sorts a
+    whole long conversation.
+    """
+    rows = turns.where(F.col("role").isin(*roles)).withColumn("__segment", F.floor(F.col("turn") / SEGMENT))
+
+    def joined(df: DataFrame, by: list[str], order: list[str], text: str) -> DataFrame:
+        found = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("x"))
+        texts = F.array_compact(F.transform("x", lambda t: t[text]))
+        return found.select(*by, texts.alias("x"))
+
+    parts = joined(rows, ["conv_id", "__segment"], ["turn"], "text").select("conv_id", "__segment", F.when(F.size("x") > 0, F.array_join("x", "\n")).alias("part"))
+    return joined(parts, ["conv_id"], ["__segment"], "part").select("conv_id", F.array_join("x", "\n").alias("history"))
 
 
 def last_turn(turns: DataFrame) -> DataFrame:

@@ -460,6 +460,16 @@ def test_numbered_with_a_repeated_key(spark, monkeypatch):
     assert df.select(numbering._part(df, "k").alias("p")).distinct().count() > 10
 
 
+def test_history_by_segments(spark, monkeypatch):
+    monkeypatch.setattr(rag, "SEGMENT", 4)
+    turns = [("c", k * 7 % 30, "user" if k % 3 else "assistant", f"t{k}" if k % 5 else None) for k in range(30)] + [("c", 3, "user", "again"), ("d", 1, "user", None), ("e", None, "user", "x"), ("e", 0, "user", "")]
+    df = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string")
+    wanted = {}
+    for c, turn, _, text in sorted((t for t in turns if t[2] == "user"), key=lambda t: (t[1] is not None, t[1] or 0, t[3] is not None, t[3] or "")):
+        wanted.setdefault(c, []).extend([] if text is None else [text])
+    assert {r["conv_id"]: r["history"] for r in rag.history(df).collect()} == {c: "\n".join(x) for c, x in wanted.items()}
+
+
 def test_numbered_is_a_window(spark, monkeypatch):
     """A group with most rows, null groups and keys, repeated keys, strings and dates, an empty table."""
     from pyspark.sql import Window
