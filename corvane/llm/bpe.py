@@ -289,7 +289,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     path: a rank file, installed on every executor.  One row out for each row in,
     repeated rows included.  A null or empty text has empty lists; a null id stays
-    null.  Other columns are neither read nor returned, so their names can't clash.
+    null; an empty table gives no rows.  A very long text is encoded whole, a piece of it
+    at a time.  Other columns are neither read nor returned, so their names can't clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -222,7 +222,9 @@ class _Finder:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_blocks, licenses array<struct<license, start, end, saved, different>> in code points, by start, not overlapping.
 
-    One row for each row in, from its whole text; null and empty texts have no block.
+    One row for each row in, from its whole text, however long; null and empty texts have
+    no block, and an empty table gives no rows.  Other columns are not read, so their names
+    can't clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

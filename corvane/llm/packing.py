@@ -118,7 +118,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int | None =
     path: a tokenizer file whose pieces hold no white space.  A document's ids and
     end_id make one piece, or, if longer than capacity, pieces of that size and a
     rest.  Null and empty texts have end_id alone (no piece where there is none).
-    Rows that share a doc_id are separate documents.  An empty table gives no rows.
+    Rows that share a doc_id are separate documents.  An empty table gives no rows.  A very
+    long text is encoded whole and cut into as many pieces as it takes.
     nearly_full: bins with as many tokens stay as they are, by default 63 of 64 parts of
     capacity; the tokens that such bins lack are all that this can cost.
     """

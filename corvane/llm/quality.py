@@ -183,7 +183,8 @@ def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_
 
     kept: the base rule passes and the posterior is at least threshold.  A text
     without words (null, empty, white space) has counts of 0 and fails the base rule.
-    The model is fitted to all documents.
+    The model is fitted to all documents; an empty table gives no rows.  Very long texts
+    are measured whole.
     """
     found = stored(measure(docs, id_col, text_col).withColumn("pattern", pattern()), "quality")
     counts = {r["pattern"]: r["n"] for r in found.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3 ** len(RULES) rows
@@ -192,7 +193,7 @@ def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_
 
 
 def accepted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that judge() keeps, with docs' columns; each row is judged for itself, repeated ids included."""
+    """The rows of docs that judge() keeps, with docs' columns; each row is judged for itself, repeated ids included.  docs has no columns called __ and the name of a metric."""
     schema = docs.schema
     metrics = [f"__{c}" for c in METRICS]
 

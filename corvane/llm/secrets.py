@@ -357,7 +357,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     """doc_id, spans array<struct<kind, start, end>> in code points, end exclusive, by start and then by the rules' order.
 
     One row for each row in.  Null and empty texts, and texts without a match,
-    have an empty array.  Repeated rows are scanned each for itself.
+    have an empty array.  Repeated rows are scanned each for itself; a very long text
+    is scanned whole, in time that grows with its length.  An empty table gives no rows.
+    Other columns are not read, so their names can't clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
