@@ -20,6 +20,11 @@ MODELS = {"colmodernvbert": True, "colpali": True, "colqwen2": True, "modernvber
 MODEL_ALIASES = {"col-modernvbert": "colmodernvbert", "colqwen": "colqwen2", "colqwen3": "tomoro-colqwen3", "modern-vbert": "modernvbert", "nomic-dense": "nomic", "tomoro": "tomoro-colqwen3"}
 
 
+def image_key(pixels: Column, width: Column, height: Column) -> Column:
+    """What the deterministic embedder hashes of an image: its size and the first 8192 bytes."""
+    return F.concat(F.concat(F.lit("img:"), width.cast("string"), F.lit("x"), height.cast("string"), F.lit(":")).cast("binary"), F.substring(pixels, 1, 8192))
+
+
 class Embedder(ABC):
     """Texts or images to multi-vectors; a model is loaded once in each Python worker."""
 
@@ -31,6 +36,10 @@ class Embedder(ABC):
     @abstractmethod
     def embed_query(self, text: str) -> np.ndarray: ...
 
+    def of_image(self, pixels: Column, width: Column, height: Column) -> Column:
+        """What column() is given of an image."""
+        return pixels
+
     def column(self, values: Column) -> Column:
         """array<array<float>> of a binary column."""
         own = self
@@ -50,6 +59,9 @@ class DeterministicEmbedder(Embedder):
             raise ValueError("dim and num_tokens must be positive")
         self.dim, self.num_tokens, self.multi_vector = dim, num_tokens, multi_vector
 
+    def of_image(self, pixels: Column, width: Column, height: Column) -> Column:
+        return image_key(pixels, width, height)
+
     def _vectors(self, key: bytes, n: int) -> np.ndarray:
         seed = int.from_bytes(hashlib.sha256(key).digest()[:8], "little")
         rows = np.random.default_rng(seed).standard_normal((n, self.dim)).astype(np.float32)

@@ -17,7 +17,7 @@ from corvane.functions import files as fx
 from corvane.functions import vectors as vx
 from corvane.operators import index as ix
 from corvane.operators import search as sx
-from corvane.operators.embedders import Embedder
+from corvane.operators.embedders import Embedder, image_key  # noqa: F401
 from corvane.operators.filters import FilterSpec, Query
 from corvane.operators.index import IndexStore
 from corvane.operators.keyed import KeyedIndex
@@ -25,7 +25,7 @@ from corvane.sources.files import framed
 
 
 class PageExtractor(Protocol):
-    """Documents with content to one row a page: all columns but content, page (from 1) and image, what is embedded.
+    """Documents with content to one row a page: all columns but content, page (from 1) and image, what is embedded; of RGB bytes width and height as well.
 
     A document that cannot be read gives no row.
     """
@@ -48,19 +48,14 @@ def rgb_page(documents: DataFrame) -> DataFrame:
 
 
 def frame_pages(documents: DataFrame) -> DataFrame:
-    """TIFF and GIF images, a page a frame, embedded by its RGB bytes."""
-    return framed(documents).withColumnRenamed("pixels", "image").drop("width", "height")
+    """TIFF and GIF images, a page a frame: its RGB bytes, width and height."""
+    return framed(documents).withColumnRenamed("pixels", "image")
 
 
 #: Extractors by format.
 EXTRACTORS: dict[str, PageExtractor] = {"txt": text_pages, "rgb": rgb_page, "tiff": frame_pages, "gif": frame_pages}
 
 
-def image_key(pixels: Column, width: Column, height: Column) -> Column:
-    """What the deterministic embedder hashes of an image: its size and the first 8192 bytes."""
-    return F.concat(F.concat(F.lit("img:"), width.cast("string"), F.lit("x"), height.cast("string"), F.lit(":")).cast("binary"), F.substring(pixels, 1, 8192))
-
-
 @dataclass
 class Timings:
     """Milliseconds by stage; each stage must run an action to be measured."""
@@ -100,13 +95,16 @@ class Engine:
         if missing := sorted(str(f) for f in formats - set(self.extractors)):
             raise UnsupportedFormatError(f"no extractor for {', '.join(missing)}")
         found = [self.extractors[f](documents.where(F.col("format") == f)) for f in sorted(formats)] or [text_pages(documents)]
-        return reduce(DataFrame.unionByName, found)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
     def index(self, documents: DataFrame, reinit: bool = True) -> Engine:
         """Embeds every page and replaces the index, or with reinit false adds to it."""
         pages = self.pages(documents)
         meta = [c.removeprefix("meta_") for c in pages.columns if c.startswith("meta_")]
-        rows = pages.withColumn("embedding", self.embedder.column(F.col("image"))).drop("image")
+        image = F.col("image")
+        if {"width", "height"} <= set(pages.columns):
+            image = F.when(F.col("width").isNull(), image).otherwise(self.embedder.of_image(image, F.col("width"), F.col("height")))
+        rows = pages.withColumn("embedding", self.embedder.column(image)).drop("image", "width", "height")
         self.store.save(ix.payload(rows, meta), reinit)
         return self
 

@@ -867,6 +867,12 @@ def synthetic_corpus(spark, sf):
     return sources.synthetic_documents(table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"))).select("id", "title", "text")
 
 
+@query("synthetic_questions", f"SELECT c_custkey AS question_id, 'What is the rule on ' || {list(sources.TOPICS)}[c_custkey % {len(sources.TOPICS)} + 1] || '?' AS question FROM customer")
+def synthetic_questions(spark, sf):
+    """A question for every customer."""
+    return sources.questions_for(table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id")))
+
+
 def colour(k: int, of: str = "p_partkey"):
     return F.pmod(F.col(of) * k, F.lit(256))
 

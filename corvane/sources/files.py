@@ -150,8 +150,14 @@ def synthetic_documents(ids: DataFrame, seed: int = 1234) -> DataFrame:
 
 
 def synthetic_questions(spark: SparkSession, n: int = 50) -> DataFrame:
+    """question_id, question of n questions that go through the topics in turn."""
+    return questions_for(spark.range(n))
+
+
+def questions_for(ids: DataFrame) -> DataFrame:
+    """synthetic_questions() for the numbers in ids (id), a question each."""
     topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.pmod("id", F.lit(len(TOPICS))) + 1).cast("int"))
-    return spark.range(n).select(F.col("id").alias("question_id"), F.concat(F.lit("What is the rule on "), topic, F.lit("?")).alias("question"))
+    return ids.select(F.col("id").alias("question_id"), F.concat(F.lit("What is the rule on "), topic, F.lit("?")).alias("question"))
 
 
 def synthetic_pages(spark: SparkSession, n: int, width: int = 64, height: int = 80) -> DataFrame:

@@ -460,6 +460,27 @@ def test_numbered_with_a_repeated_key(spark, monkeypatch):
     assert df.select(numbering._part(df, "k").alias("p")).distinct().count() > 10
 
 
+def test_compression_empty_scores_and_image_keys(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    for name, wanted in (("zstd", "ZSTD"), ("none", "UNCOMPRESSED")):
+        store = index.IndexStore(spark, str(tmp_path / name), name)
+        store.save(spark.createDataFrame([(k, [[1.0] * (k % 3), []]) for k in range(9)], "id int, v array<array<double>>"))
+        files = glob.glob(f"{tmp_path}/{name}/*.parquet")
+        assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {wanted}
+        assert {(r["id"], repr(r["v"])) for r in store.load().collect()} == {(k, repr([[1.0] * (k % 3), []])) for k in range(9)}
+    none = spark.createDataFrame([], "k int, score double")
+    assert search.minmax(none).collect() == search.minmax(none, by=["k"]).collect() == []
+    nothing = spark.createDataFrame([(1, [], [])], "id int, pages array<int>, raw array<double>")
+    assert search.from_arrays(nothing, "id", "pages", "raw").count() == 0
+    own = embedders.get_embedder("deterministic", dim=4, num_tokens=2)
+    image = spark.createDataFrame([(bytes(range(12)), 2, 2)], "p binary, w int, h int")
+    by_size = image.select(own.column(own.of_image(F.col("p"), F.col("w"), F.col("h"))).alias("e")).first()["e"]
+    assert by_size == [v.tolist() for v in own.embed([b"img:2x2:" + bytes(range(12))])[0]]
+
+
 def test_history_by_segments(spark, monkeypatch):
     monkeypatch.setattr(rag, "SEGMENT", 4)
     turns = [("c", k * 7 % 30, "user" if k % 3 else "assistant", f"t{k}" if k % 5 else None) for k in range(30)] + [("c", 3, "user", "again"), ("d", 1, "user", None), ("e", None, "user", "x"), ("e", 0, "user", "")]
