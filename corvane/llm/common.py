@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -65,8 +66,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def let_go(spark: SparkSession) -> None:
     """Has the driver's JVM collect its garbage, on which Spark removes the shuffle files of queries that are done."""
-    gc.collect()  # what Python still points to isn't garbage there
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()  # what Python still points to isn't garbage there
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # the cleaner works beside
 
 
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +120,7 @@ def distinct(data: np.ndarray, cuts: np.ndarray) -> tuple[list[bytes], np.ndarra
 class Sums:
     """Counts by keys, summed up within a task; tables of partial sums leave it when there are too many keys."""
 
-    def __init__(self, keys: list[str], value: str, limit: int = 400_000):
+    def __init__(self, keys: list[str], value: str, limit: int = 200_000):
         self.keys, self.value, self.limit = keys, value, limit
         self.parts: list[pa.Table] = []
         self.rows = 0
@@ -140,6 +143,7 @@ class Sums:
         if self.parts:
             yield from self._summed().combine_chunks().to_batches(max_chunksize=50_000)
         self.parts, self.rows = [], 0
+        pa.default_memory_pool().release_unused()
 
 
 class Lists:
