@@ -222,12 +222,12 @@ def event(kind: str, **fields: Column) -> Column:
     return F.struct(F.lit(kind).alias("event_type"), at.alias("occurred_at"), *(c.alias(n) for n, c in fields.items()))
 
 
-def document_versions(files: DataFrame) -> DataFrame:
-    """doc_id, version_id, document_path, filename, title, checksum, document_metadata (format): a document and its version for each file.  files: path, format, and checksum if there is one."""
+def document_versions(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """keep, doc_id, version_id, document_path, filename, title, checksum, document_metadata (format): a document and its version for each file; paths may repeat.  files: path, format, checksum if there is one, and the columns in keep."""
     checksum = F.col("checksum") if "checksum" in files.columns else F.lit(None).cast("string")
     kept = {"checksum": checksum, "document_metadata": F.create_map(F.lit("format"), F.col("format"))}
-    rows = ix.input_documents(files, keep=kept).withColumnRenamed("file", "document_path")
-    return rows.select("doc_id", "version_id", "document_path", "filename", "title", "checksum", "document_metadata")
+    rows = ix.input_documents(files, keep={c: F.col(c) for c in keep or []} | kept).withColumnRenamed("file", "document_path")
+    return rows.select(*(keep or []), "doc_id", "version_id", "document_path", "filename", "title", "checksum", "document_metadata")
 
 
 def log_line(event: str, **fields: Column) -> Column:
