@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,6 +83,47 @@ def quantiles(sketches: DataFrame) -> DataFrame:
     return sketches.select(*(c for c in sketches.columns if c != "sketch"), *(F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(q))).alias(n) for n, q in QUANTILES.items()))
 
 
+#: Ranges that a key's values are counted in, with edges from its sketch.
+RANGES = 64
+
+
+def counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, n: how often each value is there, null as well; counts of parts may be put together and counted on."""
+    return df.groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+
+
+def exact_quantiles(counts: DataFrame, by: list[str], sketches: DataFrame | None = None) -> DataFrame:
+    """by, requests, p50, p95, p99: of each the least value up to which there are that many; null without any.
+
+    counts: by, value, n, where a value may come several times.  Sketches (by, sketch; by
+    default of the values) only part each key's values into RANGES: these are counted, and
+    only those that hold a quantile are sorted.  So no task sorts all values of a key, and
+    the result is exact whatever the sketches say.
+    """
+    same = lambda a, b: reduce(and_, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by), F.lit(True))  # noqa: E731  a null is a key
+    values = counts.groupBy(*by, "value").agg(F.sum("n").alias("n"))
+    sketches = sketched(values, by, "value") if sketches is None else sketches
+    at = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
+    edges = sketches.select(*by, F.when(F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", at)).alias("__edges"))
+    part = F.when(F.col("value").isNotNull(), F.coalesce(F.size(F.filter("__edges", lambda e: e <= F.col("value"))), F.lit(0)))
+    parted = values.alias("a").join(edges.alias("b"), same("a", "b"), "left").select("a.*", part.alias("__part"))
+
+    sizes = parted.groupBy(*by, "__part").agg(F.sum("n").alias("__size"))
+    own = Window.partitionBy(*by)
+    ranges = sizes.where(F.col("__part").isNotNull()).withColumns({"__upto": F.sum("__size").over(own.orderBy("__part")), "__all": F.sum("__size").over(own)})  # RANGES rows a key
+    rank = lambda q: F.ceil(F.col("__all").cast("decimal(20,0)") * F.lit(Decimal(str(q)))).cast("long")
+    each = ranges.withColumn("x", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank(q).alias("rank")) for name, q in QUANTILES.items()))))
+    held = each.where((F.col("x.rank") > F.col("__upto") - F.col("__size")) & (F.col("x.rank") <= F.col("__upto")))
+    asked = held.select(*by, "__part", F.col("x.name").alias("__name"), (F.col("x.rank") - F.col("__upto") + F.col("__size")).alias("__rank"))
+
+    here = same("a", "b") & (F.col("a.__part") == F.col("b.__part"))
+    placed = parted.alias("a").join(asked.alias("b"), here, "left_semi").withColumn("__to", F.sum("n").over(Window.partitionBy(*by, "__part").orderBy("value")))
+    hit = placed.alias("a").join(asked.alias("b"), here & (F.col("__rank") > F.col("__to") - F.col("n")) & (F.col("__rank") <= F.col("__to")))
+    found = hit.groupBy(*(F.col(f"a.{c}") for c in by)).agg(*(F.max(F.when(F.col("__name") == name, F.col("value"))).alias(name) for name in QUANTILES))
+    keys = sizes.groupBy(*by).agg(F.sum("__size").alias("requests"))
+    return keys.alias("a").join(found.alias("b"), same("a", "b"), "left").select("a.*", *QUANTILES)
+
+
 def latencies(df: DataFrame, by: list[str], value: str, exact: bool = False, k: int = SKETCH) -> DataFrame:
     """by, requests, p50, p95, p99, from sketches of size k; or exact, between values where need be, which keeps all distinct values of a key in one task."""
     if not exact:

@@ -1,8 +1,10 @@
 """Registered queries against their SQL on tables that repeat what the small test tables have once."""
 
 import duckdb
+import pytest
 from oracle import comparable, sql_rows
 
+from corvane.operators import reports
 from corvane.plans import queries as engine
 
 
@@ -19,3 +21,19 @@ def copied(sf, to, name, replaced, times):
 def test_pages_with_one_path_are_versions_each(spark, sf, tmp_path):
     copied(sf, tmp_path, "pages", "page_id + k * 1000000 AS page_id, html || k AS html", 3)
     agrees(spark, tmp_path, "document_versions")
+
+
+@pytest.mark.parametrize("name", ["latency_sketches", "stream_sketches", "stream_latency"])
+def test_latencies_of_more_values_than_a_sketch_are_exact(spark, sf, tmp_path, name):
+    copied(sf, tmp_path, "events", "event_id + k * 1000000 AS event_id, CASE WHEN k % 2 = 0 THEN date_trunc('month', ts) ELSE ts END AS ts, CASE WHEN event_type = 'click' AND k % 9 = 1 THEN NULL ELSE value + k * 0.37 END AS value", 150)
+    agrees(spark, tmp_path, name)
+
+
+def test_exact_quantiles_whatever_the_sketches_say(spark):
+    rows = [("a", float(k % 1000), 1 + k % 3) for k in range(3000)] + [(None, 7.0, 10**10), (None, 9.0, 1), ("b", None, 4)]
+    counts = spark.createDataFrame(rows, "key string, value double, n long")
+    spread = sorted(v for key, v, n in rows if key == "a" for _ in range(n))
+    wanted = {("a", len(spread), *(spread[-(-len(spread) * q // 100) - 1] for q in (50, 95, 99))), (None, 10**10 + 1, 7.0, 7.0, 7.0), ("b", 4, None, None, None)}
+    other = reports.sketched(spark.range(5).selectExpr("'a' AS key", "id * 1e9 AS value"), ["key"], "value")
+    for sketches in (None, other):
+        assert {tuple(r) for r in reports.exact_quantiles(counts, ["key"], sketches).collect()} == wanted
