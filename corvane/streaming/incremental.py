@@ -56,6 +56,23 @@ def windowed_sketches(stream: DataFrame, ts: str, by: str, value: str, width: st
     return reports.sketched(rows.withColumn("window", F.window(ts, width)), ["window", by], value)
 
 
+def counted_available(stream: DataFrame, target: str, checkpoint: str, ts: str, by: str, value: str, width: str = "1 hour") -> DataFrame:
+    """Counts what is there, batch by batch, and stops: window, by, value, n of all batches so far, for reports.exact_quantiles().
+
+    A batch adds a part of counts of its own, and one that is run again after a failure
+    replaces it.  No state is held between batches, and no row is too late.
+    """
+    spark, keys = stream.sparkSession, ["window", by]
+    marked = stream.select(F.window(F.col(ts).cast("timestamp"), width).alias("window"), by, value)
+
+    def write(rows: DataFrame, n: int) -> None:
+        reports.counted(rows, keys, value).write.mode("overwrite").parquet(f"{target}/batch={n}")
+
+    marked.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    schema = T.StructType([*marked.select(*keys).schema, T.StructField("value", T.DoubleType()), T.StructField("n", T.LongType())])
+    return spark.read.schema(schema).parquet(target) if index.IndexStore(spark, target).exists() else spark.createDataFrame([], schema)
+
+
 def whole_available(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Writes an aggregated stream's result over all that is there to target and stops."""
     store = index.IndexStore(stream.sparkSession, target)
