@@ -1,10 +1,14 @@
 """Registered queries against their SQL on tables that repeat what the small test tables have once."""
 
+import tracemalloc
+
 import duckdb
 import pytest
 from oracle import comparable, sql_rows
+from pyspark.sql import functions as F
 
-from corvane.operators import reports
+from corvane.functions import text as tx
+from corvane.operators import embedders, keyed, reports
 from corvane.plans import queries as engine
 
 
@@ -37,3 +41,39 @@ def test_exact_quantiles_whatever_the_sketches_say(spark):
     other = reports.sketched(spark.range(5).selectExpr("'a' AS key", "id * 1e9 AS value"), ["key"], "value")
     for sketches in (None, other):
         assert {tuple(r) for r in reports.exact_quantiles(counts, ["key"], sketches).collect()} == wanted
+
+
+def test_passages_are_embedded_where_they_are(spark, sf):
+    questions, passages = engine._asked(spark, sf)
+    assert "Exchange" not in passages._jdf.queryExecution().executedPlan().toString()
+    texts = [None, "", "?!", "One one two\n", "İstanbul K9 x", "word " * 5000, "a" * 70_000]
+    rows = spark.createDataFrame([*enumerate(texts)], "id long, text string")
+    other = dict(tx.bag_embeddings(rows, "id").collect())
+    for r in rows.select("id", embedders.BagEmbedder(16).column(F.col("text").cast("binary")).alias("v")).collect():
+        assert r["v"] == pytest.approx(other[r["id"]], abs=1e-9)
+
+
+def test_a_batch_of_an_index_is_dealt_once(spark, tmp_path):
+    store = keyed.KeyedIndex(spark, str(tmp_path / "index"), "id")
+    rows = spark.range(100).selectExpr("id % 60 AS id", "repeat('x', 30) AS text")
+    once = store._batch(rows, store.version(), None)  # is written as it lies
+    assert "__bucket" in once.columns and once._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [store.upsert(rows) for _ in range(6)] == [100] * 6
+    assert store.count() == 60 and "__bucket" not in store.load().columns
+
+
+def test_embedding_holds_a_bounded_number_of_tokens(spark):
+    kept = embedders._token_vector
+    assert kept.cache_parameters()["maxsize"] <= 50_000
+    values = [f"token{k} and{k}".encode() for k in range(60_000)]
+    tracemalloc.start()
+    try:
+        found = embedders.BagEmbedder(16).embed(values)
+        assert len(found) == len(values) and tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_images_made_from_a_small_file_are_spread(spark, sf):
+    for name in ("frame_pages", "resized_pages", "image_pages"):
+        assert engine.QUERIES[name](spark, sf).rdd.getNumPartitions() >= 4
