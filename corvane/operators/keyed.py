@@ -100,10 +100,10 @@ class KeyedIndex(IndexStore):
         return F.pmod(F.xxhash64(now["key"]), F.lit(now["buckets"])).cast("int")
 
     def _write(self, rows: DataFrame, now: dict) -> tuple[str, list[str]]:
-        """A new part of the rows' buckets: its name, and which these are."""
+        """A new part of the rows' buckets: its name, and which these are.  rows: as _merged() gives them by bucket."""
         name = f"{now['number'] + 1:012d}-{uuid.uuid4().hex}"
         at = f"{self._folder.path}/data/{name}"
-        rows.withColumn("__bucket", self._bucket(now)).repartition("__bucket").write.option("compression", self.compression).partitionBy("__bucket").parquet(at)
+        rows.write.option("compression", self.compression).partitionBy("__bucket").parquet(at)
         return name, [x.partition("=")[2] for x in self._folder.names(f"data/{name}") if x.startswith("__bucket=")]
 
     def _parts(self, now: dict, buckets: dict[str, list[str]]) -> DataFrame:
@@ -111,18 +111,23 @@ class KeyedIndex(IndexStore):
         schema = T.StructType.fromJson(json.loads(now["schema"]))
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _dealt(self, rows: DataFrame, now: dict) -> DataFrame:
+        """Rows by bucket, in which they are merged and written: they are dealt only once."""
+        return rows.withColumn("__bucket", self._bucket(now)).repartition("__bucket")
+
     @staticmethod
     def _merged(rows: DataFrame, key: str) -> DataFrame:
-        """One row a key: of the last writing, at the first ordinal."""
-        rest = [c for c in rows.columns if c not in (key, "ordinal", CAME)]
-        last = rows.groupBy(key).agg(F.min("ordinal").alias("ordinal"), F.max_by(F.struct(*rest), F.struct(SEQ, VERSION)).alias("x"), F.sum(CAME).alias(CAME))
-        return last.select(key, "ordinal", *(F.col(f"x.{c}").alias(c) for c in rest), CAME)
+        """One row a key: of the last writing, at the first ordinal; with __bucket if rows have it."""
+        by = [c for c in rows.columns if c == "__bucket"] + [key]
+        rest = [c for c in rows.columns if c not in (*by, "ordinal", CAME)]
+        last = rows.groupBy(*by).agg(F.min("ordinal").alias("ordinal"), F.max_by(F.struct(*rest), F.struct(SEQ, VERSION)).alias("x"), F.sum(CAME).alias(CAME))
+        return last.select(*by, "ordinal", *(F.col(f"x.{c}").alias(c) for c in rest), CAME)
 
     def _batch(self, rows: DataFrame, now: dict, seq: str | None) -> DataFrame:
         number = now["number"] + 1
         order = F.col(seq) if seq else F.monotonically_increasing_id()
         marked = rows.drop("ordinal").withColumns({SEQ: order.cast("long"), VERSION: F.lit(number).cast("long"), CAME: F.lit(1).cast("long")}).drop(*([seq] if seq and seq != now["key"] else []))
-        once = self._merged(marked.withColumn("ordinal", F.col(SEQ)), now["key"])
+        once = self._merged(self._dealt(marked.withColumn("ordinal", F.col(SEQ)), now), now["key"])
         return once if seq else once.withColumns({SEQ: F.lit(number).cast("long"), "ordinal": F.lit(number).cast("long")})
 
     def upsert(self, rows: DataFrame, seq: str | None = None, batch: int | None = None) -> int:
@@ -133,12 +138,13 @@ class KeyedIndex(IndexStore):
         once = self._batch(rows, now, seq)
         if now["schema"] is not None:
             had = [f["name"] for f in json.loads(now["schema"])["fields"]]
-            if set(had) != set(once.columns):
-                raise IndexStoreError(f"columns differ from the index's: {sorted(set(had) ^ set(once.columns))}")
-            once = once.select(*had)
+            came_with = {c for c in once.columns if c != "__bucket"}
+            if set(had) != came_with:
+                raise IndexStoreError(f"columns differ from the index's: {sorted(set(had) ^ came_with)}")
+            once = once.select("__bucket", *had)
         name, touched = self._write(once, now)
         parts = {**now["parts"], **{b: [*now["parts"].get(b, []), name] for b in touched}}
-        schema = now["schema"] or once.schema.json()
+        schema = now["schema"] or once.drop("__bucket").schema.json()
         self._commit(now, parts=parts, schema=schema, batch=now["batch"] if batch is None else batch)
         came = self._parts({**now, "schema": schema}, {b: [name] for b in touched}).agg(F.sum(CAME).alias("n")).first()["n"] or 0
         self.compact(self.max_parts)
@@ -149,7 +155,7 @@ class KeyedIndex(IndexStore):
         now = self.version()
         many = {b: parts for b, parts in now["parts"].items() if len(parts) > max_parts}
         if many:
-            name, _ = self._write(self._merged(self._parts(now, many), now["key"]), now)
+            name, _ = self._write(self._merged(self._dealt(self._parts(now, many), now), now["key"]), now)
             self._commit(now, parts={**now["parts"], **{b: [name] for b in many}})
         return sorted(many)
 
@@ -184,7 +190,7 @@ class KeyedIndex(IndexStore):
         now = {**self.version(), "parts": {}, "schema": None, "key": self.key, "buckets": self.buckets}
         once = self._batch(rows, now, None)
         name, touched = self._write(once, now)
-        self._commit(now, parts={b: [name] for b in touched}, schema=once.schema.json())
+        self._commit(now, parts={b: [name] for b in touched}, schema=once.drop("__bucket").schema.json())
 
 
 def open_index(spark: SparkSession, path: str) -> IndexStore:
