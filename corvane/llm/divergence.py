@@ -66,7 +66,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
 
 
 def _recounted(texts: DataFrame, terms: list[str]) -> DataFrame:
-    """lang, source, term, n: partial counts of these terms, by an automaton over each task's texts."""
+    """lang, source, term, n: counts of these terms, by an automaton over each task's texts, whose partial counts know a term by its number."""
     shared = texts.sparkSession.sparkContext.broadcast(terms)  # bounded by AUTOMATON_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +92,11 @@ def _recounted(texts: DataFrame, terms: list[str]) -> DataFrame:
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(shared.value, pa.string())
-        for batch in run(batches):
+        for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], names.take(batch.column("place")), batch.column("n")], ["lang", "source", "term", "n"])
 
-    return texts.mapInArrow(named, "lang string, source string, term string, n long")
+    summed = texts.mapInArrow(run, "lang string, source string, place long, n long").groupBy("lang", "source", "place").agg(F.sum("n").alias("n"))
+    return summed.mapInArrow(named, "lang string, source string, term string, n long")  # only sums are given names
 
 
 def occurrences(texts: DataFrame, kept: DataFrame, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
@@ -112,8 +113,7 @@ def occurrences(texts: DataFrame, kept: DataFrame, automaton_chars: int = AUTOMA
     for k in range(scans):
         some = terms if scans == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(scans)) == k)
         parts.append(_recounted(texts, some.toArrow()["term"].to_pylist()))  # bounded by the division into scans
-    summed = reduce(DataFrame.unionByName, parts).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return summed.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    return reduce(DataFrame.unionByName, parts).join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:

@@ -77,3 +77,11 @@ def test_embedding_holds_a_bounded_number_of_tokens(spark):
 def test_images_made_from_a_small_file_are_spread(spark, sf):
     for name in ("frame_pages", "resized_pages", "image_pages"):
         assert engine.QUERIES[name](spark, sf).rdd.getNumPartitions() >= 4
+
+
+def test_partial_counts_of_terms_travel_by_number(spark):
+    divergence = pytest.importorskip("corvane.llm.divergence")
+    texts = spark.createDataFrame([("en", "a", "tree and tree"), ("en", "b", "And rock"), ("fr", "a", "tree")], "lang string, source string, text string").repartition(3)
+    found = divergence._recounted(texts, ["and", "tree"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    assert sorted(map(tuple, found.collect())) == [("en", "a", "and", 1), ("en", "a", "tree", 2), ("en", "b", "and", 1), ("fr", "a", "tree", 1)]
