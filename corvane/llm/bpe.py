@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,6 +169,7 @@ class Vocabulary:
         self.token = [b""] * (max(self.ids.values()) + 1)
         for token, k in self.ids.items():
             self.token[k] = token
+        self.tokens = pa.array(self.token, pa.large_binary())
         self.lengths = np.array([len(x) for x in self.token], np.int64)
         self.bytes = np.array([self.ids[bytes([k])] for k in range(256)], np.int64)
         self.size = len(self.token)
@@ -270,12 +272,27 @@ class Vocabulary:
         ends -= np.repeat(at[:-1], np.diff(lists))
         return tuple(pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(x, pa.int32())) for x in (tokens, ends))
 
-    def decode(self, ids: pa.ListArray) -> list[bytes]:
+    def decode(self, ids: pa.ListArray) -> pa.Array:
         """The bytes of each list of ids; a null list gives none."""
         ids = ids.fill_null([])
-        at, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-        tokens = [*map(self.token.__getitem__, values[at[0] : at[-1]].tolist())]
-        return [b"".join(tokens[a - at[0] : b - at[0]]) for a, b in zip(at[:-1], at[1:])]
+        at = ids.offsets.to_numpy()
+        tokens = self.tokens.take(ids.values.slice(at[0], at[-1] - at[0]))
+        if not len(tokens):
+            return pa.array([b""] * len(ids), pa.large_binary())
+        _, ends, data = tokens.buffers()
+        ends = np.frombuffer(ends, np.int64)[tokens.offset :][at - at[0]]
+        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), data])
+
+    def checked(self, ids: pa.ListArray, ends: pa.ListArray) -> pa.Array:
+        """The same, if the last token of each list ends where the bytes do."""
+        out, ends = self.decode(ids), ends.fill_null([])
+        at = ends.offsets.to_numpy()
+        last = np.zeros(len(ends), np.int64)
+        full = at[1:] > at[:-1]
+        last[full] = ends.values.to_numpy()[at[1:][full] - 1]
+        if (last != pc.binary_length(out).to_numpy()).any():
+            raise ValueError("ids and offsets disagree")
+        return out.cast(pa.binary())
 
 
 @lru_cache(2)
@@ -313,18 +330,30 @@ def decode(tokens: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                out = vocabulary(path).decode(part.column("ids"))
-                ends = part.column("ends").fill_null([])
-                last = [x[-1].as_py() if len(x) else 0 for x in (y.values for y in ends)]
-                if last != [*map(len, out)]:
-                    raise ValueError("ids and offsets disagree")
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
+                decoded = vocabulary(path).checked(part.column("ids"), part.column("ends"))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), decoded], [*keep, "decoded"])
 
     return tokens.select(*keep, "ids", "ends").mapInArrow(run, f"{schema}, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids array<int>, decoded binary: encode() and decode() in one step.
+
+    One after the other they take two Python workers a task, and as idle workers
+    serve either, every one of them comes to hold a vocabulary and its cache.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, limit=PIECES_BYTES):
+                ids, ends = vocabulary(path).encode(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, vocabulary(path).checked(ids, ends)], ["doc_id", "ids", "decoded"])
+            pa.default_memory_pool().release_unused()
+
+    return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of a round trip through encode() and decode()."""
-    tokens = encode(docs, path)
-    tokens = tokens.select("doc_id", "ids", "ends", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
-    return decode(tokens, path, ("doc_id", "n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of a round trip."""
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return round_trip(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
