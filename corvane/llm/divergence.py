@@ -21,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER, Sums, chunks, flat, runs_of, stored
+from corvane.llm.common import LOWER, UNITS_BYTES, Sums, chunks, flat, runs_of, stored
 
 #: What a share of one is, and what is added to every count.
 UNIT, ADDED = 1_000_000_000, 2
 #: Characters of the terms that one automaton holds, about 40 bytes each; more terms take further scans.
 AUTOMATON_CHARS = 4_000_000
+#: Counts that a task of the second pass holds before they leave it, and so many terms go together in a row.
+HELD, WIDTH = 1 << 20, 1 << 10
+#: Bytes of the terms' numbers whose counts are summed at once, two each.
+COUNTS_BYTES = 1 << 18
 #: Pairs of postings that a task looks at together.
 PAIRS = 1 << 20
 
@@ -47,7 +51,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums(["lang", "term"], "documents")
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=UNITS_BYTES):
                 data, at = flat(part.column("text"))
                 starts, ends, text = runs_of(TERM[data], at)
                 if not len(starts):
@@ -57,7 +61,8 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
                 coded = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, where, pa.py_buffer(LOWER[data])]).dictionary_encode()
                 n = len(coded.dictionary)
                 lang = part.column("lang").dictionary_encode()
-                each = np.unique(text * n + coded.indices.to_numpy()[::2])  # a term once a text
+                each = np.sort(text * n + coded.indices.to_numpy()[::2])  # sorting is quicker than np.unique's hashing
+                each = each[np.append(True, each[1:] != each[:-1])]  # a term once a text
                 found, times = np.unique(lang.indices.to_numpy()[each // n].astype(np.int64) * n + each % n, return_counts=True)
                 yield from sums.add(pa.table({"lang": lang.dictionary.take(pa.array(found // n)), "term": coded.dictionary.take(pa.array(found % n)).cast(pa.large_string()).cast(pa.string()), "documents": times.astype(np.int64)}))
         yield from sums.rest()
@@ -65,15 +70,84 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     return texts.select("lang", "text").mapInArrow(run, "lang string, term string, documents long").groupBy("lang", "term").agg(F.sum("documents").alias("documents"))
 
 
-def _recounted(texts: DataFrame, terms: list[str]) -> DataFrame:
-    """lang, source, term, n: counts of these terms, by an automaton over each task's texts, whose partial counts know a term by its number."""
-    shared = texts.sparkSession.sparkContext.broadcast(terms)  # bounded by AUTOMATON_CHARS
+def _added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, and the sum of each one's counts."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[starts], np.add.reduceat(counts[order], starts) if len(codes) else counts
+
+
+def _rows(x: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The numbers from each start up to the next as bytes."""
+    x = np.ascontiguousarray(x)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(x)) * x.itemsize), pa.py_buffer(x)]).cast(pa.binary())
+
+
+class _Groups:
+    """Counts of the terms of each (lang, source) within a task, by numbers: group << 32 | place of the term."""
+
+    def __init__(self, langs: list[str], kept: np.ndarray):
+        self.langs, self.kept = {x: k for k, x in enumerate(langs)}, kept
+        self.number: dict[tuple[str, str], int] = {}
+        self.new: list[np.ndarray] = []
+        self.waiting = 0
+        self.codes = self.counts = np.zeros(0, np.int64)
+
+    def add(self, group: tuple[str, str], places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Yields what leaves the task."""
+        self.new.append((self.number.setdefault(group, len(self.number)) << 32) + places)
+        self.waiting += len(places)
+        if self.waiting > HELD:
+            self._sum()
+            if len(self.codes) > HELD:
+                yield from self.rest()
+
+    def _sum(self) -> None:
+        if self.new:
+            new = np.sort(np.concatenate(self.new))
+            starts = np.flatnonzero(np.append(True, new[1:] != new[:-1])) if len(new) else np.zeros(0, np.int64)
+            times = np.diff(np.append(starts, len(new)))
+            self.codes, self.counts = _added(np.concatenate([self.codes, new[starts]]), np.concatenate([self.counts, times]))
+        self.new, self.waiting = [], 0
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """lang, source, part, places, counts: a row for WIDTH terms of a group, of those that its language keeps."""
+        self._sum()
+        names = [*self.number]
+        lang = np.array([self.langs.get(x, -1) for x, _ in names], np.int64)
+        wanted = (lang[self.codes >> 32] << 32) + (self.codes & 0xFFFFFFFF)
+        at = np.searchsorted(self.kept, wanted)
+        known = self.kept[np.minimum(at, len(self.kept) - 1)] == wanted
+        codes, counts = self.codes[known], self.counts[known]
+        if len(codes):
+            row = codes // WIDTH
+            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            group = pa.array(codes[starts] >> 32)
+            columns = [pa.array([x for x, _ in names], pa.string()).take(group), pa.array([x for _, x in names], pa.string()).take(group), pa.array((codes[starts] & 0xFFFFFFFF) // WIDTH), _rows((codes % WIDTH).astype(np.uint16), starts), _rows(counts, starts)]
+            yield from pa.table(columns, names=["lang", "source", "part", "places", "counts"]).to_batches(max_chunksize=2000)
+        self.number, self.codes, self.counts = {}, self.codes[:0], self.counts[:0]
+        pa.default_memory_pool().release_unused()
+
+
+def _recounted(texts: DataFrame, kept: pa.Table) -> DataFrame:
+    """lang, source, term, n: counts of these terms, by an automaton over each task's texts.
+
+    kept: term and the languages that keep it.  Counts travel by the terms' numbers,
+    those of up to WIDTH terms of a group in a row, and only sums are given names.
+    """
+    kept = kept.combine_chunks()
+    of = kept["langs"].chunk(0)
+    lang, place = of.flatten().dictionary_encode(), np.repeat(np.arange(len(kept)), of.value_lengths().to_numpy())
+    pairs = np.sort((lang.indices.to_numpy().astype(np.int64) << 32) + place)
+    shared = texts.sparkSession.sparkContext.broadcast((kept["term"].to_pylist(), lang.dictionary.to_pylist(), pairs))  # bounded by AUTOMATON_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        scan, sums = ahocorasick.Automaton(), Sums(["lang", "source", "place"], "n")
-        for k, term in enumerate(shared.value):
+        terms, langs, pairs = shared.value
+        scan, sums = ahocorasick.Automaton(), _Groups(langs, pairs)
+        for k, term in enumerate(terms):
             scan.add_word(f" {term} ", k)
         scan.make_automaton()
         for batch in batches:
@@ -84,36 +158,61 @@ def _recounted(texts: DataFrame, terms: list[str]) -> DataFrame:
                 group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
                 for g in np.unique(group).tolist():
                     joined = b" ".join([b"", *(data[at[k] : at[k + 1]].tobytes() for k in np.flatnonzero(group == g).tolist()), b""]).decode()
-                    found, times = np.unique(np.fromiter(map(itemgetter(1), scan.iter(joined)), np.int64), return_counts=True)
+                    found = np.fromiter(map(itemgetter(1), scan.iter(joined)), np.int64)
                     if len(found):
-                        same = lambda d, k: pa.repeat(d[k], len(found))
-                        yield from sums.add(pa.table({"lang": same(lang.dictionary, g // len(source.dictionary)), "source": same(source.dictionary, g % len(source.dictionary)), "place": found, "n": times.astype(np.int64)}))
+                        yield from sums.add((lang.dictionary[g // len(source.dictionary)].as_py(), source.dictionary[g % len(source.dictionary)].as_py()), found)
         yield from sums.rest()
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(shared.value, pa.string())
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rest = pa.array(shared.value[0], pa.string()), None
+
+        def named(t: pa.Table, codes: np.ndarray, counts: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+            row = first[codes // WIDTH]
+            place = t["part"].to_numpy()[row] * WIDTH + codes % WIDTH
+            return pa.RecordBatch.from_arrays([t[c].combine_chunks().take(pa.array(row)) for c in ("lang", "source")] + [names.take(pa.array(place)), pa.array(counts)], ["lang", "source", "term", "n"])
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], names.take(batch.column("place")), batch.column("n")], ["lang", "source", "term", "n"])
+            for part in chunks(batch, "places", COUNTS_BYTES):
+                t = pa.Table.from_batches([part])
+                t = (pa.concat_tables([rest, t]) if rest is not None else t).combine_chunks()
+                places, at = flat(t["places"])
+                first = np.flatnonzero(_new_run(t, ("lang", "source", "part")))
+                run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
+                codes = np.repeat(run_of, np.diff(at) // 2) * WIDTH + np.frombuffer(places.tobytes(), np.uint16)
+                codes, counts = _added(codes, np.frombuffer(flat(t["counts"])[0].tobytes(), np.int64))
+                open_ = int(np.searchsorted(codes, (len(first) - 1) * WIDTH))  # the last row's terms may go on
+                if open_:
+                    yield named(t, codes[:open_], counts[:open_], first)
+                rest = t.slice(int(first[-1]), 1).select(["lang", "source", "part"])
+                for name, x in (("places", (codes[open_:] % WIDTH).astype(np.uint16)), ("counts", counts[open_:])):
+                    rest = rest.append_column(name, _rows(x, np.zeros(1, np.int64)))
+        if rest is not None:
+            yield named(rest, np.frombuffer(rest["places"][0].as_py(), np.uint16).astype(np.int64), np.frombuffer(rest["counts"][0].as_py(), np.int64), np.zeros(1, np.int64))
 
-    summed = texts.mapInArrow(run, "lang string, source string, place long, n long").groupBy("lang", "source", "place").agg(F.sum("n").alias("n"))
-    return summed.mapInArrow(named, "lang string, source string, term string, n long")  # only sums are given names
+    rows = texts.mapInArrow(run, "lang string, source string, part long, places binary, counts binary")
+    dealt = rows.repartition("lang", "source", "part").sortWithinPartitions("lang", "source", "part")
+    return dealt.mapInArrow(summed, "lang string, source string, term string, n long")
 
 
 def occurrences(texts: DataFrame, kept: DataFrame, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """lang, source, term, n above 0 of all kept (lang, term) in texts (lang, source, text).
 
-    Terms beyond automaton_chars are scanned for in further passes of as many each.
+    Terms beyond automaton_chars are scanned for in further passes of as many each, as are
+    terms whose languages' names have more characters than that.
     """
-    terms = kept.select("term").distinct()
-    size = terms.agg(F.sum(F.length("term") + 2).alias("n")).first()["n"] or 0
+    terms = kept.groupBy("term").agg(F.collect_list("lang").alias("langs"), F.sum(F.length("lang") + 1).alias("names"))
+    size = terms.agg(F.greatest(F.sum(F.length("term") + 2), F.sum("names")).alias("n")).first()["n"] or 0
+    terms = terms.select("term", "langs")
     if not size:
         return texts.select("lang", "source", F.lit("").alias("term"), F.lit(0).cast("long").alias("n")).limit(0)
     scans = -(-size // automaton_chars)
     parts = []
     for k in range(scans):
         some = terms if scans == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(scans)) == k)
-        parts.append(_recounted(texts, some.toArrow()["term"].to_pylist()))  # bounded by the division into scans
-    return reduce(DataFrame.unionByName, parts).join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+        some = some.toArrow()  # bounded by the division into scans
+        if some.num_rows:
+            parts.append(_recounted(texts, some))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -182,11 +281,13 @@ def shared_terms(postings: DataFrame) -> DataFrame:
     return both.select("lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "value").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def _new_run(t: pa.Table) -> np.ndarray:
-    """Where another (lang, term) begins."""
-    out = np.ones(len(t), bool)
-    lang, term = (t[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "term"))
-    out[1:] = (lang[1:] != lang[:-1]) | (term[1:] != term[:-1])
+def _new_run(t: pa.Table, keys: tuple[str, ...] = ("lang", "term")) -> np.ndarray:
+    """Where another combination of the keys begins."""
+    out = np.zeros(len(t), bool)
+    out[:1] = True
+    for c in keys:
+        x = t[c].combine_chunks().dictionary_encode().indices.to_numpy()
+        out[1:] |= x[1:] != x[:-1]
     return out
 
 
