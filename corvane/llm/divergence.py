@@ -194,25 +194,48 @@ def _recounted(texts: DataFrame, kept: pa.Table) -> DataFrame:
     return dealt.mapInArrow(summed, "lang string, source string, term string, n long")
 
 
+def scans_of(sizes: dict[str, int], limit: int) -> list[tuple[list[str], int]]:
+    """Languages that are scanned for together, and in how many scans: those above the limit alone, others as many as fit."""
+    out, room = [], 0
+    for lang, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if size > limit:
+            out.append(([lang], -(-size // limit)))
+        elif size <= room:
+            out[-1][0].append(lang)
+            room -= size
+        else:
+            out.append(([lang], 1))
+            room = limit - size
+    return out
+
+
 def occurrences(texts: DataFrame, kept: DataFrame, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """lang, source, term, n above 0 of all kept (lang, term) in texts (lang, source, text).
 
-    Terms beyond automaton_chars are scanned for in further passes of as many each, as are
-    terms whose languages' names have more characters than that.
+    Terms beyond automaton_chars, or whose languages' names have more characters than that,
+    take further scans, each over the texts of its languages only.
     """
-    terms = kept.groupBy("term").agg(F.collect_list("lang").alias("langs"), F.sum(F.length("lang") + 1).alias("names"))
-    size = terms.agg(F.greatest(F.sum(F.length("term") + 2), F.sum("names")).alias("n")).first()["n"] or 0
-    terms = terms.select("term", "langs")
+
+    def by_term(some: DataFrame) -> DataFrame:
+        return some.groupBy("term").agg(F.collect_list("lang").alias("langs"), F.sum(F.length("lang") + 1).alias("names"))
+
+    size = by_term(kept).agg(F.greatest(F.sum(F.length("term") + 2), F.sum("names")).alias("n")).first()["n"] or 0
     if not size:
         return texts.select("lang", "source", F.lit("").alias("term"), F.lit(0).cast("long").alias("n")).limit(0)
-    scans = -(-size // automaton_chars)
     parts = []
-    for k in range(scans):
-        some = terms if scans == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(scans)) == k)
-        some = some.toArrow()  # bounded by the division into scans
-        if some.num_rows:
-            parts.append(_recounted(texts, some))
-    return reduce(DataFrame.unionByName, parts)
+    if size <= automaton_chars:
+        parts.append((texts, kept))
+    else:
+        sizes = kept.groupBy("lang").agg(F.sum(F.greatest(F.length("term") + 2, F.length("lang") + 1)).alias("n"))
+        for langs, scans in scans_of({r["lang"]: r["n"] for r in sizes.collect()}, automaton_chars):
+            its = F.col("lang").isin(langs)
+            parts += [(texts.where(its), kept.where(its & (F.pmod(F.xxhash64("term"), F.lit(scans)) == k))) for k in range(scans)]
+    counted = []
+    for some, its in parts:
+        terms = by_term(its).select("term", "langs").toArrow()  # bounded by the division into scans
+        if terms.num_rows:
+            counted.append(_recounted(some, terms))
+    return reduce(DataFrame.unionByName, counted)
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:

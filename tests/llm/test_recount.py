@@ -72,3 +72,14 @@ def test_names_of_languages_are_bounded_as_terms_are(spark):
 def test_empty_rows_of_bytes():
     assert divergence._rows(np.zeros(0, np.int64), np.zeros(1, np.int64)).to_pylist() == [b""]
     assert divergence._rows(np.array([1, 2, 3], np.uint16), np.array([0, 2])).type == pa.binary()
+
+
+def test_further_scans_read_the_texts_of_their_languages_only(spark):
+    assert divergence.scans_of({"a": 25, "b": 4, "c": 6, "d": 5, "e": 3}, 10) == [(["a"], 3), (["c"], 1), (["d", "b"], 1), (["e"], 1)]
+    assert divergence.scans_of({}, 10) == []
+    texts = spark.createDataFrame([("en", "s", "ab cd ab"), ("de", "s", "ab ef"), ("fr", "s", "ab gh"), ("xx", "s", "ab")], "lang string, source string, text string")
+    kept = spark.createDataFrame([(x, w) for x in ("en", "de", "fr") for w in ("ab", "cd", "ef", "gh")], "lang string, term string")
+    found = divergence.occurrences(texts, kept, 16)  # the terms of one language
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 6 and all(plan.count(f"= {x})") == 1 for x in ("en", "de", "fr"))
+    assert sorted(map(tuple, found.collect())) == [("de", "s", "ab", 1), ("de", "s", "ef", 1), ("en", "s", "ab", 2), ("en", "s", "cd", 1), ("fr", "s", "ab", 1), ("fr", "s", "gh", 1)]
